@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumenrow.llm import mixing
+from lumenrow.llm import mixing, quality_rules
 
 QUERIES = {
+    "op9_quality_rules": quality_rules.op9_quality_rules,
     "op8_source_mixing": mixing.op8_source_mixing,
 }
 ORACLES = {
