@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumenrow.llm import mixing, quality_rules
+from lumenrow.llm import mixing, quality_rules, url_filter
 
 QUERIES = {
+    "op6_url_filter": url_filter.op6_url_filter,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op8_source_mixing": mixing.op8_source_mixing,
 }
