@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lumenrow.llm import mixing, quality_rules, url_filter
+from lumenrow.llm import chat_format, mixing, quality_rules, url_filter
 
 QUERIES = {
+    "op4_chat_format": chat_format.op4_chat_format,
     "op6_url_filter": url_filter.op6_url_filter,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op8_source_mixing": mixing.op8_source_mixing,
 }
 ORACLES = {
+    "op4_chat_format": chat_format.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
 }
