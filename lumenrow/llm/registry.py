@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumenrow.llm import chat_format, mixing, quality_rules, url_filter
+from lumenrow.llm import chat_format, mixing, quality_rules, secret_scan, url_filter
 
 QUERIES = {
+    "op10_secret_scan": secret_scan.op10_secret_scan,
     "op4_chat_format": chat_format.op4_chat_format,
     "op6_url_filter": url_filter.op6_url_filter,
     "op9_quality_rules": quality_rules.op9_quality_rules,
