@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumenrow.llm import chat_format, mixing, quality_rules, secret_scan, url_filter
+from lumenrow.llm import chat_format, mixing, quality_rules, secret_scan, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op4_chat_format": chat_format.op4_chat_format,
     "op6_url_filter": url_filter.op6_url_filter,
