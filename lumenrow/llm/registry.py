@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumenrow.llm import chat_format, mixing, quality_fm, quality_rules, secret_scan, toxicity, url_filter
+from lumenrow.llm import chat_format, mixing, packing, quality_fm, quality_rules, secret_scan, toxicity, url_filter
 
 QUERIES = {
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op5_quality_classifier": quality_fm.op5_quality_classifier,
     "op1_toxicity": toxicity.op1_toxicity,
     "op10_secret_scan": secret_scan.op10_secret_scan,
