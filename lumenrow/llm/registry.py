@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumenrow.llm import chat_format, mixing, near_dedup, packing, quality_fm, quality_rules, secret_scan, toxicity, url_filter
+from lumenrow.llm import chat_format, mixing, near_dedup, neighbours, packing, quality_fm, quality_rules, secret_scan, toxicity, url_filter
 
 QUERIES = {
+    "op2_nearest_neighbours": neighbours.op2_nearest_neighbours,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op5_quality_classifier": quality_fm.op5_quality_classifier,
