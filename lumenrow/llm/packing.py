@@ -32,13 +32,21 @@ CACHE_WORDS = 600_000
 MIN_SALTS, MAX_SALTS, ROWS_A_SALT = 64, 1024, 1_000_000
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is visible, else the next from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = (b for b in range(256) if b not in visible)
+    letters = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return [letters[b] for b in range(256)]
+
+
 class WordTokenizer:
-    """Ids of texts under the word vocabulary, part by part with a bounded cache.
+    """Ids of texts under the word vocabulary, word by word with bounded caches.
 
     The vocabulary drops white space, lower-cases and cuts texts into parts (runs of letters, single
     digits, runs of other signs) whose ids do not depend on what stands around them. For texts of
-    ASCII and Latin-1 letters the parts are cut here; other texts go through the tokenizer whole. New
-    parts are encoded many at a time, and each part's ids end with the one that ends a word.
+    ASCII and Latin-1 letters words and parts are cut here and only new parts are merged by the
+    vocabulary's model; other texts go through the tokenizer whole.
     """
 
     _PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e\xc0-\xff]*")
@@ -48,33 +56,36 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, parts: list[str]) -> None:
-        for start in range(0, len(parts), 5000):
-            some = parts[start : start + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some):
-                raise ValueError("a part has more than one word end")
-            data = ids.tobytes()
-            self.known.update((part, data[4 * a : 4 * b]) for part, a, b in zip(some, [0, *stops[:-1].tolist()], stops.tolist(), strict=True))
+        self.merge = self.tokenizer.model.tokenize
+        letters = _byte_letters()
+        self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        out = []
+        for part in self._PART.findall(word):
+            found = self.parts.get(part)
+            if found is None:
+                if len(self.parts) >= CACHE_WORDS:
+                    self.parts.clear()
+                found = self.parts[part] = b"".join(t.id.to_bytes(4, "little") for t in self.merge(part.translate(self.letters)))
+            out.append(found)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if "<|" in text or not self._PLAIN.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts, known = self._PART.findall(text.lower()), self.known
-        missing = [part for part in set(parts) if part not in known]
+        words, known = text.lower().split(), self.words
+        missing = [word for word in words if word not in known]
         if missing:
             if len(known) + len(missing) > CACHE_WORDS:
                 known.clear()
-                missing = list(set(parts))
-            self._learn(missing)
-        return b"".join(map(known.__getitem__, parts))
+                missing = words
+            for word in set(missing):
+                known[word] = self._word(word)
+        return b"".join(map(known.__getitem__, words))
 
 
 @functools.cache
