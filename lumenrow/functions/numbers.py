@@ -68,11 +68,11 @@ def spoken_seconds(seconds: Column) -> Column:
 
 
 def format_bytes(size: Column) -> Column:
-    """Binary units to one decimal; ``?`` for null and 0."""
+    """Binary units to one decimal, halves to even; ``?`` for null and 0."""
     n = size.cast("double")
-    text = F.format_string("%.1f TiB", n / 1024.0**4)
+    text = F.format_string("%.1f TiB", F.bround(n / 1024.0**4, 1))
     for power, unit in reversed(list(enumerate(("B", "KiB", "MiB", "GiB")))):
-        text = F.when(n / 1024.0**power < 1024, F.format_string(f"%.1f {unit}", n / 1024.0**power)).otherwise(text)
+        text = F.when(n / 1024.0**power < 1024, F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**power, 1))).otherwise(text)
     return F.when(n.isNull() | (n == 0), F.lit("?")).otherwise(text)
 
 

@@ -15,7 +15,8 @@ from lumenrow.functions.patterns import strip
 from lumenrow.functions.text import clean_line, join_fragments, numbered_header, useful_text
 from lumenrow.operators.lines import gap_islands
 
-PAGE = Window.partitionBy("page_id")
+def _page():
+    return Window.partitionBy("page_id")
 
 
 def main_left(lines: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def scan_paragraphs(lines: DataFrame) -> DataFrame:
     """(page_id, text): margin and main lines in separate blocks, by height on the page, a blank line between."""
     shown = lines.filter(strip(F.col("text")) != "").join(main_left(lines), "page_id")
     zone = F.when(F.col("x") < F.col("main_left") - 0.045, F.lit("margin")).otherwise(F.lit("main"))
-    shown = shown.withColumn("zone", zone).withColumn("_h", F.median("height").over(PAGE)).withColumn("_group", F.concat_ws(":", "page_id", "zone"))
+    shown = shown.withColumn("zone", zone).withColumn("_h", F.median("height").over(_page())).withColumn("_group", F.concat_ws(":", "page_id", "zone"))
     threshold = F.greatest(F.col("_h") * F.when(F.col("zone") == "margin", 3.25).otherwise(1.65), F.lit(0.025))
     order = [F.desc("top"), F.asc("x")]
     rows = gap_islands(shown, "_group", order, -F.col("top"), -F.col("bottom"), threshold, "block")
@@ -87,7 +88,7 @@ def two_column_text(lines: DataFrame, least_lines: int = 3) -> DataFrame:
     common. Other pages have no row.
     """
     rows = lines.filter(strip(F.col("text")) != "").withColumn("column", column_of(F.col("page_width"))).withColumn("cy", middle(F.col("y0"), F.col("y1"))).withColumn("cx", middle(F.col("x0"), F.col("x1")))
-    rows = rows.withColumn("tolerance", F.greatest(F.lit(4.0), 0.90 * F.median(span(F.col("y0"), F.col("y1"))).over(PAGE)))
+    rows = rows.withColumn("tolerance", F.greatest(F.lit(4.0), 0.90 * F.median(span(F.col("y0"), F.col("y1"))).over(_page())))
     sides = rows.groupBy("page_id").agg(F.count_if(F.col("column") == "left").alias("l"), F.count_if(F.col("column") == "right").alias("r"), F.median(F.when(F.col("column") == "left", F.col("cx"))).alias("lx"), F.median(F.when(F.col("column") == "right", F.col("cx"))).alias("rx"), F.max("page_width").alias("w"))
     pages = sides.filter((F.col("l") >= least_lines) & (F.col("r") >= least_lines) & (F.col("rx") - F.col("lx") >= 0.20 * F.col("w"))).select("page_id")
     placed = rows.join(pages, "page_id").join(body_top(rows), "page_id")

@@ -13,7 +13,9 @@ from pyspark.sql.window import Window
 from lumenrow.functions.patterns import physical_lines, strip
 from lumenrow.functions.text import ends_sentence, header_key, is_page_marker, numbered_header, sequence_ratio
 
-BY_LINE = Window.partitionBy("doc_id").orderBy("n")
+def _by_line():
+    """A document's lines in order."""
+    return Window.partitionBy("doc_id").orderBy("n")
 
 
 def explode_lines(documents: DataFrame) -> DataFrame:
@@ -28,8 +30,8 @@ def nonblank(lines: DataFrame) -> DataFrame:
 def neighbours_nonblank(lines: DataFrame) -> DataFrame:
     """With the text of the next and the last line that is not blank."""
     shown = F.when(strip(F.col("line")) != "", strip(F.col("line")))
-    after = BY_LINE.rowsBetween(1, Window.unboundedFollowing)
-    before = BY_LINE.rowsBetween(Window.unboundedPreceding, -1)
+    after = _by_line().rowsBetween(1, Window.unboundedFollowing)
+    before = _by_line().rowsBetween(Window.unboundedPreceding, -1)
     return lines.withColumn("next_text", F.coalesce(F.first(shown, ignorenulls=True).over(after), F.lit(""))).withColumn("last_text", F.coalesce(F.last(shown, ignorenulls=True).over(before), F.lit("")))
 
 
@@ -37,7 +39,7 @@ def first_after_marker(lines: DataFrame, marker: Column | None = None) -> DataFr
     """The first line that is not blank behind each page marker, even if it is a marker itself."""
     is_marker = is_page_marker(F.col("line")) if marker is None else marker
     kept = nonblank(lines).withColumn("_marker", is_marker)
-    return kept.withColumn("_after", F.lag("_marker").over(BY_LINE)).filter("_after").drop("_marker", "_after")
+    return kept.withColumn("_after", F.lag("_marker").over(_by_line())).filter("_after").drop("_marker", "_after")
 
 
 def titled(lines: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def learned_titles(lines: DataFrame, least: int = 2) -> DataFrame:
 
 def learned_titles_of_all(lines: DataFrame, least: int = 2) -> DataFrame:
     """(title_key, n): titles that pages, or documents, begin with at least ``least`` times in all."""
-    head = nonblank(lines).withColumn("_first", F.row_number().over(BY_LINE)).filter("_first = 1").drop("_first")
+    head = nonblank(lines).withColumn("_first", F.row_number().over(_by_line())).filter("_first = 1").drop("_first")
     candidates = first_after_marker(lines).unionByName(head).dropDuplicates(["doc_id", "n"])
     return titled(candidates).groupBy("title_key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
@@ -75,8 +77,8 @@ def fuzzy_titles(candidates: DataFrame, learned: DataFrame, least: float = 0.88)
 def sentence_islands(lines: DataFrame) -> DataFrame:
     """(doc_id, group_no, text): lines joined by spaces up to each that ends a sentence, or to a blank line."""
     blank = strip(F.col("line")) == ""
-    closed = F.coalesce(F.lag((ends_sentence(F.col("line")) | blank).cast("int")).over(BY_LINE), F.lit(0))
-    rows = lines.withColumn("_close", closed).withColumn("group_no", F.sum("_close").over(BY_LINE)).filter(~blank)
+    closed = F.coalesce(F.lag((ends_sentence(F.col("line")) | blank).cast("int")).over(_by_line()), F.lit(0))
+    rows = lines.withColumn("_close", closed).withColumn("group_no", F.sum("_close").over(_by_line())).filter(~blank)
     listed = rows.groupBy("doc_id", "group_no").agg(F.array_sort(F.collect_list(F.struct("n", strip(F.col("line")).alias("line")))).alias("parts"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("group_no")) - 1
     return listed.select("doc_id", number.cast("bigint").alias("group_no"), F.array_join(F.transform("parts", lambda p: p["line"]), " ").alias("text"))

@@ -12,3 +12,15 @@ def materialised(spark: SparkSession, frame: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenrow-"))
     return frame.checkpoint(eager=True)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenrow-"))
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{folder}/{name}-{uuid.uuid4().hex}"

@@ -2,29 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from lumenrow.plans import documents, names, reports, timelines
 
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def popularity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of at least 50 views that no hidden item names, ranked by views, date and position."""
-    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
-    hidden = events.filter(F.col("event_type") == "error").select("event_id").distinct()
-    kept = events.filter(F.coalesce("value", F.lit(0.0)) >= 50).join(hidden, "event_id", "left_anti")
-    order = Window.orderBy(F.desc("value"), F.desc("ts"), F.asc("event_id"))
-    return kept.select("event_id", "user_id", "value", F.row_number().over(order).cast("long").alias("rank"))
-
-
-QUERIES = {"q01_popularity_report": popularity_report}
-ORACLES = {
-    "q01_popularity_report": """
-        select event_id, user_id, value, row_number() over (order by value desc, ts desc, event_id) as rank
-        from events e where coalesce(value, 0) >= 50
-          and not exists (select 1 from events h where h.event_type = 'error' and h.event_id = e.event_id)
-    """,
-}
+QUERIES = dict(sorted((reports.QUERIES | timelines.QUERIES | documents.QUERIES | names.QUERIES).items()))
+ORACLES = reports.ORACLES | timelines.ORACLES | documents.ORACLES | names.ORACLES
