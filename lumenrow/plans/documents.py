@@ -166,7 +166,7 @@ ORACLES = {
         g as (select *, sum(closed) over (partition by doc_id order by n) as grp from c), t as (select doc_id, grp, string_agg(trim(line), ' ' order by n) as text from g where not blank group by all)
         select doc_id, row_number() over (partition by doc_id order by grp) - 1 as group_no, text from t""",
     "q14_chunk_pack": f"""with s as (select doc_id, trim(text) as block, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?؟。！？…])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as sentences from documents where trim(coalesce(text, '')) <> ''),
-        w as (select doc_id, block, flatten(list_transform(sentences, lambda s: case when length(s) > {BUDGET} then list_transform([{_pack("regexp_extract_all(s, '[^ ]+')", "' '")}], lambda z: list_append(z.done, z.cur))[1] else [s] end)) as parts from s),
+        w as (select doc_id, block, flatten(list_transform(sentences, lambda s: case when length(s) > {BUDGET} then list_transform([{_pack("regexp_extract_all(s, '[^ \\t\\n\\r]+')", "' '")}], lambda z: list_append(z.done, z.cur))[1] else [s] end)) as parts from s),
         b as (select doc_id, case when length(block) <= {BUDGET} then {{'done': []::varchar[], 'cur': block}} else {_pack("parts", "' '")} end as z from w),
         c as (select doc_id, list_append(z.done, z.cur) as blocks from b), d as (select doc_id, {_pack("blocks", "(chr(10) || chr(10))")} as z from c),
         e as (select doc_id, unnest(generate_series(0, len(z.done))) as chunk_no, unnest(list_append(z.done, z.cur)) as text from d)
