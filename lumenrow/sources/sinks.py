@@ -12,8 +12,8 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Texts in folders by document and chunk, each ended by one line end."""
-    rows = chunks.select("doc_id", F.format_string("%03d", F.col("chunk_no") + 1).alias("chunk"), F.concat(F.trim("text"), F.lit("\n")).alias("value"))
-    rows.write.mode("overwrite").partitionBy("doc_id", "chunk").option("lineSep", "").text(path)
+    rows = chunks.select("doc_id", F.format_string("%03d", F.col("chunk_no") + 1).alias("chunk"), F.trim("text").alias("value"))
+    rows.write.mode("overwrite").partitionBy("doc_id", "chunk").text(path)
 
 
 def write_store(records: DataFrame, path: str, order: list[str]) -> None:

@@ -64,7 +64,14 @@ def test_cue_stream_and_rates(spark, tmp_path):
     schema = "media_id string, seg_no int, word_no int, word string, start_s double, end_s double"
     spark.createDataFrame(words, schema).coalesce(1).write.parquet(str(tmp_path / "w"))
     stream = stream_cues(spark.readStream.schema(schema).parquet(str(tmp_path / "w")))
-    stream.writeStream.format("memory").queryName("cues_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    query = stream.writeStream.format("memory").queryName("cues_out").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            if spark.table("cues_out").count() == 10 or not query.isActive:
+                break
+            query.awaitTermination(1)
+    finally:
+        query.stop()
     assert spark.table("cues_out").count() == 10
     e = spark.sql("select timestamp_ntz'2026-01-01 00:10:00' ts, 'a' event_type, 1.0D value")
     assert [(r.n, r.total) for r in event_rates(e).collect()] == [(1, 1.0)]
