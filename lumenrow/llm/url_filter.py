@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenrow.llm.common import cut, table, with_small_side
+from lumenrow.llm.common import cut, let, table, with_small_side
 
 ORDER = 3
 #: Prior weight of the next shorter context.
@@ -69,7 +69,8 @@ def _grams(key: Column) -> Column:
     """The 4-character windows of ``key`` with three start marks before and an end mark behind."""
     plain = F.regexp_replace(key, "[^" + ALPHABET.replace("-", "\\-") + "]", "?")
     padded = F.concat(F.lit("^" * ORDER), plain, F.lit("$"))
-    return F.transform(F.sequence(F.lit(1), F.length(key) + 1), lambda i: F.substr(padded, i, F.lit(ORDER + 1)))
+    windows = lambda cs: F.transform(F.sequence(F.lit(1), F.length(key) + 1), lambda i: F.array_join(F.slice(cs, i, ORDER + 1), ""))
+    return let(F.split(padded, ""), windows)
 
 
 def gram_ratios(keys: DataFrame) -> DataFrame:
