@@ -175,3 +175,42 @@ def duration_report(media: DataFrame) -> DataFrame:
     """One row: files, seconds in all, unreadable ones, and those of half an hour or more."""
     raw = F.when(F.col("duration_raw").rlike(r"\A[0-9]+([.][0-9]+)?\z"), F.col("duration_raw").try_cast("double"))
     return media.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.bround(raw, 0).cast("bigint")), F.lit(0)).alias("seconds"), F.count_if(raw.isNull()).alias("unreadable"), F.count_if(raw >= 1800).alias("long_files"))
+
+
+def contains_any(message: Column, markers: tuple[str, ...]) -> Column:
+    """Whether a message has any of the markers, whatever their case."""
+    return F.exists(F.array(*(F.lit(m.lower()) for m in markers)), lambda m: F.contains(F.lower(message), m))
+
+
+def in_index_range(index: Column, first: Column, last: Column) -> Column:
+    """Optional inclusive bounds in either order; a null bound does not bind."""
+    low, high = F.least(first, last), F.greatest(first, last)
+    both = first.isNotNull() & last.isNotNull()
+    return F.when(both, index.between(low, high)).otherwise(F.coalesce(index >= first, F.lit(True)) & F.coalesce(index <= last, F.lit(True)))
+
+
+def inventory(entries: DataFrame) -> DataFrame:
+    """Playlists with their length and the indices of their entries, which fall back to positions from 1.
+
+    ``entries`` has list_id, n_entries, playlist_count and items, an array of structs with index.
+    """
+    known = F.filter("items", lambda x: x.isNotNull())
+    indices = F.transform("items", lambda x, i: F.when(x.isNotNull(), F.coalesce(x["index"].try_cast("int"), i + 1)))
+    return entries.select("list_id", F.coalesce("n_entries", "playlist_count", F.size(known)).alias("length"), F.filter(indices, lambda i: i.isNotNull()).alias("indices"))
+
+
+def result_counts(results: DataFrame, status: str = "status") -> DataFrame:
+    """One row: how many results were completed, skipped and failed."""
+    return results.agg(*(F.count_if(F.col(status) == s).alias(s) for s in ("completed", "skipped", "failed")))
+
+
+def supported_new(paths: DataFrame, known: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
+    """Paths of supported files that are not known yet, each once."""
+    fit = paths.filter(suffix(F.regexp_extract("path", r"([^/]*)\z", 1)).isin(*suffixes)).dropDuplicates(["path"])
+    return fit.join(known.select("path"), "path", "left_anti")
+
+
+def without_outputs(plan: DataFrame, outputs: DataFrame, replace: bool = False) -> DataFrame:
+    """Rows of a plan whose target is missing or empty, or all of them if outputs are replaced."""
+    done = outputs.filter(F.col("size") > 0).select(F.col("path").alias("target"))
+    return plan if replace else plan.join(done, "target", "left_anti")

@@ -215,3 +215,19 @@ def test_cue_builder_in_tables_equals_the_machine(spark):
 
 def test_flat_text(spark):
     assert spark.range(1).select(flat_text(F.array(F.lit(" a "), F.lit(" "), F.lit("b"))).alias("t")).first().t == "a b"
+
+
+def test_inventories_and_filters(spark):
+    rows = [("a", None, None, [("3",), None, (None,)]), ("b", 7, None, [])]
+    got = {r.list_id: (r.length, r.indices) for r in fileplan.inventory(spark.createDataFrame(rows, "list_id string, n_entries int, playlist_count int, items array<struct<index:string>>")).collect()}
+    assert got == {"a": (2, [3, 3]), "b": (7, [])}
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("v")).first().v
+    assert value(fileplan.contains_any(F.lit("Sign IN please"), ("sign in", "captcha"))) is True
+    assert value(fileplan.in_index_range(F.lit(3), F.lit(5), F.lit(2))) is True
+    assert value(fileplan.in_index_range(F.lit(3), F.lit(None).cast("int"), F.lit(2))) is False
+    paths = spark.createDataFrame([("d/a.mp4",), ("d/a.mp4",), ("d/b.txt",), ("d/c.mp4",)], "path string")
+    assert [r.path for r in fileplan.supported_new(paths, spark.createDataFrame([("d/c.mp4",)], "path string"), ("mp4",)).collect()] == ["d/a.mp4"]
+    plan, done = spark.createDataFrame([("x",), ("y",)], "target string"), spark.createDataFrame([("x", 1), ("y", 0)], "path string, size int")
+    assert [r.target for r in fileplan.without_outputs(plan, done).collect()] == ["y"]
+    assert tuple(fileplan.result_counts(spark.createDataFrame([("failed",), ("completed",)], "status string")).first()) == (1, 0, 1)
