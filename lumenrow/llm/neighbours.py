@@ -10,7 +10,6 @@ part, are searched in many tasks.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
