@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenrow.functions.text import ascii_base, layout_key, natural_key, portable_artifact
+from lumenrow.operators.report import ranked
 
 #: Suffixes of media files.
 VIDEO = ("mp4", "mkv", "mov", "avi", "webm", "m4v", "flv", "wmv")
@@ -42,8 +43,7 @@ def tagged_subtitles(listing: DataFrame, languages: tuple[str, ...] = ("en", "fr
 
 def natural_rank(rows: DataFrame, name: str) -> DataFrame:
     """Distinct names with their place in natural order."""
-    order = Window.orderBy(natural_key(F.col(name)), F.col(name))
-    return rows.select(name).distinct().withColumn("rank", F.row_number().over(order).cast("bigint"))
+    return ranked(rows.select(name).distinct(), [natural_key(F.col(name)), F.asc(name)])
 
 
 def new_since(before: DataFrame, after: DataFrame) -> DataFrame:

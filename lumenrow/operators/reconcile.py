@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenrow.functions.patterns import strip
+from lumenrow.operators.report import ranked
 
 
 def reconcile(expected: DataFrame, found: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -37,9 +38,9 @@ def may_rebuild(reconciled: DataFrame) -> DataFrame:
 def order_differs(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Keys of both sides whose rank among the common ones differs, by ``seq``."""
     common = expected.select(key, F.col("seq").alias("e_seq")).join(found.select(key, F.col("seq").alias("f_seq")), key)
-    rank = lambda c: F.row_number().over(Window.partitionBy("_all").orderBy(c))
-    rows = common.withColumn("_all", F.lit(0)).withColumn("e_rank", rank("e_seq")).withColumn("f_rank", rank("f_seq"))
-    return rows.filter("e_rank <> f_rank").select(key, "e_rank", "f_rank")
+    e = ranked(common.select(key, "e_seq"), [F.asc("e_seq"), F.asc(key)], "e_rank")
+    f = ranked(common.select(key, "f_seq"), [F.asc("f_seq"), F.asc(key)], "f_rank")
+    return e.join(f, key).filter("e_rank <> f_rank").select(key, "e_rank", "f_rank")
 
 
 def first_ids(rows: DataFrame, key: str, limit: int) -> DataFrame:

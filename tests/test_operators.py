@@ -149,6 +149,9 @@ def test_reconcile(spark):
     got = reconcile.reconcile(e, f, "id")
     assert {r.id: r.status for r in got.collect()} == {"a": "ok", "b": "empty", "c": "duplicate", "d": "missing", "z": "unexpected"}
     assert reconcile.may_rebuild(got).first().allowed is False
+    swapped = spark.createDataFrame([("a", 2), ("b", 1), ("c", 3)], "id string, seq int")
+    ordered = spark.createDataFrame([("a", 1), ("b", 2), ("c", 9), ("x", 0)], "id string, seq int")
+    assert {(r.id, r.e_rank, r.f_rank) for r in reconcile.order_differs(ordered, swapped, "id").collect()} == {("a", 1, 2), ("b", 2, 1)}
     assert reconcile.all_or_nothing(e, F.col("id") == "a").count() == 0
 
 
