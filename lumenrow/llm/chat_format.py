@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenrow.llm.common import table
+from lumenrow.llm.common import in_slices, table
 
 Turn = tuple[str, str]
 
@@ -145,7 +145,7 @@ def format_conversations(conversations: DataFrame, template: Template = MARKED,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = object()
         at, going, done, size = none, None, [], 0
-        for batch in batches:
+        for batch in in_slices(batches):
             for conv, role, body in zip(batch["conv_id"].to_pylist(), batch["role"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if conv != at or going is None:
                     if going is not None:

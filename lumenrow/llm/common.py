@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +64,20 @@ def with_small_side(left: DataFrame, small: DataFrame, on: Column, how: str, max
     """Join a computed side of counted rows: broadcast up to ``max_rows`` short rows, shuffled beyond."""
     side = cut(small)
     return left.join(F.broadcast(side) if side.count() <= max_rows else side, on, how)
+
+
+#: Rows that are Python objects at a time.
+SLICE_ROWS = 1_000
+
+
+def in_slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Parts of Arrow batches, without copies, so that few rows at a time become Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def values_of(column: pa.Array, rows: int = SLICE_ROWS) -> Iterator:
+    """The Python values of a column, made a part at a time."""
+    for start in range(0, len(column), rows):
+        yield from column.slice(start, rows).to_pylist()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenrow.llm.common import held_out, table
+from lumenrow.llm.common import held_out, in_slices, table, values_of
 
 #: At most so many labelled rows, first by a hash of their ids, are collected to train.
 MAX_LABELLED = 8_000
 WORD_BUCKETS = 1 << 15
 FACTORS = 8
 BINS = 24
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 SYMBOLS = "#*$%&|<>"
 #: Structure statistics and metadata, each one-hot over BINS bins.
 STATISTICS = ("length", "chars", "distinct", "symbols", "upper", "lines", "marks", "word_length", "endings")
@@ -82,7 +82,7 @@ class FactorisationMachine:
         pairs = np.add.reduceat(v, starts) ** 2 - np.add.reduceat(v * v, starts)
         return self.bias + np.add.reduceat(self.linear[index] * value, starts) + 0.5 * pairs.sum(1)
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
         """Scores of whole texts, 0 to 1, a bounded number of features at a time."""
         if self._buckets is None:
             self._buckets = _Buckets()
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _Buckets()
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = [features(text, buckets) for text in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["quality"].cast(pa.int32()), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1][:1] for r in rows], pa.list_(pa.float32()))], ["doc_id", "quality", "index", "first"])
 
@@ -179,7 +179,7 @@ def quality(machine: FactorisationMachine) -> Callable:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(machine.scores(texts.to_pylist()).astype(float), pa.float64())
+        return pa.array(machine.scores(values_of(texts)).astype(float), pa.float64())
 
     return score
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenrow.llm import automata
-from lumenrow.llm.common import table
+from lumenrow.llm.common import table, values_of
 
 
 @dataclass(frozen=True)
@@ -131,7 +131,7 @@ def secrets_in(text: Column, rules: tuple[SecretRule, ...] = RULES, slice_bytes:
                 out.append({"spans": [{"kind": k, "start": a, "end": b} for a, b, k in named], "redacted": _redact(data.decode(), named)})
             texts.clear()
 
-        for data in values.cast(pa.binary()).to_pylist():
+        for data in values_of(values.cast(pa.binary())):
             texts.append(data or b"")
             size += len(texts[-1])
             if size > slice_bytes:
