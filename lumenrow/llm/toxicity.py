@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenrow.llm.common import cut, held_out, table
+from lumenrow.llm.common import cut, held_out, in_slices, table, values_of
 
 #: At most so many labelled rows, first by a hash of their ids, are used to learn.
 MAX_LABELLED = 20_000
@@ -36,8 +36,12 @@ PURE = 3.4
 ENOUGH = 5.0
 STEM_LENGTHS = (4, 5, 6, 7, 8, 9)
 MIN_FUZZY = 5
+#: The share of a word's toxic uses that is taken to be misspelled, and odds too small to count.
+MISSPELLED = 0.02
+TRACE = 1e-9
 WINDOW = 6
 CACHE_WORDS = 300_000
+MAX_STATES = 20_000
 _TOKEN = re.compile(r"\w+|[\"“”„«»‹›]")
 QUOTES = frozenset('"“”„«»‹›')
 #: Words that report speech.
@@ -80,6 +84,10 @@ class LexiconAutomaton:
             else:
                 self.word[node] = True
                 self.loose[node] = len(text) >= MIN_FUZZY and text in loose
+        self._forget()
+
+    def _forget(self) -> None:
+        """Begin to determinise anew, so that what many words have left takes bounded memory."""
         self.sets: dict[frozenset[tuple[int, int]], int] = {}
         self.pairs: list[frozenset[tuple[int, int]]] = []
         self.steps: list[dict[str, int]] = []
@@ -131,6 +139,8 @@ class LexiconAutomaton:
                 break
             if self.stem[node]:
                 return self.EXACT
+        if len(self.pairs) > MAX_STATES:
+            self._forget()
         state = self.start
         for c in word:
             to = self.steps[state].get(c)
@@ -147,33 +157,43 @@ class ToxicityModel:
     words: dict[str, float]
     stems: dict[str, float]
     clean_words: frozenset[str] = frozenset()
+    #: Log-odds of a misspelling of a word.
+    loose: dict[str, float] = field(default_factory=dict)
     #: For 1 and the features of :meth:`features`.
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, 0.0)
     _automaton: LexiconAutomaton | None = field(default=None, repr=False)
     _cache: dict[str, float] = field(default_factory=dict, repr=False)
+    _single: dict[str, LexiconAutomaton] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_automaton": None, "_cache": {}}
+        return self.__dict__ | {"_automaton": None, "_cache": {}, "_single": {}}
 
     def code(self, word: str) -> float:
-        """The log-odds of a word that the lexicon has, -1 for one it has within an edit, else 0."""
+        """The log-odds of a word that the lexicon has, the negative of those of a misspelling, else 0."""
         if self._automaton is None:
             self._automaton = LexiconAutomaton(self.words, self.stems, (w for w, odds in self.words.items() if odds >= PURE))
         kind, found = self._automaton.match(word), 0.0
         if kind == LexiconAutomaton.EXACT:
             found = self.words.get(word) or next(self.stems[word[:n]] for n in reversed(STEM_LENGTHS) if word[:n] in self.stems)
         elif kind == LexiconAutomaton.FUZZY and word not in self.clean_words:
-            found = -1.0
+            found = -self.loose.get(self.meant(word), TRACE)
         if len(self._cache) >= CACHE_WORDS:
             self._cache.clear()
         self._cache[word] = found
         return found
 
+    def meant(self, word: str) -> str:
+        """The likeliest pure word within an edit of ``word``; empty if there is none."""
+        if not self._single:
+            self._single.update((w, LexiconAutomaton([w], [])) for w, odds in self.words.items() if odds >= PURE and len(w) >= MIN_FUZZY)
+        near = [w for w, one in self._single.items() if abs(len(w) - len(word)) <= 1 and one.match(word)]
+        return max(near, key=lambda w: (self.words[w], w), default="")
+
     def evidence(self, text: str | None) -> tuple[list[float], list[str]]:
         """Sums over the hits of a whole text, and its misspelled words.
 
-        The sums: log-odds of plain hits, each word's first three; of hits that are quoted; of plain
-        hits that are all but sure; plain hits for each 100 words.
+        The sums: log-odds of plain hits, each word's first three, misspellings included; of hits that
+        are quoted; of plain hits that are all but sure; plain hits for each 100 words.
         """
         words, get, code = tokens(text), self._cache.get, self.code
         odds = [code(w) if (k := get(w)) is None else k for w in words]
@@ -184,21 +204,19 @@ class ToxicityModel:
                 times[words[at]] += 1
                 share = quotation(words, at)
                 if found < 0:
-                    if share < 0.5:
-                        spelled.append(words[at])
-                elif times[words[at]] <= 3:
-                    plain += (1 - share) * found
-                    quoted += share * found
-                    sure += (1 - share) * found * (found >= PURE)
+                    spelled.append(words[at])
+                if times[words[at]] <= 3:
+                    plain += (1 - share) * abs(found)
+                    quoted += share * abs(found)
+                    sure += (1 - share) * abs(found) * (abs(found) >= PURE)
         return [plain, quoted, sure, 100 * plain / (len(words) + 100)], spelled
 
     @staticmethod
-    def features(sums: list[float], n_spelled: int) -> list[float]:
-        return [1.0, *map(math.log1p, sums), math.log1p(n_spelled)]
+    def features(sums: list[float]) -> list[float]:
+        return [1.0, *map(math.log1p, sums)]
 
     def score(self, text: str | None) -> float:
-        sums, spelled = self.evidence(text)
-        z = sum(w * x for w, x in zip(self.weights, self.features(sums, len(spelled)), strict=True))
+        z = sum(w * x for w, x in zip(self.weights, self.features(self.evidence(text)[0]), strict=True))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
@@ -232,7 +250,7 @@ def _term_counts(sample: DataFrame, known: ToxicityModel) -> DataFrame:
             seen[False].clear()
             return made
 
-        for batch in batches:
+        for batch in in_slices(batches):
             for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
                 if toxic == 1 and known.evidence(text)[0][0] >= ENOUGH:
                     continue
@@ -284,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     n_toxic, n = sample.agg(F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0)), F.count("*")).first()
     base = (n_toxic + 0.5) / (n + 1)
     if not 0 < n_toxic < n:
-        return ToxicityModel({}, {}, weights=(math.log(base / (1 - base)), 0.0, 0.0, 0.0, 0.0, 0.0))
+        return ToxicityModel({}, {}, weights=(math.log(base / (1 - base)), 0.0, 0.0, 0.0, 0.0))
     model = ToxicityModel({}, {})
     for _ in range(ROUNDS):
         missed = sum(y and sums[0] < ENOUGH for y, sums, _ in _collect_evidence(sample, model))
@@ -294,13 +312,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         model = ToxicityModel(words | model.words, stems | model.stems)
     found = _collect_evidence(sample, model)
     clean = Counter(w for y, _, spelled in found if not y for w in set(spelled))
-    #: A misspelling counts unless another clean text has it, as it will for texts to come.
-    fuzzy = [len([w for w in spelled if clean[w] - (not y) <= 0]) for y, _, spelled in found]
-    x = np.array([model.features(sums, f) for (_, sums, _), f in zip(found, fuzzy, strict=True)])
+    #: A word near the lexicon that another clean text has is no misspelling; one that no other has may be, as it may be in texts to come.
+    novel = [{w: model.meant(w) for w in set(spelled) if clean[w] - (not y) <= 0} for y, _, spelled in found]
+    near = Counter(meant for (y, _, _), words in zip(found, novel, strict=True) if not y for meant in set(words.values()))
+    loose = {w: _misspelled(odds, near[w] / (n - n_toxic), 1 / (n - n_toxic)) for w, odds in model.words.items() if odds >= PURE and len(w) >= MIN_FUZZY}
+    for (_, sums, _), words in zip(found, novel, strict=True):
+        sums[0] += sum(loose[m] for m in words.values())
+        sums[2] += sum(loose[m] for m in words.values() if loose[m] >= PURE)
+    x = np.array([model.features(sums) for _, sums, _ in found])
     y = np.array([float(r[0]) for r in found])
-    prior = np.array([math.log(base / (1 - base)) - 1, 1.0, 0.3, 1.0, 0.5, 0.3])
-    weights = _logistic(x, y, prior, np.array([0.01, 0.3, 0.3, 0.3, 0.3, 0.3]))
-    return ToxicityModel(model.words, model.stems, frozenset(clean), tuple(float(w) for w in np.maximum(weights, [-np.inf, 0, 0, 0, 0, 0])))
+    prior = np.array([math.log(base / (1 - base)) - 1, 1.0, 0.3, 1.0, 0.5])
+    weights = _logistic(x, y, prior, np.array([0.01, 0.3, 0.3, 0.3, 0.3]))
+    return ToxicityModel(model.words, model.stems, frozenset(clean), loose, tuple(float(w) for w in np.maximum(weights, [-np.inf, 0, 0, 0, 0])))
+
+
+def _misspelled(odds: float, seen: float, one: float) -> float:
+    """Log-odds of a misspelling of a word: MISSPELLED of its toxic uses against what clean texts have near it.
+
+    ``seen`` is the share of clean texts with a word near it that no other clean text has, ``one`` the
+    share of a single text. A word's clean share is what its odds leave of its toxic one.
+    """
+    return min(odds, max(TRACE, math.log(MISSPELLED * math.exp(odds) * one / (seen + 0.5 * one))))
 
 
 def _outstanding(sample: DataFrame, known: ToxicityModel, n_toxic: int, n_clean: int) -> list[tuple[str, float, int, float]]:
@@ -311,12 +343,12 @@ def _outstanding(sample: DataFrame, known: ToxicityModel, n_toxic: int, n_clean:
     rows = _term_counts(sample, known).withColumn("ratio", 2 * (part(t, expected) + part(c, (t + c) - expected)))
     rows = rows.withColumn("lift", (t + 0.2) / (n_toxic + 0.2) * (n_clean + 1.0) / (c + 0.5))
     chosen = rows.filter((t >= MIN_DOCUMENTS) & (F.col("lift") >= MIN_LIFT) & (F.col("ratio") >= MIN_G2)).orderBy(F.desc("ratio"), "term").limit(MAX_LEXICON).collect()
-    return [(r["term"], min(6.0, math.log(r["lift"])), r["toxic"], r["ratio"]) for r in chosen]
+    return [(r["term"], min(9.0, math.log(r["lift"])), r["toxic"], r["ratio"]) for r in chosen]
 
 
 def _collect_evidence(sample: DataFrame, model: ToxicityModel) -> list[tuple[bool, list[float], list[str]]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = [model.evidence(text) for text in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["toxic"].cast(pa.int32()), pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.list_(pa.string()))], ["toxic", "sums", "spelled"])
 
@@ -328,7 +360,7 @@ def toxicity(model: ToxicityModel) -> Callable:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(t) for t in texts.to_pylist()], pa.float64())
+        return pa.array([model.score(t) for t in values_of(texts)], pa.float64())
 
     return score
 
