@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import re
+import threading
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,12 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenrow.llm.common import cut, table
+from lumenrow.llm.common import cut, in_slices, table
 
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 600_000
+IDLE_SECONDS = 2.0
 #: Pieces of one length are numbered in separate runs, one for each million pieces within these bounds, so that a
 #: common length is no single task.
 MIN_SALTS, MAX_SALTS, ROWS_A_SALT = 64, 1024, 1_000_000
@@ -61,6 +63,21 @@ class WordTokenizer:
         self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.timer: threading.Timer | None = None
+
+    def keep(self) -> None:
+        """A task begins: what is known stays."""
+        if self.timer is not None:
+            self.timer.cancel()
+
+    def drop_when_idle(self) -> None:
+        """A task has ended: unless the next one begins soon, a waiting worker gives its memory back."""
+        self.timer = threading.Timer(IDLE_SECONDS, self._drop)
+        self.timer.daemon = True
+        self.timer.start()
+
+    def _drop(self) -> None:
+        self.words, self.parts = {}, {}
 
     def _word(self, word: str) -> bytes:
         out = []
@@ -109,7 +126,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path or vocabulary_path())
-        for batch in batches:
+        tokenizer.keep()
+        for batch in in_slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 ids = tokenizer.encode(text or "") + end
@@ -118,6 +136,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names)
+        tokenizer.drop_when_idle()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
