@@ -3,9 +3,9 @@
 A document's features are its distinct five-word shingles, weighted by how often it has them and how
 rare they are. Each sketch value is an improved consistent weighted sample (Ioffe 2010): equal for two
 documents with the probability of their weighted Jaccard similarity. Sketches are banded, members of a
-band's bucket are verified by exact weighted Jaccard similarity against leaders of the bucket, and
-verified links are joined to classes. Exact copies share one representative from the start, so a large
-group of copies costs one row.
+band's bucket are verified by exact weighted Jaccard similarity against leaders of the bucket, then all
+members that are not yet in one class against each other, and verified links are joined to classes.
+Exact copies share one representative from the start, so a large group of copies costs one row.
 
 Document frequencies are counted over all documents in hashed form, as is usual for hashed TF-IDF: a
 shingle has the count of its bucket of 2**18. The inverse frequency moves a weight by a quarter at
@@ -42,6 +42,12 @@ LEAST_AGREED = 17
 CACHE_WORDS = 300_000
 #: Up to so many ids are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Pairs of buckets up to so large are rows; those of larger ones are made in blocks of about so many rows and bytes of text.
+PAIRED_ROWS = 32
+BLOCK_ROWS, BLOCK_BYTES = 500, 4_000_000
+#: Shingles that so few pairs of two blocks share are added up pair by pair, others by products of so many columns.
+FEW_PAIRS = 1_000
+COLUMNS = 2_048
 
 _WORD = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -262,19 +268,152 @@ def verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, idf: np.ndarra
     return cut(joined.filter(_similarity(idf)("a_text", "b_text") >= threshold).select("a", "b").distinct())
 
 
+def _bounds(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """At least the weighted Jaccard similarity of each of ``a`` with each of ``b``.
+
+    The geometric mean of two weights is at least the lesser, and equal to it for equal weights.
+    """
+    x, y = (np.concatenate([f[0] for f in side]) for side in (a, b))
+    u, v = (np.sqrt(np.concatenate([f[1] for f in side])) for side in (a, b))
+    i, j = (np.repeat(np.arange(len(side)), [len(f[0]) for f in side]) for side in (a, b))
+    both = np.intersect1d(x, y)
+    shared = np.zeros((len(a), len(b)))
+    if len(both):
+        parts = []
+        for h, w, row in ((x, u, i), (y, v, j)):
+            at = np.searchsorted(both, h)
+            at[at == len(both)] = 0
+            mine = both[at] == h
+            order = np.argsort(at[mine], kind="stable")
+            parts.append((at[mine][order], w[mine][order], row[mine][order]))
+        (ca, wa, ra), (cb, wb, rb) = parts
+        na, nb = np.bincount(ca, minlength=len(both)), np.bincount(cb, minlength=len(both))
+        few = na * nb <= FEW_PAIRS
+        start = np.cumsum(nb) - nb
+        left = np.flatnonzero(few[ca])
+        each = nb[ca[left]]
+        at = np.repeat(start[ca[left]] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        left = np.repeat(left, each)
+        shared += np.bincount(ra[left] * len(b) + rb[at], wa[left] * wb[at], shared.size).reshape(shared.shape)
+        place = np.cumsum(~few) - 1
+        many_a, many_b = ~few[ca], ~few[cb]
+        for low in range(0, int((~few).sum()), COLUMNS):
+            dense = []
+            for c, w, r, many, n in ((ca, wa, ra, many_a, len(a)), (cb, wb, rb, many_b, len(b))):
+                here = many & (place[c] >= low) & (place[c] < low + COLUMNS)
+                m = np.zeros((n, COLUMNS), np.float32)
+                m[r[here], place[c[here]] - low] = w[here]
+                dense.append(m)
+            shared += dense[0] @ dense[1].T
+    whole = np.array([f[1].sum(dtype=float) for f in a])[:, None] + np.array([f[1].sum(dtype=float) for f in b])[None, :] - shared
+    return np.where(whole > 0, shared / np.maximum(whole, 1e-30), 1.0)
+
+
+def _block_links(idf: np.ndarray, threshold: float):
+    """A function of two blocks of a bucket: links between rows of theirs that are of different roots.
+
+    A pair is compared in the first band it shares. Of pairs that others already join, none is given.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        (x, ids_x, root_x), (y, ids_y, root_y) = ((np.frombuffer(b"".join(t["samples"].to_pylist()), "<u4").reshape(t.num_rows, -1), t["rep"].to_numpy(), t["root"].to_numpy()) for t in (left, right))
+        band, agreed, earlier = left["band"][0].as_py(), np.zeros((len(x), len(y)), np.uint8), np.zeros((len(x), len(y)), bool)
+        for k in range(0, SAMPLES, ROWS):
+            same = [x[:, j, None] == y[None, :, j] for j in range(k, k + ROWS)]
+            for each in same:
+                agreed += each
+            if k // ROWS < band:
+                earlier |= np.logical_and.reduce(same)
+        open_ = (agreed >= LEAST_AGREED) & ~earlier & (root_x[:, None] != root_y[None, :])
+        if left["i"][0].as_py() == left["j"][0].as_py():
+            open_ &= ids_x[:, None] < ids_y[None, :]
+        rows, columns = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+        if not len(rows):
+            return schema.empty_table()
+        words = _WordIds()
+
+        def features(texts: pa.ChunkedArray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+            out = []
+            for text in values_of(texts.take(pa.array(at)), 50):
+                found, times = shingles(words_of(text), words)
+                out.append((found, weigh(found, times, idf)))
+            return out
+
+        a, b = features(left["text"], rows), features(right["text"], columns)
+        open_ = open_[np.ix_(rows, columns)] & (_bounds(a, b) >= threshold - 1e-4)
+        up: dict[int, int] = {}
+
+        def top(node: int) -> int:
+            while (above := up.get(node, node)) != node:
+                up[node] = node = up.get(above, above)
+            return node
+
+        out = []
+        for i, j in zip(*np.nonzero(open_), strict=True):
+            one, other = top(int(root_x[rows[i]])), top(int(root_y[columns[j]]))
+            if one != other and weighted_jaccard(a[i], b[j]) >= threshold:
+                up[max(one, other)] = min(one, other)
+                out.append(sorted((int(ids_x[rows[i]]), int(ids_y[columns[j]]))))
+        return pa.table({"a": [p[0] for p in out], "b": [p[1] for p in out]}, schema)
+
+    return run
+
+
+def rest_links(slots: DataFrame, roots: DataFrame, texts: DataFrame, reps: DataFrame, idf: np.ndarray, threshold: float, tried: DataFrame) -> DataFrame:
+    """Verified links (a, b) between members of a bucket that have different roots: all pairs of each bucket.
+
+    Pairs of small buckets are rows. In larger ones, the members of another root than the bucket's
+    least are dealt to blocks, and each block is compared with each of them and of the others.
+    """
+    rooted = slots.select("rep", "key", "band", "first").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).filter("least <> most").select("key", "n")
+    rooted = cut(rooted.join(mixed, "key"))
+    small = rooted.filter(F.col("n") <= PAIRED_ROWS)
+    side = lambda name: small.select("key", F.col("rep").alias(name), F.col("root").alias(f"{name}_root"))
+    pairs = side("a").join(side("b"), "key").filter("a < b and a_root <> b_root").select("a", "b").distinct()
+    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+    links = verified(pairs, texts, reps, idf, threshold)
+
+    large = rooted.filter(F.col("n") > PAIRED_ROWS)
+    if not large.limit(1).count():
+        return links
+    firsts = large.filter("rep = first").select("key", F.col("root").alias("first_root"))
+    large = large.join(firsts, "key").withColumn("open", F.col("root") != F.col("first_root"))
+    large = large.join(texts.groupBy("doc_id").agg(F.max("text").alias("text")).withColumnRenamed("doc_id", "rep"), "rep")
+    large = large.join(reps.select("rep", "samples").dropDuplicates(["rep"]), "rep").drop("first", "n", "first_root")
+    path = fresh_path(texts.sparkSession, "near-blocks")
+    large.write.parquet(path)
+    blocks = lambda rows: F.greatest(F.ceil(F.count(F.when(rows, 1)) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(F.when(rows, F.octet_length("text"))), F.lit(0)) / BLOCK_BYTES)).cast("int")
+    dealt = cut(texts.sparkSession.read.parquet(path).groupBy("key").agg(blocks(F.col("open")).alias("n_open"), blocks(~F.col("open")).alias("n_closed")))
+    hashed, last = F.xxhash64("rep", F.lit(7)), F.col("n_open") + F.col("n_closed") - 1
+    block = F.when(F.col("open"), F.pmod(hashed, F.col("n_open"))).otherwise(F.col("n_open") + F.pmod(hashed, F.greatest("n_closed", F.lit(1)))).cast("int")
+    of = lambda: texts.sparkSession.read.parquet(path).join(dealt, "key").withColumn("block", block)
+    columns = ["key", "i", "j", "rep", "root", "band", "samples", "text"]
+    left = of().filter("open").select("*", F.col("block").alias("i"), F.explode(F.sequence("block", last)).alias("j")).select(columns)
+    right = of().select("*", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.least("block", F.col("n_open") - 1))).alias("i")).select(columns)
+    cell = ["key", "i", "j"]
+    found = cut(left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_block_links(idf, threshold), "a long, b long").distinct())
+    drop_path(texts.sparkSession, path)
+    return links.unionByName(found)
+
+
 def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, rep) of exact classes, and verified links (a, b) between representatives.
+    """Members (doc_id, rep) of exact classes, and links (a, b) between representatives.
 
     In each bucket all are compared with its least member; those that fail, with another by hash;
-    those that fail again, with the least of the ones that also share the next band. Nothing in a
-    bucket is left out by its size.
+    those that fail again, with the least of the ones that also share the next band. These links
+    are joined, and members of a bucket that they leave apart are all compared. Nothing in a bucket
+    is left out by its size.
     """
     idf = idf_table(*document_frequencies(docs))
     sketched = cut(sketches(docs, idf))
     reps = cut(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("samples").alias("samples"), F.first("bands").alias("bands")))
     members = sketched.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest").select("doc_id", "rep")
     exploded = reps.select("rep", F.posexplode("bands").alias("band", "key"), F.col("bands"))
-    keyed = exploded.select("rep", "key", F.xxhash64("key", F.element_at("bands", (F.col("band") + 1) % BANDS + 1)).alias("finer"))
+    keyed = exploded.select("rep", "key", "band", F.xxhash64("key", F.element_at("bands", (F.col("band") + 1) % BANDS + 1)).alias("finer"))
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("rep"))).alias("other"), F.count("*").alias("n")).filter("n > 1")
     slots = cut(keyed.join(buckets.select("key", "first", F.col("other.rep").alias("other")), "key"))
     ids = cut(slots.select(F.col("rep").alias("doc_id")).distinct())
@@ -294,16 +433,21 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
         pairs = led.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if not pairs.limit(1).count():
-            break
+            continue
         fresh = verified(pairs, texts, reps, idf, threshold)
         links = fresh if links is None else links.unionByName(fresh)
         tried = pairs if tried is None else tried.unionByName(pairs)
         met = links.select(F.col("a").alias("low"), F.col("b").alias("high"))
         failed = (F.least("rep", "lead") == F.col("low")) & (F.greatest("rep", "lead") == F.col("high"))
         open_slots = cut(led.join(met, failed, "left_anti").select("rep", "key", "finer", "first", "other"))
+    if links is None:
+        links = reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    else:
+        roots = connected_components(links)
+        rest = rest_links(slots, roots, texts, reps, idf, threshold, tried)
+        links = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest)
     drop_path(docs.sparkSession, path)
-    empty = reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    return members, empty if links is None else links
+    return members, links
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

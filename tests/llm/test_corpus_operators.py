@@ -117,6 +117,36 @@ def test_near_classes_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(due.values())) and kept.columns == ["doc_id", "text", "class_id"]
 
 
+def test_near_copies_within_a_template_that_thousands_share(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    template = [word() for _ in range(304)]
+    texts, due = {}, set()
+    for i in range(0, 2400, 2):
+        own = [word() for _ in range(50)]
+        texts[i] = " ".join(template + own)
+        texts[i + 1] = " ".join(template + [word() for _ in range(50)])
+        if i % 40 == 0:
+            texts[i + 1] = " ".join(template + own[:21] + [word() for _ in range(29)])
+            due.add((i, i + 1))
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.class_id, r.doc_id) for r in near_dedup.near_classes(d).collect() if r.class_id != r.doc_id}
+    assert got == due
+
+
+def test_bounds_are_no_less_than_the_similarity():
+    rng, ids = random.Random(2), near_dedup._WordIds()
+    idf = near_dedup.idf_table(np.ones(1 << near_dedup.IDF_BITS, int), 50)
+    made = []
+    for n in range(60):
+        words = [rng.choice("abc") for _ in range(rng.randint(5, 200))] + [f"w{k}" for k in range(n, n + 40)] + [f"v{k}" for k in range(30)]
+        found, times = near_dedup.shingles(words, ids)
+        made.append((found, near_dedup.weigh(found, times, idf)))
+    bounds = near_dedup._bounds(made[:40], made[15:])
+    exact = np.array([[near_dedup.weighted_jaccard(a, b) for b in made[15:]] for a in made[:40]])
+    assert (bounds >= exact - 1e-5).all() and (exact > 0.1).any()
+
+
 def test_near_odd_rows(spark):
     d = odd_documents(spark).unionByName(odd_documents(spark).filter("doc_id = 5").withColumn("doc_id", F.lit(77).cast("long")))
     classes = near_dedup.near_classes(d)
