@@ -3,8 +3,9 @@
 Trees split a bounded sample at medians of random projections; every vector is then filed in one leaf
 of each tree. A query searches all trees through one shared priority queue, nearest hyperplanes first,
 until the leaves taken hold enough vectors, and the vectors of those leaves are reranked by exact
-distance. Leaves are split into cells of bounded size, so that even equal vectors, which no plane can
-part, are searched in many tasks.
+distance. Equal vectors, which no plane can part, are one vector in trees, leaves and searches, and
+become their ids again after reranking; a leaf's size of those with most copies is searched by every
+query. Leaves are split into cells of bounded size.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from lumenrow.llm.common import cut, table
 MAX_SAMPLE = 32_768
 TREES = 4
 LEAF = 256
-#: A query takes leaves until they hold SEARCH_FACTOR * n ** SEARCH_POWER of the n vectors over all trees, and at
+#: A query takes leaves until they hold SEARCH_FACTOR * n ** SEARCH_POWER distinct ones of the n vectors over all trees, and at
 #: least LEAST_SEARCHED: set on vectors of 64 near-independent components, where recall stays above 0.9 at any n.
 SEARCH_FACTOR, SEARCH_POWER = 6.0, 0.81
 LEAST_SEARCHED = 4_000
@@ -152,13 +153,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, trees: int = TREES
     width = widths["width"] if widths else 1
     rows = rows.filter(usable(F.col("embedding"), width))
     rows = cut(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    copies = rows.withColumn("place", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
+    distinct = cut(copies.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("vec_id"), "embedding", "ids"))
+    queries = cut(rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "embedding").join(distinct.select("embedding", F.col("vec_id").alias("asked")), "embedding").select("query_id", "asked"))
     total = rows.count()
+    rows = distinct.select("vec_id", "embedding")
+    repeated = [r["vec_id"] for r in distinct.filter(F.size("ids") > 1).orderBy(F.desc(F.size("ids")), "vec_id").limit(LEAF).select("vec_id").collect()]
     sample = rows.select("embedding", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(max_sample).select("embedding").toArrow()
     x = _matrix(sample["embedding"].combine_chunks(), width) if total else np.empty((0, width))
     rng = np.random.default_rng(5)
     grown = [grow(x, rng) for _ in range(trees)]
-    index = cut(filed(rows, grown, width))
-    sizes = [np.zeros(max(1, len(tree.planes) + 1), np.int64) for tree in grown]
+    index = filed(rows, grown, width)
+    index = cut(index.withColumn("leaves", F.when(F.col("vec_id").isin(repeated), F.array_append("leaves", F.lit(0))).otherwise(F.col("leaves"))))
+    sizes = [np.zeros(max(1, len(tree.planes) + 1), np.int64) for tree in grown] + [np.zeros(1, np.int64)]
     for r in index.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect():
         sizes[r["tree"]][r["leaf"]] = r["n"]
     forest = Forest(grown, sizes)
@@ -166,10 +173,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, trees: int = TREES
 
     @F.arrow_udf("array<struct<tree int, leaf int>>")
     def probes(embedding: pa.Array) -> pa.Array:
-        return pa.array([[{"tree": t, "leaf": leaf} for t, leaf in forest.search(q, enough)] for q in _matrix(embedding, width)], pa.list_(pa.struct([("tree", pa.int32()), ("leaf", pa.int32())])))
+        return pa.array([[{"tree": t, "leaf": leaf} for t, leaf in forest.search(q, enough) + [(trees, 0)] * bool(repeated)] for q in _matrix(embedding, width)], pa.list_(pa.struct([("tree", pa.int32()), ("leaf", pa.int32())])))
 
     counts = spark.createDataFrame([(t, leaf, int(-(-n // CELL_ROWS))) for t, each in enumerate(sizes) for leaf, n in enumerate(each) if n], "tree int, leaf int, cells int")
-    asked = index.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode(probes("embedding")).alias("at"))
+    searched = queries.select(F.col("asked").alias("vec_id")).distinct()
+    asked = index.join(searched, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode(probes("embedding")).alias("at"))
     asked = asked.select("query_id", "query", F.col("at.tree").alias("tree"), F.col("at.leaf").alias("leaf")).join(F.broadcast(counts), ["tree", "leaf"])
     asked = asked.select("query_id", "query", "tree", "leaf", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
     stock = index.select("vec_id", "embedding", F.posexplode("leaves").alias("tree", "leaf")).join(F.broadcast(counts), ["tree", "leaf"])
@@ -184,16 +192,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, trees: int = TREES
             ids, y = ids[order], _matrix(right["embedding"].combine_chunks(), width)[order]
             for query_id, q in zip(left["query_id"].to_pylist(), _matrix(left["query"].combine_chunks(), width), strict=True):
                 score = np.sqrt(((y - q) ** 2).sum(1))
-                other = ids != query_id
-                best = np.argsort(score[other], kind="stable")[:k]
+                best = np.argsort(score, kind="stable")[: k + 1]
                 out["query_id"] += [query_id] * len(best)
-                out["vec_id"] += ids[other][best].tolist()
-                out["score"] += score[other][best].tolist()
+                out["vec_id"] += ids[best].tolist()
+                out["score"] += score[best].tolist()
         return pa.table(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
     found = asked.groupBy(*cell).cogroup(stock.groupBy(*cell)).applyInArrow(rerank, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    ranks = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    near = best.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= k + 1)
+    each = near.join(distinct.select("vec_id", "ids"), "vec_id").select("query_id", "score", F.explode("ids").alias("vec_id"))
+    each = each.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= k + 1).select(F.col("query_id").alias("asked"), "vec_id", "score")
+    ranked = queries.join(each, "asked").filter("query_id <> vec_id").withColumn("rank", F.row_number().over(ranks))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -44,6 +44,21 @@ def test_neighbours_recall_and_search_in_large_tables(spark):
     assert hit >= 0.9 * 200
 
 
+def test_neighbours_recall_with_a_third_of_the_rows_equal(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((6000, 64)).astype("float32")
+    x[::3] = 0.2 * x[0]
+    got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), F.col("vec_id") % 300 <= 1).collect()
+    hit = 0
+    for q in range(1, 6000, 300):
+        far = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        far[q] = np.inf
+        hit += len(set(np.argsort(far, kind="stable")[:10].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert hit >= 0.97 * 200
+    for q in range(0, 6000, 300):
+        assert sorted(r.vec_id for r in got if r.query_id == q) == [i for i in range(0, 36, 3) if i != q][:10]
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(0, [1.0, 0.0], 1), (100, [1.0, 0.0], 1), (1, [1.0, math.nan], 1), (2, [0.0, 0.0], 1), (3, None, 1), (None, [1.0, 1.0], 1), (4, [1.0, None], 1), (5, [2.0, 0.0], None), (5, [2.0, 0.0], 1), (6, [1.0, 0.0, 0.0], 1), (7, [1.0, 0.0], 2), (8, [math.inf, 0.0], 1)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
