@@ -64,14 +64,16 @@ def learned_titles_of_all(lines: DataFrame, least: int = 2) -> DataFrame:
 def fuzzy_titles(candidates: DataFrame, learned: DataFrame, least: float = 0.88) -> DataFrame:
     """Pairs (title_key, learned_key) that are at least so similar and share their first and last words.
 
-    Both sides need eight characters and two words; the words block the join.
+    Both sides need eight characters and two words; the words block the join. Lengths whose ratio
+    cannot reach ``least`` are not compared.
     """
     word = lambda c, i: F.element_at(F.split(c, " "), i)
     fit = lambda c: (F.length(c) >= 8) & (F.size(F.split(c, " ")) >= 2)
     a = candidates.select("title_key").distinct().filter(fit(F.col("title_key")))
     b = learned.select(F.col("title_key").alias("learned_key")).distinct().filter(fit(F.col("learned_key")))
     same = (word(F.col("title_key"), 1) == word(F.col("learned_key"), 1)) & (word(F.col("title_key"), -1) == word(F.col("learned_key"), -1))
-    return a.join(b, same).withColumn("ratio", sequence_ratio(F.col("title_key"), F.col("learned_key"))).filter(F.col("ratio") >= least)
+    n, m = F.length("title_key"), F.length("learned_key")
+    return a.join(b, same & (2.0 * F.least(n, m) / (n + m) >= least)).withColumn("ratio", sequence_ratio(F.col("title_key"), F.col("learned_key"))).filter(F.col("ratio") >= least)
 
 
 def sentence_islands(lines: DataFrame) -> DataFrame:

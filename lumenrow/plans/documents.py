@@ -88,11 +88,10 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of documents against those that repeat."""
-    lines = ln.nonblank(ln.explode_lines(_texts(spark, sf_dir)))
-    first = lines.groupBy("doc_id").agg(F.min_by("line", "n").alias("line")).select(tx.header_key(F.substring("line", 1, 90)).alias("title_key"))
-    learned = first.groupBy("title_key").agg(F.count("*").alias("n")).filter("n >= 2")
-    return ln.fuzzy_titles(first, learned)
+    """Whole lines of documents, all of them, against those that repeat."""
+    keys = ln.nonblank(ln.explode_lines(_texts(spark, sf_dir))).select(tx.header_key(F.col("line")).alias("title_key"))
+    counted = keys.groupBy("title_key").agg(F.count("*").alias("n"))  # counted on both sides, so that they share one exchange
+    return ln.fuzzy_titles(counted.filter("n >= 1"), counted.filter("n >= 2"))
 
 
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:

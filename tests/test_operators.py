@@ -92,6 +92,22 @@ def test_titles_are_learned_and_matched_loosely(spark):
     assert [r.title_key for r in near.collect()] == ["on sume things"]
 
 
+def test_fuzzy_titles_of_whole_lines_equal_brute_force(spark, tmp_path):
+    import difflib
+    from collections import Counter
+
+    from lumenrow.plans import documents
+
+    long = "of the many things that were said " * 4
+    texts = ["head alone\nthe " + long + "north end\nthe joy of cooking", "the " + long + "south end\nthe loy of cooking\n\nthe joy of cooking", "the " + long + "north end\nthe " + long + "end", "short\nshort\ntwo words", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    counts = Counter(line for t in texts if t for line in t.split("\n") if line)
+    fit = lambda k: len(k) >= 8 and len(k.split()) >= 2
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    due = {(a, b, ratio(a, b)) for a in counts for b in counts if fit(a) and fit(b) and counts[b] >= 2 and a.split()[0] == b.split()[0] and a.split()[-1] == b.split()[-1] and ratio(a, b) >= 0.88}
+    assert len(due) >= 5 and {tuple(r) for r in documents.fuzzy_titles(spark, str(tmp_path)).select("title_key", "learned_key", "ratio").collect()} == due
+
+
 def test_cleaner():
     assert cleaning.clean("first part of the text and,\n\n### Page 2\n\nI went home.\n")[0] == "first part of the text and, I went home.\n"
     assert cleaning.clean('He said "we are\n\n### Page 11\n\n44 going" home.\n')[0] == 'He said "we are going" home.\n'
