@@ -45,12 +45,15 @@ BASE_RULES = (
     SecretRule("access", "AKIA[A-Z0-9]", "AKIA[A-Z0-9]+", least=20),
     SecretRule("hex", "[0-9a-f]{24}", "[0-9a-f]{24,}"),
 )
-#: Public formats of further secrets.
+#: Public formats of further secrets. A private key goes to its END line, or where that is missing to its last long line.
+_NO_DASH = "[\\x00-\\x2c\\x2e-\\xff]"
+_KEY_BODY = "(" + "|".join("-" * n + _NO_DASH for n in range(5)) + ")*"
+_KEY_END = "(" + _KEY_BODY + "-----END [A-Z ]*PRIVATE KEY-----|(\\x0d?\\x0a[A-Za-z0-9+/=]{16,})*)"
 MORE_RULES = (
     SecretRule("github", "gh[pousr]_[A-Za-z0-9]", "gh[pousr]_[A-Za-z0-9]+", least=40),
     SecretRule("slack", "xox[abpr]-[0-9]", "xox[abpr]-[0-9]+-[0-9A-Za-z\\-]+", least=20),
     SecretRule("stripe", "[sr]k_live_[0-9A-Za-z]", "[sr]k_live_[0-9A-Za-z]+", least=24),
-    SecretRule("pem", "-----BEGIN ", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    SecretRule("pem", "-----BEGIN ", "-----BEGIN [A-Z ]*PRIVATE KEY-----" + _KEY_END),
 )
 RULES = BASE_RULES + MORE_RULES
 

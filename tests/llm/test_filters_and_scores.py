@@ -73,6 +73,16 @@ def test_secret_columns(spark):
     assert secret_scan.scan_secrets(d.limit(0)).count() == 0
 
 
+def test_private_keys_are_redacted_whole(spark):
+    body = "\n".join("MIIEow+/" * 8 for _ in range(4)) + "\nabc=="
+    key = lambda kind: f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+    ciphered = f"-----BEGIN RSA PRIVATE KEY-----\nDEK-Info: AES-128-CBC,00\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    texts = {f"é {key('RSA ')} between {key('')} after": "é [pem] between [pem] after", ciphered: "[pem]", key("").replace("\n", "\r\n"): "[pem]", key("").replace("\n", "\\n") + "!": "[pem]!"}
+    texts |= {"-----BEGIN PRIVATE KEY-----\n" + "A" * 64 + "\nthe end": "[pem]\nthe end", "a -----BEGIN PRIVATE KEY----- line, and -----BEGIN CERTIFICATE-----": "a [pem] line, and -----BEGIN CERTIFICATE-----"}
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r.doc.text: r.redacted for r in secret_scan.scan_secrets(d).collect()} == texts
+
+
 # ---- quality rules ----
 
 
