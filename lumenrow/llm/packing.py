@@ -1,19 +1,20 @@
 """Best-fit packing of token sequences by patterns of lengths.
 
-Documents become pieces of at most one sequence. Patterns of up to four lengths that fill a sequence
-are enumerated, repeat counts are fitted to the histogram of piece lengths by non-negative least
-squares and rounded down, and what they leave is packed best-fit, length by length. All of that works
-on the histogram, whose size is that of a sequence and not that of the corpus; the resulting plan says
-for the k-th piece of each length where it goes, and pieces learn their k from counts.
+Documents become pieces of at most one sequence. All patterns of two to eight lengths, in 64ths of a
+sequence, that fill one are enumerated; repeat counts are fitted to the histogram of piece lengths by
+non-negative least squares and rounded by largest remainder; each repeat takes pieces whose exact
+lengths fill the sequence; and what patterns leave is packed best-fit into their gaps and new sequences.
+All of that works on the histogram, whose size is that of a sequence and not that of the corpus; the
+resulting plan says for the k-th piece of each length where it goes, and pieces learn their k from counts.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
-import threading
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +28,12 @@ from lumenrow.llm.common import cut, in_slices, table
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 600_000
-IDLE_SECONDS = 2.0
+#: Lengths are counted in so many units a sequence, and patterns have at most so many documents.
+UNITS, MOST_DOCUMENTS = 64, 8
+#: Tokens by which a pattern's sequence may fall short; each is tried.
+WASTES = (0, 4, 32, CAPACITY)
+#: Parts of texts whose ids a worker keeps at most.
+CACHE_PARTS = 400_000
 #: Pieces of one length are numbered in separate runs, one for each million pieces within these bounds, so that a
 #: common length is no single task.
 MIN_SALTS, MAX_SALTS, ROWS_A_SALT = 64, 1024, 1_000_000
@@ -42,67 +47,49 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class _Parts(dict):
+    """The ids of each part: those of the last half of ``CACHE_PARTS`` new parts, and of the half before."""
+
+    def __init__(self, ids: Callable[[str], bytes]) -> None:
+        self.ids, self.older = ids, {}
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.older.get(part) or self.ids(part)
+        if len(self) >= CACHE_PARTS // 2:
+            self.older = dict(self)
+            self.clear()
+        self[part] = found
+        return found
+
+
 class WordTokenizer:
-    """Ids of texts under the word vocabulary, word by word with bounded caches.
+    """Ids of texts under the word vocabulary, part by part with a bounded cache.
 
     The vocabulary drops white space, lower-cases and cuts texts into parts (runs of letters, single
-    digits, runs of other signs) whose ids do not depend on what stands around them. For texts of
-    ASCII and Latin-1 letters words and parts are cut here and only new parts are merged by the
-    vocabulary's model; other texts go through the tokenizer whole.
+    digits, runs of other signs) whose ids do not depend on what stands around them. Texts of ASCII
+    and Latin-1 letters are cut here and only new parts are merged by the vocabulary's model; other
+    texts go through the tokenizer whole.
     """
 
     _PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e\xc0-\xff]*")
-    _PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-/:-@\[-`{-~\xd7\xf7]+")
+    _PART = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~\xd7\xf7]+")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merge = self.tokenizer.model.tokenize
         letters = _byte_letters()
         self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.timer: threading.Timer | None = None
-
-    def keep(self) -> None:
-        """A task begins: what is known stays."""
-        if self.timer is not None:
-            self.timer.cancel()
-
-    def drop_when_idle(self) -> None:
-        """A task has ended: unless the next one begins soon, a waiting worker gives its memory back."""
-        self.timer = threading.Timer(IDLE_SECONDS, self._drop)
-        self.timer.daemon = True
-        self.timer.start()
-
-    def _drop(self) -> None:
-        self.words, self.parts = {}, {}
-
-    def _word(self, word: str) -> bytes:
-        out = []
-        for part in self._PART.findall(word):
-            found = self.parts.get(part)
-            if found is None:
-                if len(self.parts) >= CACHE_WORDS:
-                    self.parts.clear()
-                found = self.parts[part] = b"".join(t.id.to_bytes(4, "little") for t in self.merge(part.translate(self.letters)))
-            out.append(found)
-        return b"".join(out)
+        self.merge, self.parts = self.tokenizer.model.tokenize, _Parts(self._ids)
+
+    def _ids(self, part: str) -> bytes:
+        return b"".join(t.id.to_bytes(4, "little") for t in self.merge(part.translate(self.letters)))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if "<|" in text or not self._PLAIN.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, known = text.lower().split(), self.words
-        missing = [word for word in words if word not in known]
-        if missing:
-            if len(known) + len(missing) > CACHE_WORDS:
-                known.clear()
-                missing = words
-            for word in set(missing):
-                known[word] = self._word(word)
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.parts.__getitem__, self._PART.findall(text.lower())))
 
 
 @functools.cache
@@ -126,7 +113,6 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path or vocabulary_path())
-        tokenizer.keep()
         for batch in in_slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -136,63 +122,134 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names)
-        tokenizer.drop_when_idle()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def enumerate_patterns(present: np.ndarray, capacity: int, grid: int = 24) -> np.ndarray:
-    """Rows of up to four lengths, 0 for none, that together fill a sequence exactly.
+@functools.cache
+def enumerate_patterns(units: int = UNITS, most: int = MOST_DOCUMENTS) -> np.ndarray:
+    """Rows of at least two and up to ``most`` lengths in units, longest first and 0 for none, that together fill a sequence of ``units``."""
+    found: list[tuple[int, ...]] = []
 
-    All pairs; and all of three and four whose further lengths are among ``grid`` quantiles of the
-    lengths there are and whose last is what remains.
-    """
-    lengths = np.flatnonzero(present)
-    lengths = lengths[(lengths > 0) & (lengths < capacity)]
-    if not len(lengths):
-        return np.empty((0, 4), np.int64)
-    marks = np.unique(np.quantile(np.repeat(lengths, np.minimum(present[lengths], 1000)), np.linspace(0, 1, grid), method="nearest")).astype(np.int64)
-    ones = lengths[:, None]
-    twos = np.stack(np.meshgrid(lengths, marks, indexing="ij"), -1).reshape(-1, 2)
-    threes = np.stack(np.meshgrid(lengths, marks[::2], marks[::2], indexing="ij"), -1).reshape(-1, 3)
-    out = []
-    for heads in (ones, twos, threes):
-        rest = capacity - heads.sum(1)
-        fits = (rest > 0) & (rest < capacity)
-        heads, rest = heads[fits], rest[fits]
-        fits = present[rest] > 0
-        rows = np.zeros((int(fits.sum()), 4), np.int64)
-        rows[:, : heads.shape[1]] = heads[fits]
-        rows[:, heads.shape[1]] = rest[fits]
-        out.append(np.sort(rows, 1)[:, ::-1])
-    return np.unique(np.concatenate(out), axis=0)
-
-
-def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Non-negative repeat counts whose lengths come nearest ``histogram`` in least squares.
-
-    Accelerated projected gradient; errors count by length relative to the root of how many there are.
+    def fill(left: int, top: int, parts: tuple[int, ...]) -> None:
+        if not left:
+            found.append(parts + (0,) * (most - len(parts)))
+        elif len(parts) < most:
+            for part in range(min(top, left), -(-left // (most - len(parts))) - 1, -1):
+                fill(left - part, part, (*parts, part))
+
+    fill(units, units - 1, ())
+    return np.array(found, np.int64).reshape(-1, most)
+
+
+def fit_counts(patterns: np.ndarray, histogram: np.ndarray) -> np.ndarray:
+    """Non-negative repeat counts of ``patterns`` that come nearest ``histogram``, by length in units, in least squares.
+
+    Lawson and Hanson's active set, so that no more patterns have a count than there are lengths. Errors
+    count relative to the root of how many pieces a length has.
     """
-    used = patterns > 0
-    scale = np.where(histogram > 0, 1 / np.sqrt(np.maximum(histogram, 1)), 0)
-    flat, owner = patterns[used], np.repeat(np.arange(len(patterns)), used.sum(1))
-    weight = scale[flat]
+    scale = 1 / np.sqrt(np.maximum(histogram, 1))
+    matrix = np.zeros((len(patterns), len(histogram)), np.float32)
+    for column in patterns.T:
+        matrix[np.arange(len(patterns)), column] += 1
+    matrix[:, 0] = 0
+    matrix *= scale.astype(np.float32)
+    target = np.where(np.arange(len(histogram)) > 0, histogram * scale, 0.0)
+    counts, rest = np.zeros(len(patterns)), target
+    active: list[int] = []
+    useless: list[int] = []
+    solve = lambda chosen: np.linalg.lstsq(matrix[chosen].T.astype(float), target, rcond=None)[0]
+    for _ in range(20 * len(histogram)):
+        slope = matrix @ rest.astype(np.float32)
+        slope[active + useless] = -np.inf
+        entering = int(np.argmax(slope)) if len(slope) else -1
+        if entering < 0 or slope[entering] <= 1e-4:
+            break
+        solved = solve([*active, entering])
+        if solved[-1] <= 1e-9:
+            useless.append(entering)
+            continue
+        active, useless = [*active, entering], []
+        while active and solved.min() <= 1e-9:
+            now, falls = counts[active], solved <= 1e-9
+            now = now + np.min(now[falls] / np.maximum(now[falls] - solved[falls], 1e-300)) * (solved - now)
+            counts[active] = np.where(now > 1e-9, now, 0)
+            active = [p for p in active if counts[p]]
+            solved = solve(active) if active else solved
+        counts[active] = solved[: len(active)]
+        rest = target - (matrix[active].T.astype(float) @ counts[active] if active else 0)
+    return counts
+
+
+def rounded(counts: np.ndarray, patterns: np.ndarray, histogram: np.ndarray) -> np.ndarray:
+    """Whole repeat counts: rounded down, and up by largest remainder where ``histogram`` has the pieces."""
+    whole = np.floor(counts + 1e-6).astype(np.int64)
     size = len(histogram)
-    target = histogram * scale
-    forward = lambda x: np.bincount(flat, weight * x[owner], size)
-    back = lambda r: np.bincount(owner, weight * r[flat], len(patterns))
-    probe = np.random.default_rng(3).random(len(patterns))
-    for _ in range(20):
-        probe = back(forward(probe))
-        probe /= np.linalg.norm(probe) + 1e-300
-    step = 1 / (1.05 * np.linalg.norm(back(forward(probe))) + 1e-300)
-    x = np.zeros(len(patterns))
-    y, t = x, 1.0
-    for _ in range(rounds):
-        new = np.maximum(0, y - step * back(forward(y) - target))
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y, x, t = new + (t - 1) / t_new * (new - x), new, t_new
-    return x
+    used = sum(np.bincount(column, whole, size) for column in patterns.T) if len(patterns) else np.zeros(size)
+    for k in np.argsort(whole - counts, kind="stable")[: np.count_nonzero(counts)]:
+        one = np.bincount(patterns[k], minlength=size)
+        if counts[k] - whole[k] > 1e-6 and np.all((used + one)[1:] <= histogram[1:]):
+            whole[k] += 1
+            used += one
+    return whole
+
+
+class Stock:
+    """How many pieces of each length are left; ``lengths`` lists, ascending, those of which there are any."""
+
+    def __init__(self, counts: np.ndarray, least: int) -> None:
+        self.counts = [int(n) for n in counts]
+        self.lengths = [length for length in range(max(1, least), len(self.counts)) if self.counts[length]]
+
+    def take(self, length: int, n: int = 1) -> None:
+        self.counts[length] -= n
+        if not self.counts[length]:
+            self.lengths.pop(bisect.bisect_left(self.lengths, length))
+
+    def give(self, length: int) -> None:
+        if not self.counts[length]:
+            bisect.insort(self.lengths, length)
+        self.counts[length] += 1
+
+    def nearest(self, length: int) -> int:
+        """The length nearest to ``length``, 0 if none is left."""
+        at = bisect.bisect_left(self.lengths, length)
+        return min(self.lengths[max(0, at - 1) : at + 1], key=lambda x: abs(x - length), default=0)
+
+    def pair(self, room: int, first: int, reach: int) -> tuple[int, int, int] | None:
+        """(waste, a, b): the two lengths that fill ``room`` best, a within ``reach`` of ``first``."""
+        best = None
+        near = self.lengths[bisect.bisect_left(self.lengths, first - reach) : bisect.bisect_right(self.lengths, first + reach)]
+        for a in sorted(near, key=lambda x: abs(x - first)):
+            at = bisect.bisect_right(self.lengths, room - a) - 1
+            if at >= 0 and self.lengths[at] == a and self.counts[a] < 2:
+                at -= 1
+            if at >= 0:
+                found = (room - a - self.lengths[at], a, self.lengths[at])
+                best = found if best is None or found[0] < best[0] else best
+                if not found[0]:
+                    break
+        return best
+
+
+def realise(stock: Stock, pattern: list[int], unit: float, capacity: int, waste: int) -> list[int] | None:
+    """Lengths of pieces in ``stock`` for a pattern: each nearest to what keeps the sum on course, the last two the pair that fits best.
+
+    None if no pair comes within ``waste`` of a full sequence.
+    """
+    room, rest, slots = capacity, float(capacity), []
+    for part in pattern[:-2]:
+        rest -= part * unit
+        length = stock.nearest(round(room - rest))
+        if not 0 < length < room:
+            break
+        stock.take(length)
+        slots.append(length)
+        room -= length
+    pair = stock.pair(room, round(room - pattern[-1] * unit), max(1, round(unit))) if len(slots) == len(pattern) - 2 else None
+    for length in slots:
+        stock.give(length)
+    return [*slots, *pair[1:]] if pair and pair[0] <= waste else None
 
 
 @dataclass
@@ -209,6 +266,8 @@ class Plan:
     first: np.ndarray
     offset: np.ndarray
     sequences: int
+    #: Pieces that fitted patterns hold.
+    in_patterns: int = 0
 
     def look_up(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sequence, offset) of the rank-th pieces of the lengths."""
@@ -217,29 +276,53 @@ class Plan:
         return self.first[at] + rank - self.rank[at], self.offset[at]
 
 
+def pattern_sequences(histogram: np.ndarray, capacity: int, waste: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(count, lengths) of the sequences that fitted patterns fill to within ``waste``.
+
+    Lengths are counted in units of a 64th of a sequence, rounded to the nearest; pieces of under one
+    and a half units are kept back to fill gaps.
+    """
+    units = min(UNITS, capacity)
+    unit = capacity / units
+    filler = int(1.5 * unit)
+    counts = histogram[:capacity].copy()
+    counts[:filler] = 0
+    coarse = np.bincount(np.round(np.arange(capacity) / unit).astype(np.int64), counts, units + 1)[:units]
+    patterns = enumerate_patterns(units)
+    patterns = patterns[((coarse > 0) | (np.arange(units) == 0))[patterns].all(1)]
+    whole = rounded(fit_counts(patterns, coarse), patterns, coarse)
+    stock, made = Stock(histogram[:capacity], filler), []
+    for k in sorted(np.flatnonzero(whole), key=lambda k: (np.count_nonzero(patterns[k]), -whole[k], k)):
+        n, pattern = int(whole[k]), [int(v) for v in patterns[k] if v]
+        while n and (slots := realise(stock, pattern, unit, capacity, waste)):
+            many = min(n, *(stock.counts[v] // slots.count(v) for v in slots))
+            for v in slots:
+                stock.take(v, many)
+            made.append((many, tuple(slots)))
+            n -= many
+    return made
+
+
 def pack_histogram(histogram: np.ndarray, capacity: int = CAPACITY) -> Plan:
-    """A plan for ``histogram[L]`` pieces of each length L; the same histogram always gives the same plan."""
-    left = histogram.astype(np.int64).copy()
-    made: list[tuple[int, tuple[int, ...]]] = []
-    if left[capacity]:
-        made.append((int(left[capacity]), (capacity,)))
+    """A plan for ``histogram[L]`` pieces of each length L; the same histogram always gives the same plan.
+
+    Sequences of fitted patterns come first, then what they leave goes best-fit into their gaps and
+    into new ones. Of several bounds on a pattern's gap the one of fewest sequences is taken.
+    """
+    alone = [(int(histogram[capacity]), (capacity,))] if histogram[capacity] else []
+    plans = []
+    for waste in WASTES:
+        made = pattern_sequences(histogram, capacity, waste)
+        left = histogram.astype(np.int64).copy()
         left[capacity] = 0
-    patterns = enumerate_patterns(left, capacity)
-    if len(patterns):
-        fitted = fit_counts(patterns, left.astype(float))
-        for i in np.argsort(-fitted, kind="stable"):
-            if fitted[i] < 0.5:
-                break
-            slots = tuple(int(v) for v in patterns[i] if v)
-            most = min(int(left[v]) // slots.count(v) for v in set(slots))
-            n = min(most, int(fitted[i]) if fitted[i] >= 1 else 1)
-            if n > 0:
-                made.append((n, slots))
-                for v in slots:
-                    left[v] -= n
-    made += best_fit_decreasing(left, capacity)
+        for n, slots in made:
+            for v in slots:
+                left[v] -= n
+        packed = best_fit_decreasing(left, capacity, made)
+        plans.append((sum(n for n, _ in packed), -sum(n * len(slots) for n, slots in made), packed))
+    fewest, in_patterns, packed = min(plans, key=lambda p: p[:2])
     rows, taken, sequence = [], np.zeros(capacity + 1, np.int64), 0
-    for n, slots in made:
+    for n, slots in alone + packed:
         offset = 0
         for v in slots:
             rows.append((v, taken[v], n, sequence, offset))
@@ -248,13 +331,14 @@ def pack_histogram(histogram: np.ndarray, capacity: int = CAPACITY) -> Plan:
         sequence += n
     table_ = np.array(rows, np.int64).reshape(-1, 5)
     table_ = table_[np.lexsort((table_[:, 1], table_[:, 0]))]
-    return Plan(*table_.T, sequences=sequence)
+    return Plan(*table_.T, sequences=sequence, in_patterns=-in_patterns)
 
 
-def best_fit_decreasing(left: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Best-fit decreasing over counts: equal sequences move together, so the work does not grow with the counts."""
-    import bisect
+def best_fit_decreasing(left: np.ndarray, capacity: int, begun: Iterable[tuple[int, tuple[int, ...]]] = ()) -> list[tuple[int, tuple[int, ...]]]:
+    """Best-fit decreasing over counts, into the gaps of the sequences ``begun`` and into new ones.
 
+    Equal sequences move together, so the work does not grow with the counts.
+    """
     rooms: list[int] = []
     bins: dict[int, list[list]] = {}
 
@@ -264,6 +348,8 @@ def best_fit_decreasing(left: np.ndarray, capacity: int) -> list[tuple[int, tupl
             bisect.insort(rooms, room)
         bins[room].append([n, slots])
 
+    for n, slots in begun:
+        put(capacity - sum(slots), n, slots)
     for length in range(capacity, 0, -1):
         n = int(left[length])
         while n:
@@ -295,26 +381,29 @@ def best_fit_decreasing(left: np.ndarray, capacity: int) -> list[tuple[int, tupl
 def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut_pieces`` with sequence_id and offset, from their lengths; repeated rows are separate pieces.
 
-    Rows must be computed already (cut), as their lengths are counted and then numbered.
+    Rows must be computed already (cut), as their lengths are counted and then numbered: within a
+    salted run of their length, behind the rows of the runs before it. Only the histogram, a row a
+    length, comes to the driver.
     """
     salts = min(MAX_SALTS, max(MIN_SALTS, cut_pieces.count() // ROWS_A_SALT))
     salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    runs = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()
-    counts = np.zeros((capacity + 1, salts), np.int64)
-    for r in runs:
-        counts[r["length"], r["salt"]] = r["n"]
-    before = np.cumsum(counts, 1) - counts
-    plan = pack_histogram(counts.sum(1), capacity)
+    runs = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
+    counts = runs.groupBy("length").agg(F.sum("n").alias("n")).toArrow()
+    histogram = np.zeros(capacity + 1, np.int64)
+    histogram[counts["length"].to_numpy()] = counts["n"].to_numpy()
+    plan = pack_histogram(histogram, capacity)
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select(F.col("length").alias("of"), F.col("salt").alias("run"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = salted.withColumn("rank", within.cast("long"))
+    numbered = salted.withColumn("within", within).join(starts, (F.col("length") == F.col("of")) & (F.col("salt") == F.col("run")))
+    ranked = numbered.withColumn("rank", F.col("before") + F.col("within"))
 
     @F.arrow_udf("sequence_id long, offset long")
-    def seat(length: pa.Array, salt: pa.Array, rank: pa.Array) -> pa.Array:
-        n, s, r = (x.to_numpy(zero_copy_only=False) for x in (length, salt, rank))
-        sequence, offset = plan.look_up(n, before[n, s] + r)
+    def seat(length: pa.Array, rank: pa.Array) -> pa.Array:
+        sequence, offset = plan.look_up(*(x.to_numpy(zero_copy_only=False) for x in (length, rank)))
         return pa.StructArray.from_arrays([pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], ["sequence_id", "offset"])
 
-    seated = ranked.withColumn("seat", seat("length", "salt", "rank"))
+    seated = ranked.withColumn("seat", seat("length", "rank"))
     return seated.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("seat.sequence_id").alias("sequence_id"), F.col("seat.offset").alias("offset"))
 
 

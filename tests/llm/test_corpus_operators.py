@@ -233,13 +233,42 @@ def test_plans_are_whole_gapless_and_tight(n):
     assert plan.sequences <= math.ceil(lengths.sum() / 4096) * 1.02 + 2
 
 
-def test_fitted_counts_are_not_negative_and_near():
-    histogram = np.zeros(4097, np.int64)
-    histogram[[1000, 1048, 2048, 3048]] = [300, 800, 600, 500]
-    patterns = packing.enumerate_patterns(histogram, 4096)
+def test_fitted_counts_are_the_least_squares_over_all_patterns():
+    patterns = packing.enumerate_patterns()
+    assert (patterns.sum(1) == 64).all() and len(np.unique(patterns, axis=0)) == len(patterns) and ((patterns > 0).sum(1) >= 2).all()
+    histogram = np.zeros(64)
+    histogram[[16, 20, 28, 32, 48, 60]] = [900, 100, 150, 600, 250, 80]
     fitted = packing.fit_counts(patterns, histogram)
-    made = np.bincount(patterns.ravel(), np.repeat(fitted, 4), 4097)
-    assert (fitted >= 0).all() and (patterns.sum(1) == 4096).all() and np.abs(made[1:] - histogram[1:]).max() < 30
+    columns = np.array([np.bincount(p, minlength=64) for p in patterns], float)
+    scale = 1 / np.sqrt(np.maximum(histogram, 1))
+    rest = (histogram - fitted @ columns) * scale
+    rest[0] = 0
+    slope = (columns * scale) @ rest
+    #: No pattern would gain by more of it, and none that is used by less.
+    assert (fitted >= 0).all() and slope.max() < 1e-3 and np.abs(slope[fitted > 0]).max() < 1e-3 and np.count_nonzero(fitted) <= 64
+    whole = packing.rounded(fitted, patterns, histogram)
+    assert ((whole >= np.floor(fitted)) & (whole <= np.ceil(fitted) + 1e-6)).all()
+
+
+def real_lengths(folder):
+    """Piece lengths of a folder's documents."""
+    import pyarrow.parquet as pq
+
+    mine = packing.WordTokenizer(packing.vocabulary_path())
+    sizes = np.array([len(mine.encode(t or "")) // 4 + 1 for t in pq.read_table(f"{folder}/documents.parquet")["text"].to_pylist()])
+    return np.concatenate([np.full((sizes // 4096).sum(), 4096), (sizes % 4096)[sizes % 4096 > 0]])
+
+
+@pytest.mark.parametrize("which", ["sf0.01", "sf0.1", "five million"])
+def test_patterns_pack_most_pieces_and_need_no_more_sequences_than_best_fit_alone(which):
+    lengths = np.minimum(4096, np.maximum(1, np.random.default_rng(0).lognormal(6.3, 1.2, 5_000_000).astype(int))) if which == "five million" else real_lengths(f"/root/testdata/{which}")
+    histogram = np.bincount(lengths, minlength=4097)
+    plan = packing.pack_histogram(histogram)
+    assert (np.bincount(plan.length, plan.count, 4097) == histogram).all()
+    assert plan.in_patterns >= 0.85 * histogram[:4096].sum()
+    rest = histogram.copy()
+    rest[4096] = 0
+    assert plan.sequences <= histogram[4096] + sum(n for n, _ in packing.best_fit_decreasing(rest, 4096))
 
 
 def test_packing_odd_rows(spark):
