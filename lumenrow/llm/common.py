@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -66,6 +67,27 @@ def with_small_side(left: DataFrame, small: DataFrame, on: Column, how: str, max
     return left.join(F.broadcast(side) if side.count() <= max_rows else side, on, how)
 
 
+#: A key with more than one in HOT_SHARE of the rows, and more than HOT_ROWS, is split; at most HOT_SHARE keys are.
+HOT_SHARE, HOT_ROWS = 200, 200
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join computed rows to a table of one row a key, where a few keys may have much of ``left``.
+
+    Rows of such keys are dealt to salts, about one for each HOT_SHARE-th of all rows, and their rows
+    of ``right`` are there once for each salt: no task gets a whole key, and nothing is broadcast for it.
+    """
+    most = left.count() / HOT_SHARE
+    found = left.filter(F.col(on).isNotNull()).groupBy(on).count().filter(F.col("count") > max(most, HOT_ROWS)).collect()
+    if not found:
+        return left.join(right, on, how)
+    salts = F.create_map(*(F.lit(v) for r in found for v in (bytes(r[0]) if isinstance(r[0], bytearray) else r[0], math.ceil(r[1] / most))))
+    n = F.coalesce(F.try_element_at(salts, F.col(on)), F.lit(1))
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), n).cast("int"))
+    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
+    return dealt.join(spread, [on, "_salt"], how).drop("_salt")
+
+
 #: Rows that are Python objects at a time.
 SLICE_ROWS = 1_000
 

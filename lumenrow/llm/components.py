@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenrow.llm.common import cut
+from lumenrow.llm.common import cut, join_hot
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -17,10 +17,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        over = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = cut(lower.join(over, "root", "left").select("node", F.least("root", F.coalesce("above", "root")).alias("root"), "was"))
+        near = join_hot(both, labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        lower = cut(labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was")))
+        over = lower.filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("above"))
+        jumped = cut(join_hot(lower, over, "root", "left").select("node", F.coalesce("above", "root").alias("root"), "was"))
         changed = jumped.filter("root <> was").limit(1).count()
         labels = jumped.select("node", "root")
         if not changed:

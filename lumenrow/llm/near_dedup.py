@@ -9,7 +9,9 @@ Exact copies share one representative from the start, so a large group of copies
 
 Document frequencies are counted over all documents in hashed form, as is usual for hashed TF-IDF: a
 shingle has the count of its bucket of 2**18. The inverse frequency moves a weight by a quarter at
-most, so that the rarity of an edit in a large group of near copies cannot hide what they share.
+most. Without a bound the similarity of two texts would fall with every further copy of them, as what
+they share grows common and what they don't stays rare; with it, texts of plain Jaccard similarity J
+have at least J / (J + 1.25 (1 - J)) in any corpus, which is 0.8 from J = 0.834 on.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenrow.llm.common import cut, drop_path, fresh_path, in_slices, table, values_of
+from lumenrow.llm.common import cut, drop_path, fresh_path, in_slices, join_hot, table, values_of
 from lumenrow.llm.components import connected_components
 
 SHINGLE = 5
@@ -186,12 +188,12 @@ class WeightedSampler:
 
 
 def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(doc_id, digest, samples, bands) of documents with words.
+    """(doc_id, digest, samples, bands) of every row; the last three are null for texts without words.
 
     ``digest`` is of the words in turn, equal for exact copies; ``samples`` has 32 bits of each
     sample; ``bands`` a key for each band.
     """
-    names = ["doc_id", "digest", "samples", "bands"]
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("samples", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sampler = _WordIds(), WeightedSampler()
@@ -204,27 +206,56 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 keys = _mix(keys * _P + found[:, j::ROWS])
             keys = (keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
             short = (found >> np.uint64(32)).astype("<u4")
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([s.tobytes() for s in short], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names)
+            columns = ([r[0] for r in rows], [r[1] for r in rows], [s.tobytes() for s in short], list(keys))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-        rows, size = [], 0
+        rows, bare, size = [], [], 0
         for batch in in_slices(batches):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 words = words_of(text)
                 found, times = shingles(words, ids)
-                if doc_id is None or not len(found):
+                if not len(found):
+                    bare.append(doc_id)
                     continue
-                digest = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                rows.append((doc_id, digest, found, weigh(found, times, idf)))
+                rows.append((doc_id, digest_of(words), found, weigh(found, times, idf)))
                 size += len(found)
                 if size > 40_000:
                     yield made(rows)
                     rows, size = [], 0
+            if bare:
+                yield pa.RecordBatch.from_pylist([{"doc_id": b} for b in bare], schema)
+                bare = []
         if rows:
             yield made(rows)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, samples binary, bands array<long>")
 
 
+def digest_of(words: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def features_of(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(node, found, weights) of texts: their digest, their shingles as sorted 64-bit hashes, and a 32-bit weight for each."""
+    names = ["node", "found", "weights"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = _WordIds()
+        for batch in in_slices(batches, 200):
+            rows = []
+            for text in batch["text"].to_pylist():
+                words = words_of(text)
+                found, times = shingles(words, ids)
+                rows.append((digest_of(words), found.astype("<u8").tobytes(), weigh(found, times, idf).astype("<f4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(3)], names)
+
+    return texts.select("text").mapInArrow(run, "node binary, found binary, weights binary")
+
+
+def _features(found: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(found, "<u8"), np.frombuffer(weights, "<f4")
+
+
 @F.arrow_udf(T.IntegerType())
 def _agreed(a: pa.Array, b: pa.Array) -> pa.Array:
     if not len(a):
@@ -233,39 +264,22 @@ def _agreed(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((x == y).sum(1), pa.int32())
 
 
-def _similarity(idf: np.ndarray):
-    """A column function: the weighted Jaccard similarity of two whole texts."""
-
-    @F.arrow_udf("double")
-    def similar(a: pa.Array, b: pa.Array) -> pa.Array:
-        ids, out, last, features = _WordIds(), [], None, None
-
-        def of(text: str) -> tuple[np.ndarray, np.ndarray]:
-            found, times = shingles(words_of(text), ids)
-            return found, weigh(found, times, idf)
+@F.arrow_udf(T.DoubleType())
+def _similar(found_a: pa.Array, weights_a: pa.Array, found_b: pa.Array, weights_b: pa.Array) -> pa.Array:
+    rows = zip(*(values_of(c, 100) for c in (found_a, weights_a, found_b, weights_b)), strict=True)
+    return pa.array([weighted_jaccard(_features(a, u), _features(b, v)) for a, u, b, v in rows], pa.float64())
 
-        for x, y in zip(values_of(a, 50), values_of(b, 50), strict=True):
-            if features is None or x != last:
-                last, features = x, of(x)
-            out.append(weighted_jaccard(features, of(y)))
-        return pa.array(out, pa.float64())
 
-    return similar
+def verified(pairs: DataFrame, reps: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
+    """The (a, b) of ``pairs`` (computed, distinct) of at least ``threshold`` weighted Jaccard similarity."""
 
+    def joined(rows: DataFrame, table_: DataFrame, side: str, columns: list[str]) -> DataFrame:
+        mine = table_.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+        return join_hot(rows, mine, side)
 
-def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``texts`` whose doc_id is in ``ids`` (computed, distinct): a broadcast of few ids, a shuffle of many."""
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts have at least ``threshold`` weighted Jaccard similarity."""
-    of = lambda side: reps.select(F.col("rep").alias(side), F.col("samples").alias(f"{side}_samples"))
-    near = cut(pairs.join(of("b"), "b").join(of("a"), "a").filter(_agreed("a_samples", "b_samples") >= LEAST_AGREED).select("a", "b"))
-    with_b = _texts_of(texts, cut(near.select(F.col("b").alias("doc_id")).distinct())).select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
-    with_a = _texts_of(texts, cut(near.select(F.col("a").alias("doc_id")).distinct())).select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
-    joined = near.join(with_b, "b").join(with_a, "a")
-    return cut(joined.filter(_similarity(idf)("a_text", "b_text") >= threshold).select("a", "b").distinct())
+    near = cut(joined(joined(pairs, reps, "b", ["samples"]), reps, "a", ["samples"]).filter(_agreed("samples_a", "samples_b") >= LEAST_AGREED).select("a", "b"))
+    whole = joined(joined(near, features, "b", ["found", "weights"]), features, "a", ["found", "weights"])
+    return cut(whole.filter(_similar("found_a", "weights_a", "found_b", "weights_b") >= threshold).select("a", "b").distinct())
 
 
 def _bounds(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -309,17 +323,19 @@ def _bounds(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np
     return np.where(whole > 0, shared / np.maximum(whole, 1e-30), 1.0)
 
 
-def _block_links(idf: np.ndarray, threshold: float):
+def _block_links(threshold: float):
     """A function of two blocks of a bucket: links between rows of theirs that are of different roots.
 
     A pair is compared in the first band it shares. Of pairs that others already join, none is given.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        (x, ids_x, root_x), (y, ids_y, root_y) = ((np.frombuffer(b"".join(t["samples"].to_pylist()), "<u4").reshape(t.num_rows, -1), t["rep"].to_numpy(), t["root"].to_numpy()) for t in (left, right))
+        (x, ids_x, root_x), (y, ids_y, root_y) = ((np.frombuffer(b"".join(t["samples"].to_pylist()), "<u4").reshape(t.num_rows, -1), t["node"].to_pylist(), t["root"].to_pylist()) for t in (left, right))
+        number = {k: i for i, k in enumerate(sorted({*ids_x, *ids_y, *root_x, *root_y}))}
+        of = lambda names: np.array([number[k] for k in names])
         band, agreed, earlier = left["band"][0].as_py(), np.zeros((len(x), len(y)), np.uint8), np.zeros((len(x), len(y)), bool)
         for k in range(0, SAMPLES, ROWS):
             same = [x[:, j, None] == y[None, :, j] for j in range(k, k + ROWS)]
@@ -327,156 +343,163 @@ def _block_links(idf: np.ndarray, threshold: float):
                 agreed += each
             if k // ROWS < band:
                 earlier |= np.logical_and.reduce(same)
-        open_ = (agreed >= LEAST_AGREED) & ~earlier & (root_x[:, None] != root_y[None, :])
+        open_ = (agreed >= LEAST_AGREED) & ~earlier & (of(root_x)[:, None] != of(root_y)[None, :])
         if left["i"][0].as_py() == left["j"][0].as_py():
-            open_ &= ids_x[:, None] < ids_y[None, :]
+            open_ &= of(ids_x)[:, None] < of(ids_y)[None, :]
         rows, columns = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
         if not len(rows):
             return schema.empty_table()
-        words = _WordIds()
-
-        def features(texts: pa.ChunkedArray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-            out = []
-            for text in values_of(texts.take(pa.array(at)), 50):
-                found, times = shingles(words_of(text), words)
-                out.append((found, weigh(found, times, idf)))
-            return out
-
-        a, b = features(left["text"], rows), features(right["text"], columns)
+        features = lambda t, at: list(map(_features, *(t[c].take(pa.array(at)).to_pylist() for c in ("found", "weights"))))
+        a, b = features(left, rows), features(right, columns)
         open_ = open_[np.ix_(rows, columns)] & (_bounds(a, b) >= threshold - 1e-4)
-        up: dict[int, int] = {}
+        up: dict[bytes, bytes] = {}
 
-        def top(node: int) -> int:
+        def top(node: bytes) -> bytes:
             while (above := up.get(node, node)) != node:
                 up[node] = node = up.get(above, above)
             return node
 
         out = []
         for i, j in zip(*np.nonzero(open_), strict=True):
-            one, other = top(int(root_x[rows[i]])), top(int(root_y[columns[j]]))
+            one, other = top(root_x[rows[i]]), top(root_y[columns[j]])
             if one != other and weighted_jaccard(a[i], b[j]) >= threshold:
                 up[max(one, other)] = min(one, other)
-                out.append(sorted((int(ids_x[rows[i]]), int(ids_y[columns[j]]))))
+                out.append(sorted((ids_x[rows[i]], ids_y[columns[j]])))
         return pa.table({"a": [p[0] for p in out], "b": [p[1] for p in out]}, schema)
 
     return run
 
 
-def rest_links(slots: DataFrame, roots: DataFrame, texts: DataFrame, reps: DataFrame, idf: np.ndarray, threshold: float, tried: DataFrame) -> DataFrame:
+def rest_links(slots: DataFrame, roots: DataFrame, reps: DataFrame, features: DataFrame, threshold: float, tried: DataFrame) -> DataFrame:
     """Verified links (a, b) between members of a bucket that have different roots: all pairs of each bucket.
 
     Pairs of small buckets are rows. In larger ones, the members of another root than the bucket's
-    least are dealt to blocks, and each block is compared with each of them and of the others.
+    first are dealt to blocks, and each block is compared with each of them and of the others.
     """
-    rooted = slots.select("rep", "key", "band", "first").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).filter("least <> most").select("key", "n")
-    rooted = cut(rooted.join(mixed, "key"))
+    spark = features.sparkSession
+    rooted = cut(slots.select("node", "key", "band").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min(F.struct("node", "root")).getField("root").alias("first_root"), F.count("*").alias("n")).filter("least <> most")
+    rooted = cut(join_hot(rooted, mixed.select("key", "first_root", "n"), "key"))
     small = rooted.filter(F.col("n") <= PAIRED_ROWS)
-    side = lambda name: small.select("key", F.col("rep").alias(name), F.col("root").alias(f"{name}_root"))
+    side = lambda name: small.select("key", F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     pairs = side("a").join(side("b"), "key").filter("a < b and a_root <> b_root").select("a", "b").distinct()
-    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-    links = verified(pairs, texts, reps, idf, threshold)
+    links = verified(cut(pairs.join(tried, ["a", "b"], "left_anti")), reps, features, threshold)
 
     large = rooted.filter(F.col("n") > PAIRED_ROWS)
     if not large.limit(1).count():
         return links
-    firsts = large.filter("rep = first").select("key", F.col("root").alias("first_root"))
-    large = large.join(firsts, "key").withColumn("open", F.col("root") != F.col("first_root"))
-    large = large.join(texts.groupBy("doc_id").agg(F.max("text").alias("text")).withColumnRenamed("doc_id", "rep"), "rep")
-    large = large.join(reps.select("rep", "samples").dropDuplicates(["rep"]), "rep").drop("first", "n", "first_root")
-    path = fresh_path(texts.sparkSession, "near-blocks")
+    large = large.withColumn("open", F.col("root") != F.col("first_root")).drop("first_root", "n")
+    large = large.join(features, "node").join(reps.select("node", "samples"), "node")
+    path = fresh_path(spark, "near-blocks")
     large.write.parquet(path)
-    blocks = lambda rows: F.greatest(F.ceil(F.count(F.when(rows, 1)) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(F.when(rows, F.octet_length("text"))), F.lit(0)) / BLOCK_BYTES)).cast("int")
-    dealt = cut(texts.sparkSession.read.parquet(path).groupBy("key").agg(blocks(F.col("open")).alias("n_open"), blocks(~F.col("open")).alias("n_closed")))
-    hashed, last = F.xxhash64("rep", F.lit(7)), F.col("n_open") + F.col("n_closed") - 1
+    blocks = lambda rows: F.greatest(F.ceil(F.count(F.when(rows, 1)) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(F.when(rows, F.octet_length("found"))), F.lit(0)) / BLOCK_BYTES)).cast("int")
+    dealt = cut(spark.read.parquet(path).groupBy("key").agg(blocks(F.col("open")).alias("n_open"), blocks(~F.col("open")).alias("n_closed")))
+    hashed, last = F.xxhash64("node", F.lit(7)), F.col("n_open") + F.col("n_closed") - 1
     block = F.when(F.col("open"), F.pmod(hashed, F.col("n_open"))).otherwise(F.col("n_open") + F.pmod(hashed, F.greatest("n_closed", F.lit(1)))).cast("int")
-    of = lambda: texts.sparkSession.read.parquet(path).join(dealt, "key").withColumn("block", block)
-    columns = ["key", "i", "j", "rep", "root", "band", "samples", "text"]
+    of = lambda: join_hot(spark.read.parquet(path), dealt, "key").withColumn("block", block)
+    columns = ["key", "i", "j", "node", "root", "band", "samples", "found", "weights"]
     left = of().filter("open").select("*", F.col("block").alias("i"), F.explode(F.sequence("block", last)).alias("j")).select(columns)
     right = of().select("*", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.least("block", F.col("n_open") - 1))).alias("i")).select(columns)
     cell = ["key", "i", "j"]
-    found = cut(left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_block_links(idf, threshold), "a long, b long").distinct())
-    drop_path(texts.sparkSession, path)
+    found = cut(left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_block_links(threshold), "a binary, b binary").distinct())
+    drop_path(spark, path)
     return links.unionByName(found)
 
 
+def _texts_of(docs: DataFrame, sketched: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(text) of at least one row for each of ``nodes``; equal rows once."""
+    firsts = sketched.join(nodes, F.col("digest") == F.col("node"), "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    ids = cut(firsts.select("doc_id").distinct())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    without = ids.filter("doc_id is null").limit(1).count()
+    if without:
+        texts = texts.unionByName(docs.filter("doc_id is null"))
+    repeated = sketched.count() > sketched.select("doc_id").distinct().count()
+    return texts.select("text").distinct() if repeated or without else texts.select("text")
+
+
 def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, rep) of exact classes, and links (a, b) between representatives.
+    """Rows (doc_id, digest), one for each of ``docs``, and links (a, b) between digests of different texts.
 
-    In each bucket all are compared with its least member; those that fail, with another by hash;
-    those that fail again, with the least of the ones that also share the next band. These links
-    are joined, and members of a bucket that they leave apart are all compared. Nothing in a bucket
-    is left out by its size.
+    In each bucket all are compared with its least member; those that fail, with another by hash.
+    These links are joined, and members of a bucket that they leave apart are all compared. Nothing
+    in a bucket is left out by its size.
     """
     idf = idf_table(*document_frequencies(docs))
     sketched = cut(sketches(docs, idf))
-    reps = cut(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("samples").alias("samples"), F.first("bands").alias("bands")))
-    members = sketched.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest").select("doc_id", "rep")
-    exploded = reps.select("rep", F.posexplode("bands").alias("band", "key"), F.col("bands"))
-    keyed = exploded.select("rep", "key", "band", F.xxhash64("key", F.element_at("bands", (F.col("band") + 1) % BANDS + 1)).alias("finer"))
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("rep"))).alias("other"), F.count("*").alias("n")).filter("n > 1")
-    slots = cut(keyed.join(buckets.select("key", "first", F.col("other.rep").alias("other")), "key"))
-    ids = cut(slots.select(F.col("rep").alias("doc_id")).distinct())
-    path = fresh_path(docs.sparkSession, "near-texts")
-    _texts_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null"), ids).write.parquet(path)
-    texts = docs.sparkSession.read.parquet(path)
+    reps = cut(sketched.filter("digest is not null").groupBy(F.col("digest").alias("node")).agg(F.min("samples").alias("samples"), F.first("bands").alias("bands")))
+    keyed = reps.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("first"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).getField("node").alias("other"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    slots = cut(join_hot(cut(keyed), buckets, "key"))
+    path = fresh_path(docs.sparkSession, "near-features")
+    features_of(_texts_of(docs, sketched, slots.select("node").distinct()), idf).write.parquet(path)
+    features = docs.sparkSession.read.parquet(path)
 
     links, tried = None, None
     open_slots = slots
-    for leader in ("first", "other", "finer"):
-        if leader == "finer":
-            least = open_slots.groupBy("finer").agg(F.min("rep").alias("lead")).withColumnRenamed("finer", "group")
-            led = open_slots.join(least, F.col("finer") == F.col("group")).select("rep", "key", "finer", "first", "other", "lead")
-        else:
-            led = open_slots.withColumn("lead", F.col(leader))
-        led = cut(led.filter("rep <> lead"))
-        pairs = led.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    for leader in ("first", "other"):
+        led = open_slots.filter(F.col("node") != F.col(leader)).withColumn("a", F.least("node", leader)).withColumn("b", F.greatest("node", leader))
+        pairs = led.select("a", "b").distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if not pairs.limit(1).count():
-            continue
-        fresh = verified(pairs, texts, reps, idf, threshold)
+        fresh = verified(pairs, reps, features, threshold)
         links = fresh if links is None else links.unionByName(fresh)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        met = links.select(F.col("a").alias("low"), F.col("b").alias("high"))
-        failed = (F.least("rep", "lead") == F.col("low")) & (F.greatest("rep", "lead") == F.col("high"))
-        open_slots = cut(led.join(met, failed, "left_anti").select("rep", "key", "finer", "first", "other"))
-    if links is None:
-        links = reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    else:
-        roots = connected_components(links)
-        rest = rest_links(slots, roots, texts, reps, idf, threshold, tried)
-        links = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest)
+        open_slots = cut(led.join(links, ["a", "b"], "left_anti").select(slots.columns))
+    roots = connected_components(links)
+    rest = rest_links(slots, roots, reps, features, threshold, tried)
+    links = cut(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest))
     drop_path(docs.sparkSession, path)
-    return members, links
+    return sketched.select("doc_id", "digest"), links
+
+
+def _classed(docs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, digest, root, class_id) of every row; ``root`` is the digest that stands for a class, null without words."""
+    members, links = near_links(docs, threshold)
+    roots = cut(connected_components(links).withColumnRenamed("node", "digest"))
+    rooted = cut(join_hot(members, roots, "digest", "left").withColumn("root", F.coalesce("root", "digest")))
+    least = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return join_hot(rooted, least, "root", "left").select("doc_id", "digest", "root", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id) of every row with an id; the class id is the least id of its class.
+    """(doc_id, class_id) of every row; the class id is the least id of its class.
 
-    Null, empty and wordless texts are classes of their own, as are rows of null id, whose class is
-    null. Rows that repeat an id are one document and share its class. Columns other than doc_id and
-    text are left out; an empty table gives no rows.
+    Null, empty and wordless texts are classes of their own, under their ids. A row of null id joins
+    a class like any other; its class is null where no member has an id. Rows that repeat an id are
+    classed by their texts, apart where these differ. Columns other than doc_id and text are left
+    out; an empty table gives no rows.
     """
-    members, links = near_links(docs, threshold)
-    roots = connected_components(links)
-    classed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class"))
-    classed = classed.groupBy("doc_id").agg(F.min("class").alias("class"))
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return every.join(classed, "doc_id", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
+    return _classed(docs, threshold).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the document of least id, once if its rows repeat.
+    """The rows of ``docs`` that stay: of each class the document of least id.
 
-    All columns of the input are kept. Rows of null id have no class and all stay.
+    Among rows that repeat that id the least by a hash of the whole row stays, so reruns agree; of
+    rows without words, one of each id. Rows of null id all stay. All columns of the input are kept.
     """
-    classes = cut(near_classes(docs.select("doc_id", "text"), threshold))
-    counted = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
-    gone = cut(counted.filter("class_id <> doc_id or n > 1").select(F.col("doc_id").alias("gone_id"), (F.col("class_id") == F.col("doc_id")).alias("repeats")))
+    classes = cut(_classed(docs.select("doc_id", "text"), threshold).filter("doc_id is not null"))
+    per_id = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
+    gone = cut(per_id.filter("class_id <> doc_id or n > 1").select(F.col("doc_id").alias("gone_id"), (F.col("n") > 1).alias("repeats")))
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     rows = docs.select(F.struct("*").alias("doc")).join(side, F.col("doc.doc_id") == F.col("gone_id"), "left")
-    once = rows.filter("repeats").dropDuplicates(["gone_id"])
-    return rows.filter("gone_id is null").unionByName(once).select("doc.*")
+    alone = rows.filter("gone_id is null").select("doc.*")
+    if not gone.filter("repeats").limit(1).count():
+        return alone
+    roots = classes.join(gone.filter("repeats"), F.col("doc_id") == F.col("gone_id"), "left_semi").select("doc_id", "digest", "root", "class_id").distinct()
+    known = roots.select(F.col("doc_id").alias("known_id"), F.col("digest").alias("known_digest"), "root", "class_id")
+    again = rows.filter("repeats").select("doc", "gone_id", _digest(F.col("doc.text")).alias("digest"))
+    rank = F.struct(F.xxhash64(F.to_json("doc")), F.to_json("doc"))
+    again = again.groupBy("gone_id", "digest").agg(F.min_by("doc", rank).alias("doc"))
+    again = again.join(known, (F.col("gone_id") == F.col("known_id")) & F.col("digest").eqNullSafe(F.col("known_digest"))).filter("class_id = gone_id")
+    one = again.groupBy("gone_id", "root").agg(F.min_by("doc", rank).alias("doc"))
+    return alone.unionByName(one.select("doc.*"))
+
+
+@F.arrow_udf(T.BinaryType())
+def _digest(texts: pa.Array) -> pa.Array:
+    return pa.array([digest_of(words) if (words := words_of(t)) else None for t in values_of(texts, 200)], pa.binary())
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenrow.llm import chat_format, mixing, near_dedup, neighbours, packing, registry
+from lumenrow.llm.common import join_hot
 from lumenrow.llm.components import connected_components
 from tests.llm.test_filters_and_scores import WORD, odd_documents
 
@@ -162,6 +163,28 @@ def test_bounds_are_no_less_than_the_similarity():
     assert (bounds >= exact - 1e-5).all() and (exact > 0.1).any()
 
 
+def test_pairs_that_share_a_long_passage_are_all_found(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    passage = [word() for _ in range(300)]
+    texts = {}
+    for i in range(0, 300, 2):
+        own = [word() for _ in range(50)]
+        texts[i], texts[i + 1] = " ".join(passage + own), " ".join(passage + own[:30] + [word() for _ in range(20)])
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    due = brute_classes(texts, *near_dedup.document_frequencies(d))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(d).collect()}
+    assert got == due and all(due[i + 1] == i for i in range(0, 300, 2)) and len(set(due.values())) == 150
+
+
+def test_hot_keys_join_whole(spark):
+    left = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit(b"hot")).otherwise(F.col("id").cast("string").cast("binary")).alias("k"), "id")
+    left = left.unionByName(spark.createDataFrame([(None, -1)], "k binary, id long"))
+    right = spark.createDataFrame([(b"hot", 1), (b"4", 2)], "k binary, v int")
+    assert {(r.id, r.v) for r in join_hot(left, right, "k").collect()} == {(i, 1) for i in range(0, 5000, 3)} | {(4, 2)}
+    assert Counter(r.v for r in join_hot(left, right, "k", "left").collect()) == Counter({1: 1667, 2: 1, None: 3333})
+
+
 def test_near_odd_rows(spark):
     d = odd_documents(spark).unionByName(odd_documents(spark).filter("doc_id = 5").withColumn("doc_id", F.lit(77).cast("long")))
     classes = near_dedup.near_classes(d)
@@ -173,6 +196,17 @@ def test_near_odd_rows(spark):
     assert near_dedup.near_classes(d.limit(0)).count() == 0 and near_dedup.keep_one(d.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_classed_by_their_texts(spark):
+    words = [f"w{i}" for i in range(200)]
+    one, other = " ".join(words), " ".join(reversed(words))
+    near = " ".join([*words[:-1], "end"])
+    rows = [(5, one, 1), (5, one, 2), (5, other, 3), (7, near, 4), (9, other.upper(), 5), (None, one, 6), (3, "", 7), (3, None, 8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    assert Counter((r.doc_id, r.class_id) for r in near_dedup.near_classes(d).collect()) == Counter([(5, 5)] * 3 + [(7, 5), (9, 5), (None, 5), (3, 3), (3, 3)])
+    first, again = (sorted(r.n for r in near_dedup.keep_one(d.repartition(k)).collect()) for k in (1, 5))
+    assert first == again and len(first) == 4 and {3, 6} <= set(first) and len({1, 2} & set(first)) == len({7, 8} & set(first)) == 1
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
