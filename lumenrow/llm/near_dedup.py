@@ -48,7 +48,8 @@ BROADCAST_IDS = 1_000_000
 PAIRED_ROWS = 32
 BLOCK_ROWS, BLOCK_BYTES = 500, 4_000_000
 #: Shingles that so few pairs of two blocks share are added up pair by pair, others by products of so many columns.
-FEW_PAIRS = 1_000
+FEW_PAIRS = 100
+PAIRS_AT_ONCE = 500_000
 COLUMNS = 2_048
 
 _WORD = re.compile(r"\w+")
@@ -236,8 +237,8 @@ def digest_of(words: list[str]) -> bytes:
 
 
 def features_of(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(node, found, weights) of texts: their digest, their shingles as sorted 64-bit hashes, and a 32-bit weight for each."""
-    names = ["node", "found", "weights"]
+    """(digest, found, weights) of texts: their digest, their shingles as sorted 64-bit hashes, and a 32-bit weight for each."""
+    names = ["digest", "found", "weights"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _WordIds()
@@ -249,7 +250,7 @@ def features_of(texts: DataFrame, idf: np.ndarray) -> DataFrame:
                 rows.append((digest_of(words), found.astype("<u8").tobytes(), weigh(found, times, idf).astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(3)], names)
 
-    return texts.select("text").mapInArrow(run, "node binary, found binary, weights binary")
+    return texts.select("text").mapInArrow(run, "digest binary, found binary, weights binary")
 
 
 def _features(found: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -304,11 +305,12 @@ def _bounds(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np
         na, nb = np.bincount(ca, minlength=len(both)), np.bincount(cb, minlength=len(both))
         few = na * nb <= FEW_PAIRS
         start = np.cumsum(nb) - nb
-        left = np.flatnonzero(few[ca])
-        each = nb[ca[left]]
-        at = np.repeat(start[ca[left]] - np.cumsum(each) + each, each) + np.arange(each.sum())
-        left = np.repeat(left, each)
-        shared += np.bincount(ra[left] * len(b) + rb[at], wa[left] * wb[at], shared.size).reshape(shared.shape)
+        sparse = np.flatnonzero(few[ca])
+        for part in np.array_split(sparse, int(nb[ca[sparse]].sum()) // PAIRS_AT_ONCE + 1):
+            each = nb[ca[part]]
+            at = np.repeat(start[ca[part]] - np.cumsum(each) + each, each) + np.arange(each.sum())
+            left = np.repeat(part, each)
+            shared += np.bincount(ra[left] * len(b) + rb[at], wa[left] * wb[at], shared.size).reshape(shared.shape)
         place = np.cumsum(~few) - 1
         many_a, many_b = ~few[ca], ~few[cb]
         for low in range(0, int((~few).sum()), COLUMNS):
@@ -406,12 +408,17 @@ def rest_links(slots: DataFrame, roots: DataFrame, reps: DataFrame, features: Da
     return links.unionByName(found)
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows`` computed, and broadcast where they are few."""
+    side = cut(rows)
+    return F.broadcast(side) if side.count() <= BROADCAST_IDS else side
+
+
 def _texts_of(docs: DataFrame, sketched: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(text) of at least one row for each of ``nodes``; equal rows once."""
-    firsts = sketched.join(nodes, F.col("digest") == F.col("node"), "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    ids = cut(firsts.select("doc_id").distinct())
+    """(text) of at least one row for each of ``nodes`` (least); equal rows once."""
+    ids = _small(nodes.select(F.col("least").alias("doc_id")).distinct())
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    texts = docs.join(ids, "doc_id", "left_semi")
     without = ids.filter("doc_id is null").limit(1).count()
     if without:
         texts = texts.unionByName(docs.filter("doc_id is null"))
@@ -420,46 +427,50 @@ def _texts_of(docs: DataFrame, sketched: DataFrame, nodes: DataFrame) -> DataFra
 
 
 def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, digest), one for each of ``docs``, and links (a, b) between digests of different texts.
+    """Rows (doc_id, node), one for each of ``docs``, and links (a, b) between nodes; a node is all rows of equal words.
 
-    In each bucket all are compared with its least member; those that fail, with another by hash.
-    These links are joined, and members of a bucket that they leave apart are all compared. Nothing
-    in a bucket is left out by its size.
+    Nodes are ordered by their least ids. Each is first compared with the least it shares a bucket
+    with. Members of large buckets that this leaves in different classes are compared with the
+    bucket's least member and with another by hash, and all pairs of a bucket that are still in
+    different classes with each other. Nothing in a bucket is left out by its size.
     """
     idf = idf_table(*document_frequencies(docs))
     sketched = cut(sketches(docs, idf))
-    reps = cut(sketched.filter("digest is not null").groupBy(F.col("digest").alias("node")).agg(F.min("samples").alias("samples"), F.first("bands").alias("bands")))
-    keyed = reps.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("first"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).getField("node").alias("other"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    slots = cut(join_hot(cut(keyed), buckets, "key"))
+    grouped = sketched.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("samples").alias("samples"), F.first("bands").alias("bands"))
+    order = F.unhex(F.lpad(F.hex(F.coalesce("least", F.lit((1 << 63) - 1)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    reps = cut(grouped.select(F.concat(order, "digest").alias("node"), "digest", "least", "samples", "bands"))
+    keyed = cut(reps.select("node", F.posexplode("bands").alias("band", "key")))
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("first"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).getField("node").alias("other"), F.count("*").alias("n")).filter("n > 1")
+    slots = cut(join_hot(keyed, buckets, "key"))
     path = fresh_path(docs.sparkSession, "near-features")
-    features_of(_texts_of(docs, sketched, slots.select("node").distinct()), idf).write.parquet(path)
+    wanted = reps.join(slots.select("node").distinct(), "node", "left_semi")
+    known = features_of(_texts_of(docs, sketched, wanted), idf)
+    known.join(_small(wanted.select("digest", "node")), "digest").drop("digest").write.parquet(path)
     features = docs.sparkSession.read.parquet(path)
 
-    links, tried = None, None
-    open_slots = slots
-    for leader in ("first", "other"):
-        led = open_slots.filter(F.col("node") != F.col(leader)).withColumn("a", F.least("node", leader)).withColumn("b", F.greatest("node", leader))
-        pairs = led.select("a", "b").distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        fresh = verified(pairs, reps, features, threshold)
-        links = fresh if links is None else links.unionByName(fresh)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        open_slots = cut(led.join(links, ["a", "b"], "left_anti").select(slots.columns))
-    roots = connected_components(links)
+    tried = cut(slots.filter("node <> first").groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
+    links = verified(tried, reps, features, threshold)
+    roots = cut(connected_components(links))
+    large = cut(slots.filter(F.col("n") > PAIRED_ROWS).select("node", F.explode(F.array("first", "other")).alias("lead")).filter("node <> lead").distinct())
+    if large.limit(1).count():
+        root = lambda rows, side: join_hot(rows, roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
+        apart = root(cut(root(large, "node")), "lead").filter("node_root <> lead_root")
+        more = cut(apart.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        links, tried = links.unionByName(verified(more, reps, features, threshold)), tried.unionByName(more)
+        roots = cut(connected_components(links))
     rest = rest_links(slots, roots, reps, features, threshold, tried)
     links = cut(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest))
     drop_path(docs.sparkSession, path)
-    return sketched.select("doc_id", "digest"), links
+    return join_hot(sketched.select("doc_id", "digest"), reps.select("digest", "node"), "digest", "left").select("doc_id", "node"), links
 
 
 def _classed(docs: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, digest, root, class_id) of every row; ``root`` is the digest that stands for a class, null without words."""
+    """(doc_id, node, root, class_id) of every row; ``root`` is the node that stands for a class, null without words."""
     members, links = near_links(docs, threshold)
-    roots = cut(connected_components(links).withColumnRenamed("node", "digest"))
-    rooted = cut(join_hot(members, roots, "digest", "left").withColumn("root", F.coalesce("root", "digest")))
+    roots = cut(connected_components(links))
+    rooted = cut(join_hot(cut(members), roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return join_hot(rooted, least, "root", "left").select("doc_id", "digest", "root", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return join_hot(rooted, least, "root", "left").select("doc_id", "node", "root", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -487,8 +498,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     alone = rows.filter("gone_id is null").select("doc.*")
     if not gone.filter("repeats").limit(1).count():
         return alone
-    roots = classes.join(gone.filter("repeats"), F.col("doc_id") == F.col("gone_id"), "left_semi").select("doc_id", "digest", "root", "class_id").distinct()
-    known = roots.select(F.col("doc_id").alias("known_id"), F.col("digest").alias("known_digest"), "root", "class_id")
+    roots = classes.join(gone.filter("repeats"), F.col("doc_id") == F.col("gone_id"), "left_semi").select("doc_id", F.substring("node", 9, 16).alias("known_digest"), "root", "class_id").distinct()
+    known = roots.withColumnRenamed("doc_id", "known_id")
     again = rows.filter("repeats").select("doc", "gone_id", _digest(F.col("doc.text")).alias("digest"))
     rank = F.struct(F.xxhash64(F.to_json("doc")), F.to_json("doc"))
     again = again.groupBy("gone_id", "digest").agg(F.min_by("doc", rank).alias("doc"))
