@@ -1,35 +1,46 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 Trees split a bounded sample at medians of random projections; every vector is then filed in one leaf
-of each tree. A query searches all trees through one shared priority queue, nearest hyperplanes first,
-until the leaves taken hold enough vectors, and the vectors of those leaves are reranked by exact
-distance. Equal vectors, which no plane can part, are one vector in trees, leaves and searches, and
-become their ids again after reranking; a leaf's size of those with most copies is searched by every
-query. Leaves are split into cells of bounded size.
+of each tree. A query takes leaves of all trees from one shared priority queue, likeliest first, until
+they hold enough vectors, and what the leaves hold is reranked by exact distance, each candidate once
+however many trees gave it. Equal vectors, which no plane can part, are one vector in trees, leaves and
+searches, and become their ids again after reranking; a few of most copies are candidates of every query.
+Vectors and queries meet in blocks of bounded size.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenrow.llm.common import cut, table
+from lumenrow.llm.common import cut, join_hot, table
 
 #: Trees are fitted to at most so many vectors, first by a hash of their ids; all vectors are filed.
 MAX_SAMPLE = 32_768
-TREES = 4
-LEAF = 256
-#: A query takes leaves until they hold SEARCH_FACTOR * n ** SEARCH_POWER distinct ones of the n vectors over all trees, and at
-#: least LEAST_SEARCHED: set on vectors of 64 near-independent components, where recall stays above 0.9 at any n.
-SEARCH_FACTOR, SEARCH_POWER = 6.0, 0.81
-LEAST_SEARCHED = 4_000
-CELL_ROWS = 2_000
+TREES = 8
+#: Vectors a leaf, and the least of the sample's vectors in one: beyond 8 times the sample a leaf is a fixed share of all vectors,
+#: in parts of at most a block.
+LEAF, LEAST_LEAF = 16, 2
+#: A query takes leaves until they hold SEARCH_FACTOR * n ** SEARCH_POWER of the n vectors, counted in each tree, and at least
+#: LEAST_SEARCHED: set on vectors of 64 near-independent components, where recall stays above 0.93 from 500 to
+#: 600,000 of them while the share that is reranked falls from 0.7 to 0.16.
+SEARCH_FACTOR, SEARCH_POWER = 5.0, 0.75
+LEAST_SEARCHED = 640
+#: Width of the logistic that says how likely a neighbour is beyond a plane, in standard deviations of a component.
+SPREAD = 1.3
+#: So many vectors, those of most copies, are candidates of every query: each stands for many possible neighbours.
+ALWAYS = 256
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4_096
 K = 10
 
 
@@ -41,6 +52,32 @@ class Tree:
     offsets: np.ndarray
     kids: np.ndarray
 
+    @property
+    def n_leaves(self) -> int:
+        return len(self.planes) + 1
+
+    @functools.cached_property
+    def levels(self) -> list[np.ndarray]:
+        """The nodes of each depth."""
+        found, now = [], np.zeros(min(1, len(self.planes)), np.int64)
+        while len(now):
+            found.append(now)
+            now = self.kids[now].ravel()
+            now = now[now >= 0]
+        return found
+
+    def costs(self, q: np.ndarray, spread: float) -> np.ndarray:
+        """Of each leaf, how unlikely it holds a neighbour of ``q``: the sum along its path of the negative log of a
+        logistic of the margin in ``spread``."""
+        margin = (self.planes @ q - self.offsets) / spread
+        step = np.logaddexp(0, np.stack([margin, -margin], 1))
+        node, leaf = np.zeros(len(self.planes)), np.zeros(self.n_leaves)
+        for level in self.levels:
+            below, cost = self.kids[level], node[level][:, None] + step[level]
+            node[below[below >= 0]] = cost[below >= 0]
+            leaf[-below[below < 0] - 1] = cost[below < 0]
+        return leaf
+
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row of ``x``."""
         at = np.zeros(len(x), np.int64)
@@ -96,31 +133,41 @@ class Forest:
     trees: list[Tree]
     #: Vectors filed in each leaf of each tree.
     sizes: list[np.ndarray]
-
-    def search(self, q: np.ndarray, enough: int) -> list[tuple[int, int]]:
-        """(tree, leaf) of the leaves a query takes: a shared queue, least sum of squared distances to the planes crossed first."""
-        queue: list[tuple[float, int, int]] = [(0.0, t, 0 if len(tree.planes) else -1) for t, tree in enumerate(self.trees)]
+    spread: float
+
+    @property
+    def first(self) -> np.ndarray:
+        """What is added to a leaf's number in its tree to number the leaves of all trees."""
+        return np.concatenate([[0], np.cumsum([tree.n_leaves for tree in self.trees])])
+
+    def search(self, q: np.ndarray, enough: int) -> np.ndarray:
+        """The leaves, numbered over all trees, that a query takes.
+
+        The queue holds the next leaf of each tree; the likeliest is taken and the next of its tree
+        comes in.
+        """
+        first, turns = self.first, []
+        for t, tree in enumerate(self.trees):
+            cost = tree.costs(q, self.spread)
+            order = np.argsort(cost, kind="stable")
+            turns.append(zip(cost[order].tolist(), itertools.repeat(t), (order + first[t]).tolist(), self.sizes[t][order].tolist()))
+        queue = [next(turn) for turn in turns]
         heapq.heapify(queue)
         taken, held = [], 0
-        margins = [tree.planes @ q - tree.offsets for tree in self.trees]
         while queue and held < enough:
-            far, t, node = heapq.heappop(queue)
-            while node >= 0:
-                m = margins[t][node]
-                near, other = self.trees[t].kids[node][int(m >= 0)], self.trees[t].kids[node][int(m < 0)]
-                heapq.heappush(queue, (far + float(m) ** 2, t, int(other)))
-                node = int(near)
-            size = int(self.sizes[t][-node - 1])
+            _, t, leaf, size = queue[0]
             if size:
-                taken.append((t, -node - 1))
+                taken.append(leaf)
                 held += size
-        return taken
+            following = next(turns[t], None)
+            heapq.heapreplace(queue, following) if following else heapq.heappop(queue)
+        return np.array(taken, np.int64)
 
 
-def usable(vector: Column, width: int) -> Column:
-    """Whether a vector is of ``width``, not all zero and without null or non-finite components."""
+def usable(vector: Column) -> Column:
+    """Whether a vector is not all zero and without null or non-finite components."""
     bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return (F.size(vector) == width) & ~bad & F.exists(vector, lambda v: v != 0)
+    return ~bad & F.exists(vector, lambda v: v != 0)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -139,73 +186,105 @@ def filed(vectors: DataFrame, trees: list[Tree], width: int) -> DataFrame:
     return vectors.withColumn("leaves", leaves("embedding"))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K, trees: int = TREES, factor: float = SEARCH_FACTOR, least: int = LEAST_SEARCHED, max_sample: int = MAX_SAMPLE) -> DataFrame:
+FOUND = pa.schema([("asked", pa.string()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def rerank(forest: Forest, width: int, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A function of a block of queries (asked, query, taken) and one of vectors (ids, embedding, leaves): the nearest candidates.
+
+    A query's candidates are the block's vectors that lie in any leaf it takes, and those marked
+    ``always``; the ids of the k + 1 nearest are given.
+    """
+    first = forest.first
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {name: [] for name in FOUND.names}
+        if left.num_rows and right.num_rows:
+            ids = right["ids"].to_pylist()
+            order = np.argsort([each[0] for each in ids], kind="stable")
+            y = _matrix(right["embedding"].combine_chunks(), width)[order]
+            leaves = (_matrix(right["leaves"].combine_chunks(), len(forest.trees)).astype(np.int64)[order] + first[:-1]).ravel()
+            rows, ends = np.argsort(leaves, kind="stable") // len(forest.trees), np.cumsum(np.bincount(leaves, minlength=int(first[-1])))
+            starts = ends - np.diff(ends, prepend=0)
+            always = np.array(right["always"].to_pylist(), bool)[order]
+            for asked, taken, q in zip(left["asked"].to_pylist(), left["taken"].to_pylist(), _matrix(left["query"].combine_chunks(), width), strict=True):
+                taken = np.frombuffer(taken, "<i4")
+                sizes, here = ends[taken] - starts[taken], always.copy()
+                here[rows[np.repeat(starts[taken] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]] = True
+                at = np.flatnonzero(here)
+                score = np.sqrt(((y[at] - q) ** 2).sum(1))
+                for i in np.argsort(score, kind="stable")[: k + 1]:
+                    out["vec_id"] += ids[order[at[i]]]
+                    out["score"] += [score[i]] * len(ids[order[at[i]]])
+                    out["asked"] += [asked] * len(ids[order[at[i]]])
+        return pa.table(out, FOUND)
+
+    return run
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = K, **options: object) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found to each query by Euclidean distance.
 
-    Ties go to the smaller vec_id; rows that repeat a vec_id count once, with the smaller embedding.
-    Null ids, and vectors that are null, zero, hold null or non-finite components, or are not of the
-    commonest width (the smallest of equally common ones), take no part. With at most
-    ``least / trees`` vectors every candidate is reranked. Other columns are left out; an empty table gives no rows.
+    Ties go to the smaller vec_id. Null ids, and vectors that are null, zero or hold null or
+    non-finite components, take no part. Vectors of one width are searched among themselves, one
+    forest a width. Rows that repeat an id and vector are one; the rows of an id with several
+    vectors are all searched and all searched for, and the id is as near as the nearest of them.
+    Other columns are left out; an empty table gives no rows. ``options`` are those of
+    :func:`search_width`.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("vec_id is not null and size(embedding) > 0")
-    widths = rows.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()
-    width = widths["width"] if widths else 1
-    rows = rows.filter(usable(F.col("embedding"), width))
-    rows = cut(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    copies = rows.withColumn("place", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
-    distinct = cut(copies.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("vec_id"), "embedding", "ids"))
-    queries = cut(rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "embedding").join(distinct.select("embedding", F.col("vec_id").alias("asked")), "embedding").select("query_id", "asked"))
-    total = rows.count()
-    rows = distinct.select("vec_id", "embedding")
-    repeated = [r["vec_id"] for r in distinct.filter(F.size("ids") > 1).orderBy(F.desc(F.size("ids")), "vec_id").limit(LEAF).select("vec_id").collect()]
-    sample = rows.select("embedding", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(max_sample).select("embedding").toArrow()
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", is_query.alias("asks")).filter("vec_id is not null and size(embedding) > 0")
+    key = F.concat(F.hex(F.xxhash64("embedding")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "embedding")))
+    rows = cut(rows.filter(usable(F.col("embedding"))).groupBy("vec_id", "embedding").agg(F.max("asks").alias("asks")).withColumn("key", key))
+    widths = [r[0] for r in rows.select(F.size("embedding")).distinct().orderBy(F.size("embedding")).collect()] or [1]
+    found = [search_width(rows.filter(F.size("embedding") == width), width, k, **options) for width in widths]
+    best = functools.reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search_width(rows: DataFrame, width: int, k: int = K, trees: int = TREES, leaf: int = LEAF, factor: float = SEARCH_FACTOR, least: int = LEAST_SEARCHED, max_sample: int = MAX_SAMPLE) -> DataFrame:
+    """(query_id, vec_id, score) with at least the k nearest ids found to each row that asks.
+
+    ``rows`` (vec_id, embedding, asks, key) are computed and distinct; equal vectors have one key.
+    Every vector is a candidate where all of them in all trees are no more than ``least``.
+    """
+    spark = rows.sparkSession
+    copies = rows.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
+    most = [r["key"] for r in rows.groupBy("key").count().filter("count > 1").orderBy(F.desc("count"), "key").limit(ALWAYS).collect()]
+    distinct = copies.groupBy("key", "embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    distinct = cut(distinct.withColumn("always", F.col("key").isin(most)))
+    queries = cut(rows.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("key").alias("asked")))
+    total = distinct.count()
+    sample = distinct.select("embedding", "key").orderBy("key").limit(max_sample).select("embedding").toArrow()
     x = _matrix(sample["embedding"].combine_chunks(), width) if total else np.empty((0, width))
     rng = np.random.default_rng(5)
-    grown = [grow(x, rng) for _ in range(trees)]
-    index = filed(rows, grown, width)
-    index = cut(index.withColumn("leaves", F.when(F.col("vec_id").isin(repeated), F.array_append("leaves", F.lit(0))).otherwise(F.col("leaves"))))
-    sizes = [np.zeros(max(1, len(tree.planes) + 1), np.int64) for tree in grown] + [np.zeros(1, np.int64)]
-    for r in index.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect():
-        sizes[r["tree"]][r["leaf"]] = r["n"]
-    forest = Forest(grown, sizes)
+    grown = [grow(x, rng, max(LEAST_LEAF, leaf * len(x) // max(1, total))) for _ in range(trees)]
+    index = cut(filed(distinct, grown, width))
+    sizes = [np.zeros(tree.n_leaves, np.int64) for tree in grown]
+    filled = index.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").agg(F.count("*").alias("n")).toArrow()
+    for t in range(trees):
+        mine = filled.filter(pc.equal(filled["tree"], t))
+        sizes[t][mine["leaf"].to_numpy()] = mine["n"].to_numpy()
+    spread = SPREAD * (float(np.sqrt(x.var(0).mean())) if total else 0.0)
+    forest = Forest(grown, sizes, spread if spread > 0 else 1.0)
     enough = max(least, int(factor * total**SEARCH_POWER))
 
-    @F.arrow_udf("array<struct<tree int, leaf int>>")
+    @F.arrow_udf("binary")
     def probes(embedding: pa.Array) -> pa.Array:
-        return pa.array([[{"tree": t, "leaf": leaf} for t, leaf in forest.search(q, enough) + [(trees, 0)] * bool(repeated)] for q in _matrix(embedding, width)], pa.list_(pa.struct([("tree", pa.int32()), ("leaf", pa.int32())])))
-
-    counts = spark.createDataFrame([(t, leaf, int(-(-n // CELL_ROWS))) for t, each in enumerate(sizes) for leaf, n in enumerate(each) if n], "tree int, leaf int, cells int")
-    searched = queries.select(F.col("asked").alias("vec_id")).distinct()
-    asked = index.join(searched, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode(probes("embedding")).alias("at"))
-    asked = asked.select("query_id", "query", F.col("at.tree").alias("tree"), F.col("at.leaf").alias("leaf")).join(F.broadcast(counts), ["tree", "leaf"])
-    asked = asked.select("query_id", "query", "tree", "leaf", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
-    stock = index.select("vec_id", "embedding", F.posexplode("leaves").alias("tree", "leaf")).join(F.broadcast(counts), ["tree", "leaf"])
-    stock = stock.select("vec_id", "embedding", "tree", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("cells")).cast("int").alias("cell"))
-    cell = ["tree", "leaf", "cell"]
-
-    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            ids = right["vec_id"].to_numpy()
-            order = np.argsort(ids)
-            ids, y = ids[order], _matrix(right["embedding"].combine_chunks(), width)[order]
-            for query_id, q in zip(left["query_id"].to_pylist(), _matrix(left["query"].combine_chunks(), width), strict=True):
-                score = np.sqrt(((y - q) ** 2).sum(1))
-                best = np.argsort(score, kind="stable")[: k + 1]
-                out["query_id"] += [query_id] * len(best)
-                out["vec_id"] += ids[best].tolist()
-                out["score"] += score[best].tolist()
-        return pa.table(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
-
-    found = asked.groupBy(*cell).cogroup(stock.groupBy(*cell)).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranks = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    near = best.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= k + 1)
-    each = near.join(distinct.select("vec_id", "ids"), "vec_id").select("query_id", "score", F.explode("ids").alias("vec_id"))
-    each = each.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= k + 1).select(F.col("query_id").alias("asked"), "vec_id", "score")
-    ranked = queries.join(each, "asked").filter("query_id <> vec_id").withColumn("rank", F.row_number().over(ranks))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return pa.array([forest.search(q, enough).astype("<i4").tobytes() for q in _matrix(embedding, width)], pa.binary())
+
+    searched = cut(index.join(queries.select(F.col("asked").alias("key")).distinct(), "key", "left_semi"))
+    blocks, groups = max(1, -(-total // BLOCK_ROWS)), max(1, -(-searched.count() // BLOCK_QUERIES))
+    part = lambda n: F.pmod(F.xxhash64("key", F.lit(3)), F.lit(n)).cast("int")
+    asked = cut(searched.repartition("key").select("key", F.col("embedding").alias("query"), probes("embedding").alias("taken")))
+    asked = asked.select(F.col("key").alias("asked"), "query", "taken", part(groups).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    stock = index.select("ids", "embedding", "leaves", "always", part(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    near = asked.groupBy("block", "group").cogroup(stock.groupBy("block", "group")).applyInArrow(rerank(forest, width, k), "asked string, vec_id long, score double")
+    ranks = Window.partitionBy("asked").orderBy("score", "vec_id")
+    near = cut(near.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= k + 1).drop("rank"))
+    places = near.groupBy("asked").agg(F.collect_list(F.struct("vec_id", "score")).alias("near"))
+    each = join_hot(queries, places, "asked").select("query_id", F.explode("near").alias("at"))
+    return each.select("query_id", F.col("at.vec_id").alias("vec_id"), F.col("at.score").alias("score")).filter("query_id <> vec_id")
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
