@@ -114,7 +114,14 @@ def gap_islands(rows: DataFrame, by: str, order: list[Column], at: Column, end:
     return rows.withColumn("_new", F.when(far, 1).otherwise(0)).withColumn(name, F.sum("_new").over(w)).drop("_new")
 
 
-def corpus_title_array(titles: DataFrame) -> DataFrame:
-    """One row with all learned titles, longest first, for documents of one folder."""
+def learned_titles_of_folders(documents: DataFrame, least: int = 2) -> DataFrame:
+    """(folder, titles): the keys that pages or documents of each folder begin with at least ``least`` times, longest first.
+
+    ``documents`` has folder, doc_id and text; a folder without such titles has no row.
+    """
+    lines = documents.select(F.struct("folder", "doc_id").alias("doc_id"), F.posexplode(physical_lines(F.coalesce("text", F.lit("")))).alias("n", "line"))
+    head = nonblank(lines).withColumn("_first", F.row_number().over(_by_line())).filter("_first = 1").drop("_first")
+    found = titled(first_after_marker(lines).unionByName(head).dropDuplicates(["doc_id", "n"]))
+    titles = found.groupBy("doc_id.folder", "title_key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     longest_first = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).otherwise(F.when(a < b, -1).when(a > b, 1).otherwise(0))
-    return titles.agg(F.array_sort(F.collect_set("title_key"), longest_first).cast(T.ArrayType(T.StringType())).alias("titles"))
+    return titles.groupBy("folder").agg(F.array_sort(F.collect_set("title_key"), longest_first).cast(T.ArrayType(T.StringType())).alias("titles"))

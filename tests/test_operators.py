@@ -108,22 +108,68 @@ def test_fuzzy_titles_of_whole_lines_equal_brute_force(spark, tmp_path):
     assert len(due) >= 5 and {tuple(r) for r in documents.fuzzy_titles(spark, str(tmp_path)).select("title_key", "learned_key", "ratio").collect()} == due
 
 
-def test_cleaner():
+def test_cleaner_sews_pages():
     assert cleaning.clean("first part of the text and,\n\n### Page 2\n\nI went home.\n")[0] == "first part of the text and, I went home.\n"
     assert cleaning.clean('He said "we are\n\n### Page 11\n\n44 going" home.\n')[0] == 'He said "we are going" home.\n'
-    both = cleaning.clean("### Page 1\n\n9. On Some Things\nBody one is here.\n### Page 2\n\ng. On Some Things\nBody two is here.\n")[0]
-    assert "Things" not in both and "Body one is here." in both and "Body two is here." in both
-    assert cleaning.clean("Chapter 5\n\n### Page 2\nText.\n")[0].startswith("Chapter 5\n")
+    assert cleaning.clean("All is said.\n### Page 3\nNew words.\n")[0] == "All is said.\n\nNew words.\n"
+    assert cleaning.clean("A long line that goes up to the border of the page, 77\n### Page 78\nand beyond it.\n")[0] == "A long line that goes up to the border of the page, and beyond it.\n"
+    assert cleaning.clean("Room 12\n### Page 3\nNew words.\n")[0] == "Room 12\n\nNew words.\n"
     assert cleaning.clean("12\n")[0] == "12\n"
     assert cleaning.clean("Words of a body.\n\n14\n") == ("Words of a body.\n", 1, 0)
     assert cleaning.clean("")[0] == ""
+
+
+def test_cleaner_takes_titles_and_numbers_from_page_heads():
+    both = cleaning.clean("### Page 1\n\n9. Of Ships And Tides\nThe harbour lay still.\n### Page 2\n\ng. Of Ships And Tides\nNobody came ashore.\n")[0]
+    assert both == "The harbour lay still.\n\nNobody came ashore.\n"
+    scanned = cleaning.clean("### Page 30\nOf Shlps And Tides 30-\nThe harbour lay still.\n", titles={"of ships and tides"})[0]
+    assert scanned == "The harbour lay still.\n"
+    assert cleaning.clean("Chapter 5\n\n### Page 2\nText.\n")[0].startswith("Chapter 5\n")
+    assert cleaning.clean("### Page 1\n\n61 Chapter 4 Anna came late.\n")[0] == "Chapter 4 Anna came late.\n"
+    assert cleaning.clean("### Page 2\n\n208 I knew then that it was over.\n")[0] == "I knew then that it was over.\n"
+    assert cleaning.clean("The road,\n\n### Page 2\n\nI took it the next day.\n")[0] == "The road, I took it the next day.\n"
+    pages = "".join(f"### Page {i}\n\n{200 + i} {head}\n\n" for i, head in enumerate(["My second house was small.", "My second garden was not.", "All roads were closed.", "All right, we may go."]))
+    assert [x for x in cleaning.clean(pages)[0].split("\n") if x] == ["My second house was small.", "My second garden was not.", "All roads were closed.", "All right, we may go."]
+    run_in = cleaning.clean("### Page 40\nOf Ships And Tides 40. the harbour lay still, and nobody came ashore.\n", titles={"of ships and tides"})[0]
+    assert run_in == "the harbour lay still, and nobody came ashore.\n"
+
+
+def test_cleaner_takes_noise_literals_and_the_users_title():
     assert cleaning.clean("a\nAD\nb AD c\n", literal="AD")[0] == "a\nb c\n"
-    assert cleaning.clean("The Evil  8 They are right.\n", header="The Evil")[0] == "They are right.\n"
+    assert cleaning.clean("x\r\nAD\r\nON\r\ny\r\n", literal="AD\nON\n") == ("x\ny\n", 1, 0)
+    assert cleaning.clean("Tides And Men  8 They are right.\n", header="Tides  And Men")[0] == "They are right.\n"
+    assert cleaning.clean("one\n### Source PDF: x.pdf\n\n33 % 2 hrs 5 mins left in chapter 9\ntwo Page 3 of 80\nthree 14 %\n") == ("one\ntwo\nthree\n", 4, 1)
+    assert cleaning.clean("### Source PDF: x.pdf\n\n### Page 1\n\n208 I knew then.\n")[0] == "I knew then.\n"
+
+
+def test_page_tokens_and_titles():
+    assert cleaning.page_token("1O") == (10, True) and cleaning.page_token("g") == (9, False) and cleaning.page_token("٣٤") == (34, True)
+    assert cleaning.page_token("123456") is None and cleaning.page_token("x1") is None
+    read = lambda line: (t := cleaning.whole_title(line)) and (t.page, t.text, t.key)
+    assert read("g. Of Ships") == (9, "Of Ships", "of ships") and read("Of Ships 55-") == (55, "Of Ships", "of ships") and read("12 • Of Ships ") == (12, "Of Ships", "of ships")
+    assert read("I went") is None and read("12 the") is None and read("12 34") is None and read("9 " + "x" * 91) is None and read("no number") is None
 
 
 def test_side_notes_move_behind_their_paragraph():
-    text = "both the feel of the\nBIRTH CONTROL opposite The discovery of it\nmodern age came.\nNext one.\n"
-    assert cleaning.relocate_captions(text) == ("both the feel of the modern age came.\nBIRTH CONTROL opposite The discovery of it\nNext one.\n", 1)
+    text = "we heard the bells of the\nTOWN HALL opposite The square in spring\nold town ring.\nThen it rained.\n"
+    assert cleaning.relocate_captions(text) == ("we heard the bells of the old town ring.\nTOWN HALL opposite The square in spring\nThen it rained.\n", 1)
+    apart = "We heard the bells of\n\nTOWN HALL opposite The square\n\nthe old town.\n\nThen it rained."
+    assert cleaning.relocate_captions(apart) == ("We heard the bells of the old town.\n\nTOWN HALL opposite The square\n\nThen it rained.", 1)
+    before = "TOWN HALL opposite The square\n\nWe heard the bells of\n\nthe old town.\n"
+    assert cleaning.relocate_captions(before) == ("We heard the bells of the old town.\n\nTOWN HALL opposite The square\n", 1)
+    summed = "All was well.\n\nTHE BRIDGE above An iron bridge crosses the river\n\nThe iron bridge crosses the river near the mill.\n\nThe end."
+    assert cleaning.relocate_captions(summed)[0].split("\n\n")[1] == "The iron bridge crosses the river near the mill.\nTHE BRIDGE above An iron bridge crosses the river"
+    for calm in ("", "Plain.\n\nthe picture opposite is small\n\nmore.", "One line"):
+        assert cleaning.relocate_captions(calm) == (calm, 0)
+
+
+def test_titles_of_a_folder_clean_its_documents(spark):
+    rows = [("f", 1, "30 Of Ships And Tides\nthe harbour lay still, and nobody came ashore.\n"), ("f", 2, "31 Of Ships And Tides\nIt rained, and the day was long there.\n"), ("g", 3, "9 Of Ships And Tides\nIt rained, and the day was long there.\n")]
+    d = spark.createDataFrame(rows, "folder string, doc_id int, text string")
+    of_folders = lines.learned_titles_of_folders(d)
+    assert {r.folder: r.titles for r in of_folders.collect()} == {"f": ["of ships and tides"]}
+    got = {r.doc_id: r.text for r in cleaning.clean_documents(d, titles=of_folders).collect()}
+    assert got == {1: "the harbour lay still, and nobody came ashore.\n", 2: "It rained, and the day was long there.\n", 3: rows[2][2]}
 
 
 def test_clean_documents(spark):
