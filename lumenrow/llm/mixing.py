@@ -2,16 +2,21 @@
 
 Sizes are summed per source, caps and weights give each source a target by water-filling, and the
 ratio of target to size is the rate at which its documents repeat: floor(rate) whole copies and one
-more by a coin that is a hash of seed, id and text, so that every run tosses alike.
+more by a coin that is a hash of seed, id, text and, among equal rows, number, so that every run
+tosses alike.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenrow.llm.common import cut, table, word_count
+from lumenrow.llm.common import cut, join_hot, table, word_count
+from lumenrow.operators.report import ranked
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEAT = 3
@@ -21,9 +26,10 @@ BROADCAST_SOURCES = 50_000
 BROADCAST_BYTES = 8 << 20
 
 
-def coin(doc_id: Column, text: Column, seed: str = SEED) -> Column:
-    """A double in [0, 1) from the first 52 bits of an MD5 over seed, id and text."""
-    key = F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+def coin(doc_id: Column, text: Column, number: Column, seed: str = SEED) -> Column:
+    """A double in [0, 1) from the first 52 bits of an MD5 over seed, id and text, and from the second equal row on its number."""
+    again = F.when(number > 1, number.cast("string"))
+    key = F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")), again)
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
@@ -31,38 +37,70 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
     """(source, source_size, target, rate) from rows of (source, size).
 
     Sources in code point order, null last, take the weights in turn. A target never passes
-    ``max_repeat`` times the size of its source; what is cut there is shared again by weight. Sources
-    of no words get target and rate 0.
+    ``max_repeat`` times the size of its source; what is cut there is shared again by weight, round
+    by round until no source is above. Sources of no words get target and rate 0. Sources are ranked
+    and summed in parts, so that any number of them may be.
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    everywhere = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    rows = sums.withColumn("place", F.row_number().over(by_name))
-    rows = rows.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") - 1) % len(weights) + 1))
-    rows = rows.withColumn("cap", F.col("source_size") * float(max_repeat)).withColumn("fill", F.col("cap") / F.col("weight"))
-    #: In order of fill the capped sources come first; level is the share a weight of 1 gets if all before are capped.
-    before = Window.orderBy("fill", "place").rowsBetween(Window.unboundedPreceding, -1)
-    total, weight = F.sum("source_size").over(everywhere), F.sum("weight").over(everywhere)
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (weight - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    rows = rows.withColumn("level", level)
-    open_level = F.when(F.col("fill") >= F.col("level"), F.struct("fill", "place", "level"))
-    rows = rows.withColumn("final", F.min(open_level).over(everywhere).getField("level"))
-    rows = rows.withColumn("target", F.least("cap", F.coalesce(F.col("weight") * F.col("final"), F.col("cap"))))
+    rows = ranked(sums, [F.asc(F.col("source").isNull()), F.asc("source")], "place")
+    rows = rows.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int")))
+    rows = cut(rows.withColumn("cap", F.col("source_size") * float(max_repeat)).withColumn("fill", F.col("cap") / F.col("weight")))
+    level, closed = float("-inf"), -1
+    while True:
+        open_ = F.col("fill") >= F.lit(level)
+        total, capped, weight, now = rows.agg(F.sum("source_size"), F.sum(F.when(~open_, F.col("cap")).otherwise(0.0)), F.sum(F.when(open_, F.col("weight")).otherwise(0.0)), F.count_if(~open_)).first()
+        if now == closed or not weight:
+            break
+        closed, level = now, (total - capped) / weight
+    rows = rows.withColumn("target", F.least("cap", F.col("weight") * F.lit(level if weight else float("inf"))))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeat)))).otherwise(0.0)
     return rows.select("source", "source_size", "target", rate.alias("rate"))
 
 
+def _equal(columns: list[str]) -> Column:
+    """Whether columns equal those of another table that have ``_of`` behind their names; nulls are equal."""
+    return functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in columns))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc, number) of each row: 1, and on among rows of equal id, text and source.
+
+    Only such rows are moved: they are numbered within each part of the table, and each part behind
+    those before it, so that rows that repeat very often are no single task.
+    """
+    rows = docs.select(F.struct("*").alias("doc"))
+    same = [F.col("doc.doc_id").alias("_id"), F.md5(F.coalesce("doc.text", F.lit("")).cast("binary")).alias("_text"), F.col("doc.source").alias("_source")]
+    repeated = cut(rows.select(*same).groupBy("_id", "_text", "_source").count().filter("count > 1").drop("count"))
+    n = repeated.count()
+    if not n:
+        return rows.withColumn("number", F.lit(1).cast("long"))
+    keyed = rows.select("doc", *same, F.spark_partition_id().alias("_part"))
+    known = repeated.select(*(F.col(c).alias(f"{c}_of") for c in repeated.columns))
+    known = F.broadcast(known) if n <= BROADCAST_SOURCES else known
+    key = repeated.columns
+    again = cut(keyed.join(known, _equal(key), "left_semi"))
+    within = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(F.xxhash64("doc")))
+    parts = again.groupBy(*key, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select(*(F.col(c).alias(f"{c}_of") for c in [*key, "_part"]), before.alias("_before"))
+    second = again.withColumn("_within", within).join(starts, _equal([*key, "_part"])).select("doc", (F.col("_before") + F.col("_within")).alias("number"))
+    return keyed.join(known, _equal(key), "left_anti").select("doc", F.lit(1).cast("long").alias("number")).unionByName(second)
+
+
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT, seed: str = SEED) -> DataFrame:
     """For each document (doc, size, source_size, target, copies); ``doc`` is the whole input row as a struct.
 
-    A null text has size 0. Rows that repeat id and text toss the same coin. Any further columns of
-    the input, whatever their names, stay inside ``doc``. An empty table gives no rows.
+    A null text has size 0. Rows that repeat id, text and source toss a coin each. Any further
+    columns of the input, whatever their names, stay inside ``doc``. An empty table gives no rows.
     """
     targets = cut(source_targets(docs.select("source", word_count(F.col("text")).alias("size")), weights, max_repeat))
     bound = targets.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
-    small = F.broadcast(targets) if bound[0] <= BROADCAST_SOURCES and bound[1] <= BROADCAST_BYTES else targets
-    rows = docs.select(F.struct("*").alias("doc"), word_count(F.col("text")).alias("size"), coin(F.col("doc_id"), F.col("text"), seed).alias("coin"))
-    joined = rows.join(small, F.col("doc.source").eqNullSafe(F.col("source")), "inner")
+    rows = numbered(docs).select("doc", word_count(F.col("doc.text")).alias("size"), coin(F.col("doc.doc_id"), F.col("doc.text"), F.col("number"), seed).alias("coin"))
+    key = lambda source: F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+    if bound[0] <= BROADCAST_SOURCES and bound[1] <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(targets), F.col("doc.source").eqNullSafe(F.col("source")), "inner")
+    else:
+        joined = join_hot(rows.withColumn("_key", key(F.col("doc.source"))), targets.withColumn("_key", key(F.col("source"))), "_key", salt_by="coin")
     copies = F.floor("rate") + F.when(F.col("coin") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return joined.select("doc", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
@@ -80,10 +118,12 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-with sized as (
+with counted as (
+  select *, row_number() over (partition by doc_id, coalesce(text, ''), source) as number from documents
+), sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 13))::bigint::double / 4503599627370496.0 as coin
-  from documents
+         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, '')) || case when number > 1 then ':' || number else '' end), 1, 13))::bigint::double / 4503599627370496.0 as coin
+  from counted
 ), sums as (
   select source, sum(size)::bigint as source_size from sized group by source
 ), placed as (

@@ -431,6 +431,14 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+def test_many_sources_are_joined_by_shuffle(spark, monkeypatch):
+    d = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text")).withColumnRenamed("id", "doc_id")
+    rows = lambda: Counter(mixing.mix_plan(d).select("doc.doc_id", "target", "copies").collect())
+    whole = rows()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    assert rows() == whole and len(whole) == 4000
+
+
 def test_taken_words_come_near_targets(spark):
     rng = random.Random(0)
     rows = [(i, "w " * rng.randint(1, 80), rng.choice("aaaaabc")) for i in range(6000)]
@@ -439,6 +447,16 @@ def test_taken_words_come_near_targets(spark):
     assert all(abs(r.taken / r.target - 1) < 0.05 for r in sums.collect())
 
 
+def test_equal_rows_toss_a_coin_each(spark):
+    rows = [(7, "ten words of text that all the rows have alike", "a")] * 1000 + [(i, "w " * 10, "b") for i in range(1000)] + [(None, None, None)] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix_plan(d)
+    sums = {r.source: (r.taken, r.target) for r in plan.groupBy("doc.source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()}
+    assert all(abs(sums[k][0] / sums[k][1] - 1) < 0.1 for k in "ab") and plan.count() == len(rows)
+    again = mixing.mix_plan(d.repartition(7))
+    assert Counter(tuple(r) for r in plan.groupBy("doc.doc_id", "copies").count().collect()) == Counter(tuple(r) for r in again.groupBy("doc.doc_id", "copies").count().collect())
+
+
 # ---- queries and pipeline ----
 
 
