@@ -71,15 +71,17 @@ def with_small_side(left: DataFrame, small: DataFrame, on: Column, how: str, max
 HOT_SHARE, HOT_ROWS = 200, 200
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner", salt_by: str | None = None) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner", salt_by: str | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Join computed rows to a table of one row a key, where a few keys may have much of ``left``.
 
     Rows of such keys are dealt to salts, about one for each HOT_SHARE-th of all rows, and their rows
     of ``right`` are there once for each salt: no task gets a whole key, and nothing is broadcast for it.
-    Salts are hashes of the whole row, or of the column ``salt_by``.
+    Salts are hashes of the whole row, or of the column ``salt_by``. ``counted`` is a computed table
+    with the keys of ``left``, where that is still to be computed.
     """
-    most = left.count() / HOT_SHARE
-    found = left.filter(F.col(on).isNotNull()).groupBy(on).count().filter(F.col("count") > max(most, HOT_ROWS)).collect()
+    counted = left if counted is None else counted
+    most = counted.count() / HOT_SHARE
+    found = counted.filter(F.col(on).isNotNull()).groupBy(on).count().filter(F.col("count") > max(most, HOT_ROWS)).collect()
     if not found:
         return left.join(right, on, how)
     salts = F.create_map(*(F.lit(v) for r in found for v in (bytes(r[0]) if isinstance(r[0], bytearray) else r[0], math.ceil(r[1] / most))))

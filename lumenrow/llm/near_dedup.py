@@ -272,14 +272,20 @@ def _similar(found_a: pa.Array, weights_a: pa.Array, found_b: pa.Array, weights_
 
 
 def verified(pairs: DataFrame, reps: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) of ``pairs`` (computed, distinct) of at least ``threshold`` weighted Jaccard similarity."""
+    """The (a, b) of ``pairs`` (computed, distinct) of at least ``threshold`` weighted Jaccard similarity.
 
-    def joined(rows: DataFrame, table_: DataFrame, side: str, columns: list[str]) -> DataFrame:
-        mine = table_.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
-        return join_hot(rows, mine, side)
+    Up to BROADCAST_IDS pairs go to the rows of b, which then move once, to those of a; more are joined by shuffle.
+    """
+
+    def joined(found: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+        side = lambda name: rows.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+        if found.count() > BROADCAST_IDS:
+            return join_hot(join_hot(found, side("b"), "b"), side("a"), "a", salt_by="b", counted=found)
+        firsts = cut(found.select("a").distinct())
+        return join_hot(side("b").join(F.broadcast(found), "b"), side("a").join(F.broadcast(firsts), "a", "left_semi"), "a", salt_by="b", counted=found)
 
-    near = cut(joined(joined(pairs, reps, "b", ["samples"]), reps, "a", ["samples"]).filter(_agreed("samples_a", "samples_b") >= LEAST_AGREED).select("a", "b"))
-    whole = joined(joined(near, features, "b", ["found", "weights"]), features, "a", ["found", "weights"])
+    near = cut(joined(pairs, reps, ["samples"]).filter(_agreed("samples_a", "samples_b") >= LEAST_AGREED).select("a", "b"))
+    whole = joined(near, features, ["found", "weights"])
     return cut(whole.filter(_similar("found_a", "weights_a", "found_b", "weights_b") >= threshold).select("a", "b").distinct())
 
 
@@ -390,8 +396,8 @@ def rest_links(slots: DataFrame, roots: DataFrame, reps: DataFrame, features: Da
     large = rooted.filter(F.col("n") > PAIRED_ROWS)
     if not large.limit(1).count():
         return links
-    large = large.withColumn("open", F.col("root") != F.col("first_root")).drop("first_root", "n")
-    large = large.join(features, "node").join(reps.select("node", "samples"), "node")
+    large = _small(large.withColumn("open", F.col("root") != F.col("first_root")).drop("first_root", "n"))
+    large = features.join(reps.select("node", "samples").join(large, "node"), "node")
     path = fresh_path(spark, "near-blocks")
     large.write.parquet(path)
     blocks = lambda rows: F.greatest(F.ceil(F.count(F.when(rows, 1)) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(F.when(rows, F.octet_length("found"))), F.lit(0)) / BLOCK_BYTES)).cast("int")
@@ -440,7 +446,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     order = F.unhex(F.lpad(F.hex(F.coalesce("least", F.lit((1 << 63) - 1)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
     reps = cut(grouped.select(F.concat(order, "digest").alias("node"), "digest", "least", "samples", "bands"))
     keyed = cut(reps.select("node", F.posexplode("bands").alias("band", "key")))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("first"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).getField("node").alias("other"), F.count("*").alias("n")).filter("n > 1")
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
     slots = cut(join_hot(keyed, buckets, "key"))
     path = fresh_path(docs.sparkSession, "near-features")
     wanted = reps.join(slots.select("node").distinct(), "node", "left_semi")
@@ -451,10 +457,12 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     tried = cut(slots.filter("node <> first").groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
     links = verified(tried, reps, features, threshold)
     roots = cut(connected_components(links))
-    large = cut(slots.filter(F.col("n") > PAIRED_ROWS).select("node", F.explode(F.array("first", "other")).alias("lead")).filter("node <> lead").distinct())
-    if large.limit(1).count():
+    crowded = cut(slots.filter(F.col("n") > PAIRED_ROWS))
+    if crowded.limit(1).count():
+        others = crowded.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).getField("node").alias("other"))
+        large = join_hot(crowded, others, "key").select("node", F.explode(F.array("first", "other")).alias("lead")).filter("node <> lead").distinct()
         root = lambda rows, side: join_hot(rows, roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
-        apart = root(cut(root(large, "node")), "lead").filter("node_root <> lead_root")
+        apart = root(cut(root(cut(large), "node")), "lead").filter("node_root <> lead_root")
         more = cut(apart.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
         links, tried = links.unionByName(verified(more, reps, features, threshold)), tried.unionByName(more)
         roots = cut(connected_components(links))
