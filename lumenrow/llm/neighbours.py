@@ -41,6 +41,9 @@ SPREAD = 1.3
 #: So many vectors, those of most copies, are candidates of every query: each stands for many possible neighbours.
 ALWAYS = 256
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4_096
+SEARCHES_A_TASK = 64
+#: Keys of queries, 34 bytes each, that are broadcast to pick their vectors; more are joined by shuffle.
+BROADCAST_KEYS = 200_000
 K = 10
 
 
@@ -273,10 +276,12 @@ def search_width(rows: DataFrame, width: int, k: int = K, trees: int = TREES, le
     def probes(embedding: pa.Array) -> pa.Array:
         return pa.array([forest.search(q, enough).astype("<i4").tobytes() for q in _matrix(embedding, width)], pa.binary())
 
-    searched = cut(index.join(queries.select(F.col("asked").alias("key")).distinct(), "key", "left_semi"))
-    blocks, groups = max(1, -(-total // BLOCK_ROWS)), max(1, -(-searched.count() // BLOCK_QUERIES))
+    wanted = cut(queries.select(F.col("asked").alias("key")).distinct())
+    searched = cut(index.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "key", "left_semi"))
+    n_asked = searched.count()
+    blocks, groups = max(1, -(-total // BLOCK_ROWS)), max(1, -(-n_asked // BLOCK_QUERIES))
     part = lambda n: F.pmod(F.xxhash64("key", F.lit(3)), F.lit(n)).cast("int")
-    asked = cut(searched.repartition("key").select("key", F.col("embedding").alias("query"), probes("embedding").alias("taken")))
+    asked = cut(searched.repartition(max(1, n_asked // SEARCHES_A_TASK), "key").select("key", F.col("embedding").alias("query"), probes("embedding").alias("taken")))
     asked = asked.select(F.col("key").alias("asked"), "query", "taken", part(groups).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     stock = index.select("ids", "embedding", "leaves", "always", part(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     near = asked.groupBy("block", "group").cogroup(stock.groupBy("block", "group")).applyInArrow(rerank(forest, width, k), "asked string, vec_id long, score double")
