@@ -61,30 +61,30 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def with_small_side(left: DataFrame, small: DataFrame, on: Column, how: str, max_rows: int = 200_000) -> DataFrame:
-    """Join a computed side of counted rows: broadcast up to ``max_rows`` short rows, shuffled beyond."""
-    side = cut(small)
-    return left.join(F.broadcast(side) if side.count() <= max_rows else side, on, how)
-
-
 #: A key with more than one in HOT_SHARE of the rows, and more than HOT_ROWS, is split; at most HOT_SHARE keys are.
 HOT_SHARE, HOT_ROWS = 200, 200
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner", salt_by: str | None = None, counted: DataFrame | None = None) -> DataFrame:
-    """Join computed rows to a table of one row a key, where a few keys may have much of ``left``.
+def hot_keys(counted: DataFrame, on: str, n: str | None = None) -> dict:
+    """Salts for each key that more than one in HOT_SHARE of the rows have, from computed rows, or keys with their rows in ``n``."""
+    rows = F.count("*") if n is None else F.sum(n)
+    total = counted.agg(rows).first()[0] or 0
+    found = counted.filter(F.col(on).isNotNull()).groupBy(on).agg(rows.alias("rows")).filter(F.col("rows") > max(total / HOT_SHARE, HOT_ROWS)).collect()
+    return {bytes(r[0]) if isinstance(r[0], bytearray) else r[0]: math.ceil(r[1] * HOT_SHARE / total) for r in found}
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner", salt_by: str | None = None, counted: DataFrame | None = None, hot: dict | None = None) -> DataFrame:
+    """Join rows to a table of one row a key, where a few keys may have much of ``left``.
 
     Rows of such keys are dealt to salts, about one for each HOT_SHARE-th of all rows, and their rows
     of ``right`` are there once for each salt: no task gets a whole key, and nothing is broadcast for it.
-    Salts are hashes of the whole row, or of the column ``salt_by``. ``counted`` is a computed table
-    with the keys of ``left``, where that is still to be computed.
+    Salts are hashes of the whole row, or of the column ``salt_by``. Hot keys are found by counting
+    ``left``, which is computed then, or a computed table ``counted`` with its keys, or are given.
     """
-    counted = left if counted is None else counted
-    most = counted.count() / HOT_SHARE
-    found = counted.filter(F.col(on).isNotNull()).groupBy(on).count().filter(F.col("count") > max(most, HOT_ROWS)).collect()
-    if not found:
+    hot = hot_keys(left if counted is None else counted, on) if hot is None else hot
+    if not hot:
         return left.join(right, on, how)
-    salts = F.create_map(*(F.lit(v) for r in found for v in (bytes(r[0]) if isinstance(r[0], bytearray) else r[0], math.ceil(r[1] / most))))
+    salts = F.create_map(*(F.lit(v) for pair in hot.items() for v in pair))
     n = F.coalesce(F.try_element_at(salts, F.col(on)), F.lit(1))
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*([salt_by] if salt_by else left.columns)), n).cast("int"))
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))

@@ -18,5 +18,6 @@ QUERIES = {
 }
 ORACLES = {
     "op4_chat_format": chat_format.ORACLE,
+    "op6_url_filter": url_filter.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
 }

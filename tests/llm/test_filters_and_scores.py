@@ -143,17 +143,19 @@ def test_urls(spark):
 
 
 def test_url_model_equals_brute_force(spark):
-    keys = [("ab", "allow", 3), ("ba", "block", 2), ("abc", None, 1)]
-    got = {r.gram: r.ratio for r in url_filter.gram_ratios(spark.createDataFrame(keys, "key string, verdict string, n int")).collect()}
-    grams = {v: defaultdict(float) for v in ("allow", "block")}
+    keys = [("ab/", "allow", 3), ("ba?x=12", "block", 2), ("abç", None, 1), ("", "allow", 1)]
+    d = spark.createDataFrame(keys, "key string, verdict string, n int").select("verdict", "n", F.explode(url_filter._grams(F.col("key"))).alias("gram"))
+    got = {r.gram: r.ratio for r in url_filter.gram_ratios(d).collect()}
+    symbols = url_filter.ALPHABET + "^$"
+    number = lambda gram: sum(symbols.index(c) * url_filter.SYMBOLS ** (3 - i) for i, c in enumerate(gram))
+    grams = {v: defaultdict(float) for v in ("allow", "block", None)}
     for key, v, n in keys:
-        text = "^^^" + key + "$"
-        for i in range(len(key) + 1):
-            if v:
-                grams[v][text[i : i + 4]] += n
+        text = "^^^" + key.replace("ç", "?").replace("1", "0").replace("2", "0") + "$"
+        for i in range(len(text) - 3):
+            grams[v][text[i : i + 4]] += n
 
     def p(v, gram):
-        out = 1 / (len(url_filter.ALPHABET) + 2)
+        out = 1 / url_filter.SYMBOLS
         for order in range(4):
             part = gram[3 - order :]
             seen = sum(n for g, n in grams[v].items() if g[3 - order :] == part)
@@ -161,8 +163,18 @@ def test_url_model_equals_brute_force(spark):
             out = (seen + url_filter.PRIOR * out) / (context + url_filter.PRIOR)
         return out
 
-    for gram, ratio in got.items():
-        assert ratio == pytest.approx(math.log(p("allow", gram) / p("block", gram)))
+    every = {g for counts in grams.values() for g in counts}
+    assert got.keys() == {number(g) for g in every}
+    for gram in every:
+        assert got[number(gram)] == pytest.approx(math.log(p("allow", gram) / p("block", gram)))
+
+
+def test_urls_are_scored_whole(spark):
+    rows = [(i, f"http://a{i}.example.net/{'en' if i % 2 else 'x'}/{i}?{'good' if i % 2 else 'poor'}=1") for i in range(60)] + [(100, "http://q.example.com/1?good=1"), (101, "http://q.example.com/1?poor=1")] + [(200 + i, None) for i in range(900)]
+    p = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page.page_id: r for r in url_filter.judge_urls(p).collect()}
+    assert len(got) == len(rows) and got[100].score > got[101].score and got[1].score > got[2].score
+    assert {r.verdict for r in got.values() if r.page.url is None} in ({"allow"}, {"block"})
 
 
 # ---- toxicity ----
