@@ -258,45 +258,66 @@ def leftmost(dfa: Dfa, data: bytes, end: int, bound: int) -> int | None:
 class Scanner:
     """Runs a search automaton over a buffer in one pass, many stretches of it side by side.
 
-    Stretches begin behind bytes that lead every state to the start state, so that no match can
-    cross into one.
+    Stretches are equally long, wherever that cuts. Each begins in the state that the bytes before it
+    lead to from the start state, which is all but always the state that the stretch before ends in; a
+    stretch where it is not is run again from that state.
     """
 
-    def __init__(self, dfa: Dfa, lanes: int = 8192) -> None:
-        self.dfa, self.lanes = dfa, lanes
-        n = dfa.step.shape[1]
-        self.flat = (dfa.step.astype(np.int32) * n).ravel()
+    def __init__(self, dfa: Dfa, lanes: int = 8192, least: int = 512, warm: int = 64) -> None:
+        self.dfa, self.lanes, self.least, self.warm = dfa, lanes, least, warm
+        self.width = dfa.step.shape[1]
+        #: States are numbers of rows times the width, so that a state plus a class is a place in this table.
+        self.flat = (dfa.step.astype(np.int32) * self.width).ravel()
         self.classes = dfa.classes.astype(np.uint8)
         self.resets = (dfa.step == 0).all(0)[dfa.classes]
-        self.width = n
 
-    def scan(self, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(end offsets, marks) of all marked bytes, ascending."""
-        size = len(buffer)
-        if not size:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        stops = np.flatnonzero(self.resets[buffer])
-        ideal = np.arange(1, min(self.lanes, size // 128 + 1), dtype=np.int64) * size // max(1, min(self.lanes, size // 128 + 1))
-        where = np.searchsorted(stops, ideal)
-        starts = np.unique(np.concatenate([[0], stops[where[where < len(stops)]] + 1]))
-        starts = starts[starts < size]
-        lengths = np.diff(np.concatenate([starts, [size]]))
-        order = np.argsort(-lengths, kind="stable")
-        at, lengths = starts[order], lengths[order]
-        classes, state = self.classes[buffer], np.zeros(len(at), np.int32)
-        limit, ends, marks = self.dfa.first_marked * self.width, [], []
+    def _run(self, classes: np.ndarray, starts: np.ndarray, ends: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """The states in which stretches end, and (stretch, end offset, marks) of the marked bytes in them."""
+        order = np.argsort(starts - ends, kind="stable")
+        at, lengths, state = starts[order], (ends - starts)[order], state[order]
+        limit, hits = self.dfa.first_marked * self.width, []
         active = len(at) - np.searchsorted(lengths[::-1], np.arange(int(lengths[0])), "right")
         for n in active:
-            state[:n] += classes[at[:n]]
-            now = self.flat[state[:n]]
+            now = self.flat[state[:n] + classes[at[:n]]]
             state[:n] = now
             at[:n] += 1
             if now.max() >= limit:
                 hit = np.flatnonzero(now >= limit)
-                ends.append(at[hit])
-                marks.append(self.dfa.marks[now[hit] // self.width])
-        if not ends:
+                hits.append((order[hit], at[hit], self.dfa.marks[now[hit] // self.width]))
+        final = np.empty_like(state)
+        final[order] = state
+        return final, hits
+
+    def scan(self, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(end offsets, marks) of all marked bytes, ascending."""
+        size = len(buffer)
+        if not size:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        lanes = max(1, min(self.lanes, size // self.least))
+        starts = np.arange(lanes, dtype=np.int64) * size // lanes
+        ends, classes = np.append(starts[1:], size), self.classes[buffer]
+        guess = np.zeros(lanes, np.int32)
+        for back in range(self.warm, 0, -1):
+            first = int(np.searchsorted(starts, back))
+            guess[first:] = self.flat[guess[first:] + classes[starts[first:] - back]]
+        final, hits = self._run(classes, starts, ends, guess.copy())
+        runs = [(guess, hits)]
+        known = [{int(s): (int(f), 0)} for s, f in zip(guess, final, strict=True)]
+        state, lane, ahead, chosen = 0, 0, 1, np.zeros(lanes, np.int64)
+        while lane < lanes:
+            if state not in known[lane]:
+                #: What carries a state beyond the warm-up, as a long run of blanks does, may carry it on: ever more stretches are tried with it.
+                some = np.arange(lane, min(lanes, lane + ahead))
+                again, found = self._run(classes, starts[some], ends[some], np.full(len(some), state, np.int32))
+                for k, f in zip(some, again, strict=True):
+                    known[k].setdefault(state, (int(f), len(runs)))
+                runs.append((some, [(some[k], at, marks) for k, at, marks in found]))
+                ahead *= 2
+            state, chosen[lane] = known[lane][state]
+            lane += 1
+        kept = [(at[here], marks[here]) for run, (_, found) in enumerate(runs) for k, at, marks in found if (here := chosen[k] == run).any()]
+        if not kept:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        ends_all, marks_all = np.concatenate(ends), np.concatenate(marks)
+        ends_all, marks_all = (np.concatenate(c) for c in zip(*kept, strict=True))
         order = np.argsort(ends_all, kind="stable")
         return ends_all[order], marks_all[order]

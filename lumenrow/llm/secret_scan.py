@@ -105,6 +105,15 @@ def _scanner(rules: tuple[SecretRule, ...]) -> SecretScanner:
     return SecretScanner(rules)
 
 
+def char_offsets(data: bytes, places: Iterable[int]) -> dict[int, int]:
+    """How many characters of UTF-8 ``data`` begin before each of some places in bytes."""
+    begins, found, last, n = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80, {}, 0, 0
+    for place in sorted(set(places)):
+        n += int(np.count_nonzero(begins[last:place]))
+        found[place], last = n, place
+    return found
+
+
 def _redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
     for start, end, kind in spans:
@@ -129,8 +138,8 @@ def secrets_in(text: Column, rules: tuple[SecretRule, ...] = RULES, slice_bytes:
                 if not spans:
                     out.append({"spans": [], "redacted": None})
                     continue
-                chars = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
-                named = [(int(chars[a]), int(chars[b]), rules[i].kind) for a, i, b in spans]
+                at = char_offsets(data, [p for a, _, b in spans for p in (a, b)])
+                named = [(at[a], at[b], rules[i].kind) for a, i, b in spans]
                 out.append({"spans": [{"kind": k, "start": a, "end": b} for a, b, k in named], "redacted": _redact(data.decode(), named)})
             texts.clear()
 

@@ -43,6 +43,27 @@ def test_automata_are_minimal_and_refuse_empty_matches():
         automata.forward("a*")
 
 
+def marked(dfa, data):
+    state, out = 0, []
+    for at, byte in enumerate(data):
+        state = int(dfa.step[state, dfa.classes[byte]])
+        if dfa.marks[state]:
+            out.append((at + 1, int(dfa.marks[state])))
+    return out
+
+
+@pytest.mark.parametrize("warm", [0, 2, 64])
+def test_stretches_side_by_side_equal_one_walk(warm):
+    rng, dfa = random.Random(4), automata.combined([("ab *c", False), ("[x-z]{3}", False), ("c(de)+f", False)])
+    scanner = automata.Scanner(dfa, lanes=40, least=3, warm=warm)
+    for n in (0, 1, 2, 50, 900):
+        for letters in (b"abc dexyzf", b"ab c", b"   ab", b"de", b"x"):
+            data = bytes(rng.choice(letters) for _ in range(n))
+            data = data[: n // 2] + b"ab" + b" " * (n // 3) + data[n // 2 :] + b"c"
+            ends, marks = scanner.scan(np.frombuffer(data, np.uint8))
+            assert list(zip(ends.tolist(), marks.tolist(), strict=True)) == marked(dfa, data)
+
+
 # ---- secrets ----
 
 _ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -62,6 +83,17 @@ def test_secret_spans_equal_regexes():
         assert [x for x in found if x[1] < 3] == base_spans(text)
 
 
+def test_long_lines_are_scanned_in_stretches():
+    import time
+
+    words = " ".join(f"some words number {i} and no break at all" for i in range(60_000)).encode()
+    text = words + b" password" + b" " * 300_000 + b"= secret99 " + words
+    scanner, began = secret_scan.SecretScanner(), time.perf_counter()
+    found = scanner.scan([text])[0]
+    assert [x for x in found if x[1] < 3] == base_spans(text) and len(base_spans(text)) == 1
+    assert time.perf_counter() - began < 5
+
+
 def test_secret_columns(spark):
     text = "é password=abcdef1 and ghp_" + "Z" * 36 + " token = \"0123456789abcdef01234567\""
     d = odd_documents(spark).unionByName(spark.createDataFrame([(99, text)], "doc_id long, text string"), allowMissingColumns=True)
