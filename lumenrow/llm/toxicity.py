@@ -24,7 +24,6 @@ from lumenrow.llm.common import cut, held_out, in_slices, table, values_of
 
 #: At most so many labelled rows, first by a hash of their ids, are used to learn.
 MAX_LABELLED = 20_000
-MAX_LEXICON = 2_000
 MIN_G2 = 22.0
 MIN_DOCUMENTS = 4
 #: The lexicon is learned in so many rounds, each from the toxic documents that the last ones miss.
@@ -35,7 +34,7 @@ MIN_LIFT = 4.0
 PURE = 3.4
 ENOUGH = 5.0
 STEM_LENGTHS = (4, 5, 6, 7, 8, 9)
-MIN_FUZZY = 5
+MIN_FUZZY = 4
 #: The share of a word's toxic uses that is taken to be misspelled, and odds too small to count.
 MISSPELLED = 0.02
 TRACE = 1e-9
@@ -55,47 +54,41 @@ def tokens(text: str | None) -> list[str]:
 class LexiconAutomaton:
     """The trie of a lexicon crossed with the automaton of at most ``edits`` insertions, deletions and substitutions.
 
-    States are sets of (trie node, edits so far), determinised on demand. Stems match any word they
-    begin, without edits; words in ``loose`` of at least ``MIN_FUZZY`` letters match within ``edits``.
+    States are sets of (trie node, edits so far), determinised on demand; each knows which entries it
+    accepts. Words match whole, stems whatever they begin. Entries in ``loose`` of at least
+    ``MIN_FUZZY`` letters match within ``edits``, others without any.
     """
 
-    EXACT, FUZZY = 1, 2
-
     def __init__(self, words: Iterable[str], stems: Iterable[str], loose: Iterable[str] | None = None, edits: int = 1) -> None:
-        words = list(words)
-        loose = set(words if loose is None else loose)
+        entries = [(w, w) for w in words] + [(s, s + "*") for s in stems]
+        loose = {entry for _, entry in entries} if loose is None else set(loose)
         self.children: list[dict[str, int]] = [{}]
-        self.word: list[bool] = [False]
-        self.loose: list[bool] = [False]
-        self.stem: list[bool] = [False]
+        #: The words and stems that end at each node.
+        self.ends: list[list[str]] = [[]]
         self.edits = edits
-        for text, is_stem in [(w, False) for w in words] + [(s, True) for s in stems]:
+        for text, entry in entries:
             node = 0
             for c in text:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
-                    self.word.append(False)
-                    self.loose.append(False)
-                    self.stem.append(False)
+                    self.ends.append([])
                 node = self.children[node][c]
-            if is_stem:
-                self.stem[node] = True
-            else:
-                self.word[node] = True
-                self.loose[node] = len(text) >= MIN_FUZZY and text in loose
+            self.ends[node].append(entry)
+        self.loose = {entry for text, entry in entries if len(text) >= MIN_FUZZY and entry in loose}
         self._forget()
 
     def _forget(self) -> None:
         """Begin to determinise anew, so that what many words have left takes bounded memory."""
-        self.sets: dict[frozenset[tuple[int, int]], int] = {}
+        self.sets: dict[tuple, int] = {}
         self.pairs: list[frozenset[tuple[int, int]]] = []
+        self.begun: list[frozenset[tuple[str, int]]] = []
         self.steps: list[dict[str, int]] = []
-        self.verdicts: list[int] = []
-        self.start = self._state({(0, 0)})
+        self.accepts: list[tuple[tuple[str, ...], tuple[str, ...]]] = []
+        self.start = self._state({(0, 0)}, frozenset())
 
-    def _state(self, pairs: set[tuple[int, int]]) -> int:
-        """The number of the deterministic state for ``pairs`` and what deletions add to them."""
+    def _state(self, pairs: set[tuple[int, int]], begun: frozenset[tuple[str, int]]) -> int:
+        """The number of the deterministic state for ``pairs``, what deletions add to them, and the stems ``begun`` with their edits."""
         left, closed = list(pairs), set(pairs)
         while left:
             node, used = left.pop()
@@ -107,14 +100,20 @@ class LexiconAutomaton:
         best: dict[int, int] = {}
         for node, used in closed:
             best[node] = min(used, best.get(node, used))
-        key = frozenset(best.items())
+        ended = [(entry, used) for node, used in best.items() for entry in self.ends[node] if not used or entry in self.loose]
+        least: dict[str, int] = dict(begun)
+        for entry, used in ended:
+            if entry.endswith("*"):
+                least[entry] = min(used, least.get(entry, used))
+        begun = frozenset(least.items())
+        key = (frozenset(best.items()), begun)
         if key not in self.sets:
             self.sets[key] = len(self.pairs)
-            self.pairs.append(key)
+            self.pairs.append(key[0])
+            self.begun.append(begun)
             self.steps.append({})
-            exact = any(used == 0 and self.word[node] for node, used in key)
-            fuzzy = any(used and self.loose[node] for node, used in key)
-            self.verdicts.append(self.EXACT if exact else self.FUZZY if fuzzy else 0)
+            found = sorted({(entry, used) for entry, used in ended if not entry.endswith("*")} | begun)
+            self.accepts.append((tuple(e for e, used in found if not used), tuple(e for e, used in found if used)))
         return self.sets[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -126,19 +125,12 @@ class LexiconAutomaton:
             if used < self.edits:
                 reached.add((node, used + 1))
                 reached.update((x, used + 1) for x in self.children[node].values())
-        to = self._state(reached) if reached else -1
+        to = self._state(reached, self.begun[state]) if reached or self.begun[state] else -1
         self.steps[state][c] = to
         return to
 
-    def match(self, word: str) -> int:
-        """EXACT, FUZZY or 0 for a lower-cased word."""
-        node = 0
-        for c in word:
-            node = self.children[node].get(c, -1)
-            if node < 0:
-                break
-            if self.stem[node]:
-                return self.EXACT
+    def match(self, word: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        """The entries that a lower-cased word has exactly, and those it has within edits; stems end with ``*``."""
         if len(self.pairs) > MAX_STATES:
             self._forget()
         state = self.start
@@ -146,8 +138,8 @@ class LexiconAutomaton:
             to = self.steps[state].get(c)
             state = self._step(state, c) if to is None else to
             if state < 0:
-                return 0
-        return self.verdicts[state]
+                return (), ()
+        return self.accepts[state]
 
 
 @dataclass
@@ -157,58 +149,69 @@ class ToxicityModel:
     words: dict[str, float]
     stems: dict[str, float]
     clean_words: frozenset[str] = frozenset()
-    #: Log-odds of a misspelling of a word.
+    #: Log-odds of a misspelling of a word, and of a word that a misspelled stem begins, under its ``*``.
     loose: dict[str, float] = field(default_factory=dict)
     #: For 1 and the features of :meth:`features`.
     weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, 0.0)
     _automaton: LexiconAutomaton | None = field(default=None, repr=False)
     _cache: dict[str, float] = field(default_factory=dict, repr=False)
-    _single: dict[str, LexiconAutomaton] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_automaton": None, "_cache": {}, "_single": {}}
+        return self.__dict__ | {"_automaton": None, "_cache": {}}
+
+    @property
+    def entries(self) -> dict[str, float]:
+        """The log-odds of all entries, stems under their ``*``."""
+        return self.words | {s + "*": odds for s, odds in self.stems.items()}
+
+    @property
+    def pure(self) -> dict[str, float]:
+        """Entries that are all but sure and long enough to be known misspelled."""
+        return {e: odds for e, odds in self.entries.items() if odds >= PURE and len(e.rstrip("*")) >= MIN_FUZZY}
+
+    def match(self, word: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        if self._automaton is None:
+            self._automaton = LexiconAutomaton(self.words, self.stems, self.pure)
+        return self._automaton.match(word)
 
     def code(self, word: str) -> float:
         """The log-odds of a word that the lexicon has, the negative of those of a misspelling, else 0."""
-        if self._automaton is None:
-            self._automaton = LexiconAutomaton(self.words, self.stems, (w for w, odds in self.words.items() if odds >= PURE))
-        kind, found = self._automaton.match(word), 0.0
-        if kind == LexiconAutomaton.EXACT:
-            found = self.words.get(word) or next(self.stems[word[:n]] for n in reversed(STEM_LENGTHS) if word[:n] in self.stems)
-        elif kind == LexiconAutomaton.FUZZY and word not in self.clean_words:
+        exact, near = self.match(word)
+        if exact:
+            found = self.words.get(word) or self.stems[max(exact, key=len).rstrip("*")]
+        elif near and word not in self.clean_words:
             found = -self.loose.get(self.meant(word), TRACE)
+        else:
+            found = 0.0
         if len(self._cache) >= CACHE_WORDS:
             self._cache.clear()
         self._cache[word] = found
         return found
 
     def meant(self, word: str) -> str:
-        """The likeliest pure word within an edit of ``word``; empty if there is none."""
-        if not self._single:
-            self._single.update((w, LexiconAutomaton([w], [])) for w, odds in self.words.items() if odds >= PURE and len(w) >= MIN_FUZZY)
-        near = [w for w, one in self._single.items() if abs(len(w) - len(word)) <= 1 and one.match(word)]
-        return max(near, key=lambda w: (self.words[w], w), default="")
+        """The likeliest of the entries that the product automaton finds within an edit of ``word``; empty if there is none."""
+        odds = lambda e: self.stems[e[:-1]] if e.endswith("*") else self.words[e]
+        return max(self.match(word)[1], key=lambda e: (odds(e), e), default="")
 
-    def evidence(self, text: str | None) -> tuple[list[float], list[str]]:
+    def evidence(self, text: str | None) -> tuple[list[float], set[str]]:
         """Sums over the hits of a whole text, and its misspelled words.
 
-        The sums: log-odds of plain hits, each word's first three, misspellings included; of hits that
-        are quoted; of plain hits that are all but sure; plain hits for each 100 words.
+        The sums: log-odds of plain hits, misspellings included; of hits that are quoted; of plain
+        hits that are all but sure; plain hits for each 100 words. All hits count, a word's k-th by 1 / k.
         """
         words, get, code = tokens(text), self._cache.get, self.code
         odds = [code(w) if (k := get(w)) is None else k for w in words]
         plain = quoted = sure = 0.0
-        spelled, times = [], Counter()
+        spelled, times = set(), Counter()
         for at, found in enumerate(odds) if any(odds) else ():
             if found:
                 times[words[at]] += 1
-                share = quotation(words, at)
+                share, weight = quotation(words, at), abs(found) / times[words[at]]
                 if found < 0:
-                    spelled.append(words[at])
-                if times[words[at]] <= 3:
-                    plain += (1 - share) * abs(found)
-                    quoted += share * abs(found)
-                    sure += (1 - share) * abs(found) * (abs(found) >= PURE)
+                    spelled.add(words[at])
+                plain += (1 - share) * weight
+                quoted += share * weight
+                sure += (1 - share) * weight * (abs(found) >= PURE)
         return [plain, quoted, sure, 100 * plain / (len(words) + 100)], spelled
 
     @staticmethod
@@ -231,7 +234,8 @@ def quotation(words: list[str], at: int) -> float:
 def _labelled(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    return cut(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    return cut(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
 
 
 def _term_counts(sample: DataFrame, known: ToxicityModel) -> DataFrame:
@@ -294,9 +298,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: np.ndarray
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
-    """A model from at most ``max_labelled`` labelled rows; the highest label of a repeated id counts.
+    """A model from at most ``max_labelled`` labelled documents.
 
-    Without toxic or without clean rows the lexicon is empty and every text gets the share of toxic ones.
+    Of a repeated id the highest label and the least text count; null ids and labels do not. Without toxic or without clean rows the lexicon is empty and every text gets the share of toxic ones.
     """
     sample = _labelled(docs, labels, max_labelled)
     n_toxic, n = sample.agg(F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0)), F.count("*")).first()
@@ -311,11 +315,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
             break
         model = ToxicityModel(words | model.words, stems | model.stems)
     found = _collect_evidence(sample, model)
-    clean = Counter(w for y, _, spelled in found if not y for w in set(spelled))
+    clean = Counter(w for y, _, spelled in found if not y for w in spelled)
     #: A word near the lexicon that another clean text has is no misspelling; one that no other has may be, as it may be in texts to come.
-    novel = [{w: model.meant(w) for w in set(spelled) if clean[w] - (not y) <= 0} for y, _, spelled in found]
+    novel = [{w: model.meant(w) for w in spelled if clean[w] - (not y) <= 0} for y, _, spelled in found]
     near = Counter(meant for (y, _, _), words in zip(found, novel, strict=True) if not y for meant in set(words.values()))
-    loose = {w: _misspelled(odds, near[w] / (n - n_toxic), 1 / (n - n_toxic)) for w, odds in model.words.items() if odds >= PURE and len(w) >= MIN_FUZZY}
+    loose = {e: _misspelled(odds, near[e] / (n - n_toxic), 1 / (n - n_toxic)) for e, odds in model.pure.items()}
     for (_, sums, _), words in zip(found, novel, strict=True):
         sums[0] += sum(loose[m] for m in words.values())
         sums[2] += sum(loose[m] for m in words.values() if loose[m] >= PURE)
@@ -342,21 +346,28 @@ def _outstanding(sample: DataFrame, known: ToxicityModel, n_toxic: int, n_clean:
     part = lambda k, e: F.when(k > 0, k * F.ln(k / e)).otherwise(F.lit(0.0))
     rows = _term_counts(sample, known).withColumn("ratio", 2 * (part(t, expected) + part(c, (t + c) - expected)))
     rows = rows.withColumn("lift", (t + 0.2) / (n_toxic + 0.2) * (n_clean + 1.0) / (c + 0.5))
-    chosen = rows.filter((t >= MIN_DOCUMENTS) & (F.col("lift") >= MIN_LIFT) & (F.col("ratio") >= MIN_G2)).orderBy(F.desc("ratio"), "term").limit(MAX_LEXICON).collect()
+    #: Each has MIN_DOCUMENTS toxic documents of the bounded sample at least, so these are bounded with it.
+    chosen = rows.filter((t >= MIN_DOCUMENTS) & (F.col("lift") >= MIN_LIFT) & (F.col("ratio") >= MIN_G2)).collect()
     return [(r["term"], min(9.0, math.log(r["lift"])), r["toxic"], r["ratio"]) for r in chosen]
 
 
 def _collect_evidence(sample: DataFrame, model: ToxicityModel) -> list[tuple[bool, list[float], list[str]]]:
+    """Label, sums and misspelled words, each once, of every row of the bounded sample."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             rows = [model.evidence(text) for text in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["toxic"].cast(pa.int32()), pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.list_(pa.string()))], ["toxic", "sums", "spelled"])
+            yield pa.RecordBatch.from_arrays([batch["toxic"].cast(pa.int32()), pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([sorted(r[1]) for r in rows], pa.list_(pa.string()))], ["toxic", "sums", "spelled"])
 
     return [(r["toxic"] == 1, r["sums"], r["spelled"]) for r in sample.mapInArrow(run, "toxic int, sums array<double>, spelled array<string>").collect()]
 
 
 def toxicity(model: ToxicityModel) -> Callable:
-    """A column function: the score, 0 to 1, of each whole text; null and empty texts get that of no hits."""
+    """A column function: the score, 0 to 1, of each whole text.
+
+    Null, empty and wordless texts get that of no hits; rows are scored one by one, so repeated ones
+    score alike, an empty table gives no rows, and other columns, whatever their names, are not read.
+    """
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:

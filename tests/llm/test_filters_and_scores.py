@@ -224,16 +224,18 @@ def edits(a: str, b: str) -> int:
 
 def test_lexicon_automaton_equals_edit_distance():
     rng = random.Random(2)
-    words = ["moron", "idiot", "scum", "abcabc"]
-    machine = toxicity.LexiconAutomaton(words, ["vequ"])
+    words, stems = ["moron", "idiot", "scum", "abcabc", "abd"], ["vequ", "mor"]
+    machine = toxicity.LexiconAutomaton(words, stems, {"moron", "idiot", "scum", "abd", "vequ*"})
     for _ in range(4000):
-        w = list(rng.choice([*words, "vequ", "other"]))
+        w = list(rng.choice([*words, "vequ", "vequxyz", "other", "morxx"]))
         for _ in range(rng.randint(0, 3)):
             at = rng.randint(0, len(w))
             w[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "m", "q"])
         w = "".join(w)
-        due = 1 if w in words or w.startswith("vequ") else 2 if any(len(x) >= 5 and edits(w, x) <= 1 for x in words) else 0
-        assert machine.match(w) == due, w
+        exact = {x for x in words if x == w} | {x + "*" for x in stems if w.startswith(x)}
+        near = {x for x in ("moron", "idiot", "scum") if edits(w, x) == 1}
+        near |= {"vequ*"} if "vequ*" not in exact and any(edits(w[:n], "vequ") <= 1 for n in range(len(w) + 1)) else set()
+        assert tuple(map(set, machine.match(w))) == (exact, near), w
 
 
 def toxic_corpus(spark):
