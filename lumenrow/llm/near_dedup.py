@@ -42,8 +42,8 @@ IDF_FULL = 1024.0
 #: Sketches that agree in fewer samples are not compared: at the threshold that has a chance below 1e-5.
 LEAST_AGREED = 17
 CACHE_WORDS = 300_000
-#: Up to so many ids are broadcast to pick their texts; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Up to so many ids, or pairs of nodes, are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 200_000
 #: Pairs of buckets up to so large are rows; those of larger ones are made in blocks of about so many rows and bytes of text.
 PAIRED_ROWS = 32
 BLOCK_ROWS, BLOCK_BYTES = 500, 4_000_000

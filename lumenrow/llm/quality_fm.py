@@ -26,8 +26,8 @@ FACTORS = 8
 BINS = 24
 CACHE_WORDS = 300_000
 SYMBOLS = "#*$%&|<>"
-#: Structure statistics and metadata, each one-hot over BINS bins.
-STATISTICS = ("length", "chars", "distinct", "symbols", "upper", "lines", "marks", "word_length", "endings")
+#: Structure statistics of the text, and the metadata column n_chars, each one-hot over BINS bins.
+STATISTICS = ("length", "chars", "distinct", "symbols", "upper", "lines", "marks", "word_length", "endings", "n_chars")
 WIDTH = WORD_BUCKETS + BINS * len(STATISTICS)
 
 
@@ -38,8 +38,8 @@ def _level(share: float) -> int:
     return min(BINS - 1, 1 + int(min(1.0, share) * 10)) if share >= 0.1 else max(12, BINS - 1 + int(math.log2(share)))
 
 
-def statistics_of(text: str, words: list[str], distinct: int) -> list[int]:
-    """The bin of each statistic of a whole text."""
+def statistics_of(text: str, words: list[str], distinct: int, n_chars: int | None) -> list[int]:
+    """The bin of each statistic of a whole text, and of what its row says its length is, the last where that is null."""
     n, chars = len(words), len(text)
     lines = [line for line in text.split("\n") if line.strip()]
     values = (
@@ -52,6 +52,7 @@ def statistics_of(text: str, words: list[str], distinct: int) -> list[int]:
         _level(text.count("!") / n) if n else 0,
         min(BINS - 1, chars // n) if n else 0,
         _level(text.count(".") / n) if n else 0,
+        BINS - 1 if n_chars is None else min(BINS - 2, max(0, n_chars).bit_length()),
     )
     return [WORD_BUCKETS + BINS * i + v for i, v in enumerate(values)]
 
@@ -82,13 +83,13 @@ class FactorisationMachine:
         pairs = np.add.reduceat(v, starts) ** 2 - np.add.reduceat(v * v, starts)
         return self.bias + np.add.reduceat(self.linear[index] * value, starts) + 0.5 * pairs.sum(1)
 
-    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
-        """Scores of whole texts, 0 to 1, a bounded number of features at a time."""
+    def scores(self, texts: Iterable[str | None], n_chars: Iterable[int | None] | None = None) -> np.ndarray:
+        """Scores of whole texts, 0 to 1, a bounded number of features at a time; without ``n_chars`` these are null."""
         if self._buckets is None:
             self._buckets = _Buckets()
         out, rows, size = [np.empty(0)], [], 0
-        for text in texts:
-            rows.append(features(text, self._buckets))
+        for text, stated in zip(texts, n_chars, strict=True) if n_chars is not None else ((t, None) for t in texts):
+            rows.append(features(text, stated, self._buckets))
             size += len(rows[-1][0])
             if size > 200_000:
                 out.append(self._score(rows))
@@ -102,13 +103,13 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def features(text: str | None, buckets: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, values): one for each distinct word, of unit length together, and 1 for each statistic's bin."""
+def features(text: str | None, n_chars: int | None, buckets: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, values): one for each distinct word, of unit length together, and 1 for each bin of a statistic or of metadata."""
     text = text or ""
     words = text.split()
     distinct = set(words)
     index = list(map(buckets.__getitem__, distinct))
-    bins = statistics_of(text, words, len(distinct))
+    bins = statistics_of(text, words, len(distinct), n_chars)
     value = np.ones(len(index) + len(bins), np.float32)
     if index:
         value[: len(index)] = 1 / math.sqrt(len(index))
@@ -152,15 +153,19 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> FactorisationMachine:
-    """A machine from at most ``max_labelled`` labelled rows; the lowest label of a repeated id counts."""
+    """A machine from at most ``max_labelled`` labelled documents (doc_id, text, n_chars).
+
+    Of a repeated id the lowest label and the least text and n_chars count; null ids and labels do not.
+    """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality")
+    sample = docs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(known), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("n_chars").alias("n_chars"), F.min("quality").alias("quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _Buckets()
         for batch in in_slices(batches):
-            rows = [features(text, buckets) for text in batch["text"].to_pylist()]
+            rows = [features(text, n, buckets) for text, n in zip(batch["text"].to_pylist(), batch["n_chars"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["quality"].cast(pa.int32()), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1][:1] for r in rows], pa.list_(pa.float32()))], ["doc_id", "quality", "index", "first"])
 
     got = sample.mapInArrow(run, "doc_id long, quality int, index array<int>, first array<float>").toArrow().sort_by("doc_id")
@@ -175,18 +180,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
 
 def quality(machine: FactorisationMachine) -> Callable:
-    """A column function: the score, 0 to 1, of each whole text; null texts count as empty."""
+    """A function of two columns, text and n_chars: the score, 0 to 1, of each whole text.
+
+    Null texts count as empty, and null n_chars have a bin of their own; rows are scored one by one,
+    so repeated ones score alike, an empty table gives no rows, and other columns are not read.
+    """
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array(machine.scores(values_of(texts)).astype(float), pa.float64())
+    def score(texts: pa.Array, n_chars: pa.Array) -> pa.Array:
+        return pa.array(machine.scores(values_of(texts), values_of(n_chars)).astype(float), pa.float64())
 
-    return score
+    return lambda text, n_chars: score(text, n_chars.cast("long"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract digest: every document scored by a machine of the labels outside the held-out third."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~held_out(F.col("doc_id"), 3, 1))
-    scored = docs.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), quality(fit(docs, labels))(F.col("text")).alias("score"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), quality(fit(docs, labels))(F.col("text"), F.col("n_chars")).alias("score"))
     return scored.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -1,9 +1,11 @@
 """Toxicity, quality classifier, URL filter, quality rules and secret scans: edge rows and brute force."""
 
+import hashlib
 import math
 import random
 import re
-from collections import defaultdict
+import unicodedata
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -279,17 +281,78 @@ def test_pairwise_sum_equals_double_loop():
     assert machine.margins(index, value, np.array([0]))[0] == pytest.approx(due)
 
 
-def test_machine_learns_structure(spark):
+def test_machine_learns_structure_and_metadata(spark):
     rng = random.Random(8)
     rows = []
     for i in range(300):
         words = [rng.choice("lorem ipsum dolor sit amet elit sed do".split()) for _ in range(40)]
         bad = i % 4 == 0
-        rows.append((i, "*** ".join(words) if bad else " ".join(words), 0 if bad else 1))
-    d = spark.createDataFrame(rows, "doc_id long, text string, quality int")
-    machine = quality_fm.fit(d.select("doc_id", "text"), d.select("doc_id", "quality"))
-    got = d.select("quality", quality_fm.quality(machine)(F.col("text")).alias("s")).collect()
-    assert sum((r.s >= 0.5) == (r.quality == 1) for r in got) >= 0.97 * len(got)
-    odd = odd_documents(spark).select(quality_fm.quality(machine)(F.col("text")).alias("s"))
-    assert odd.count() == 12 and odd.filter("not s between 0 and 1").count() == 0
+        rows.append((i, "*** ".join(words) if bad else " ".join(words), 240, 0 if bad else 1))
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, quality int")
+    scored = lambda d, machine: d.select("quality", quality_fm.quality(machine)(F.col("text"), F.col("n_chars")).alias("s")).collect()
+    machine = quality_fm.fit(d.drop("quality").unionByName(d.drop("quality").filter("doc_id < 9")), d.select("doc_id", "quality"))
+    assert sum((r.s >= 0.5) == (r.quality == 1) for r in scored(d, machine)) >= 0.97 * 300
+    told = d.withColumn("text", F.lit("all alike")).withColumn("n_chars", F.when(F.col("quality") == 0, 3).when(F.col("doc_id") % 2 == 0, 3000))
+    assert sum((r.s >= 0.5) == (r.quality == 1) for r in scored(told, quality_fm.fit(told, told))) == 300
+    odd = odd_documents(spark).withColumn("n_chars", F.col("size")).withColumn("quality", F.lit(1))
+    assert len(scored(odd, machine)) == 12 and all(0 <= r.s <= 1 for r in scored(odd, machine)) and scored(odd.limit(0), machine) == []
     assert quality_fm.fit(d.limit(0), d.limit(0)).scores(["x"])[0] == pytest.approx(0.5)
+
+
+# ---- registered queries ----
+
+
+def auc(rows, known):
+    good, bad = ([r.score for r in rows if known[r.doc_id] == y] for y in (1, 0))
+    return sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+
+
+@pytest.mark.parametrize(("name", "label", "folds", "fold", "table", "least"), [("op1_toxicity", "toxic", 5, 0, "sf0.1", 0.95), ("op5_quality_classifier", "quality", 3, 1, "sf0.01", 0.98)])
+def test_classifier_query_is_good_on_held_out_labels(spark, name, label, folds, fold, table, least):
+    import zlib
+
+    from lumenrow.llm import registry
+
+    sf = f"/root/testdata/{table}"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = registry.QUERIES[name](spark, sf).collect()
+    assert len(got) == docs.count() and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == fold) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
+    known = {r.doc_id: r[label] for r in labels.select("doc_id", label).dropna().collect()}
+    rows = [r for r in got if r.held_out and r.doc_id in known]
+    assert len(rows) >= 50 and auc(rows, known) >= least
+    assert Counter(got) == Counter(registry.QUERIES[name](spark, sf).collect())
+
+
+def test_secret_query_equals_regexes(spark):
+    from lumenrow.llm import registry
+
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = registry.QUERIES["op10_secret_scan"](spark, sf).collect()
+    assert len(got) == len(texts) and sum(r.n_assign + r.n_access + r.n_hex for r in got) > 0
+    for r in got:
+        data = (texts[r.doc_id] or "").encode()
+        spans = [(len(data[:a].decode()), len(data[:b].decode()), ("assign", "access", "hex")[k]) for a, k, b in base_spans(data)]
+        joined = ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for *_, k in spans) for x in ("assign", "access", "hex"))
+        assert {f"{k}:{a}:{b}" for a, b, k in spans} <= set(r.spans.split(","))
+
+
+def test_rules_query_equals_brute_force(spark, sf):
+    """Counts and base test by a plain walk, and verdicts by the learned rules applied to these counts."""
+    from lumenrow.llm import registry
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts, rules = {r.doc_id: r.text for r in docs.collect()}, quality_rules.fit(docs, labels)
+    got = registry.QUERIES["op9_quality_rules"](spark, sf).collect()
+    assert len(got) == len(texts) and {r.kept for r in got} == {True, False}
+    for r in got:
+        text = texts[r.doc_id] or ""
+        n, chars, symbols, dup, repeat = brute_statistics(text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, repeat)
+        words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+        share = lambda a, b: a / b if b else 0.0
+        values = dict(zip(quality_rules.FEATURES, (n, share(chars, n), share(symbols, n), share(dup, len(lines)), share(repeat, n), share(len(set(words)), n), share(sum(c.isupper() and unicodedata.category(c) == "Lu" for c in text), chars), share(text.count("!"), n)), strict=True))
+        failed = n < 20 or 100 * repeat > 30 * n
+        rejected = any(all(values[f] >= t if at_least else values[f] <= t for f, at_least, t in rule.terms) for rule in rules)
+        assert (r.base_failed, r.kept) == (failed, not failed and not rejected)
