@@ -25,23 +25,27 @@ FEATURES = ("n_words", "mean_chars", "symbol_share", "dup_line_share", "repeat_s
 
 
 def _repeated(words: Column, n: Column) -> Column:
-    """Words inside windows of 8 that occur at least twice among ``words``."""
+    """Words inside windows of 8 that occur at least twice among ``words``; windows meet by hash, and are equal if their words are."""
 
     def covered(found: Column) -> Column:
         gaps = F.transform(found, lambda at, k: F.least(F.lit(WINDOW), F.coalesce(F.get(found, k + 1), at + WINDOW) - at))
         return F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap)
 
     def twins(ranked: Column) -> Column:
-        same = lambda a, k: F.coalesce(F.get(ranked, k)["h"] == a["h"], F.lit(False))
-        kept = F.transform(ranked, lambda a, k: F.when(same(a, k + 1) | (F.when(k > 0, same(a, k - 1)).otherwise(F.lit(False))), a["i"]))
+        window = lambda x: F.slice(words, x["i"] + 1, WINDOW)
+        same = lambda a, b: F.coalesce((a["h"] == b["h"]) & (window(a) == window(b)), F.lit(False))
+        kept = F.transform(ranked, lambda a, k: F.when(same(a, F.get(ranked, k + 1)) | F.when(k > 0, same(a, F.get(ranked, k - 1))).otherwise(F.lit(False)), a["i"]))
         return F.sort_array(F.filter(kept, lambda i: i.isNotNull()))
 
     def counted(hashes: Column) -> Column:
         ranked = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(let(ranked, twins), covered))
 
-    hashes = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
-    return F.when(n < 2, F.lit(0)).when(n <= WINDOW, F.lit(0)).otherwise(let(hashes, counted))
+    def windows(hashes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(WINDOW))))
+
+    hashes = let(F.transform(words, lambda w: F.xxhash64(w)), windows)
+    return F.when(n <= WINDOW, F.lit(0)).otherwise(let(hashes, counted))
 
 
 def text_statistics(text: Column) -> Column:
