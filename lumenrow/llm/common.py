@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenrow.operators.tables import materialised, shared_path
+
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 GAP_PATTERN = r"[\x20\x09-\x0D]+"
@@ -21,23 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    context = spark.sparkContext._jsc.sc()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lumenrow-"))
-    return named or context.getCheckpointDir().get()
-
-
 def cut(frame: DataFrame) -> DataFrame:
     """``frame`` computed once and read back from the shared folder, so that lost executors lose nothing."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    return materialised(frame.sparkSession, frame)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
