@@ -476,19 +476,3 @@ def test_query_equals_its_sql(spark, sf, name):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got, due = normal(registry.QUERIES[name](spark, sf).toPandas()), normal(con.sql(registry.ORACLES[name]).df())
     assert got.equals(due.astype(got.dtypes.to_dict()))
-
-
-def test_pipeline_stages_do_what_they_say(spark, sf):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("doc", F.lit(1)).withColumn("kept", F.lit(2))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns
-        docs = spark.createDataFrame(out.collect(), out.schema)
-    assert docs.count() > 0
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
-    empty = docs.limit(0)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, empty, sf).count() == 0
