@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, in five stages.
 
 Every stage works on all that the one before it kept, and its result is written as Parquet and read
-again by the next.
+again by the next. Rows of null id, repeated rows and rows that repeat an id go through all stages;
+columns beside those of documents, whatever their names, are kept up to the last stage; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,18 +20,18 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base test and the rules learned from the labels keep."""
+    """Documents that the base test and the rules learned from the labels keep; null and empty texts fail the base test."""
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
     return quality_rules.judge(docs, rules).filter("kept").select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates, that of the least id; rows of null id all stay, and so does one row of each wordless text's id."""
     return near_dedup.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by its kind in brackets and n_chars counted anew."""
+    """All documents, each secret replaced by its kind in brackets and n_chars counted anew where that changed a text."""
     found = secret_scan.scan_secrets(docs)
     text = F.coalesce(F.col("redacted"), F.col("doc.text"))
     length = F.when(F.col("redacted").isNotNull(), F.length("redacted").cast("long")).otherwise(F.col("doc.n_chars").cast("long"))
@@ -38,12 +40,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the targets of their sources say."""
+    """Documents as often as the targets of their sources, null one of them, say; equal rows toss a coin each."""
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with the sequence and the place in it where each goes."""
+    """Pieces of all documents, of null and empty texts too, with the sequence and the place in it where each goes."""
     return packing.pack(docs)
 
 

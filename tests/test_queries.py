@@ -50,7 +50,8 @@ def test_entry_has_rows_and_every_oracle_a_query(spark):
     assert __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
 
 
-def test_entry_imports_without_the_training_data_package(tmp_path):
+@pytest.mark.parametrize("left", [(), ("lumenrow/llm",), ("lumenrow/llm", "lumenrow/llm/__pycache__"), ("corpus_pipeline.py",)])
+def test_entry_imports_without_the_training_data_package(tmp_path, left):
     import shutil
     import subprocess
     import sys
@@ -58,6 +59,11 @@ def test_entry_imports_without_the_training_data_package(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     shutil.copytree(f"{root}/lumenrow", tmp_path / "lumenrow", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for path in left:
+        if path.endswith(".py"):
+            shutil.copy(f"{root}/{path}", tmp_path)
+        else:
+            (tmp_path / path).mkdir()
     code = "import __spark_entry__ as e; assert 'pipeline' not in e.queries() and 'q01_popularity_report' in e.queries(); e.oracle_sql()"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
