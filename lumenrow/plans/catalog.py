@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenrow.plans import documents, names, reports, timelines
+from lumenrow.plans import documents, landed, names, reports, timelines
 
-QUERIES = dict(sorted((reports.QUERIES | timelines.QUERIES | documents.QUERIES | names.QUERIES).items()))
-ORACLES = reports.ORACLES | timelines.ORACLES | documents.ORACLES | names.ORACLES
+QUERIES = dict(sorted((reports.QUERIES | timelines.QUERIES | documents.QUERIES | landed.QUERIES | names.QUERIES).items()))
+ORACLES = reports.ORACLES | timelines.ORACLES | documents.ORACLES | landed.ORACLES | names.ORACLES

@@ -5,14 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Kinds of events, and the fields of one where no format line says otherwise.
 KINDS = frozenset(("dialogue", "comment", "picture", "sound", "movie", "command"))
 FIELDS = ("Layer", "Start", "End", "Style", "Name", "MarginL", "MarginR", "MarginV", "Effect", "Text")
 _TIME = re.compile(r"\s*(\d+):(\d{1,2}):(\d{1,2})[.](\d{1,3})\s*")
-EVENTS = "doc_id string, line_no int, kind string, line string, lead string, fields map<string,string>, field_order array<string>, start_ms long, end_ms long"
+EVENTS = "doc_id {}, line_no int, kind string, line string, lead string, fields map<string,string>, field_order array<string>, start_ms long, end_ms long"
 
 
 def to_ms(stamp: str) -> int:
@@ -57,12 +57,20 @@ def events_in(lines: list[str]) -> Iterator[dict]:
 
 def parse_events(documents: DataFrame) -> DataFrame:
     """Rows of (doc_id, lines): all lines in order, events with fields and times; a broken event fails the query."""
+    kind = dict(documents.dtypes)["doc_id"]
+    schema = pa.schema([("line_no", pa.int32()), ("kind", pa.string()), ("line", pa.string()), ("lead", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("field_order", pa.list_(pa.string())), ("start_ms", pa.int64()), ("end_ms", pa.int64())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([{"doc_id": d} | row for d, lines in zip(batch["doc_id"], batch["lines"], strict=True) for row in events_in(list(lines))], columns=[c.split()[0] for c in EVENTS.split(", ")])
-
-    return documents.select("doc_id", "lines").mapInPandas(run, EVENTS)
+            for at in range(batch.num_rows):
+                rows = list(events_in(batch["lines"][at].as_py() or []))
+                for row in rows:
+                    row["fields"] = None if row["fields"] is None else list(row["fields"].items())
+                found = pa.RecordBatch.from_pylist(rows, schema)
+                ids = pa.repeat(batch["doc_id"][at], len(rows))
+                yield pa.RecordBatch.from_arrays([ids, *found.columns], ["doc_id", *schema.names])
+
+    return documents.select("doc_id", "lines").mapInArrow(run, EVENTS.format(kind))
 
 
 def clip_events(events: DataFrame, segments: DataFrame) -> DataFrame:
