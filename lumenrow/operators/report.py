@@ -99,9 +99,14 @@ def channel_preview(channels: DataFrame, items: DataFrame, limit: int | None) ->
     return joined.withColumn("scan_size", scan)
 
 
-def ordered_lookup(ids: DataFrame, details: DataFrame, key: str) -> DataFrame:
-    """Details in the order of ``ids``: ids without details go, repeated ids repeat."""
-    return ids.join(details, key, "inner")
+def ordered_lookup(ids: DataFrame, details: DataFrame, key: str, seq: str | None = None) -> DataFrame:
+    """Details of the ids that have any; repeated ids repeat.
+
+    A table has no order of its own: with ``seq``, a column of ``ids``, rows get their ``place`` from 1
+    in the order of it, counted over those that have details.
+    """
+    found = ids.join(details, key, "inner")
+    return found if seq is None else ranked(found, [F.asc(seq)], "place").drop(seq)
 
 
 def cached_details(items: DataFrame, cache: DataFrame, now: float, ttl_seconds: float = 30 * 86400.0) -> DataFrame:

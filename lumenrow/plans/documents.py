@@ -29,10 +29,14 @@ def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def learn_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines that at least two documents share."""
-    lines = ln.nonblank(ln.explode_lines(_texts(spark, sf_dir)))
-    first = lines.groupBy("doc_id").agg(F.min_by("line", "n").alias("line"))
-    return first.groupBy(F.lower(squeeze(F.col("line"))).alias("title")).agg(F.count("*").alias("n")).filter("n >= 2")
+    """Titles that first lines of documents, with a page number before them, and repeated lines, behind page markers, have at least twice in all."""
+    lines = ln.explode_lines(_texts(spark, sf_dir))
+    repeated = ln.nonblank(lines).groupBy("doc_id", "line").agg(F.min("n").alias("n"), F.count("*").alias("times")).filter("times >= 2")
+    first = ln.nonblank(lines).groupBy("doc_id").agg(F.min_by(F.struct("n", "line"), "n").alias("f")).select("doc_id", "f.n", "f.line")
+    candidates = first.unionByName(repeated.select("doc_id", "n", "line")).dropDuplicates(["doc_id", "n"])
+    marker = candidates.select("doc_id", (2 * F.col("n")).alias("n"), F.lit("### Page 7").alias("line"))
+    numbered = candidates.select("doc_id", (2 * F.col("n") + 1).alias("n"), F.concat(F.lit("7. "), "line").alias("line"))
+    return ln.learned_titles_of_all(marker.unionByName(numbered))
 
 
 def sentence_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +162,11 @@ def _pack(pieces: str, joiner: str) -> str:
 ORACLES = {
     "q11_fixed_chunks": f"""with {_LINES}, k as (select *, row_number() over (partition by doc_id order by n) as r from lines)
         select doc_id, (r - 1) // 150 as chunk_no, count(*) as n_lines, 'L' || lpad(min(r)::varchar, 6, '0') as first_id, sum(length(line))::bigint as chars from k group by 1, 2""",
-    "q12_learn_titles": f"""with {_LINES}, f as (select doc_id, arg_min(line, n) as line from lines where trim(line) <> '' group by 1)
-        select lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))) as title, count(*) as n from f group by 1 having count(*) >= 2""",
+    "q12_learn_titles": f"""with {_LINES}, shown as (select * from lines where trim(line) <> ''), f as (select doc_id, min(n) as n, arg_min(line, n) as line from shown group by 1),
+        r as (select doc_id, min(n) as n, line from shown group by doc_id, line having count(*) >= 2), c as (select doc_id, n, any_value(line) as line from (select * from f union all select * from r) group by 1, 2),
+        t as (select trim(regexp_replace(line, '\\s+', ' ', 'g')) as title from c where length(trim(line)) between 2 and 90 and regexp_matches(line, '\\p{{L}}')),
+        k as (select replace(lower(regexp_replace(title, '^[\\s\\p{{P}}\\p{{S}}]+|[\\s\\p{{P}}\\p{{S}}]+$', '', 'g')), 'ß', 'ss') as title_key from t)
+        select title_key, count(*) as n from k where length(title_key) >= 2 group by 1 having count(*) >= 2 union all select 'page', count(distinct doc_id) from c having count(distinct doc_id) >= 2""",
     "q13_islands_sentences": f"""with {_LINES}, c as (select *, trim(line) = '' as blank, coalesce(lag((regexp_matches(rtrim(line), '{_END}') or trim(line) = '')::int) over (partition by doc_id order by n), 0) as closed from lines),
         g as (select *, sum(closed) over (partition by doc_id order by n) as grp from c), t as (select doc_id, grp, string_agg(trim(line), ' ' order by n) as text from g where not blank group by all)
         select doc_id, row_number() over (partition by doc_id order by grp) - 1 as group_no, text from t""",

@@ -53,9 +53,9 @@ def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), "p_name").filter("p_size > 10")
-    return report.ordered_lookup(lines, parts, "part")
+    return report.ordered_lookup(lines, parts, "part", "seq")
 
 
 def label_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ ORACLES = {
     "q04_hidden_store_merge": "select conv_id, turn, role, text from conversations qualify row_number() over (partition by conv_id order by turn desc) = 1",
     "q33_store_upsert": """with changed as (select l_partkey as id, max(l_returnflag) as title from lineitem group by 1)
         select id, title from changed union all select p_partkey, p_name from part where p_partkey not in (select id from changed)""",
-    "q05_ordered_lookup": "select l_orderkey, l_linenumber, l_partkey as part, p_name from lineitem join part on l_partkey = p_partkey where p_size > 10",
+    "q05_ordered_lookup": "select l_orderkey, l_linenumber, l_partkey as part, p_name, row_number() over (order by l_orderkey, l_linenumber, l_partkey) as place from lineitem join part on l_partkey = p_partkey where p_size > 10",
     "q06_reconcile": """with found as (select doc_id as id, case when toxic = 0 then quality::varchar else ' ' end as text, count(*) over (partition by doc_id) as n,
                row_number() over (partition by doc_id order by doc_id) as nth from labels), expected as (select distinct doc_id as id from documents)
         select coalesce(e.id, f.id) as id, case when e.id is null then 'unexpected' when f.id is null then 'missing' when n > 1 then 'duplicate' when trim(coalesce(text, '')) = '' then 'empty' else 'ok' end as status, text
