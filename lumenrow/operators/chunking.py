@@ -13,16 +13,32 @@ from lumenrow.functions.text import sentences, words
 from lumenrow.operators.lines import safe_blocks
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with ``value`` computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pack_pieces(pieces: Column, budget: int, joiner: str) -> Column:
-    """Pieces joined greedily while the joined text has at most ``budget`` characters."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+    """Pieces joined greedily while the joined text has at most ``budget`` characters.
+
+    The fold is over lengths and keeps where chunks end; each text is joined once, from its slice.
+    """
+
+    def ends(ps: Column) -> Column:
+        state = lambda size, cuts: F.struct(size.alias("size"), cuts.alias("cuts"))
+        sized = F.transform(ps, lambda p, i: F.struct(F.length(p).alias("n"), i.alias("i")))
+
+        def step(s: Column, p: Column) -> Column:
+            longer = s["size"] + len(joiner) + p["n"]
+            return F.when(p["i"] == 0, state(p["n"], s["cuts"])).when(longer <= budget, state(longer, s["cuts"])).otherwise(state(p["n"], F.array_append(s["cuts"], p["i"])))
+
+        return F.aggregate(sized, state(F.lit(0), F.array().cast("array<int>")), step, lambda s: F.when(F.size(ps) > 0, F.array_append(s["cuts"], F.size(ps))).otherwise(s["cuts"]))
 
-    def step(s: Column, p: Column) -> Column:
-        longer = F.concat(s["cur"], F.lit(joiner), p)
-        state = lambda done, cur: F.struct(done.alias("done"), cur.alias("cur"))
-        return F.when(s["cur"] == "", state(s["done"], p)).when(F.length(longer) <= budget, state(s["done"], longer)).otherwise(state(F.array_append(s["done"], s["cur"]), p))
+    def texts(ps: Column) -> Column:
+        first = lambda es, k: F.when(k == 0, F.lit(0)).otherwise(F.get(es, k - 1))
+        return _let(ends(ps), lambda es: F.transform(es, lambda e, k: F.array_join(F.slice(ps, first(es, k) + 1, e - first(es, k)), joiner)))
 
-    return F.aggregate(pieces, start, step, lambda s: F.when(s["cur"] == "", s["done"]).otherwise(F.array_append(s["done"], s["cur"])))
+    return _let(pieces, texts)
 
 
 def split_block(block: Column, budget: int) -> Column:

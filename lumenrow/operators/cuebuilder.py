@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MAX_CHARS, MAX_SECONDS = 84, 6.5
@@ -58,22 +58,27 @@ def build_cues(words: DataFrame) -> DataFrame:
     """
     kind = dict(words.dtypes)["media_id"]
     dealt = words.select("media_id", "seg_no", "word_no", "word", "start_s", "end_s").repartition("media_id").sortWithinPartitions("media_id", "seg_no", "word_no")
+    columns = ["media_id", "cue_no", "start_s", "end_s", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        media, builder, number, key = None, None, 0, None
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            types = (key, pa.int32(), pa.float64(), pa.float64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], columns)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        media, builder, number = None, None, 0
-        columns = ["media_id", "cue_no", "start_s", "end_s", "text"]
         for batch in batches:
-            rows: list[tuple] = []
-            for m, _, word_no, word, start, end in batch.itertuples(index=False):
+            key, rows = batch["media_id"].type, []
+            for m, word_no, word, start, end in zip(*(batch[c].to_pylist() for c in ("media_id", "word_no", "word", "start_s", "end_s")), strict=True):
                 if builder is None or m != media:
                     if builder is not None:
                         rows += [(media, number + i, *c) for i, c in enumerate(builder.flush())]
                     media, builder, number = m, CueBuilder(), 0
-                found = builder.add_segment(word, start, end) if pd.isna(word_no) else builder.add(word, start, end)
+                found = builder.add_segment(word, start, end) if word_no is None else builder.add(word, start, end)
                 rows += [(media, number + i, *c) for i, c in enumerate(found)]
                 number += len(found)
-            yield pd.DataFrame(rows, columns=columns)
+            yield made(rows)
         if builder is not None:
-            yield pd.DataFrame([(media, number + i, *c) for i, c in enumerate(builder.flush())], columns=columns)
+            yield made([(media, number + i, *c) for i, c in enumerate(builder.flush())])
 
-    return dealt.mapInPandas(run, f"media_id {kind}, cue_no int, start_s double, end_s double, text string")
+    return dealt.mapInArrow(run, f"media_id {kind}, cue_no int, start_s double, end_s double, text string")

@@ -146,7 +146,7 @@ def wrapper_matches(folders: DataFrame, artifacts: DataFrame) -> DataFrame:
 
     f = folders.select(F.col("name").alias("folder"), layout_key(F.col("name")).alias("_key"))
     a = artifacts.select(F.col("name").alias("artifact"), layout_key(artifact_base(F.col("name"))).alias("_key"))
-    return f.join(a, "_key").drop("_key")
+    return f.filter("_key <> ''").join(a, "_key").drop("_key")
 
 
 def move_batch(media: DataFrame, cap_seconds: float, group: str = "dir") -> DataFrame:

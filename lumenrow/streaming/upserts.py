@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,29 +12,58 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumenrow.operators.cuebuilder import CueBuilder
 from lumenrow.operators.stores import last_wins
+from lumenrow.operators.tables import materialised
 
 
-def upsert_stream(events: DataFrame, store: str, checkpoint: str, keys: list[str], seq: str):
-    """Start a query that keeps the last row of each key of a stream in Parquet versions under ``store``.
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    Each batch writes a whole new version, named by its batch id, from the last one; a batch that is
-    run again writes the same version, so that retries lose and repeat nothing.
+
+def _versions(spark: SparkSession, store: str, batch_id: int) -> dict[str, int]:
+    """Of each bucket of a store the batch that wrote it last, as the index of ``batch_id`` tells."""
+    fs, where = _files(spark, f"{store}/index-{batch_id}.json")
+    if not fs.exists(where):
+        return {}
+    return json.loads("".join(r[0] for r in spark.read.text(where.toString()).collect()))
+
+
+def upsert_stream(events: DataFrame, store: str, checkpoint: str, keys: list[str], seq: str, buckets: int = 64):
+    """Start a query that keeps the last row of each key of a stream, in Parquet files by bucket of the key under ``store``.
+
+    A batch rewrites only the buckets it has keys of, into a folder of its own, and then an index of
+    which folder holds which bucket; folders that neither it nor the last index names go. A batch
+    that is run again starts from the index before it, so that retries lose and repeat nothing.
     """
     spark = events.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = batch if batch_id == 0 else batch.unionByName(spark.read.parquet(f"{store}/version={batch_id - 1}"))
-        last_wins(rows, keys, seq).write.mode("overwrite").parquet(f"{store}/version={batch_id}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        fresh = materialised(spark, batch.withColumn("bucket", bucket))
+        touched = {str(r[0]) for r in fresh.select("bucket").distinct().collect()}
+        known = _versions(spark, store, batch_id - 1)
+        old = [f"{store}/version={v}/bucket={b}" for b, v in known.items() if b in touched]
+        rows = fresh.unionByName(spark.read.option("basePath", store).parquet(*old).select(fresh.columns)) if old else fresh
+        if touched:
+            last_wins(rows, [*keys, "bucket"], seq).write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/version={batch_id}")
+        now = known | dict.fromkeys(touched, batch_id)
+        fs, where = _files(spark, f"{store}/index-{batch_id}.json")
+        out = fs.create(where, True)
+        out.write(bytearray(json.dumps(now).encode()))
+        out.close()
+        for v in set(_versions(spark, store, batch_id - 2).values()) - set(known.values()) - set(now.values()):
+            fs.delete(_files(spark, f"{store}/version={v}")[1], True)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_version(spark: SparkSession, store: str) -> DataFrame:
-    """The store's newest version."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
-    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
-    newest = max(int(f.getPath().getName().partition("=")[2]) for f in found if f.getPath().getName().startswith("version="))
-    return spark.read.parquet(f"{store}/version={newest}")
+    """The store as its newest index tells."""
+    fs, folder = _files(spark, store)
+    newest = max(int(name[6:-5]) for f in fs.listStatus(folder) if (name := f.getPath().getName()).startswith("index-"))
+    paths = [f"{store}/version={v}/bucket={b}" for b, v in sorted(_versions(spark, store, newest).items())]
+    return spark.read.option("basePath", store).parquet(*paths).drop("version", "bucket")
 
 
 def fresh_entries(cache: DataFrame, time: str, ttl: str = "30 days") -> DataFrame:

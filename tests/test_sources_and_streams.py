@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenrow.sources import ass, files, paged_api, sinks
-from lumenrow.streaming.upserts import event_rates, latest_version, stream_cues, upsert_stream
+from lumenrow.streaming.upserts import event_rates, fresh_entries, latest_version, remaining_rounds, stream_cues, upsert_stream
 
 ASS = "[Script Info]\r\nTitle: x\r\n[Events]\r\nFormat: Layer, Start, End, Text\r\nDialogue: 0,0:00:08.00,0:00:12.00,{\\i1}Hi, you\r\nComment: 0,0:00:11.00,0:00:13.00,c\r\nDialogue: 0,0:00:30.00,0:00:31.00,late\r\n"
 
@@ -59,6 +59,33 @@ def test_upsert_stream_keeps_the_last_row(spark, tmp_path):
     assert sorted((r.k, r.v) for r in latest_version(spark, store).collect()) == [(1, "c"), (2, "b")]
 
 
+def test_upserts_rewrite_only_the_buckets_they_touch(spark, tmp_path):
+    source, store, schema, due = str(tmp_path / "in"), str(tmp_path / "store"), "k int, n int, v string", {}
+    for n, keys in enumerate([range(40), [3, 7], [], [3], range(30, 50)]):
+        rows = [(k, n, f"{k}-{n}") for k in keys]
+        due |= {k: v for k, _, v in rows}
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        upsert_stream(spark.readStream.schema(schema).parquet(source), store, str(tmp_path / "cp"), ["k"], "n", buckets=16).awaitTermination()
+        assert {r.k: r.v for r in latest_version(spark, store).collect()} == due
+    folders = {p.name: {b.name for b in p.glob("bucket=*")} for p in (tmp_path / "store").glob("version=*")}
+    assert len(folders["version=1"]) <= 2 and len(folders) < 5
+
+
+def test_cache_entries_are_fresh_once_within_their_time(spark, tmp_path):
+    schema = "video_id string, fetched timestamp"
+    rows = spark.sql("select * from values ('a', timestamp'2026-01-01'), ('a', timestamp'2026-01-05'), ('b', timestamp'2026-01-02') t(video_id, fetched)")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = fresh_entries(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "fetched", "30 days")
+    stream.writeStream.format("memory").queryName("fresh_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.video_id for r in spark.table("fresh_out").collect()) == ["a", "b"]
+
+
+def test_rounds_ask_for_what_is_left(spark):
+    ids = spark.range(5).withColumnRenamed("id", "k")
+    done = spark.createDataFrame([(1,), (1,), (4,)], "k long")
+    assert sorted(r.k for r in remaining_rounds(ids, done, "k").collect()) == [0, 2, 3]
+
+
 def test_cue_stream_and_rates(spark, tmp_path):
     words = [("m", 0, i, "word." if i % 5 == 4 else "word", i * 0.4, i * 0.4 + 0.4) for i in range(50)]
     schema = "media_id string, seg_no int, word_no int, word string, start_s double, end_s double"
@@ -83,3 +110,10 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "c")).first().value == "text"
     sinks.append_log(spark.createDataFrame([("m",), (" ",)], "message string"), str(tmp_path / "l"), "r1")
     assert spark.read.json(str(tmp_path / "l")).count() == 1
+    records = spark.createDataFrame([("b", 1), ("a", 2)], "id string, n int").coalesce(1)
+    sinks.write_store(records, str(tmp_path / "s"), ["id"])
+    assert [json.loads(line)["id"] for f in (tmp_path / "s").glob("*.json") for line in f.read_text().splitlines()] == ["a", "b"]
+    sinks.write_changed(spark.createDataFrame([(1, "x", True), (2, "y", False)], "doc_id int, text string, changed boolean"), str(tmp_path / "t"))
+    assert [r.doc_id for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [1]
+    sinks.write_manifest(spark.createDataFrame([("d", 3)], "doc_id string, tokens int"), str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).first().tokens == 3
