@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,10 +13,11 @@ from lumenrow.functions import text as tx
 from lumenrow.functions import urls as ur
 from lumenrow.operators import chunking, cleaning, cues, fileplan, layout, reconcile, report, stores
 from lumenrow.operators import lines as ln
+from lumenrow.operators.tables import shared_path
 from lumenrow.plans import documents
 from lumenrow.plans.base import cues as cue_table
 from lumenrow.plans.base import table
-from lumenrow.sources import ass, files
+from lumenrow.sources import ass, files, paged_api, sinks
 
 DAY = 86_400_000
 
@@ -328,6 +331,111 @@ def html_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.html_report(r, table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n")))
 
 
+def side_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as texts whose sentence a side note breaks: the note goes behind it."""
+    text = F.format_string("We saw order %d of the\nTOWN HALL opposite The square and its trees\nold town and left.\nThen it rained.\n", F.col("o_orderkey"))
+    return cleaning.clean_documents(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))).select("o_orderkey", "text")
+
+
+def cleaned_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents, with noise in every third, were scanned and changed, and how many edits that took."""
+    o = table(spark, sf_dir, "orders")
+    text = F.format_string("Order %d is here.\n", F.col("o_orderkey"))
+    noisy = F.when(F.col("o_orderkey") % 3 == 0, F.concat(text, F.lit("Page 3 of 80\n\n"))).otherwise(text)
+    return cleaning.clean_totals(cleaning.clean_documents(o.select("o_orderkey", noisy.alias("text"))))
+
+
+def rebuild_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether orders of customers may stand in for the customers, and how many of both would change places."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("seq"))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderkey").alias("seq"), F.min("o_orderpriority").alias("text"))
+    return reconcile.may_rebuild(reconcile.reconcile(c, o, "id")).join(reconcile.order_differs(c, o, "id").agg(F.count("*").alias("moved")))
+
+
+def sidecar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of subtitles beside the parts of cut videos, unfinished downloads aside, and the folder that is next."""
+    m = _media(spark, sf_dir)
+    base = fileplan.stem(F.col("name"))
+    subtitle = F.when(F.col("p_partkey") % 2 == 0, F.concat(base, F.lit(".fr.srt"))).otherwise(F.lit("other.ass"))
+    shown = fileplan.sidecar_name(F.concat(base, F.lit("_part1.mp4")), F.col("name"), subtitle, F.lit(2))
+    folders = table(spark, sf_dir, "nation").select(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("name"), F.lit(True).alias("is_dir"))
+    rows = m.filter("p_partkey % 3 = 0").withColumn("download", F.when(F.col("p_partkey") % 2 == 0, F.concat("name", F.lit(".part"))).otherwise(F.col("name")))
+    return rows.filter(~fileplan.is_residue(F.col("download"))).select("p_partkey", shown.alias("sidecar")).join(fileplan.next_batch_folder(folders)).withColumn("next", F.col("next").cast("bigint"))
+
+
+def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as entries whose id is their own, or what their address names; others go."""
+    o = table(spark, sf_dir, "orders")
+    key = F.lpad(F.col("o_orderkey").cast("string"), 11, "v")
+    rows = o.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" "), key)).otherwise(F.lit("x")).alias("id"), F.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("https://youtu.be/"), key)).alias("url"), F.concat(F.lit(" "), "o_orderpriority").alias("title"))
+    return stores.normalised_record(rows).select("o_orderkey", "video_id", "title")
+
+
+def literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' texts without a literal of two lines, in any line end, and prompts without the fence they came in."""
+    o = table(spark, sf_dir, "orders")
+    text = F.concat(F.lit("a AD\r\nON b "), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("AD\nON")).otherwise(F.lit("")))
+    gone = tx.remove_literal(text, "AD\nON")
+    fenced = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("```text\n"), "o_orderpriority", F.lit("\n```"))).otherwise(F.concat(F.lit(" "), F.col("o_orderpriority")))
+    return o.select("o_orderkey", gone["text"].alias("text"), gone["removed"].alias("removed"), tx.without_code_fence(fenced).alias("prompt"), nm.seconds_to_srt(F.col("o_orderkey") / 4).alias("stamp"), nm.iso_utc(F.col("o_orderdate").cast("timestamp")).alias("moment"))
+
+
+def bilingual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks with a second language below each line, as ASS, read back as events."""
+    both = _tracks(spark, sf_dir).withColumn("source_text", F.when(F.col("ord") % 2 == 0, F.upper(F.get("lines", F.lit(0)))))
+    text = cues.render_ass(both)
+    events = ass.parse_events(text.select("doc_id", F.split("text", "\n").alias("lines"))).filter("kind = 'dialogue'")
+    return events.select("doc_id", "start_ms", F.try_element_at("fields", F.lit("text")).alias("text"))
+
+
+def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' names with accents as bytes of two encodings, read with a fallback and without."""
+    c = table(spark, sf_dir, "customer")
+    name = F.concat("c_name", F.lit(" é ü"))
+    content = F.when(F.col("c_custkey") % 2 == 0, F.encode(name, "UTF-8")).otherwise(F.encode(name, "ISO-8859-1"))
+    loose, strict = files.decoded(content), files.decoded(content, strict=True)
+    return c.select("c_custkey", loose["text"].alias("text"), loose["encoding"].alias("encoding"), strict["text"].alias("strict"))
+
+
+def landed_answer(resource: str, parameters: dict) -> dict:
+    """A paged API by rule: channel @n has n uploads, sixty a page, and no details of every fifth."""
+    if resource == "channels":
+        name = parameters["forHandle"][1:]
+        return {"items": [{"id": f"UC{name}", "snippet": {"title": f"Channel {name}"}, "contentDetails": {"relatedPlaylists": {"uploads": name}}}]}
+    if resource == "playlistItems":
+        first, n = int(parameters.get("pageToken", 0)), int(parameters["playlistId"])
+        page = {"items": [{"contentDetails": {"videoId": f"{n}-{i}"}} for i in range(first, min(n, first + 60))]}
+        return page | ({"nextPageToken": str(first + 60)} if first + 60 < n else {})
+    numbers = [(v, int(v.split("-")[1])) for v in parameters["id"].split(",")]
+    return {"items": [{"id": v, "snippet": {"title": f"Video {i}", "publishedAt": "2026-01-02T00:00:00Z", "thumbnails": {"high": {"url": f"t{i}", "width": 1, "height": 1}}}, "statistics": {"viewCount": str(i)}, "contentDetails": {"duration": f"PT{i}S"}} for v, i in numbers if i % 5]}
+
+
+def paged_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as channels of a paged API, each with as many uploads as ten times its key."""
+    paged_api.register(spark)
+    channels = [f"https://y.com/@{10 * r[0]}" for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]
+    rows = spark.read.format("paged_channels").option("channels", json.dumps(channels)).option("client", "lumenrow.plans.landed:landed_answer").load()
+    return paged_api.videos_of(rows).select("video_id", "title", "view_count", "channel", "duration", "published_sort_value", "source_order", "thumbnail_url")
+
+
+def written_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations' texts in chunks of 48 characters, written by document and chunk, and read back."""
+    n = table(spark, sf_dir, "nation")
+    d = n.select(F.col("n_nationkey").alias("doc_id"), F.concat_ws(" ", "n_name", F.lit("is a land of its own, they say. All of it is far. None of it is small.")).alias("text"))
+    path = shared_path(spark, "chunks")
+    sinks.write_chunks(chunking.chunk_by_measure(d, 48, len), path)
+    return spark.read.text(path).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("chunk").cast("bigint").alias("chunk"), F.col("value").alias("text"))
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' priorities as messages of two runs, appended to a log without blank and noisy ones, and read back."""
+    path = shared_path(spark, "log")
+    message = F.when(F.col("o_orderkey") % 3 == 0, F.lit(" ")).when(F.col("o_orderkey") % 3 == 1, F.lit("Fetching detailed view counts for entries missing counts...")).otherwise(F.col("o_orderpriority"))
+    for run in ("r1", "r2"):
+        sinks.append_log(table(spark, sf_dir, "orders").select(message.alias("message")), path, run)
+    return spark.read.json(path).groupBy("run", "message").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     "q53_clean_books": clean_books, "q54_folder_titles": folder_titles, "q55_running_headers": running_headers, "q56_store_records": store_records, "q57_cached_metadata": cached_metadata, "q58_themes": themes,
     "q59_prompts": prompts, "q60_renamed_projects": renamed_projects, "q61_best_store": best_store, "q62_channel_bag": channel_bag, "q63_srt_search": srt_search, "q64_srt_lenient": srt_lenient,
@@ -335,6 +443,8 @@ QUERIES = {
     "q71_portable_renames": portable_renames, "q72_refused_renames": refused_renames, "q73_free_names": free_names, "q74_wrappers": wrappers, "q75_first_files": first_files, "q76_durations_of_all": durations_of_all,
     "q77_inventories": inventories, "q78_result_totals": result_totals, "q79_new_inputs": new_inputs, "q80_two_columns": two_columns, "q81_scanned_pages": scanned_pages, "q82_page_choice": page_choice,
     "q83_line_kinds": line_kinds, "q84_scalars": scalars, "q85_chunk_manifest": chunk_manifest, "q86_combined": combined, "q87_html_page": html_page,
+    "q88_side_notes": side_notes, "q89_cleaned_totals": cleaned_totals, "q90_rebuild_checks": rebuild_checks, "q91_sidecar_names": sidecar_names, "q92_normalised": normalised, "q93_literals": literals,
+    "q94_bilingual": bilingual, "q95_decoded_texts": decoded_texts, "q96_paged_channels": paged_channels, "q97_written_chunks": written_chunks, "q98_run_log": run_log,
 }
 
 _K = "k as (select *, row_number() over (partition by o_custkey order by o_orderkey) as k, count(*) over (partition by o_custkey) as n from orders)"
@@ -402,4 +512,19 @@ ORACLES = {
     "q86_combined": "select 'all' as doc_id, string_agg('### Source image: ' || n_name || chr(10) || chr(10) || 'text of ' || n_name, chr(10) || chr(10) order by regexp_extract(n_name, '\\d+')::int) as text from nation",
     "q87_html_page": """select '<table><tr><th>rank</th><th>title</th></tr>' || chr(10) || (select string_agg('<tr><td>' || (r_regionkey + 1) || '</td><td>&lt;' || r_name || '&gt;</td></tr>', chr(10) order by r_regionkey) from region)
         || chr(10) || '</table>' || chr(10) || '<table><tr><th>n_regionkey</th><th>n</th></tr>' || chr(10) || (select string_agg('<tr><td>' || k || '</td><td>' || n || '</td></tr>', chr(10) order by k) from (select n_regionkey as k, count(*) as n from nation group by 1)) || chr(10) || '</table>' || chr(10) as html""",
+    "q88_side_notes": "select o_orderkey, 'We saw order ' || o_orderkey || ' of the old town and left.' || chr(10) || 'TOWN HALL opposite The square and its trees' || chr(10) || 'Then it rained.' || chr(10) as text from orders",
+    "q89_cleaned_totals": "select count(*) as scanned, count(*) filter (o_orderkey % 3 = 0) as changed, count(*) filter (o_orderkey % 3 = 0) as edits, count(*) filter (o_orderkey % 3 = 0) as blanks from orders",
+    "q90_rebuild_checks": """with o as (select o_custkey as id, min(o_orderkey) as seq from orders group by 1), b as (select id, row_number() over (order by id) as e, row_number() over (order by seq, id) as f from o join customer on id = c_custkey),
+        m as (select (select count(*) from customer where c_custkey not in (select id from o)) as missing, (select count(*) from o where id not in (select c_custkey from customer)) as unexpected)
+        select (select count(*) from b) as ok, missing, unexpected, 0::bigint as duplicate, 0::bigint as empty, missing + unexpected = 0 as allowed, (select count(*) from b where e <> f) as moved from m""",
+    "q91_sidecar_names": f"""with {_MEDIA} select p_partkey, regexp_replace(name, '\\.mp4$', '') || '_part1' || case when p_partkey % 2 = 0 then '.fr.srt' else '.subtitle2.ass' end as sidecar, (select max(n_nationkey) + 1 from nation)::bigint as next from m where p_partkey % 3 = 0 and p_partkey % 2 = 1""",
+    "q92_normalised": "select o_orderkey, lpad(o_orderkey::varchar, 11, 'v') as video_id, o_orderpriority as title from orders where o_orderkey % 3 <> 2",
+    "q93_literals": """select o_orderkey, 'a  b ' || o_orderkey as text, (1 + (o_orderkey % 2 = 0)::int)::bigint as removed, o_orderpriority as prompt,
+        format('{:02d}:{:02d}:{:02d},{:03d}', o_orderkey * 250 // 3600000, o_orderkey * 250 // 60000 % 60, o_orderkey * 250 // 1000 % 60, o_orderkey * 250 % 1000) as stamp, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') as moment from orders""",
+    "q94_bilingual": f"""with {_CUE} select doc_id, (start_ms + 5) // 10 * 10 as start_ms, text || case when ord % 2 = 0 then '\\N{{\\fs63\\bord6\\c&H00D5FF&\\3c&H000000&}}' || upper(text) || '{{\\r}}' else '' end as text from cue""",
+    "q95_decoded_texts": "select c_custkey, c_name || ' é ü' as text, case when c_custkey % 2 = 0 then 'utf-8' else 'cp1252' end as encoding, case when c_custkey % 2 = 0 then c_name || ' é ü' end as strict from customer",
+    "q96_paged_channels": """with v as (select 10 * n_nationkey as n, unnest(range(10 * n_nationkey)) as i from nation), k as (select * from v where i % 5 <> 0)
+        select n || '-' || i as video_id, 'Video ' || i as title, i as view_count, 'Channel ' || n as channel, format('{}:{:02d}', i // 60, i % 60) as duration, 20260102 as published_sort_value, row_number() over (partition by n order by i) - 1 as source_order, 't' || i as thumbnail_url from k""",
+    "q97_written_chunks": """select n_nationkey as doc_id, c as chunk, case c when 1 then n_name || ' is a land of its own, they say.' else 'All of it is far. None of it is small.' end as text from nation, (select unnest([1, 2]) as c)""",
+    "q98_run_log": "select run, o_orderpriority as message, count(*) as n from orders, (select unnest(['r1', 'r2']) as run) where o_orderkey % 3 = 2 group by all",
 }
