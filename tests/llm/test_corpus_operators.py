@@ -476,3 +476,28 @@ def test_query_equals_its_sql(spark, sf, name):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got, due = normal(registry.QUERIES[name](spark, sf).toPandas()), normal(con.sql(registry.ORACLES[name]).df())
     assert got.equals(due.astype(got.dtypes.to_dict()))
+
+
+def test_near_dedup_query_equals_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    due = brute_classes({r.doc_id: r.text for r in docs.collect()}, *near_dedup.document_frequencies(docs))
+    got = registry.QUERIES["op3_near_dedup"](spark, sf).collect()
+    assert {r.doc_id: r.class_id for r in got} == due and len(got) == len(due) and all(r.kept == (r.doc_id == r.class_id) for r in got)
+    assert len(set(due.values())) < len(due)
+
+
+def test_packing_query_equals_plain_steps(spark):
+    sf = "/root/testdata/sf0.01"
+    mine, due = packing.WordTokenizer(packing.vocabulary_path()), Counter()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids = mine.tokenizer.encode(r.text or "", add_special_tokens=False).ids + [1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            due[(r.doc_id, k, at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes()))] += 1
+    rows = registry.QUERIES["op7_best_fit_packing"](spark, sf).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == due
+    ends = Counter()
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    lengths = np.bincount([r.length for r in rows], minlength=4097)
+    assert max(ends.values()) <= 4096 and len(ends) <= sum(n for n, _ in packing.best_fit_decreasing(lengths, 4096)) and len(ends) == -(-sum(r.length for r in rows) // 4096)
