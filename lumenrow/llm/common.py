@@ -63,12 +63,12 @@ def hot_keys(counted: DataFrame, on: str, n: str | None = None) -> dict:
     return {bytes(r[0]) if isinstance(r[0], bytearray) else r[0]: math.ceil(r[1] * HOT_SHARE / total) for r in found}
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner", salt_by: str | None = None, counted: DataFrame | None = None, hot: dict | None = None) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner", salt_by: str | Column | None = None, counted: DataFrame | None = None, hot: dict | None = None) -> DataFrame:
     """Join rows to a table of one row a key, where a few keys may have much of ``left``.
 
     Rows of such keys are dealt to salts, about one for each HOT_SHARE-th of all rows, and their rows
     of ``right`` are there once for each salt: no task gets a whole key, and nothing is broadcast for it.
-    Salts are hashes of the whole row, or of the column ``salt_by``. Hot keys are found by counting
+    Salts are hashes of the whole row, or of ``salt_by``. Hot keys are found by counting
     ``left``, which is computed then, or a computed table ``counted`` with its keys, or are given.
     """
     hot = hot_keys(left if counted is None else counted, on) if hot is None else hot
@@ -76,7 +76,7 @@ def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner", sal
         return left.join(right, on, how)
     salts = F.create_map(*(F.lit(v) for pair in hot.items() for v in pair))
     n = F.coalesce(F.try_element_at(salts, F.col(on)), F.lit(1))
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*([salt_by] if salt_by else left.columns)), n).cast("int"))
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*(left.columns if salt_by is None else [salt_by])), n).cast("int"))
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
     return dealt.join(spread, [on, "_salt"], how).drop("_salt")
 

@@ -79,7 +79,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     known = F.broadcast(known) if n <= BROADCAST_SOURCES else known
     key = repeated.columns
     again = cut(keyed.join(known, _equal(key), "left_semi"))
-    within = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(F.xxhash64("doc")))
+    within = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(F.xxhash64(F.to_json("doc"))))
     parts = again.groupBy(*key, "_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = parts.select(*(F.col(c).alias(f"{c}_of") for c in [*key, "_part"]), before.alias("_before"))

@@ -144,7 +144,7 @@ def judge_urls(pages: DataFrame, rules: tuple[HostRule, ...] = RULES) -> DataFra
     scored = cut(scored)
     threshold = calibrated_threshold(scored)
     by_key = scored.groupBy("key_name").agg(F.first("score").alias("score"))
-    judged = join_hot(rows.drop("key"), by_key, "key_name", salt_by="page", hot=hot_keys(keys, "key_name", "n"))
+    judged = join_hot(rows.drop("key"), by_key, "key_name", salt_by=F.to_json("page"), hot=hot_keys(keys, "key_name", "n"))
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("score") >= threshold, F.lit("allow")).otherwise(F.lit("block")))
     return judged.select("page", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "score")
 

@@ -205,7 +205,7 @@ def test_url_model_equals_brute_force(spark):
 
 def test_urls_are_scored_whole(spark):
     rows = [(i, f"http://a{i}.example.net/{'en' if i % 2 else 'x'}/{i}?{'good' if i % 2 else 'poor'}=1") for i in range(60)] + [(100, "http://q.example.com/1?good=1"), (101, "http://q.example.com/1?poor=1")] + [(200 + i, None) for i in range(900)]
-    p = spark.createDataFrame(rows, "page_id long, url string")
+    p = spark.createDataFrame(rows, "page_id long, url string").withColumn("map", F.create_map(F.lit("k"), F.col("url")))
     got = {r.page.page_id: r for r in url_filter.judge_urls(p).collect()}
     assert len(got) == len(rows) and got[100].score > got[101].score and got[1].score > got[2].score
     assert {r.verdict for r in got.values() if r.page.url is None} in ({"allow"}, {"block"})

@@ -132,7 +132,8 @@ def test_run_gives_every_stage_the_rows_of_the_one_before(spark, sf, monkeypatch
 
 
 def test_stages_of_empty_tables_and_clashing_columns(spark, sf, documents):
-    clashing = documents.limit(60).withColumn("doc", F.lit(1)).withColumn("kept", F.lit(2)).withColumn("digest", F.lit("x"))
+    clashing = documents.limit(60).withColumn("doc", F.lit(1)).withColumn("kept", F.lit(2)).withColumn("digest", F.lit("x")).withColumn("map", F.create_map(F.lit("k"), F.col("source")))
+    clashing = clashing.unionByName(clashing.filter("doc_id = 7"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, clashing, sf).columns == clashing.columns
     for _, stage in corpus_pipeline.STAGES:
