@@ -195,5 +195,15 @@ def percent(done: Column, total: Column) -> Column:
     return F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), done / total)) * 100).cast("int")
 
 
+def overall_percent(done_files: Column, fraction: Column, files: Column) -> Column:
+    """A clamped whole percentage of several files, one of them at a fraction."""
+    return percent(done_files + F.least(F.lit(1.0), F.greatest(F.lit(0.0), fraction)), F.greatest(files, F.lit(1)))
+
+
+def is_due(last: Column, now: Column, hours: float = 24) -> Column:
+    """Whether something that last ran at a time, or never, is to run again."""
+    return last.isNull() | (F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(last.cast("timestamp")) >= hours * 3600)
+
+
 def iso_utc(moment: Column) -> Column:
     return F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

@@ -108,6 +108,18 @@ def manifest(chunks: DataFrame, prefix: str = "chunk") -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "file", "tokens"))).alias("outputs"), F.sum("tokens").alias("tokens"))
 
 
+def corpus_chunks(documents: DataFrame, capacity: int, combined: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chunks of half a reader's capacity of (name, text), and (name, error) of texts that could not be read.
+
+    Texts are chunked each for itself, under their names, or, where ``combined`` names their kind, as
+    one text under headers, whose name is ``all``.
+    """
+    errors = documents.filter("text is null").select("name", F.lit("it could not be read").alias("error"))
+    read = documents.filter("text is not null")
+    whole = read.select(F.col("name").alias("doc_id"), "text") if combined is None else combined_corpus(read, combined)
+    return chunk_by_length(whole, chunk_budget(capacity)), errors
+
+
 def combined_corpus(documents: DataFrame, kind: str = "image") -> DataFrame:
     """One document of all texts under headers of their names, by natural name order.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenrow.functions.numbers import clock
 from lumenrow.functions.text import ascii_base, layout_key, natural_key, portable_artifact
 from lumenrow.operators.report import ranked
 
@@ -177,6 +178,21 @@ def duration_report(media: DataFrame) -> DataFrame:
     return media.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.bround(raw, 0).cast("bigint")), F.lit(0)).alias("seconds"), F.count_if(raw.isNull()).alias("unreadable"), F.count_if(raw >= 1800).alias("long_files"))
 
 
+def long_media(media: DataFrame, least_seconds: float = 1800) -> DataFrame:
+    """Media whose raw duration can be read and is long enough, with it as ``seconds``."""
+    raw = F.when(F.col("duration_raw").rlike(r"\A[0-9]+([.][0-9]+)?\z"), F.col("duration_raw").try_cast("double"))
+    return media.withColumn("seconds", raw).filter(F.col("seconds") >= least_seconds)
+
+
+def duration_text(media: DataFrame, group: str = "dir", title: str = "Durations") -> DataFrame:
+    """(group, text): a plain report of each folder: a title, a line ``duration | name`` for each file in natural order, and how many and how long all are."""
+    raw = F.when(F.col("duration_raw").rlike(r"\A[0-9]+([.][0-9]+)?\z"), F.bround(F.col("duration_raw").try_cast("double"), 0).cast("bigint"))
+    line = F.concat_ws(" | ", F.when(raw.isNull(), F.lit("?")).otherwise(clock(raw)), "name")
+    listed = media.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(natural_key(F.col("name")).alias("k"), "name", line.alias("line")))).alias("rows"), F.coalesce(F.sum(raw), F.lit(0)).alias("total"))
+    foot = F.concat(F.size("rows").cast("string"), F.lit(" files, "), clock(F.col("total")))
+    return listed.select(group, F.concat_ws("\n", F.lit(title), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), foot, F.lit("")).alias("text"))
+
+
 def contains_any(message: Column, markers: tuple[str, ...]) -> Column:
     """Whether a message has any of the markers, whatever their case."""
     return F.exists(F.array(*(F.lit(m.lower()) for m in markers)), lambda m: F.contains(F.lower(message), m))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenrow.functions.patterns import strip
 from lumenrow.operators.report import ranked
+from lumenrow.operators.tables import materialised
 
 
 def reconcile(expected: DataFrame, found: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -85,6 +88,23 @@ def all_or_nothing(plan: DataFrame, bad: Column) -> DataFrame:
     return plan.join(flag, how="inner").drop("_bad")
 
 
+def retried(rows: DataFrame, attempt: Callable[[DataFrame, int], DataFrame], key: str, rounds: int = 3, error: str = "error") -> DataFrame:
+    """Results of ``attempt`` (rows, round) in at most so many rounds, each over what failed in the one before.
+
+    Every round is computed once and kept; what still fails after the last one stays with its error.
+    ``round`` tells when a row came.
+    """
+    results, left = None, rows
+    for turn in range(rounds):
+        done = materialised(rows.sparkSession, attempt(left, turn).withColumn("round", F.lit(turn)))
+        good, bad = split_errors(done, error)
+        results = good if results is None else results.unionByName(good)
+        if turn + 1 == rounds or not bad.limit(1).count():
+            return results.unionByName(bad)
+        left = rows.join(bad.select(key), key, "left_semi")
+    return rows.limit(0)
+
+
 def split_errors(rows: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
     """Rows without and with an error."""
     failed = F.coalesce(F.col(error), F.lit("")) != ""

@@ -110,6 +110,28 @@ def removed(rows: DataFrame, name: str, value: str) -> DataFrame:
     return rows.filter(~F.col(name).eqNullSafe(F.lit(value)))
 
 
+def added(rows: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """The rows and the new ones; names stay unique and not empty, or the query fails."""
+    return unique_names(rows.unionByName(new), name)
+
+
+def toggled(themes: DataFrame, urls: tuple[str, ...]) -> DataFrame:
+    """Themes whose channels of these addresses are switched, on or off."""
+    switch = lambda c: F.struct(c["url"].alias("url"), F.when(c["url"].isin(*urls), ~c["enabled"]).otherwise(c["enabled"]).alias("enabled"))
+    return themes.withColumn("channels", F.transform("channels", switch))
+
+
+def themes_json(themes: DataFrame) -> DataFrame:
+    """(theme, text): each theme as the JSON that a configuration holds; settings that are null are left out."""
+    settings = ["min_views", "published_after", "published_before"]
+    return themes.select("theme", F.to_json(F.struct(F.col("theme").alias("name"), *settings, "channels")).alias("text"))
+
+
+def name_order(name: str) -> list[Column]:
+    """By a name without case, then by the name."""
+    return [casefold(F.col(name)), F.asc(name)]
+
+
 def prompts_of(texts: DataFrame) -> DataFrame:
     """(project, id, title, content, created_at, updated_at) of prompt stores; names squeezed, missing ids made."""
     prompt = "struct<id:string,title:string,content:string,created_at:string,updated_at:string>"

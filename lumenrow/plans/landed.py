@@ -436,6 +436,61 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.json(path).groupBy("run", "message").agg(F.count("*").alias("n"))
 
 
+def duration_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as media, in a plain report of how long they are."""
+    o = table(spark, sf_dir, "orders")
+    raw = F.when(F.col("o_orderkey") % 11 == 0, F.lit("N/A")).otherwise((F.col("o_orderkey") * 7 % 4000).cast("string"))
+    return fileplan.duration_text(o.select(F.col("o_custkey").alias("dir"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("name"), raw.alias("duration_raw")))
+
+
+def long_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as media of half an hour or more."""
+    o = table(spark, sf_dir, "orders")
+    raw = F.when(F.col("o_orderkey") % 11 == 0, F.lit("N/A")).otherwise((F.col("o_orderkey") * 7 % 4000).cast("string"))
+    return fileplan.long_media(o.select("o_orderkey", raw.alias("duration_raw"))).select("o_orderkey", "seconds")
+
+
+def theme_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as themes with their nations as channels: one is added, two channels are switched, all are saved as JSON."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    channel = F.struct("n_nationkey", F.col("n_name").alias("url"), (F.col("n_nationkey") % 2 == 0).alias("enabled"))
+    listed = n.groupBy(F.col("r_name").alias("theme")).agg(F.array_sort(F.collect_list(channel)).alias("c"))
+    empty = F.lit(None).cast("string")
+    rows = listed.select("theme", F.lit("5k").alias("min_views"), empty.alias("published_after"), empty.alias("published_before"), F.transform("c", lambda c: F.struct(c["url"].alias("url"), c["enabled"].alias("enabled"))).alias("channels"))
+    new = rows.limit(1).select(F.lit("Atlantis").alias("theme"), "min_views", "published_after", "published_before", F.slice("channels", 1, 0).alias("channels"))
+    return stores.themes_json(stores.toggled(stores.added(rows, new, "theme"), ("NATION_3", "NATION_4")))
+
+
+def project_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments as projects by name without case, one added and one gone."""
+    c = table(spark, sf_dir, "customer").select(F.when(F.col("c_mktsegment") == "BUILDING", F.lit("building")).otherwise(F.col("c_mktsegment")).alias("project")).distinct()
+    names = stores.removed(stores.added(c, c.limit(1).select(F.lit("Garden").alias("project")), "project"), "project", "MACHINERY")
+    return report.ranked(names, stores.name_order("project"), "place")
+
+
+def combined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as pages, every seventh unreadable: one combined text in chunks, and what could not be read."""
+    n = table(spark, sf_dir, "nation")
+    pages = n.select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 7 != 3, F.concat(F.lit("This is "), F.col("n_name"), F.lit("."))).alias("text"))
+    chunks, errors = chunking.corpus_chunks(pages, 8000, "image")
+    return chunks.select("doc_id", "text", F.lit(None).cast("string").alias("error")).unionByName(errors.select(F.col("name").alias("doc_id"), F.lit(None).cast("string").alias("text"), "error"))
+
+
+def retry_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders asked for in three rounds; each round fails for those whose key, modulo five, is beyond its number."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    ask = lambda rows, turn: rows.withColumn("error", F.when(F.col("o_orderkey") % 5 > turn, F.lit("not yet")))
+    return reconcile.retried(o, ask, "o_orderkey").withColumn("round", F.col("round").cast("bigint"))
+
+
+def due_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as programs that last ran on their day: which are to run again, and how far a batch has come."""
+    o = table(spark, sf_dir, "orders")
+    last = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate"))
+    done = nm.overall_percent(F.col("o_orderkey") % 7, (F.col("o_orderkey") % 3) / 2.0, F.lit(8)).cast("bigint")
+    return o.select("o_orderkey", nm.is_due(last, F.lit("1997-06-15 00:00:00").cast("timestamp")).alias("due"), done.alias("done"))
+
+
 QUERIES = {
     "q53_clean_books": clean_books, "q54_folder_titles": folder_titles, "q55_running_headers": running_headers, "q56_store_records": store_records, "q57_cached_metadata": cached_metadata, "q58_themes": themes,
     "q59_prompts": prompts, "q60_renamed_projects": renamed_projects, "q61_best_store": best_store, "q62_channel_bag": channel_bag, "q63_srt_search": srt_search, "q64_srt_lenient": srt_lenient,
@@ -445,6 +500,7 @@ QUERIES = {
     "q83_line_kinds": line_kinds, "q84_scalars": scalars, "q85_chunk_manifest": chunk_manifest, "q86_combined": combined, "q87_html_page": html_page,
     "q88_side_notes": side_notes, "q89_cleaned_totals": cleaned_totals, "q90_rebuild_checks": rebuild_checks, "q91_sidecar_names": sidecar_names, "q92_normalised": normalised, "q93_literals": literals,
     "q94_bilingual": bilingual, "q95_decoded_texts": decoded_texts, "q96_paged_channels": paged_channels, "q97_written_chunks": written_chunks, "q98_run_log": run_log,
+    "q99_duration_lines": duration_lines, "q100_long_media": long_media, "q101_theme_changes": theme_changes, "q102_project_list": project_list, "q103_combined_chunks": combined_chunks, "q104_retry_rounds": retry_rounds, "q105_due_updates": due_updates,
 }
 
 _K = "k as (select *, row_number() over (partition by o_custkey order by o_orderkey) as k, count(*) over (partition by o_custkey) as n from orders)"
@@ -527,4 +583,16 @@ ORACLES = {
         select n || '-' || i as video_id, 'Video ' || i as title, i as view_count, 'Channel ' || n as channel, format('{}:{:02d}', i // 60, i % 60) as duration, 20260102 as published_sort_value, row_number() over (partition by n order by i) - 1 as source_order, 't' || i as thumbnail_url from k""",
     "q97_written_chunks": """select n_nationkey as doc_id, c as chunk, case c when 1 then n_name || ' is a land of its own, they say.' else 'All of it is far. None of it is small.' end as text from nation, (select unnest([1, 2]) as c)""",
     "q98_run_log": "select run, o_orderpriority as message, count(*) as n from orders, (select unnest(['r1', 'r2']) as run) where o_orderkey % 3 = 2 group by all",
+    "q99_duration_lines": """with m as (select o_custkey as dir, o_orderkey as k, case when o_orderkey % 11 <> 0 then o_orderkey * 7 % 4000 end as s from orders), c as (select dir, coalesce(sum(s), 0)::bigint as t, count(*) as n,
+          string_agg(case when s is null then '?' when s >= 3600 then format('{}:{:02d}:{:02d}', s // 3600, s // 60 % 60, s % 60) else format('{}:{:02d}', s // 60, s % 60) end || ' | f' || k, chr(10) order by k) as lines from m group by 1)
+        select dir, 'Durations' || chr(10) || lines || chr(10) || n || ' files, ' || case when t >= 3600 then format('{}:{:02d}:{:02d}', t // 3600, t // 60 % 60, t % 60) else format('{}:{:02d}', t // 60, t % 60) end || chr(10) as text from c""",
+    "q100_long_media": "select o_orderkey, (o_orderkey * 7 % 4000)::double as seconds from orders where o_orderkey % 11 <> 0 and o_orderkey * 7 % 4000 >= 1800",
+    "q101_theme_changes": """select r_name as theme, '{"name":"' || r_name || '","min_views":"5k","channels":[' || string_agg('{"url":"' || n_name || '","enabled":' || case when (n_nationkey % 2 = 0) <> (n_nationkey in (3, 4)) then 'true' else 'false' end || '}', ',' order by n_nationkey) || ']}' as text
+        from nation join region on n_regionkey = r_regionkey group by r_name union all select 'Atlantis', '{"name":"Atlantis","min_views":"5k","channels":[]}'""",
+    "q102_project_list": """with p as (select distinct case when c_mktsegment = 'BUILDING' then 'building' else c_mktsegment end as project from customer union all select 'Garden')
+        select project, row_number() over (order by lower(project), project) as place from p where project <> 'MACHINERY'""",
+    "q103_combined_chunks": """select 'all' as doc_id, string_agg('### Source image: ' || n_name || chr(10) || chr(10) || 'This is ' || n_name || '.', chr(10) || chr(10) order by regexp_extract(n_name, '\\d+')::int) as text, null as error from nation where n_nationkey % 7 <> 3
+        union all select n_name, null, 'it could not be read' from nation where n_nationkey % 7 = 3""",
+    "q104_retry_rounds": "select o_orderkey, case when o_orderkey % 5 > 2 then 'not yet' end as error, least(o_orderkey % 5, 2) as round from orders",
+    "q105_due_updates": """select o_orderkey, o_orderkey % 4 = 0 or epoch(timestamp '1997-06-15') - epoch(o_orderdate) >= 86400 as due, floor(least(1.0::double, (o_orderkey % 7 + least(1.0::double, o_orderkey % 3 / 2.0::double)) / 8) * 100)::bigint as done from orders""",
 }
