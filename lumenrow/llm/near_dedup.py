@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenrow.llm.common import cut, drop_path, fresh_path, in_slices, join_hot, table, values_of
+from lumenrow.llm.common import cut, drop_path, fresh_path, hot_keys, in_slices, join_hot, table, values_of
 from lumenrow.llm.components import connected_components
 
 SHINGLE = 5
@@ -46,7 +46,7 @@ CACHE_WORDS = 300_000
 BROADCAST_IDS = 200_000
 #: Pairs of buckets up to so large are rows; those of larger ones are made in blocks of about so many rows and bytes of text.
 PAIRED_ROWS = 32
-BLOCK_ROWS, BLOCK_BYTES = 500, 4_000_000
+BLOCK_ROWS, BLOCK_BYTES = 2_000, 8_000_000
 #: Shingles that so few pairs of two blocks share are added up pair by pair, others by products of so many columns.
 FEW_PAIRS = 100
 PAIRS_AT_ONCE = 500_000
@@ -445,9 +445,9 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     grouped = sketched.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("samples").alias("samples"), F.first("bands").alias("bands"))
     order = F.unhex(F.lpad(F.hex(F.coalesce("least", F.lit((1 << 63) - 1)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
     reps = cut(grouped.select(F.concat(order, "digest").alias("node"), "digest", "least", "samples", "bands"))
-    keyed = cut(reps.select("node", F.posexplode("bands").alias("band", "key")))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    slots = cut(join_hot(keyed, buckets, "key"))
+    keyed = reps.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = cut(keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    slots = cut(join_hot(keyed, buckets, "key", hot=hot_keys(buckets, "key", "n")))
     path = fresh_path(docs.sparkSession, "near-features")
     wanted = reps.join(slots.select("node").distinct(), "node", "left_semi")
     known = features_of(_texts_of(docs, sketched, wanted), idf)
