@@ -284,6 +284,8 @@ def verified(pairs: DataFrame, reps: DataFrame, features: DataFrame, threshold:
         firsts = cut(found.select("a").distinct())
         return join_hot(side("b").join(F.broadcast(found), "b"), side("a").join(F.broadcast(firsts), "a", "left_semi"), "a", salt_by="b", counted=found)
 
+    if not pairs.limit(1).count():
+        return pairs
     near = cut(joined(pairs, reps, ["samples"]).filter(_agreed("samples_a", "samples_b") >= LEAST_AGREED).select("a", "b"))
     whole = joined(near, features, ["found", "weights"])
     return cut(whole.filter(_similar("found_a", "weights_a", "found_b", "weights_b") >= threshold).select("a", "b").distinct())
@@ -388,6 +390,8 @@ def rest_links(slots: DataFrame, roots: DataFrame, reps: DataFrame, features: Da
     rooted = cut(slots.select("node", "key", "band").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min(F.struct("node", "root")).getField("root").alias("first_root"), F.count("*").alias("n")).filter("least <> most")
     rooted = cut(join_hot(rooted, mixed.select("key", "first_root", "n"), "key"))
+    if not rooted.limit(1).count():
+        return tried.limit(0)
     small = rooted.filter(F.col("n") <= PAIRED_ROWS)
     side = lambda name: small.select("key", F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     pairs = side("a").join(side("b"), "key").filter("a < b and a_root <> b_root").select("a", "b").distinct()
@@ -448,6 +452,9 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     keyed = reps.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = cut(keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1"))
     slots = cut(join_hot(keyed, buckets, "key", hot=hot_keys(buckets, "key", "n")))
+    members = join_hot(sketched.select("doc_id", "digest"), reps.select("digest", "node"), "digest", "left").select("doc_id", "node")
+    if not slots.limit(1).count():
+        return members, slots.select(F.col("node").alias("a"), F.col("node").alias("b"))
     path = fresh_path(docs.sparkSession, "near-features")
     wanted = reps.join(slots.select("node").distinct(), "node", "left_semi")
     known = features_of(_texts_of(docs, sketched, wanted), idf)
@@ -469,7 +476,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     rest = rest_links(slots, roots, reps, features, threshold, tried)
     links = cut(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest))
     drop_path(docs.sparkSession, path)
-    return join_hot(sketched.select("doc_id", "digest"), reps.select("digest", "node"), "digest", "left").select("doc_id", "node"), links
+    return members, links
 
 
 def _classed(docs: DataFrame, threshold: float) -> DataFrame:
