@@ -26,6 +26,13 @@ def cut(frame: DataFrame) -> DataFrame:
     return materialised(frame.sparkSession, frame)
 
 
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` as a table in the shared folder, read again; its size is known to the planner then."""
+    path = fresh_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return shared_path(spark, name)
 

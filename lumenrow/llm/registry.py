@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenrow.llm import chat_format, mixing, near_dedup, neighbours, packing, quality_fm, quality_rules, secret_scan, sentence_pieces, source_divergence, toxicity, url_filter
+from lumenrow.llm import chat_format, mixing, near_dedup, neighbours, packing, quality_fm, quality_rules, sale_features, secret_scan, sentence_pieces, source_divergence, toxicity, url_filter
 
 QUERIES = {
     "op2_nearest_neighbours": neighbours.op2_nearest_neighbours,
@@ -16,11 +16,13 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op11_sentence_pieces": sentence_pieces.op11_sentence_pieces,
+    "op12_sale_features": sale_features.op12_sale_features,
     "op13_source_divergence": source_divergence.op13_source_divergence,
 }
 ORACLES = {
     "op4_chat_format": chat_format.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
+    "op12_sale_features": sale_features.ORACLE,
     "op13_source_divergence": source_divergence.ORACLE,
 }
