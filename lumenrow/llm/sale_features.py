@@ -141,13 +141,12 @@ def item_spans(lines: DataFrame, days: tuple[int, ...]) -> DataFrame:
     """``lines`` (with width) and until when earlier lines of their client and item, by when they count, already do: ``before_k`` for window k."""
     ends = lines.withColumns({f"end_{k}": F.greatest("known", F.col("sold") + d * DAY) for k, d in enumerate(days)}).withColumn("slice", slice_of(F.col("known"), F.col("width")))
     names = [f"end_{k}" for k in range(len(days))]
-    earlier = Window.partitionBy("client_id", "item_id", "slice").orderBy("known", "sold").rowsBetween(Window.unboundedPreceding, -1)
-    spans = ends.withColumns({f"before_{k}": F.max(c).over(earlier) for k, c in enumerate(names)})
     cut_ = ends.filter("width is not null").groupBy("client_id", "item_id", "slice", "width").agg(*(F.max(c).alias(c) for c in names))
-    opening = carried(cut_, ["client_id", "item_id"], [], names).select("client_id", F.col("item_id").alias("item"), "slice", *(F.col(c).alias(f"opening_{k}") for k, c in enumerate(names)))
-    sliced = spans.filter("width is not null").join(opening.withColumnsRenamed({"client_id": "client", "slice": "from"}), F.expr("client_id = client and item_id <=> item and slice = `from`"))
-    sliced = sliced.withColumns({f"before_{k}": F.greatest(f"before_{k}", f"opening_{k}") for k in range(len(days))})
-    return spans.filter("width is null").unionByName(sliced.select(*spans.columns))
+    opening = carried(cut_, ["client_id", "item_id"], [], names).filter(" or ".join(f"{c} is not null" for c in names))
+    # Openings are rows before all others of their slice, so that they take part in the windows without a join.
+    rows = ends.withColumn("own", F.lit(True)).unionByName(opening.withColumns({"known": F.col("slice") - 1, "own": F.lit(False)}), allowMissingColumns=True)
+    earlier = Window.partitionBy("client_id", "item_id", "slice").orderBy("known", "sold").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumns({f"before_{k}": F.max(c).over(earlier) for k, c in enumerate(names)}).filter("own").drop("own")
 
 
 def change_logs(sales: DataFrame, clicks: DataFrame, lines: DataFrame, days: tuple[int, ...]) -> DataFrame:
