@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenrow.functions.text import sentences, words
-from lumenrow.operators.lines import safe_blocks
+from lumenrow.functions.text import ends_sentence, natural_key, sentences, words
+from lumenrow.operators.lines import paragraphs, safe_blocks
+from lumenrow.operators.report import ranked
+from lumenrow.operators.sequences import running, walked
+from lumenrow.operators.tables import materialised
+
+#: Pieces of a corpus are packed in stretches of so many budgets, two at least, so that a chunk begins in each.
+STRETCH_BUDGETS = 64
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -116,17 +124,106 @@ def corpus_chunks(documents: DataFrame, capacity: int, combined: str | None = No
     """
     errors = documents.filter("text is null").select("name", F.lit("it could not be read").alias("error"))
     read = documents.filter("text is not null")
-    whole = read.select(F.col("name").alias("doc_id"), "text") if combined is None else combined_corpus(read, combined)
-    return chunk_by_length(whole, chunk_budget(capacity)), errors
+    if combined is not None:
+        return combined_chunks(read, chunk_budget(capacity), combined), errors
+    return chunk_by_length(read.select(F.col("name").alias("doc_id"), "text"), chunk_budget(capacity)), errors
+
+
+def headed(kind: str) -> Column:
+    """A text under the header of its name."""
+    return F.concat(F.lit(f"### Source {kind}: "), F.col("name"), F.lit("\n\n"), F.col("text"))
+
+
+def combined_chunks(documents: DataFrame, budget: int, kind: str = "image") -> DataFrame:
+    """:func:`chunk_by_length` of all texts (name, text) as one under headers, by natural name order, named ``all``.
+
+    The combined text is never made: paragraphs are numbered over all texts, blocks are those between sentence
+    ends, and pieces of blocks are packed by :func:`packed`. Texts of one name go by their text.
+    """
+    parts = ranked(documents.select("name", headed(kind).alias("part")), [natural_key(F.col("name")), F.asc("name"), F.asc("part")], "_doc")
+    rows = parts.select("_doc", F.posexplode(paragraphs(F.col("part"))).alias("_para", "text"))
+    rows = running(rows, [F.col("_doc"), F.col("_para")], {"block": ends_sentence(F.col("text")).cast("int"), "n": F.lit(1)})
+    closed = rows.agg(F.coalesce(F.sum(ends_sentence(F.col("text")).cast("int")), F.lit(0))).first()[0]
+    # What is left open at the end joins the last block, where there is one.
+    block = F.when((F.col("block") == closed) & (F.col("block") > 0), F.col("block") - 1).otherwise(F.col("block"))
+    blocks = rows.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("parts"))
+    blocks = blocks.select("block", F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("text"))
+    pieces = blocks.select("block", F.posexplode(split_block(F.col("text"), budget)).alias("piece", "text"))
+    fits = F.when(F.length("text") > budget, F.raise_error(F.lit("a word is longer than the budget"))).otherwise(F.col("text"))
+    chunks = packed(pieces.select("block", "piece", fits.alias("text")), [F.col("block"), F.col("piece")], budget, "\n\n")
+    return chunks.select(F.lit("all").alias("doc_id"), "chunk_no", "text", F.length("text").cast("bigint").alias("tokens"))
+
+
+def packed(pieces: DataFrame, order: list[Column], budget: int, joiner: str) -> DataFrame:
+    """(chunk_no, text): pieces (text) of one order joined greedily while a chunk has at most ``budget`` characters.
+
+    Where each piece begins is a running sum, so that the piece that begins the chunk behind one begun here is
+    the first that ends more than a budget further on. Stretches of STRETCH_BUDGETS find, for each piece that
+    may be the first to begin a chunk in them, the last one that then does; these links from stretch to
+    stretch are walked by pointer doubling from the first piece, which tells each stretch where it begins.
+    """
+    spark = pieces.sparkSession
+    placed = running(pieces, order, {"at": F.length("text") + len(joiner), "no": F.lit(1)})
+    stretch = F.floor(F.col("at") / (STRETCH_BUDGETS * budget)).cast("bigint")
+    placed = materialised(spark, placed.select(stretch.alias("stretch"), "no", "at", F.length("text").cast("bigint").alias("n"), "text"))
+    sizes = placed.select("stretch", "no", "at", "n")
+    ways = materialised(spark, sizes.groupBy("stretch").applyInArrow(_ways(budget, len(joiner)), "stretch long, no long, ends long, until long"))
+    heads = ways.groupBy("stretch").agg(F.array_sort(F.collect_list(F.struct("ends", "no"))).alias("heads"))
+    over = ways.select((F.col("stretch") + 1).alias("stretch"), F.col("no").alias("id"), "until").join(heads, "stretch", "left")
+    entered = F.get(F.filter("heads", lambda h: h["ends"] > F.col("until")), F.lit(0))["no"]
+    begun = walked(over.select("id", entered.alias("next")), ways.filter("no = 0").select(F.col("no").alias("id"))).select(F.col("id").alias("entry"))
+    entries = ways.join(begun, F.col("no") == F.col("entry")).select("stretch", "entry")
+    chosen = sizes.groupBy("stretch").cogroup(entries.groupBy("stretch")).applyInArrow(_chosen(budget), "stretch long, no long, begins boolean")
+    numbered = running(placed.join(chosen, ["stretch", "no"]), [F.col("no")], {"before": F.col("begins").cast("int")})
+    chunk = F.col("before") + F.col("begins").cast("bigint") - 1
+    listed = numbered.groupBy(chunk.alias("chunk_no")).agg(F.array_sort(F.collect_list(F.struct("no", "text"))).alias("parts"))
+    return listed.select("chunk_no", F.array_join(F.transform("parts", lambda p: p["text"]), joiner).alias("text"))
+
+
+def _next_begun(pieces: pa.Table, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, places and ends of a stretch's pieces, by number, and for each the index of the piece that begins the next chunk if it begins one."""
+    no, at, n = (pieces[c].combine_chunks().to_numpy() for c in ("no", "at", "n"))
+    order = np.argsort(no)
+    no, at, ends = no[order], at[order], (at + n)[order]
+    return no, at, ends, np.maximum(np.searchsorted(ends, at + budget, side="right"), np.arange(len(no)) + 1)
+
+
+def _ways(budget: int, gap: int) -> Callable[[pa.Table], pa.Table]:
+    """For each piece that may be the first of a stretch to begin a chunk: where it ends, and until where the last chunk begun in the stretch then reaches."""
+
+    def run(pieces: pa.Table) -> pa.Table:
+        no, at, ends, following = _next_begun(pieces, budget)
+        last = np.arange(len(no))
+        for i in range(len(no) - 1, -1, -1):
+            if following[i] < len(no):
+                last[i] = last[following[i]]
+        heads = np.flatnonzero(at <= at[0] + budget + gap) if no[0] else np.array([0])
+        stretch = np.full(len(heads), pieces["stretch"][0].as_py())
+        return pa.table({"stretch": stretch, "no": no[heads], "ends": ends[heads], "until": at[last[heads]] + budget})
+
+    return run
+
+
+def _chosen(budget: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Whether each piece of a stretch begins a chunk, from the first that does."""
+
+    def run(pieces: pa.Table, entry: pa.Table) -> pa.Table:
+        no, _, _, following = _next_begun(pieces, budget)
+        begins = np.zeros(len(no), bool)
+        at = int(np.searchsorted(no, entry["entry"][0].as_py())) if entry.num_rows else len(no)
+        while at < len(no):
+            begins[at] = True
+            at = following[at]
+        return pa.table({"stretch": np.full(len(no), pieces["stretch"][0].as_py()), "no": no, "begins": begins})
+
+    return run
 
 
 def combined_corpus(documents: DataFrame, kind: str = "image") -> DataFrame:
     """One document of all texts under headers of their names, by natural name order.
 
-    Meant for a folder of pages of one book: the result is a single text.
+    Meant for a folder of pages of one book: the result is a single text. :func:`combined_chunks` chunks any
+    number of texts.
     """
-    from lumenrow.functions.text import natural_key
-
-    part = F.concat(F.lit(f"### Source {kind}: "), F.col("name"), F.lit("\n\n"), F.col("text"))
-    listed = documents.agg(F.array_sort(F.collect_list(F.struct(natural_key(F.col("name")).alias("k"), "name", part.alias("t")))).alias("parts"))
+    listed = documents.agg(F.array_sort(F.collect_list(F.struct(natural_key(F.col("name")).alias("k"), "name", headed(kind).alias("t")))).alias("parts"))
     return listed.select(F.lit("all").alias("doc_id"), F.array_join(F.transform("parts", lambda p: p["t"]), "\n\n").alias("text"))

@@ -14,6 +14,9 @@ from pyspark.sql.window import Window
 
 from lumenrow.functions.patterns import physical_lines, strip
 from lumenrow.functions.text import ends_sentence, header_key, is_page_marker, numbered_header, sequence_ratio
+from lumenrow.operators.report import ranked
+from lumenrow.operators.sequences import BLOCK_ROWS, handed_on, in_blocks
+
 
 def _by_line():
     """A document's lines in order."""
@@ -29,12 +32,11 @@ def nonblank(lines: DataFrame) -> DataFrame:
     return lines.filter(strip(F.col("line")) != "")
 
 
-def neighbours_nonblank(lines: DataFrame) -> DataFrame:
-    """With the text of the next and the last line that is not blank."""
+def neighbours_nonblank(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """With the text of the next and the last line that is not blank; a document may be any number of blocks of lines."""
     shown = F.when(strip(F.col("line")) != "", strip(F.col("line")))
-    after = _by_line().rowsBetween(1, Window.unboundedFollowing)
-    before = _by_line().rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("next_text", F.coalesce(F.first(shown, ignorenulls=True).over(after), F.lit(""))).withColumn("last_text", F.coalesce(F.last(shown, ignorenulls=True).over(before), F.lit("")))
+    rows = handed_on(in_blocks(lines, "n", block_rows), "doc_id", lasts={"last_text": shown}, firsts={"next_text": shown})
+    return rows.select(*lines.columns, F.coalesce("next_text", F.lit("")).alias("next_text"), F.coalesce("last_text", F.lit("")).alias("last_text"))
 
 
 def first_after_marker(lines: DataFrame, marker: Column | None = None) -> DataFrame:
@@ -82,14 +84,19 @@ def fuzzy_titles(candidates: DataFrame, learned: DataFrame, least: float = 0.88)
     return a.join(b, (a["_step"] == b["_step"]) & same & (2.0 * F.least(n, m) / (n + m) >= least)).drop("_step").withColumn("ratio", sequence_ratio(F.col("title_key"), F.col("learned_key"))).filter(F.col("ratio") >= least)
 
 
-def sentence_islands(lines: DataFrame) -> DataFrame:
-    """(doc_id, group_no, text): lines joined by spaces up to each that ends a sentence, or to a blank line."""
-    blank = strip(F.col("line")) == ""
-    closed = F.coalesce(F.lag((ends_sentence(F.col("line")) | blank).cast("int")).over(_by_line()), F.lit(0))
-    rows = lines.withColumn("_close", closed).withColumn("group_no", F.sum("_close").over(_by_line())).filter(~blank)
+def sentence_islands(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(doc_id, group_no, text): lines joined by spaces up to each that ends a sentence, or to a blank line.
+
+    A line that is shown begins a group where the line before it ends one. What ended before a block of lines
+    and how many groups began there is handed on from block to block.
+    """
+    shown = strip(F.col("line")) != ""
+    ended = handed_on(in_blocks(lines, "n", block_rows), "doc_id", lasts={"_ended": ends_sentence(F.col("line")) | ~shown})
+    begins = (shown & F.coalesce("_ended", F.lit(True))).cast("int")
+    rows = handed_on(ended.withColumn("_begins", begins), "doc_id", sums={"_before": F.col("_begins")})
+    rows = rows.filter(shown).withColumn("group_no", F.col("_before") + F.col("_begins") - 1)
     listed = rows.groupBy("doc_id", "group_no").agg(F.array_sort(F.collect_list(F.struct("n", strip(F.col("line")).alias("line")))).alias("parts"))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("group_no")) - 1
-    return listed.select("doc_id", number.cast("bigint").alias("group_no"), F.array_join(F.transform("parts", lambda p: p["line"]), " ").alias("text"))
+    return listed.select("doc_id", "group_no", F.array_join(F.transform("parts", lambda p: p["line"]), " ").alias("text"))
 
 
 def paragraphs(text: Column) -> Column:
@@ -113,11 +120,21 @@ def safe_blocks(text: Column) -> Column:
     return F.aggregate(paragraphs(text), state, step, close)
 
 
-def gap_islands(rows: DataFrame, by: str, order: list[Column], at: Column, end: Column, threshold: Column | float, name: str = "island") -> DataFrame:
-    """With island numbers from 0: a new one wherever the gap from the end before passes the threshold."""
-    w = Window.partitionBy(by).orderBy(*order)
-    far = at - F.lag(end).over(w) > (threshold if isinstance(threshold, Column) else F.lit(threshold))
-    return rows.withColumn("_new", F.when(far, 1).otherwise(0)).withColumn(name, F.sum("_new").over(w)).drop("_new")
+def gap_islands(rows: DataFrame, by: str, order: list[Column], at: Column, end: Column, threshold: Column | float, name: str = "island", block_rows: int | None = None) -> DataFrame:
+    """With island numbers from 0: a new one wherever the gap from the end before passes the threshold.
+
+    Each ``by`` is one window, right for pages and media; with ``block_rows`` rows are ranked in one
+    global order first, and islands are counted in blocks of it, so that a ``by`` may hold any number.
+    """
+    limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    if block_rows is None:
+        w = Window.partitionBy(by).orderBy(*order)
+        return rows.withColumn("_new", F.when(at - F.lag(end).over(w) > limit, 1).otherwise(0)).withColumn(name, F.sum("_new").over(w)).drop("_new")
+    placed = in_blocks(ranked(rows, [F.asc(by), *order], "_place"), "_place", block_rows)
+    gaps = handed_on(placed.withColumns({"_at": at, "_end": end, "_limit": limit}), by, lasts={"_before": F.col("_end")}, number="_place")
+    new = F.when(F.col("_at") - F.col("_before") > F.col("_limit"), 1).otherwise(0)
+    counted = handed_on(gaps.withColumn("_new", new), by, sums={"_islands": F.col("_new")}, number="_place")
+    return counted.select(*rows.columns, (F.col("_islands") + F.col("_new")).alias(name))
 
 
 def learned_titles_of_folders(documents: DataFrame, least: int = 2) -> DataFrame:

@@ -148,7 +148,7 @@ QUERIES = {
     "q44_escapes": escapes, "q45_word_stats": word_stats, "q46_compose": compose, "q47_line_neighbours": last_lines, "q48_rtl": rtl, "ext_cube": vector_rollup, "ext_event_rates": event_rates,
 }
 _LINES = "lines as (select doc_id, unnest(generate_series(0, len(p) - 1)) as n, unnest(p) as line from (select doc_id, case when p[-1] = '' then p[:-2] else p end as p from (select doc_id, string_split(coalesce(text, ''), chr(10)) as p from documents)))"
-_END = r"[.!?؟。！？…][''\")\]]*$"
+ENDS = r"[.!?؟。！？…][''\")\]]*$"
 
 
 def _pack(pieces: str, joiner: str) -> str:
@@ -159,6 +159,13 @@ def _pack(pieces: str, joiner: str) -> str:
     )
 
 
+#: DuckDB views up to c (doc_id, blocks): texts of one block each, split where they are beyond the budget.
+SPLIT = f"""s as (select doc_id, trim(text) as block, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?؟。！？…])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as sentences from SOURCE where trim(coalesce(text, '')) <> ''),
+        w as (select doc_id, block, flatten(list_transform(sentences, lambda s: case when length(s) > {BUDGET} then list_transform([{_pack("regexp_extract_all(s, '[^ \\t\\n\\r]+')", "' '")}], lambda z: list_append(z.done, z.cur))[1] else [s] end)) as parts from s),
+        b as (select doc_id, case when length(block) <= {BUDGET} then {{'done': []::varchar[], 'cur': block}} else {_pack("parts", "' '")} end as z from w),
+        c as (select doc_id, list_append(z.done, z.cur) as blocks from b)"""
+
+
 ORACLES = {
     "q11_fixed_chunks": f"""with {_LINES}, k as (select *, row_number() over (partition by doc_id order by n) as r from lines)
         select doc_id, (r - 1) // 150 as chunk_no, count(*) as n_lines, 'L' || lpad(min(r)::varchar, 6, '0') as first_id, sum(length(line))::bigint as chars from k group by 1, 2""",
@@ -167,13 +174,10 @@ ORACLES = {
         t as (select trim(regexp_replace(line, '\\s+', ' ', 'g')) as title from c where length(trim(line)) between 2 and 90 and regexp_matches(line, '\\p{{L}}')),
         k as (select replace(lower(regexp_replace(title, '^[\\s\\p{{P}}\\p{{S}}]+|[\\s\\p{{P}}\\p{{S}}]+$', '', 'g')), 'ß', 'ss') as title_key from t)
         select title_key, count(*) as n from k where length(title_key) >= 2 group by 1 having count(*) >= 2 union all select 'page', count(distinct doc_id) from c having count(distinct doc_id) >= 2""",
-    "q13_islands_sentences": f"""with {_LINES}, c as (select *, trim(line) = '' as blank, coalesce(lag((regexp_matches(rtrim(line), '{_END}') or trim(line) = '')::int) over (partition by doc_id order by n), 0) as closed from lines),
+    "q13_islands_sentences": f"""with {_LINES}, c as (select *, trim(line) = '' as blank, coalesce(lag((regexp_matches(rtrim(line), '{ENDS}') or trim(line) = '')::int) over (partition by doc_id order by n), 0) as closed from lines),
         g as (select *, sum(closed) over (partition by doc_id order by n) as grp from c), t as (select doc_id, grp, string_agg(trim(line), ' ' order by n) as text from g where not blank group by all)
         select doc_id, row_number() over (partition by doc_id order by grp) - 1 as group_no, text from t""",
-    "q14_chunk_pack": f"""with s as (select doc_id, trim(text) as block, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?؟。！？…])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as sentences from documents where trim(coalesce(text, '')) <> ''),
-        w as (select doc_id, block, flatten(list_transform(sentences, lambda s: case when length(s) > {BUDGET} then list_transform([{_pack("regexp_extract_all(s, '[^ \\t\\n\\r]+')", "' '")}], lambda z: list_append(z.done, z.cur))[1] else [s] end)) as parts from s),
-        b as (select doc_id, case when length(block) <= {BUDGET} then {{'done': []::varchar[], 'cur': block}} else {_pack("parts", "' '")} end as z from w),
-        c as (select doc_id, list_append(z.done, z.cur) as blocks from b), d as (select doc_id, {_pack("blocks", "(chr(10) || chr(10))")} as z from c),
+    "q14_chunk_pack": f"""with {SPLIT.replace("SOURCE", "documents")}, d as (select doc_id, {_pack("blocks", "(chr(10) || chr(10))")} as z from c),
         e as (select doc_id, unnest(generate_series(0, len(z.done))) as chunk_no, unnest(list_append(z.done, z.cur)) as text from d)
         select *, length(text) as tokens from e""",
     "q15_useful_text": r"""with c as (select doc_id, text, length(regexp_replace(text, '\s+', '', 'g')) as n, length(text) as size, length(regexp_replace(text, '\P{L}+', '', 'g')) as letters,
@@ -186,7 +190,7 @@ ORACLES = {
     "q44_escapes": """select doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) as html,
         md5(replace(replace(replace(text || '\\{}', '\\', '\\\\'), '{', '\\{'), '}', '\\}')) as ass from documents""",
     "q45_word_stats": rf"""select doc_id, len(regexp_extract_all(text, '\S+')) as tokens,
-        len(list_filter(string_split(regexp_replace(text, '([.!?؟。！？…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) as n_sentences, regexp_matches(rtrim(text), '{_END}') as closed from documents""",
+        len(list_filter(string_split(regexp_replace(text, '([.!?؟。！？…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) as n_sentences, regexp_matches(rtrim(text), '{ENDS}') as closed from documents""",
     "q46_compose": """select p_partkey, p_name || chr(10) || chr(10) || '---' || chr(10) || chr(10) || case when p_size > 20 then p_type else 'See the attached files.' end as prompt,
         case when p_size % 2 = 0 then p_brand || '-' || p_type else p_brand || ' ' || p_type end as joined from part""",
     "q47_line_neighbours": f"""with {_LINES}, t as (select *, nullif(trim(line), '') as shown from lines)

@@ -397,25 +397,35 @@ def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", loose["text"].alias("text"), loose["encoding"].alias("encoding"), strict["text"].alias("strict"))
 
 
-def landed_answer(resource: str, parameters: dict) -> dict:
-    """A paged API by rule: channel @n has n uploads, sixty a page, and no details of every fifth."""
-    if resource == "channels":
-        name = parameters["forHandle"][1:]
-        return {"items": [{"id": f"UC{name}", "snippet": {"title": f"Channel {name}"}, "contentDetails": {"relatedPlaylists": {"uploads": name}}}]}
-    if resource == "playlistItems":
-        first, n = int(parameters.get("pageToken", 0)), int(parameters["playlistId"])
-        page = {"items": [{"contentDetails": {"videoId": f"{n}-{i}"}} for i in range(first, min(n, first + 60))]}
-        return page | ({"nextPageToken": str(first + 60)} if first + 60 < n else {})
-    numbers = [(v, int(v.split("-")[1])) for v in parameters["id"].split(",")]
-    return {"items": [{"id": v, "snippet": {"title": f"Video {i}", "publishedAt": "2026-01-02T00:00:00Z", "thumbnails": {"high": {"url": f"t{i}", "width": 1, "height": 1}}}, "statistics": {"viewCount": str(i)}, "contentDetails": {"duration": f"PT{i}S"}} for v, i in numbers if i % 5]}
+def landed_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as landed answers of a paged API: a channel of each customer in pages of three uploads, and one of all in pages of fifty.
+
+    Tokens tell nothing of a page's place. Every fifth order has no details; a stray page leads nowhere.
+    """
+    o = table(spark, sf_dir, "orders")
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    own = o.select("o_orderkey", F.concat(F.lit("U"), F.col("o_custkey").cast("string")).alias("playlist_id"), F.floor(k / 3).alias("page"))
+    every = o.select("o_orderkey", F.lit("UA").alias("playlist_id"), F.floor(F.col("o_orderkey") / 50).alias("page"))
+    video = lambda: F.concat(F.lit("v"), F.col("o_orderkey").cast("string"))
+    item = F.struct(F.struct(video().alias("videoId")).alias("contentDetails"))
+    pages = own.unionByName(every).groupBy("playlist_id", "page").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("item")))).alias("items"))
+    token = lambda page: F.md5(F.concat_ws("/", "playlist_id", page.cast("string")).cast("binary"))
+    following = F.lead("page").over(Window.partitionBy("playlist_id").orderBy("page"))
+    answer = F.to_json(F.struct(F.transform("items", lambda x: x["item"]).alias("items"), F.when(following.isNotNull(), token(following)).alias("nextPageToken")))
+    uploads = pages.select("playlist_id", F.when(F.lag("page").over(Window.partitionBy("playlist_id").orderBy("page")).isNotNull(), token(F.col("page"))).alias("page_token"), answer.alias("answer"))
+    stray = uploads.filter("page_token is null").select("playlist_id", F.lit("stray").alias("page_token"), "answer")
+    channel = F.struct(F.array(F.struct(F.concat(F.lit("C"), "playlist_id").alias("id"), F.struct(F.concat(F.lit("Channel "), "playlist_id").alias("title")).alias("snippet"), F.struct(F.struct(F.col("playlist_id").alias("uploads")).alias("relatedPlaylists")).alias("contentDetails"))).alias("items"))
+    channels = pages.select("playlist_id").distinct().select(F.concat(F.lit("https://y.com/@"), "playlist_id").alias("channel_url"), F.to_json(channel).alias("answer"))
+    count = F.col("o_orderkey").cast("string")
+    detail = F.struct(video().alias("id"), F.struct(F.concat(F.lit("Video "), count).alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt")).alias("snippet"), F.struct(count.alias("viewCount")).alias("statistics"), F.struct(F.concat(F.lit("PT"), (F.col("o_orderkey") % 3000).cast("string"), F.lit("S")).alias("duration")).alias("contentDetails"))
+    batches = o.filter("o_orderkey % 5 <> 0").groupBy(F.floor(F.col("o_orderkey") / 50)).agg(F.collect_list(detail).alias("items"))
+    return channels, uploads.unionByName(stray).repartition("page_token"), batches.select(F.to_json(F.struct("items")).alias("answer"))
 
 
 def paged_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as channels of a paged API, each with as many uploads as ten times its key."""
-    paged_api.register(spark)
-    channels = [f"https://y.com/@{10 * r[0]}" for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]
-    rows = spark.read.format("paged_channels").option("channels", json.dumps(channels)).option("client", "lumenrow.plans.landed:landed_answer").load()
-    return paged_api.videos_of(rows).select("video_id", "title", "view_count", "channel", "duration", "published_sort_value", "source_order", "thumbnail_url")
+    """The videos of :func:`landed_pages`, in the order of their channels."""
+    rows = paged_api.landed_scan(*landed_pages(spark, sf_dir))
+    return paged_api.videos_of(rows).select("video_id", "title", "view_count", "channel", "duration", "published_sort_value", "source_order")
 
 
 def written_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -469,11 +479,11 @@ def project_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def combined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as pages, every seventh unreadable: one combined text in chunks, and what could not be read."""
-    n = table(spark, sf_dir, "nation")
-    pages = n.select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 7 != 3, F.concat(F.lit("This is "), F.col("n_name"), F.lit("."))).alias("text"))
-    chunks, errors = chunking.corpus_chunks(pages, 8000, "image")
-    return chunks.select("doc_id", "text", F.lit(None).cast("string").alias("error")).unionByName(errors.select(F.col("name").alias("doc_id"), F.lit(None).cast("string").alias("text"), "error"))
+    """All documents as pages of one book, every seventh unreadable: one combined text in chunks, and what could not be read."""
+    d = table(spark, sf_dir, "documents")
+    pages = d.select(F.concat(F.lit("page "), F.col("doc_id").cast("string")).alias("name"), F.when(F.col("doc_id") % 7 != 3, F.col("text")).alias("text"))
+    chunks, errors = chunking.corpus_chunks(pages, 2 * documents.BUDGET, "image")
+    return chunks.select("doc_id", "chunk_no", "text", F.lit(None).cast("string").alias("error")).unionByName(errors.select(F.col("name").alias("doc_id"), F.lit(-1).cast("bigint").alias("chunk_no"), F.lit("").alias("text"), "error"))
 
 
 def retry_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -579,8 +589,9 @@ ORACLES = {
         format('{:02d}:{:02d}:{:02d},{:03d}', o_orderkey * 250 // 3600000, o_orderkey * 250 // 60000 % 60, o_orderkey * 250 // 1000 % 60, o_orderkey * 250 % 1000) as stamp, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') as moment from orders""",
     "q94_bilingual": f"""with {_CUE} select doc_id, (start_ms + 5) // 10 * 10 as start_ms, text || case when ord % 2 = 0 then '\\N{{\\fs63\\bord6\\c&H00D5FF&\\3c&H000000&}}' || upper(text) || '{{\\r}}' else '' end as text from cue""",
     "q95_decoded_texts": "select c_custkey, c_name || ' é ü' as text, case when c_custkey % 2 = 0 then 'utf-8' else 'cp1252' end as encoding, case when c_custkey % 2 = 0 then c_name || ' é ü' end as strict from customer",
-    "q96_paged_channels": """with v as (select 10 * n_nationkey as n, unnest(range(10 * n_nationkey)) as i from nation), k as (select * from v where i % 5 <> 0)
-        select n || '-' || i as video_id, 'Video ' || i as title, i as view_count, 'Channel ' || n as channel, format('{}:{:02d}', i // 60, i % 60) as duration, 20260102 as published_sort_value, row_number() over (partition by n order by i) - 1 as source_order, 't' || i as thumbnail_url from k""",
+    "q96_paged_channels": """with v as (select *, 'U' || o_custkey as u from orders union all select *, 'UA' from orders)
+        select 'v' || o_orderkey as video_id, 'Video ' || o_orderkey as title, o_orderkey as view_count, 'Channel ' || u as channel, format('{}:{:02d}', o_orderkey % 3000 // 60, o_orderkey % 60) as duration,
+          strftime(o_orderdate, '%Y%m%d')::int as published_sort_value, row_number() over (partition by u order by o_orderkey) - 1 as source_order from v where o_orderkey % 5 <> 0""",
     "q97_written_chunks": """select n_nationkey as doc_id, c as chunk, case c when 1 then n_name || ' is a land of its own, they say.' else 'All of it is far. None of it is small.' end as text from nation, (select unnest([1, 2]) as c)""",
     "q98_run_log": "select run, o_orderpriority as message, count(*) as n from orders, (select unnest(['r1', 'r2']) as run) where o_orderkey % 3 = 2 group by all",
     "q99_duration_lines": """with m as (select o_custkey as dir, o_orderkey as k, case when o_orderkey % 11 <> 0 then o_orderkey * 7 % 4000 end as s from orders), c as (select dir, coalesce(sum(s), 0)::bigint as t, count(*) as n,
@@ -591,8 +602,16 @@ ORACLES = {
         from nation join region on n_regionkey = r_regionkey group by r_name union all select 'Atlantis', '{"name":"Atlantis","min_views":"5k","channels":[]}'""",
     "q102_project_list": """with p as (select distinct case when c_mktsegment = 'BUILDING' then 'building' else c_mktsegment end as project from customer union all select 'Garden')
         select project, row_number() over (order by lower(project), project) as place from p where project <> 'MACHINERY'""",
-    "q103_combined_chunks": """select 'all' as doc_id, string_agg('### Source image: ' || n_name || chr(10) || chr(10) || 'This is ' || n_name || '.', chr(10) || chr(10) order by regexp_extract(n_name, '\\d+')::int) as text, null as error from nation where n_nationkey % 7 <> 3
-        union all select n_name, null, 'it could not be read' from nation where n_nationkey % 7 = 3""",
+    "q103_combined_chunks": f"""with read as (select *, doc_id % 7 <> 3 and text is not null as readable from documents), d as (select row_number() over (order by doc_id, text) as k, '### Source image: page ' || doc_id as head, trim(text) as body from read where readable),
+        p as (select 2 * k as n, head as t from d union all select 2 * k + 1, body from d where body <> ''), e as (select *, regexp_matches(rtrim(t), '{documents.ENDS}')::int as closes from p),
+        o as (select *, coalesce(sum(closes) over (order by n rows between unbounded preceding and 1 preceding), 0) as open, sum(closes) over () as total from e),
+        k as (select case when open = total and total > 0 then open - 1 else open end as doc_id, string_agg(t, chr(10) || chr(10) order by n) as text from o group by 1),
+        {documents.SPLIT.replace("SOURCE", "k")}, z as (select doc_id as block, unnest(generate_series(1, len(blocks))) as piece, unnest(blocks) as text from c),
+        r as (select list_reduce(list_transform(list(length(text) order by block, piece), lambda x: {{'size': x, 'no': 0, 'nos': [0]}}),
+          lambda a, b: case when a.size + 2 + b.size <= {documents.BUDGET} then {{'size': a.size + 2 + b.size, 'no': a.no, 'nos': list_append(a.nos, a.no)}} else {{'size': b.size, 'no': a.no + 1, 'nos': list_append(a.nos, a.no + 1)}} end).nos as nos from z),
+        m as (select *, row_number() over (order by block, piece) as place from z)
+        select 'all' as doc_id, nos[place]::bigint as chunk_no, string_agg(text, chr(10) || chr(10) order by place) as text, null as error from m, r group by 2
+        union all select 'page ' || doc_id, -1, '', 'it could not be read' from read where not readable""",
     "q104_retry_rounds": "select o_orderkey, case when o_orderkey % 5 > 2 then 'not yet' end as error, least(o_orderkey % 5, 2) as round from orders",
     "q105_due_updates": """select o_orderkey, o_orderkey % 4 = 0 or epoch(timestamp '1997-06-15') - epoch(o_orderdate) >= 86400 as due, floor(least(1.0::double, (o_orderkey % 7 + least(1.0::double, o_orderkey % 3 / 2.0::double)) / 8) * 100)::bigint as done from orders""",
 }

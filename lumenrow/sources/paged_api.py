@@ -1,7 +1,8 @@
 """A paged channel API as a Python data source, and the same contract over landed JSON.
 
 ``format("paged_channels")`` makes one partition a channel. How a call is made is an option that names
-a function, so that tests and landed copies stand in for the network.
+a function, so that tests stand in for the network. :func:`landed_scan` gives the same rows from answers that
+have landed in tables, in any order.
 """
 
 from __future__ import annotations
@@ -13,15 +14,24 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window
 
 from lumenrow.functions.numbers import iso_duration, parse_count
 from lumenrow.functions.urls import api_thumbnail
+from lumenrow.operators.sequences import running, walked
+from lumenrow.operators.tables import materialised
 
 PAGE = 50
 SCHEMA = "channel_url string, channel_id string, channel_title string, pos long, video_id string, detail string"
 DETAIL = "struct<snippet:struct<title:string,channelTitle:string,publishedAt:string,thumbnails:map<string,struct<url:string,width:int,height:int>>>,statistics:struct<viewCount:string>,contentDetails:struct<duration:string>>"
 
 
+#: Answers of the three resources, as far as a scan reads them; a video's details stay as they are.
+CHANNELS = "struct<items:array<struct<id:string,snippet:struct<title:string>,contentDetails:struct<relatedPlaylists:struct<uploads:string>>>>>"
+UPLOADS = "struct<items:array<struct<contentDetails:struct<videoId:string>>>,nextPageToken:string>"
+VIDEOS = "struct<items:array<string>>"
+
+
 class ChannelPartition(InputPartition):
     def __init__(self, url: str) -> None:
         super().__init__(url)
@@ -96,6 +106,41 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PagedChannels)
 
 
+def landed_scan(channels: DataFrame, uploads: DataFrame, videos: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows as ``paged_channels`` gives them, from landed answers: channels (channel_url, answer), uploads (playlist_id, page_token, answer), videos (answer).
+
+    A page is known by its playlist and token, and only its answer tells the token of the next, so the pages of
+    all channels are ranked together by pointer doubling from the pages without a token. A scan ends at a
+    page without ids, or whose next page has not landed; pages that no page leads to are not read. Uploads without details give
+    no row; ``most`` bounds the rows of a channel. Of answers to one request, and details of one video, the
+    greatest text counts. Channels without items, and answers that are no JSON, give no rows.
+    """
+    spark = channels.sparkSession
+    key = lambda token: F.concat("playlist_id", F.lit("\n"), F.coalesce(token, F.lit("")))
+    pages = uploads.groupBy("playlist_id", "page_token").agg(F.from_json(F.max("answer"), UPLOADS).alias("a"))
+    listed = F.transform(F.coalesce("a.items", F.array()), lambda x: x["contentDetails"]["videoId"])
+    following = F.when(F.col("a.nextPageToken") != "", key(F.col("a.nextPageToken")))
+    pages = pages.select(key(F.col("page_token")).alias("id"), "playlist_id", "page_token", following.alias("next"), F.filter(listed, lambda x: x.isNotNull()).alias("ids"))
+    pages = materialised(spark, pages.filter("playlist_id is not null"))
+    links = pages.select("id", F.when(F.size("ids") > 0, F.col("next")).alias("next"))  # nothing is read behind a page without ids
+    steps = walked(links, pages.filter("page_token is null").select("id")).select("id", "step")
+    rows = pages.join(steps, "id").select("id", "playlist_id", "step", F.posexplode("ids").alias("place", "video_id"))
+    details = videos.select(F.explode(F.from_json("answer", VIDEOS)["items"]).alias("detail")).groupBy(F.get_json_object("detail", "$.id").alias("video_id")).agg(F.max("detail").alias("detail"))
+    known = materialised(spark, rows.join(details, "video_id"))
+    # A page's first row is behind those of the pages before it; only pages, not rows, are summed in order.
+    placed = running(known.groupBy("id", "playlist_id", "step").agg(F.count("*").alias("n")), [F.col("playlist_id"), F.col("step")], {"before": F.col("n")})
+    placed = materialised(spark, placed)
+    first = placed.groupBy("playlist_id").agg(F.min("before").alias("first"))
+    starts = placed.join(first, "playlist_id").select("id", (F.col("before") - F.col("first")).alias("start"))
+    within = F.row_number().over(Window.partitionBy("id").orderBy("place")) - 1
+    numbered = known.withColumn("within", within).join(starts, "id").select("playlist_id", (F.col("start") + F.col("within")).alias("pos"), "video_id", "detail")
+    item = F.get(F.from_json("answer", CHANNELS)["items"], F.lit(0))
+    named = channels.select("channel_url", item.alias("c")).filter("c is not null")
+    named = named.select("channel_url", F.col("c.id").alias("channel_id"), F.coalesce(F.nullif("c.snippet.title", F.lit("")), "channel_url").alias("channel_title"), F.col("c.contentDetails.relatedPlaylists.uploads").alias("playlist_id"))
+    found = numbered if most is None else numbered.filter(F.col("pos") < most)
+    return found.join(named, "playlist_id").select("channel_url", "channel_id", "channel_title", "pos", "video_id", "detail")
+
+
 def videos_of(rows: DataFrame) -> DataFrame:
     """Scanned rows as typed videos: counts as numbers (0 where missing), clocks, YYYYMMDD (0 where unknown)."""
     d = F.from_json("detail", DETAIL)
