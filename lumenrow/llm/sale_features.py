@@ -97,12 +97,11 @@ def slice_widths(rows: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame | N
     A client's rows of a day are taken to be its rows by the days that have any, so that single rows
     at odd times change nothing.
     """
-    busy = written(rows.groupBy("client_id").agg(F.count("*").alias("n")).filter(F.col("n") > slice_rows).select("client_id"), "busy")
-    if busy.isEmpty():
-        return None
-    days = rows.join(busy, "client_id").groupBy("client_id", F.floor(F.col("at") / DAY).alias("day")).agg(F.count("*").alias("n"))
-    rate = days.groupBy("client_id").agg((F.sum("n") / F.count("*")).alias("a_day"))
-    return written(rate.select("client_id", F.greatest(F.floor(F.lit(slice_rows) * DAY / F.col("a_day")), F.lit(1)).cast("long").alias("width")), "widths")
+    days = rows.groupBy("client_id", F.floor(F.col("at") / DAY).alias("day")).agg(F.count("*").alias("n"))
+    busy = days.groupBy("client_id").agg(F.sum("n").alias("n"), F.count("*").alias("days")).filter(F.col("n") > slice_rows)
+    width = F.greatest(F.floor(F.lit(slice_rows) * DAY * F.col("days") / F.col("n")), F.lit(1)).cast("long")
+    widths = written(busy.select("client_id", width.alias("width")), "widths")
+    return None if widths.isEmpty() else widths
 
 
 def with_width(rows: DataFrame, widths: DataFrame | None) -> DataFrame:
