@@ -99,7 +99,7 @@ def slice_widths(rows: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame | N
     """
     days = rows.groupBy("client_id", F.floor(F.col("at") / DAY).alias("day")).agg(F.count("*").alias("n"))
     busy = days.groupBy("client_id").agg(F.sum("n").alias("n"), F.count("*").alias("days")).filter(F.col("n") > slice_rows)
-    width = F.greatest(F.floor(F.lit(slice_rows) * DAY * F.col("days") / F.col("n")), F.lit(1)).cast("long")
+    width = F.greatest(F.floor(F.lit(float(slice_rows * DAY)) * F.col("days") / F.col("n")), F.lit(1)).cast("long")
     widths = written(busy.select("client_id", width.alias("width")), "widths")
     return None if widths.isEmpty() else widths
 
