@@ -81,15 +81,20 @@ def _parse_by_line(documents: DataFrame) -> DataFrame:
 
 
 def text_lines(cues: DataFrame) -> DataFrame:
-    """(doc_id, line_id, text): each text line of the cues with the id L000001 and so on, by document."""
+    """(doc_id, line_id, text): each text line of the cues with the id L000001 and so on, by document; ids of more digits follow L999999."""
     rows = cues.select("doc_id", "ord", F.posexplode("lines").alias("pos", "text"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "pos"))
     return rows.select("doc_id", F.format_string("L%06d", number).alias("line_id"), "text")
 
 
+def line_number(line_id: Column) -> Column:
+    """The number that a line id has behind its letter; ids are ordered by it, as their texts are not beyond six digits."""
+    return F.substring(line_id, 2, 18).cast("bigint")
+
+
 def fixed_chunks(lines: DataFrame, size: int = 150) -> DataFrame:
-    """With chunk_no from 0: every ``size`` lines of a document, by line_id."""
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_id"))
+    """With chunk_no from 0: every ``size`` lines of a document, by the number of line_id."""
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(line_number(F.col("line_id"))))
     return lines.withColumn("chunk_no", F.floor((number - 1) / size).cast("int"))
 
 
@@ -222,6 +227,6 @@ def render_ass(cues: DataFrame, model_text: str = "", tail_ms: int = 60_000, emp
 def rebuild(lines: DataFrame, translations: DataFrame) -> DataFrame:
     """Lines with the k-th translation of their document in place of the k-th text; null where there are too few."""
     at = Window.partitionBy("doc_id")
-    numbered = lines.withColumn("_k", F.row_number().over(at.orderBy("line_id")))
+    numbered = lines.withColumn("_k", F.row_number().over(at.orderBy(line_number(F.col("line_id")))))
     given = translations.select("doc_id", F.row_number().over(at.orderBy("seq")).alias("_k"), F.col("text").alias("translation"))
     return numbered.join(given, ["doc_id", "_k"], "left").drop("_k")

@@ -15,6 +15,13 @@ from lumenrow.functions.patterns import strip
 from lumenrow.functions.text import clean_line, join_fragments, numbered_header, useful_text
 from lumenrow.operators.lines import gap_islands
 
+#: Fixed values, in widths or heights of a page: how far left of the main edge margins are; what a column is narrower, a full line wider than, and
+#: between what edges a full line begins and ends; how far columns begin apart; the least gap between blocks, in points and heights.
+MARGIN, NARROW, WIDE, WIDE_LEFT, WIDE_RIGHT, COLUMNS_APART, LEAST_GAP, GAP = 0.045, 0.58, 0.68, 0.18, 0.82, 0.20, 18.0, 0.045
+#: Fixed values, in heights of a line but for the least: gaps between paragraphs of scans, in margins and in the main column.
+MARGIN_GAP, MAIN_GAP, LEAST_SCAN_GAP = 3.25, 1.65, 0.025
+
+
 def _page():
     return Window.partitionBy("page_id")
 
@@ -39,9 +46,9 @@ def median_or(value: Column, fallback: float = 0.0) -> Column:
 def scan_paragraphs(lines: DataFrame) -> DataFrame:
     """(page_id, text): margin and main lines in separate blocks, by height on the page, a blank line between."""
     shown = lines.filter(strip(F.col("text")) != "").join(main_left(lines), "page_id")
-    zone = F.when(F.col("x") < F.col("main_left") - 0.045, F.lit("margin")).otherwise(F.lit("main"))
+    zone = F.when(F.col("x") < F.col("main_left") - MARGIN, F.lit("margin")).otherwise(F.lit("main"))
     shown = shown.withColumn("zone", zone).withColumn("_h", F.median("height").over(_page())).withColumn("_group", F.concat_ws(":", "page_id", "zone"))
-    threshold = F.greatest(F.col("_h") * F.when(F.col("zone") == "margin", 3.25).otherwise(1.65), F.lit(0.025))
+    threshold = F.greatest(F.col("_h") * F.when(F.col("zone") == "margin", MARGIN_GAP).otherwise(MAIN_GAP), F.lit(LEAST_SCAN_GAP))
     order = [F.desc("top"), F.asc("x")]
     rows = gap_islands(shown, "_group", order, -F.col("top"), -F.col("bottom"), threshold, "block")
     rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_group").orderBy(*order)))
@@ -60,12 +67,12 @@ def column_of(width: Column) -> Column:
     """``left``, ``right`` or null for a PDF line on a page of this width."""
     w = span(F.col("x0"), F.col("x1"))
     cx = middle(F.col("x0"), F.col("x1"))
-    narrow = (w > 0) & (w <= 0.58 * width)
+    narrow = (w > 0) & (w <= NARROW * width)
     return F.when(narrow & (F.col("x1") <= 0.60 * width) & (cx <= 0.48 * width), F.lit("left")).when(narrow & (F.col("x0") >= 0.40 * width) & (cx >= 0.52 * width), F.lit("right"))
 
 
 def is_full_width(width: Column) -> Column:
-    return (span(F.col("x0"), F.col("x1")) >= 0.68 * width) | ((F.col("x0") <= 0.18 * width) & (F.col("x1") >= 0.82 * width))
+    return (span(F.col("x0"), F.col("x1")) >= WIDE * width) | ((F.col("x0") <= WIDE_LEFT * width) & (F.col("x1") >= WIDE_RIGHT * width))
 
 
 def body_top(lines: DataFrame) -> DataFrame:
@@ -90,7 +97,7 @@ def two_column_text(lines: DataFrame, least_lines: int = 3) -> DataFrame:
     rows = lines.filter(strip(F.col("text")) != "").withColumn("column", column_of(F.col("page_width"))).withColumn("cy", middle(F.col("y0"), F.col("y1"))).withColumn("cx", middle(F.col("x0"), F.col("x1")))
     rows = rows.withColumn("tolerance", F.greatest(F.lit(4.0), 0.90 * F.median(span(F.col("y0"), F.col("y1"))).over(_page())))
     sides = rows.groupBy("page_id").agg(F.count_if(F.col("column") == "left").alias("l"), F.count_if(F.col("column") == "right").alias("r"), F.median(F.when(F.col("column") == "left", F.col("cx"))).alias("lx"), F.median(F.when(F.col("column") == "right", F.col("cx"))).alias("rx"), F.max("page_width").alias("w"))
-    pages = sides.filter((F.col("l") >= least_lines) & (F.col("r") >= least_lines) & (F.col("rx") - F.col("lx") >= 0.20 * F.col("w"))).select("page_id")
+    pages = sides.filter((F.col("l") >= least_lines) & (F.col("r") >= least_lines) & (F.col("rx") - F.col("lx") >= COLUMNS_APART * F.col("w"))).select("page_id")
     placed = rows.join(pages, "page_id").join(body_top(rows), "page_id")
     above = F.col("cy") < F.col("body_top")
     bucket = F.when(above, 0).when(is_full_width(F.col("page_width")) | F.col("column").isNull(), 3).when(F.col("column") == "left", 1).otherwise(2)
@@ -112,10 +119,10 @@ def page_layout(lines: DataFrame) -> DataFrame:
     kept = lines.filter((strip(F.col("text")) != "") & ~F.coalesce(is_top_header(lines), F.lit(False)))
     columns = two_column_text(kept)
     rows = kept.join(columns.select("page_id"), "page_id", "left_anti").join(pdf_main_left(kept), "page_id")
-    cutoff = F.col("main_left") - 0.045 * F.col("page_width")
+    cutoff = F.col("main_left") - MARGIN * F.col("page_width")
     side = (F.col("x0") < cutoff) & (span(F.col("x0"), F.col("x1")) < 0.45 * F.col("page_width"))
     rows = rows.withColumn("zone", side.cast("int")).withColumn("_group", F.concat_ws(":", "page_id", "zone"))
-    rows = gap_islands(rows, "_group", [F.asc("y0"), F.asc("x0")], F.col("y0"), F.col("y1"), F.greatest(F.lit(18.0), 0.045 * F.col("page_height")), "block")
+    rows = gap_islands(rows, "_group", [F.asc("y0"), F.asc("x0")], F.col("y0"), F.col("y1"), F.greatest(F.lit(LEAST_GAP), GAP * F.col("page_height")), "block")
     item = F.struct("zone", F.when(F.col("zone") == 1, F.col("block")).otherwise(0), "y0", "x0", clean_line(F.col("text")).alias("t"))
     single = rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda p: p["t"]), "\n").alias("text"))
     return columns.unionByName(single)

@@ -5,15 +5,13 @@ A line table has doc_id, n (from 0) and line.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lumenrow.functions.patterns import physical_lines, strip
-from lumenrow.functions.text import ends_sentence, header_key, is_page_marker, numbered_header, sequence_ratio
+from lumenrow.functions.text import ends_sentence, header_key, is_page_marker, numbered_header
 from lumenrow.operators.report import ranked
 from lumenrow.operators.sequences import BLOCK_ROWS, handed_on, in_blocks
 
@@ -65,25 +63,6 @@ def learned_titles_of_all(lines: DataFrame, least: int = 2) -> DataFrame:
     return titled(candidates).groupBy("title_key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
-def fuzzy_titles(candidates: DataFrame, learned: DataFrame, least: float = 0.88) -> DataFrame:
-    """Pairs (title_key, learned_key) that are at least so similar and share their first and last words.
-
-    Both sides need eight characters and two words; the words and steps of length block the join, so
-    that keys whose lengths cannot reach ``least`` hardly ever meet and are never compared.
-    """
-    word = lambda c, i: F.element_at(F.split(c, " "), i)
-    fit = lambda c: (F.length(c) >= 8) & (F.size(F.split(c, " ")) >= 2)
-    a = candidates.select("title_key").distinct().filter(fit(F.col("title_key")))
-    b = learned.select(F.col("title_key").alias("learned_key")).distinct().filter(fit(F.col("learned_key")))
-    same = (word(F.col("title_key"), 1) == word(F.col("learned_key"), 1)) & (word(F.col("title_key"), -1) == word(F.col("learned_key"), -1))
-    n, m = F.length("title_key"), F.length("learned_key")
-    #: Lengths that can reach the ratio are at most one step apart.
-    step = lambda c: F.floor(F.log(F.length(c).cast("double")) / math.log((2 - least) / least)).cast("int")
-    a = a.withColumn("_step", step(F.col("title_key")))
-    b = b.withColumn("_step", F.explode(F.array(*(step(F.col("learned_key")) + d for d in (-1, 0, 1)))))
-    return a.join(b, (a["_step"] == b["_step"]) & same & (2.0 * F.least(n, m) / (n + m) >= least)).drop("_step").withColumn("ratio", sequence_ratio(F.col("title_key"), F.col("learned_key"))).filter(F.col("ratio") >= least)
-
-
 def sentence_islands(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, group_no, text): lines joined by spaces up to each that ends a sentence, or to a blank line.
 

@@ -161,8 +161,8 @@ def ass_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rebuilt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of users' cues with translations in their order; the last line of each has none."""
     lines = cues.text_lines(_tracks(spark, sf_dir))
-    last = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("line_id"))) == 1
-    given = lines.withColumn("_last", last).filter("not _last").select("doc_id", F.substring("line_id", 2, 6).cast("int").alias("seq"), F.upper("text").alias("text"))
+    last = F.row_number().over(Window.partitionBy("doc_id").orderBy(cues.line_number(F.col("line_id")).desc())) == 1
+    given = lines.withColumn("_last", last).filter("not _last").select("doc_id", cues.line_number(F.col("line_id")).alias("seq"), F.upper("text").alias("text"))
     return cues.rebuild(lines, given).select("doc_id", "line_id", "translation")
 
 

@@ -10,6 +10,7 @@ from lumenrow.operators import cues as ops
 from lumenrow.operators import layout
 from lumenrow.operators.cuebuilder import build_cues
 from lumenrow.operators.lines import gap_islands
+from lumenrow.operators.sequences import BLOCK_ROWS
 from lumenrow.plans.base import CUES, cues, table
 
 DAY = 86_400_000
@@ -52,7 +53,7 @@ def prefix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cues(spark, sf_dir)
-    rows = gap_islands(c, "doc_id", [F.asc("start_ms"), F.asc("ord")], F.col("start_ms"), F.col("end_ms"), 7 * DAY)
+    rows = gap_islands(c, "doc_id", [F.asc("start_ms"), F.asc("ord")], F.col("start_ms"), F.col("end_ms"), 7 * DAY, block_rows=BLOCK_ROWS)
     return rows.select("doc_id", "ord", F.col("island").cast("bigint").alias("island"))
 
 

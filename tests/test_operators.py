@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenrow.functions.text import flat_text
-from lumenrow.operators import chunking, cleaning, cues, fileplan, layout, lines, reconcile, report, stores
+from lumenrow.operators import chunking, cleaning, cues, fileplan, fuzzy, layout, lines, reconcile, report, stores
 from lumenrow.operators.cuebuilder import CueBuilder, build_cues
 
 SRT = "1\n00:00:01,000 --> 00:00:02,500\nHello\nthere\n\n2\n00:00:03,000 --> 00:00:04,000\n\n\nno time here\n\n3\nx 00:00:05,000 --> 00:00:06,000 y\nLast\n"
@@ -88,10 +89,56 @@ def test_titles_are_learned_and_matched_loosely(spark):
     d = spark.createDataFrame([("a", text)], "doc_id string, text string")
     found = lines.learned_titles(lines.explode_lines(d)).collect()
     assert [(r.title_key, r.n) for r in found] == [("on some things", 2)]
-    near = lines.fuzzy_titles(spark.createDataFrame([("on sume things",), ("off some things",)], "title_key string"), spark.createDataFrame([("on some things",)], "title_key string"))
+    near = fuzzy.fuzzy_titles(spark.createDataFrame([("on sume things",), ("off some things",)], "title_key string"), spark.createDataFrame([("on some things",)], "title_key string"))
     assert [r.title_key for r in near.collect()] == ["on sume things"]
 
 
+@pytest.mark.parametrize("least", [0.88, 0.8, 0.95])
+def test_fuzzy_titles_of_crowded_words_go_through_the_index(spark, least):
+    """Titles of one first and last word: by grams as by all pairs."""
+    import difflib
+    import random
+
+    rng = random.Random(7)
+    middle = lambda: "".join(rng.choice("abc é") for _ in range(rng.randrange(3, 30))).strip()
+    titles = list({" ".join(f"the {middle()} end".split()) for _ in range(70)})
+    for t in list(titles):
+        at = rng.randrange(4, len(t) - 4) if len(t) > 8 else 4
+        titles += [t[:at] + rng.choice(["", "a", "xy"]) + t[at + rng.randrange(2) :]]
+    titles = [t for t in set(titles) if len(t) >= 8]
+    due = {(a, b) for a in titles for b in titles if a.split(" ")[-1] == b.split(" ")[-1] and a.split(" ")[0] == b.split(" ")[0] and difflib.SequenceMatcher(None, a, b).ratio() >= least}
+    frame = spark.createDataFrame([(t,) for t in titles] * 2 + [(None,)], "title_key string")
+    for direct in (0, 10**9):
+        got = [(r.title_key, r.learned_key) for r in fuzzy.fuzzy_titles(frame, frame, least, direct).collect()]
+        assert len(got) == len(set(got)) and set(got) == due and len(due) > len(titles) + 20
+
+
+def test_the_longest_common_subsequence_by_bits():
+    import random
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row, was = [0], row
+            for j, y in enumerate(b):
+                row.append(was[j] + 1 if x == y else max(was[j + 1], row[j]))
+        return row[-1]
+
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcé") for _ in range(rng.randrange(90))) for _ in "ab")
+        assert fuzzy.common_subsequence(a, b) == plain(a, b)
+
+
+def test_lines_beyond_six_digits_go_by_number(spark):
+    """A document of 1,000,300 lines: chunks hold neighbours, and translations meet their lines."""
+    rows = spark.range(1_000_300).select(F.lit("d").alias("doc_id"), F.format_string("L%06d", F.col("id") + 1).alias("line_id"), F.col("id").cast("string").alias("text"))
+    chunks = cues.fixed_chunks(rows).groupBy("chunk_no").agg(F.min(F.col("text").cast("int")).alias("a"), F.max(F.col("text").cast("int")).alias("b"), F.count("*").alias("n"))
+    assert chunks.filter("a <> 150 * chunk_no or b <> a + n - 1").count() == 0 and chunks.count() == 6669
+    given = spark.range(1_000_300).select(F.lit("d").alias("doc_id"), F.col("id").alias("seq"), F.col("id").cast("string").alias("text"))
+    assert cues.rebuild(rows, given).filter("translation is null or translation <> text").count() == 0
+
+
 def test_fuzzy_titles_of_whole_lines_equal_brute_force(spark, tmp_path):
     import difflib
     from collections import Counter
