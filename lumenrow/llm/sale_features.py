@@ -276,8 +276,9 @@ def features(sales: DataFrame, clicks: DataFrame, lines: DataFrame, days: tuple[
     clicked = written(known_clicks(clicks), "clicks")
     at = lambda rows, name: rows.select("client_id", F.col(name).alias("at"))
     widths = slice_widths(at(sold, "sold").unionByName(at(clicked, "ts")).unionByName(at(shipped, "known")), slice_rows)
-    sold = with_width(sold, widths)
-    logs = written(change_logs(sold, with_width(clicked, widths), item_spans(with_width(shipped, widths), days), days), "logs")
+    sold = written(with_width(sold, widths), "sales")
+    shipped = with_width(shipped, None) if widths is None else written(with_width(shipped, widths), "lines")
+    logs = written(change_logs(sold, with_width(clicked, widths), item_spans(shipped, days), days), "logs")
     asked = sold.select("sale_id", "client_id", "t", slice_of(F.col("t"), F.col("width")).alias("slice"), "width")
     n_buckets = max(1, -(-logs.count() // bucket_rows))
     if widths is not None:
