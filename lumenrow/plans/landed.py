@@ -331,10 +331,30 @@ def html_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.html_report(r, table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n")))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a small file dealt to all cores, as what follows takes long a row."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def side_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as texts whose sentence a side note breaks: the note goes behind it."""
-    text = F.format_string("We saw order %d of the\nTOWN HALL opposite The square and its trees\nold town and left.\nThen it rained.\n", F.col("o_orderkey"))
-    return cleaning.clean_documents(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))).select("o_orderkey", "text")
+    """Orders as texts with side notes: labelled before or behind their cue, in capitals or mixed, breaking a sentence or summing up the next."""
+    k = F.col("o_orderkey")
+    breaks = F.format_string("We saw order %d of the\nTOWN HALL opposite The square and its trees\nold town and left.\nThen it rained.\n", k)
+    sums_up = F.format_string("They saw order %d come.\noverleaf GREAT RIVER BRIDGE The bridge of order %d was built by many hands\nThe great river bridge was built by many hands over years.\nIt stands still.\n", k, k)
+    mixed = F.format_string("We saw order %d of the old\nthe old TOWN HALL opposite The square\ntown and left.\nThen it rained.\n", k)
+    plain = F.format_string("We saw order %d opposite the old town.\nThe square lies below it.\n", k)
+    text = F.when(k % 4 == 0, breaks).when(k % 4 == 1, sums_up).when(k % 4 == 2, mixed).otherwise(plain)
+    return cleaning.clean_documents(_dealt(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")))).select("o_orderkey", "text")
+
+
+def line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as texts of four line ends, every third in pages that a running title begins: lines that stay keep their ends."""
+    k = F.col("o_orderkey")
+    end = F.element_at(F.array(F.lit("\n"), F.lit("\r\n"), F.lit("\r"), F.lit("\u0085")), (k % 4 + 1).cast("int"))
+    lines = F.when(k % 3 == 0, F.array(F.lit("### Page 21"), F.lit("21. Of Old Orders"), F.format_string("Order %d went", k), F.lit("### Page 22"), F.lit("22. Of Old Orders"), F.lit("out at last."), F.lit("All is well.")))
+    text = F.array_join(F.transform(F.coalesce(lines, F.array(F.format_string("Order %d went out.", k), F.lit("All is well."))), lambda x: F.concat(x, end)), "")
+    done = cleaning.clean_documents(_dealt(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))))
+    return done.select("o_orderkey", F.hex("text").alias("text"), "edits", "changed")
 
 
 def cleaned_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -510,7 +530,7 @@ QUERIES = {
     "q83_line_kinds": line_kinds, "q84_scalars": scalars, "q85_chunk_manifest": chunk_manifest, "q86_combined": combined, "q87_html_page": html_page,
     "q88_side_notes": side_notes, "q89_cleaned_totals": cleaned_totals, "q90_rebuild_checks": rebuild_checks, "q91_sidecar_names": sidecar_names, "q92_normalised": normalised, "q93_literals": literals,
     "q94_bilingual": bilingual, "q95_decoded_texts": decoded_texts, "q96_paged_channels": paged_channels, "q97_written_chunks": written_chunks, "q98_run_log": run_log,
-    "q99_duration_lines": duration_lines, "q100_long_media": long_media, "q101_theme_changes": theme_changes, "q102_project_list": project_list, "q103_combined_chunks": combined_chunks, "q104_retry_rounds": retry_rounds, "q105_due_updates": due_updates,
+    "q99_duration_lines": duration_lines, "q100_long_media": long_media, "q101_theme_changes": theme_changes, "q102_project_list": project_list, "q103_combined_chunks": combined_chunks, "q104_retry_rounds": retry_rounds, "q105_due_updates": due_updates, "q106_line_ends": line_ends,
 }
 
 _K = "k as (select *, row_number() over (partition by o_custkey order by o_orderkey) as k, count(*) over (partition by o_custkey) as n from orders)"
@@ -578,7 +598,10 @@ ORACLES = {
     "q86_combined": "select 'all' as doc_id, string_agg('### Source image: ' || n_name || chr(10) || chr(10) || 'text of ' || n_name, chr(10) || chr(10) order by regexp_extract(n_name, '\\d+')::int) as text from nation",
     "q87_html_page": """select '<table><tr><th>rank</th><th>title</th></tr>' || chr(10) || (select string_agg('<tr><td>' || (r_regionkey + 1) || '</td><td>&lt;' || r_name || '&gt;</td></tr>', chr(10) order by r_regionkey) from region)
         || chr(10) || '</table>' || chr(10) || '<table><tr><th>n_regionkey</th><th>n</th></tr>' || chr(10) || (select string_agg('<tr><td>' || k || '</td><td>' || n || '</td></tr>', chr(10) order by k) from (select n_regionkey as k, count(*) as n from nation group by 1)) || chr(10) || '</table>' || chr(10) as html""",
-    "q88_side_notes": "select o_orderkey, 'We saw order ' || o_orderkey || ' of the old town and left.' || chr(10) || 'TOWN HALL opposite The square and its trees' || chr(10) || 'Then it rained.' || chr(10) as text from orders",
+    "q88_side_notes": """select o_orderkey, case o_orderkey % 4 when 0 then 'We saw order ' || o_orderkey || ' of the old town and left.' || chr(10) || 'TOWN HALL opposite The square and its trees' || chr(10) || 'Then it rained.'
+        when 1 then 'They saw order ' || o_orderkey || ' come.' || chr(10) || 'The great river bridge was built by many hands over years.' || chr(10) || 'overleaf GREAT RIVER BRIDGE The bridge of order ' || o_orderkey || ' was built by many hands' || chr(10) || 'It stands still.'
+        when 2 then 'We saw order ' || o_orderkey || ' of the old town and left.' || chr(10) || 'the old TOWN HALL opposite The square' || chr(10) || 'Then it rained.'
+        else 'We saw order ' || o_orderkey || ' opposite the old town.' || chr(10) || 'The square lies below it.' end || chr(10) as text from orders""",
     "q89_cleaned_totals": "select count(*) as scanned, count(*) filter (o_orderkey % 3 = 0) as changed, count(*) filter (o_orderkey % 3 = 0) as edits, count(*) filter (o_orderkey % 3 = 0) as blanks from orders",
     "q90_rebuild_checks": """with o as (select o_custkey as id, min(o_orderkey) as seq from orders group by 1), b as (select id, row_number() over (order by id) as e, row_number() over (order by seq, id) as f from o join customer on id = c_custkey),
         m as (select (select count(*) from customer where c_custkey not in (select id from o)) as missing, (select count(*) from o where id not in (select c_custkey from customer)) as unexpected)
@@ -614,4 +637,7 @@ ORACLES = {
         union all select 'page ' || doc_id, -1, '', 'it could not be read' from read where not readable""",
     "q104_retry_rounds": "select o_orderkey, case when o_orderkey % 5 > 2 then 'not yet' end as error, least(o_orderkey % 5, 2) as round from orders",
     "q105_due_updates": """select o_orderkey, o_orderkey % 4 = 0 or epoch(timestamp '1997-06-15') - epoch(o_orderdate) >= 86400 as due, floor(least(1.0::double, (o_orderkey % 7 + least(1.0::double, o_orderkey % 3 / 2.0::double)) / 8) * 100)::bigint as done from orders""",
+    "q106_line_ends": """with o as (select o_orderkey, [chr(10), chr(13) || chr(10), chr(13), chr(133)][o_orderkey % 4 + 1] as e from orders)
+        select o_orderkey, hex(encode(case when o_orderkey % 3 = 0 then 'Order ' || o_orderkey || ' went out at last.' else 'Order ' || o_orderkey || ' went out.' end || e || 'All is well.' || e)) as text,
+          case when o_orderkey % 3 = 0 then 4 else 0 end::bigint as edits, o_orderkey % 3 = 0 as changed from o""",
 }

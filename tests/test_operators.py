@@ -183,7 +183,7 @@ def test_cleaner_takes_titles_and_numbers_from_page_heads():
 
 def test_cleaner_takes_noise_literals_and_the_users_title():
     assert cleaning.clean("a\nAD\nb AD c\n", literal="AD")[0] == "a\nb c\n"
-    assert cleaning.clean("x\r\nAD\r\nON\r\ny\r\n", literal="AD\nON\n") == ("x\ny\n", 1, 0)
+    assert cleaning.clean("x\r\nAD\r\nON\r\ny\r\n", literal="AD\nON\n") == ("x\r\ny\r\n", 1, 0)
     assert cleaning.clean("Tides And Men  8 They are right.\n", header="Tides  And Men")[0] == "They are right.\n"
     assert cleaning.clean("one\n### Source PDF: x.pdf\n\n33 % 2 hrs 5 mins left in chapter 9\ntwo Page 3 of 80\nthree 14 %\n") == ("one\ntwo\nthree\n", 4, 1)
     assert cleaning.clean("### Source PDF: x.pdf\n\n### Page 1\n\n208 I knew then.\n")[0] == "I knew then.\n"
@@ -343,3 +343,11 @@ def test_inventories_and_filters(spark):
     plan, done = spark.createDataFrame([("x",), ("y",)], "target string"), spark.createDataFrame([("x", 1), ("y", 0)], "path string, size int")
     assert [r.target for r in fileplan.without_outputs(plan, done).collect()] == ["y"]
     assert tuple(fileplan.result_counts(spark.createDataFrame([("failed",), ("completed",)], "status string")).first()) == (1, 0, 1)
+
+
+def test_cleaning_keeps_line_ends():
+    for text in ("Alpha beta is here.\r\nGamma is there.\r\n", "A b.\rC d.", "A\x0cB\x85C.\u2028D.\n", "", "\r\n" * 0):
+        assert cleaning.clean(text) == (text, 0, 0)
+    assert cleaning.clean("One.\r\n### Page 30\r\n30. Some Title\r\nTwo.") == ("One.\r\n\r\nTwo.", 2, 0)
+    assert cleaning.clean("We saw the\r\nTOWN HALL opposite The square\r\nold town.\r\n")[0] == "We saw the old town.\r\nTOWN HALL opposite The square\r\n"
+    assert cleaning.clean("a ## b\r\nx\r\n## c", literal="b\nx") == ("a ##\r\n## c", 1, 0)
