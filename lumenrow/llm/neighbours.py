@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 Trees split a bounded sample at medians of random projections; every vector is then filed in one leaf
-of each tree. A query takes leaves of all trees from one shared priority queue, likeliest first, until
-they hold enough vectors, and what the leaves hold is reranked by exact distance, each candidate once
+of each tree. A query goes down all trees from one shared priority queue of nodes, likeliest first, and takes
+the leaves it comes to until they hold enough vectors, and what the leaves hold is reranked by exact distance, each candidate once
 however many trees gave it. Equal vectors, which no plane can part, are one vector in trees, leaves and
 searches, and become their ids again after reranking; a few of most copies are candidates of every query.
 Vectors and queries meet in blocks of bounded size.
@@ -11,8 +11,6 @@ Vectors and queries meet in blocks of bounded size.
 from __future__ import annotations
 
 import functools
-import heapq
-import itertools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -38,6 +36,8 @@ SEARCH_FACTOR, SEARCH_POWER = 5.0, 0.75
 LEAST_SEARCHED = 640
 #: Width of the logistic that says how likely a neighbour is beyond a plane, in standard deviations of a component.
 SPREAD = 1.3
+#: The queue is emptied in buckets of so much of that likelihood's negative log.
+BUCKET = 0.5
 #: So many vectors, those of most copies, are candidates of every query: each stands for many possible neighbours.
 ALWAYS = 256
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4_096
@@ -59,28 +59,6 @@ class Tree:
     def n_leaves(self) -> int:
         return len(self.planes) + 1
 
-    @functools.cached_property
-    def levels(self) -> list[np.ndarray]:
-        """The nodes of each depth."""
-        found, now = [], np.zeros(min(1, len(self.planes)), np.int64)
-        while len(now):
-            found.append(now)
-            now = self.kids[now].ravel()
-            now = now[now >= 0]
-        return found
-
-    def costs(self, q: np.ndarray, spread: float) -> np.ndarray:
-        """Of each leaf, how unlikely it holds a neighbour of ``q``: the sum along its path of the negative log of a
-        logistic of the margin in ``spread``."""
-        margin = (self.planes @ q - self.offsets) / spread
-        step = np.logaddexp(0, np.stack([margin, -margin], 1))
-        node, leaf = np.zeros(len(self.planes)), np.zeros(self.n_leaves)
-        for level in self.levels:
-            below, cost = self.kids[level], node[level][:, None] + step[level]
-            node[below[below >= 0]] = cost[below >= 0]
-            leaf[-below[below < 0] - 1] = cost[below < 0]
-        return leaf
-
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row of ``x``."""
         at = np.zeros(len(x), np.int64)
@@ -143,28 +121,45 @@ class Forest:
         """What is added to a leaf's number in its tree to number the leaves of all trees."""
         return np.concatenate([[0], np.cumsum([tree.n_leaves for tree in self.trees])])
 
-    def search(self, q: np.ndarray, enough: int) -> np.ndarray:
-        """The leaves, numbered over all trees, that a query takes.
-
-        The queue holds the next leaf of each tree; the likeliest is taken and the next of its tree
-        comes in.
+    @functools.cached_property
+    def nodes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Planes, offsets and kids of all trees, their roots and their leaves' sizes; nodes and leaves are numbered over all trees, leaf i as -i - 1."""
+        before, kids, roots = 0, [], []
+        for tree, leaf in zip(self.trees, self.first, strict=False):
+            roots.append(before if len(tree.planes) else -leaf - 1)
+            kids.append(np.where(tree.kids < 0, tree.kids - leaf, tree.kids + before))
+            before += len(tree.planes)
+        return np.concatenate([t.planes for t in self.trees]), np.concatenate([t.offsets for t in self.trees]), np.concatenate(kids), np.array(roots), np.concatenate(self.sizes)
+
+    def search(self, q: np.ndarray, enough: int) -> tuple[np.ndarray, int]:
+        """The leaves, numbered over all trees, that a query takes, and how many planes it was held against.
+
+        One queue over all trees holds nodes and leaves by how unlikely they hold a neighbour of ``q``: the sum
+        along their path of the negative log of a logistic of the margin in ``spread``. It is emptied in
+        buckets of BUCKET, likeliest first, in which nodes give way to their kids, until the leaves in
+        it hold enough; the likeliest of these are taken. Only planes on the way to them are looked at.
         """
-        first, turns = self.first, []
-        for t, tree in enumerate(self.trees):
-            cost = tree.costs(q, self.spread)
-            order = np.argsort(cost, kind="stable")
-            turns.append(zip(cost[order].tolist(), itertools.repeat(t), (order + first[t]).tolist(), self.sizes[t][order].tolist()))
-        queue = [next(turn) for turn in turns]
-        heapq.heapify(queue)
-        taken, held = [], 0
-        while queue and held < enough:
-            _, t, leaf, size = queue[0]
-            if size:
-                taken.append(leaf)
-                held += size
-            following = next(turns[t], None)
-            heapq.heapreplace(queue, following) if following else heapq.heappop(queue)
-        return np.array(taken, np.int64)
+        planes, offsets, kids, roots, sizes = self.nodes
+        at, cost, top, met = roots, np.zeros(len(roots)), 0.0, 0
+        leaves, leaf_cost, held = [roots[:0]], [cost[:0]], 0
+        while len(at) and held < enough:
+            top = max(top, float(cost.min())) + BUCKET
+            while (now := cost <= top).any():
+                going, paid, at, cost = at[now], cost[now], at[~now], cost[~now]
+                ends = going < 0
+                leaves.append(-going[ends] - 1)
+                leaf_cost.append(paid[ends])
+                held += int(sizes[leaves[-1]].sum())
+                going, paid = going[~ends], paid[~ends]
+                margin = (planes[going] @ q - offsets[going]) / self.spread
+                met += len(going)
+                at = np.concatenate([at, kids[going].ravel()])
+                cost = np.concatenate([cost, (paid[:, None] + np.logaddexp(0, np.stack([margin, -margin], 1))).ravel()])
+        found, paid = np.concatenate(leaves), np.concatenate(leaf_cost)
+        found = found[np.argsort(paid, kind="stable")]
+        found = found[sizes[found] > 0]
+        filled = np.cumsum(sizes[found])
+        return found[: int(np.searchsorted(filled, enough)) + 1], met
 
 
 def usable(vector: Column) -> Column:
@@ -274,7 +269,7 @@ def search_width(rows: DataFrame, width: int, k: int = K, trees: int = TREES, le
 
     @F.arrow_udf("binary")
     def probes(embedding: pa.Array) -> pa.Array:
-        return pa.array([forest.search(q, enough).astype("<i4").tobytes() for q in _matrix(embedding, width)], pa.binary())
+        return pa.array([forest.search(q, enough)[0].astype("<i4").tobytes() for q in _matrix(embedding, width)], pa.binary())
 
     wanted = cut(queries.select(F.col("asked").alias("key")).distinct())
     searched = cut(index.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "key", "left_semi"))

@@ -33,29 +33,37 @@ def test_neighbours_equal_brute_force_on_small_tables(spark):
         assert [r.vec_id for r in mine] == due.tolist() and [r.score for r in mine] == far[due].tolist()
 
 
-def test_leaf_costs_are_sums_along_their_paths():
+def test_search_takes_the_likeliest_leaves_of_all_trees():
+    """As if all leaves were sorted by the sum of costs along their paths; few planes are looked at for few leaves."""
     rng = np.random.default_rng(4)
-    tree, q = neighbours.grow(rng.standard_normal((300, 5)), rng, 7), rng.standard_normal(5)
-    due = {}
+    x = rng.standard_normal((3000, 5))
+    trees, q, due = [neighbours.grow(x, rng, 7) for _ in range(3)], rng.standard_normal(5), {}
+    forest = neighbours.Forest(trees, [rng.integers(0, 3, t.n_leaves) for t in trees], 0.7)
+    first = forest.first
 
-    def walk(node, cost):
+    def walk(t, node, cost):
         if node < 0:
-            due[-node - 1] = cost
+            due[int(first[t]) - node - 1] = (cost, int(forest.sizes[t][-node - 1]))
             return
-        margin = (tree.planes[node] @ q - tree.offsets[node]) / 0.7
-        walk(tree.kids[node][0], cost + math.log1p(math.exp(margin)))
-        walk(tree.kids[node][1], cost + math.log1p(math.exp(-margin)))
-
-    walk(0, 0.0)
-    assert tree.costs(q, 0.7) == pytest.approx([due[i] for i in range(tree.n_leaves)])
-    forest = neighbours.Forest([tree, tree], [np.ones(tree.n_leaves, int)] * 2, 0.7)
-    taken = forest.search(q, 20).tolist()
-    assert len(taken) == len(set(taken)) == 20
-    assert {k % tree.n_leaves for k in taken} == set(np.argsort(tree.costs(q, 0.7))[:10].tolist())
+        margin = (trees[t].planes[node] @ q - trees[t].offsets[node]) / 0.7
+        walk(t, trees[t].kids[node][0], cost + math.log1p(math.exp(margin)))
+        walk(t, trees[t].kids[node][1], cost + math.log1p(math.exp(-margin)))
+
+    for t in range(3):
+        walk(t, 0, 0.0)
+    assert len(due) == first[-1]
+    order = sorted((c, leaf) for leaf, (c, n) in due.items() if n)
+    for enough in (1, 20, 10**6):
+        taken, met = forest.search(q, enough)
+        assert taken.tolist() == [leaf for _, leaf in order[: len(taken)]]
+        held = np.cumsum([due[leaf][1] for leaf in taken.tolist()])
+        assert (held[-1] >= enough and held[-2:-1].sum() < enough) or len(taken) == len(order)
+        assert met < (600 if enough == 1 else 10**4)
+    assert neighbours.Forest([neighbours.grow(x[:3], rng, 7)], [np.array([3])], 1.0).search(q, 1)[0].tolist() == [0]
 
 
 def test_neighbours_recall_and_share_of_large_tables():
-    """Recall of at least 0.9, and less than 30 % of the vectors reranked from 50,000 on, falling."""
+    """Recall of at least 0.9, and from 50,000 on about half as many products as an exact scan has, or fewer, for a query, planes too, falling."""
     rng, shares = np.random.default_rng(1), []
     for n in (2_000, 12_000, 51_000):
         x = rng.standard_normal((n, 64))
@@ -67,16 +75,17 @@ def test_neighbours_recall_and_share_of_large_tables():
         hits, scored = [], []
         for q in range(0, n, n // 40):
             here = np.zeros(n, bool)
-            taken = set(forest.search(x[q], max(neighbours.LEAST_SEARCHED, int(neighbours.SEARCH_FACTOR * n**neighbours.SEARCH_POWER))).tolist())
+            leaves, met = forest.search(x[q], max(neighbours.LEAST_SEARCHED, int(neighbours.SEARCH_FACTOR * n**neighbours.SEARCH_POWER)))
+            taken = set(leaves.tolist())
             for t, a in enumerate(at):
                 here |= np.isin(a + forest.first[t], list(taken))
             far = ((x - x[q]) ** 2).sum(1)
             far[q] = np.inf
             hits.append(here[np.argsort(far)[:10]].mean())
-            scored.append(here.mean())
+            scored.append(here.mean() + met / n)
         assert np.mean(hits) >= 0.9
         shares.append(np.mean(scored))
-    assert shares[2] < 0.3 and shares[2] < shares[1] < shares[0]
+    assert shares[2] < 0.55 and shares[2] < shares[1] < shares[0]
 
 
 def brute_neighbours(rows, is_query, k=10):
