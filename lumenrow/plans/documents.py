@@ -112,6 +112,24 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_version(spark, store)
 
 
+CACHE_SECONDS = 5 * 86_400
+
+
+def ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests for their users' entries, streamed decade by decade of days through a cache of five days."""
+    from lumenrow.operators.tables import shared_path
+    from lumenrow.streaming.caches import cache_stream, served
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"), F.col("ts").cast("timestamp").alias("at"))
+    landed, store = shared_path(spark, "requests"), shared_path(spark, "cache")
+    decade = F.floor(F.unix_seconds("at") / 864_000)
+    for r in e.select(decade.alias("d")).distinct().orderBy("d").collect():  # as many as the stream has batches
+        e.filter(decade == r["d"]).coalesce(1).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    cache_stream(stream, "at", CACHE_SECONDS, store, shared_path(spark, "cache-checkpoint")).awaitTermination()
+    return served(spark, store).select(F.col("key").alias("user_id"), F.col("seq").alias("event_id"), "hit", "value", "fetched")
+
+
 def vector_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: sizes of documents by language and source, with all subtotals."""
     d = table(spark, sf_dir, "documents")
@@ -147,6 +165,7 @@ def rtl(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "q11_fixed_chunks": fixed_chunks, "q12_learn_titles": learn_titles, "q13_islands_sentences": sentence_islands, "q14_chunk_pack": chunk_pack, "q15_useful_text": useful_text, "q16_noise_strip": noise_strip,
     "q18_natural_sort_rank": natural_names, "q22_template_render": template_render, "q27_clean_text": clean_text, "q29_fuzzy_titles": fuzzy_titles, "q30_stream_upsert": stream_upsert,
+    "q107_ttl_cache": ttl_cache,
     "q44_escapes": escapes, "q45_word_stats": word_stats, "q46_compose": compose, "q47_line_neighbours": last_lines, "q48_rtl": rtl, "ext_cube": vector_rollup, "ext_event_rates": event_rates,
 }
 _LINES = "lines as (select doc_id, unnest(generate_series(0, len(p) - 1)) as n, unnest(p) as line from (select doc_id, case when p[-1] = '' then p[:-2] else p end as p from (select doc_id, string_split(coalesce(text, ''), chr(10)) as p from documents)))"
@@ -189,6 +208,11 @@ ORACLES = {
     "q18_natural_sort_rank": "with s as (select distinct source from documents) select source, row_number() over (order by regexp_extract(source, '\\d+')::int, source) as rank from s",
     "q22_template_render": "select conv_id, turn, 'As ' || role || ': ' || coalesce(text, '') || ' ({{ unknown }})' as prompt, 'role,text,unknown' as variables from conversations",
     "q30_stream_upsert": "select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1",
+    "q107_ttl_cache": f"""with recursive r as (select user_id, event_id, event_type, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as k from events),
+        w as (select user_id, event_id, k, false as hit, event_type as value, t as fetched from r where k = 1
+          union all select r.user_id, r.event_id, r.k, t - fetched < {CACHE_SECONDS}000000, case when t - fetched < {CACHE_SECONDS}000000 then value else event_type end, case when t - fetched < {CACHE_SECONDS}000000 then fetched else t end
+          from w join r on r.user_id = w.user_id and r.k = w.k + 1)
+        select user_id, event_id, hit, value, fetched from w""",
     "q44_escapes": """select doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) as html,
         md5(replace(replace(replace(text || '\\{}', '\\', '\\\\'), '{', '\\{'), '}', '\\}')) as ass from documents""",
     "q45_word_stats": rf"""select doc_id, len(regexp_extract_all(text, '\S+')) as tokens,

@@ -1,4 +1,4 @@
-"""Streams: hidden items upserted as they come, caches with a time to live, cues from timed words."""
+"""Streams: hidden items upserted as they come, cues from timed words, rates of events."""
 
 from __future__ import annotations
 
@@ -66,11 +66,6 @@ def latest_version(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.option("basePath", store).parquet(*paths).drop("version", "bucket")
 
 
-def fresh_entries(cache: DataFrame, time: str, ttl: str = "30 days") -> DataFrame:
-    """A stream of cache entries, each key once within the time to live."""
-    return cache.withWatermark(time, ttl).dropDuplicatesWithinWatermark(["video_id"])
-
-
 def remaining_rounds(expected: DataFrame, completed: DataFrame, key: str) -> DataFrame:
     """Keys a further round has to ask for; the anti join makes rounds repeatable."""
     return expected.join(completed.select(key).distinct(), key, "left_anti")

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenrow.sources import ass, files, paged_api, sinks
-from lumenrow.streaming.upserts import event_rates, fresh_entries, latest_version, remaining_rounds, stream_cues, upsert_stream
+from lumenrow.streaming import caches
+from lumenrow.streaming.upserts import event_rates, latest_version, remaining_rounds, stream_cues, upsert_stream
 
 ASS = "[Script Info]\r\nTitle: x\r\n[Events]\r\nFormat: Layer, Start, End, Text\r\nDialogue: 0,0:00:08.00,0:00:12.00,{\\i1}Hi, you\r\nComment: 0,0:00:11.00,0:00:13.00,c\r\nDialogue: 0,0:00:30.00,0:00:31.00,late\r\n"
 
@@ -71,13 +72,41 @@ def test_upserts_rewrite_only_the_buckets_they_touch(spark, tmp_path):
     assert len(folders["version=1"]) <= 2 and len(folders) < 5
 
 
-def test_cache_entries_are_fresh_once_within_their_time(spark, tmp_path):
-    schema = "video_id string, fetched timestamp"
-    rows = spark.sql("select * from values ('a', timestamp'2026-01-01'), ('a', timestamp'2026-01-05'), ('b', timestamp'2026-01-02') t(video_id, fetched)")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = fresh_entries(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "fetched", "30 days")
-    stream.writeStream.format("memory").queryName("fresh_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(r.video_id for r in spark.table("fresh_out").collect()) == ["a", "b"]
+def plain_cache(rows, ttl):
+    """Plain loop over (key, seq, at, value)."""
+    entry, out = {}, set()
+    for key, seq, at, value in sorted(rows, key=lambda r: (r[2], r[1])):
+        hit = key in entry and at - entry[key][1] < ttl
+        if not hit:
+            entry[key] = (value, at)
+        out.add((key, seq, at, hit, *entry[key]))
+    return out, entry
+
+
+def test_a_cache_refreshes_what_is_too_old_in_any_batches(spark, tmp_path):
+    import random
+    from datetime import datetime, timedelta, timezone
+
+    rng, start = random.Random(1), datetime(2026, 1, 1, tzinfo=timezone.utc)
+    hours = sorted(rng.randrange(2000) for _ in range(400))
+    rows = [(rng.choice("abcdefgh"), i, start + timedelta(hours=h), None if i % 9 == 0 else f"v{i}") for i, h in enumerate(hours)]
+    micros = lambda t: int((t - datetime(1970, 1, 1, tzinfo=timezone.utc)) / timedelta(microseconds=1))
+    due, entries = plain_cache([(k, i, micros(t), v) for k, i, t, v in rows], 72 * 3_600_000_000)
+    schema = "key string, seq long, asked timestamp, value string"
+    for n, cuts in enumerate(([400], [150, 151, 300, 400])):
+        source, store = str(tmp_path / f"in{n}"), str(tmp_path / f"store{n}")
+        for a, b in zip([0, *cuts], cuts, strict=False):
+            odd = [(None, 1, start, "x"), ("a", 2, None, "y")]
+            spark.createDataFrame(rows[a:b] + odd, schema).coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(schema).parquet(source)
+            caches.cache_stream(stream, "asked", 72 * 3600, store, str(tmp_path / f"cp{n}"), flush=10).awaitTermination()
+        got = caches.served(spark, store)
+        assert {tuple(r) for r in got.collect()} == due and got.count() == len(due)
+        now = max(e[1] for e in entries.values())
+        live = {r.key: r.value for r in caches.live_entries(spark, store, now, 72 * 3600).collect()}
+        assert live == {k: v for k, (v, at) in entries.items() if at > now - 72 * 3_600_000_000}
+    files = [f for f in (tmp_path / "store0" / "entries").glob("batch=*/*.parquet")]
+    assert len(files) >= sum(not r[3] for r in due) // 10
 
 
 def test_rounds_ask_for_what_is_left(spark):
