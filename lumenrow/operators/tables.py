@@ -32,3 +32,9 @@ def materialised(spark: SparkSession, frame: DataFrame) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where

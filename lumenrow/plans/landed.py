@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +12,12 @@ from lumenrow.functions import text as tx
 from lumenrow.functions import urls as ur
 from lumenrow.operators import chunking, cleaning, cues, fileplan, layout, reconcile, report, stores
 from lumenrow.operators import lines as ln
-from lumenrow.operators.tables import shared_path
+from lumenrow.operators.tables import file_system, shared_path
 from lumenrow.plans import documents
 from lumenrow.plans.base import cues as cue_table
 from lumenrow.plans.base import table
 from lumenrow.sources import ass, files, paged_api, sinks
+from lumenrow.streaming import rounds
 
 DAY = 86_400_000
 
@@ -513,6 +513,47 @@ def retry_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.retried(o, ask, "o_orderkey").withColumn("round", F.col("round").cast("bigint"))
 
 
+def resumed_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders asked for in rounds by three runs: one ends after its round, one is killed before its round is committed, one goes on; an order that is asked again says so."""
+    o, inventory = table(spark, sf_dir, "orders").select("o_orderkey"), shared_path(spark, "inventory")
+
+    def ask(rows: DataFrame, turn: int) -> DataFrame:
+        return rows.withColumn("error", F.when(F.col("o_orderkey") % 5 > turn, F.lit("not yet"))).withColumn("asked", F.lit(turn + 1).cast("bigint"))
+
+    rounds.run_rounds(o, ask, inventory, "o_orderkey", 1)
+    rounds.run_rounds(o, lambda rows, turn: ask(rows, 99), inventory, "o_orderkey", 2)
+    fs, mark = file_system(spark, f"{inventory}/round=1/_SUCCESS")
+    fs.delete(mark, False)
+    done = rounds.run_rounds(o, ask, inventory, "o_orderkey")
+    return done.select("o_orderkey", "error", "asked", F.col("round").cast("bigint").alias("round"))
+
+
+def replaced_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a record store that is replaced twice: once by a write that fails, which leaves it, and once whole."""
+    c, path = table(spark, sf_dir, "customer"), shared_path(spark, "records")
+    schema = "video_id string, title string"
+    records = c.select(F.col("c_custkey").cast("string").alias("video_id"), F.col("c_name").alias("title"))
+    sinks.write_store(records.filter("cast(video_id as bigint) % 3 = 0"), path, ["video_id"])
+    broken = records.withColumn("title", F.when(F.col("video_id") == "7", F.raise_error(F.lit("broken off"))).otherwise(F.col("title")))
+    try:
+        sinks.write_store(broken, path, ["video_id"])
+    except Exception as wrong:
+        if "broken off" not in str(wrong):
+            raise
+    kept = sinks.read_store(spark, path, schema).groupBy().agg(F.count("*").alias("n")).first()["n"]
+    sinks.write_store(records, path, ["video_id"])
+    return sinks.read_store(spark, path, schema).withColumn("before", F.lit(kept).cast("bigint"))
+
+
+def written_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' texts, noise in every third, cleaned; those that changed are written and read back."""
+    text = F.format_string("Order %d is here.\n", F.col("o_orderkey"))
+    o = _dealt(table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.concat(text, F.lit("Page 3 of 80\n\n"))).otherwise(text).alias("text")))
+    path = shared_path(spark, "changed")
+    sinks.write_changed(cleaning.clean_documents(o), path)
+    return spark.read.parquet(path).select("o_orderkey", "text", "edits")
+
+
 def due_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as programs that last ran on their day: which are to run again, and how far a batch has come."""
     o = table(spark, sf_dir, "orders")
@@ -530,7 +571,7 @@ QUERIES = {
     "q83_line_kinds": line_kinds, "q84_scalars": scalars, "q85_chunk_manifest": chunk_manifest, "q86_combined": combined, "q87_html_page": html_page,
     "q88_side_notes": side_notes, "q89_cleaned_totals": cleaned_totals, "q90_rebuild_checks": rebuild_checks, "q91_sidecar_names": sidecar_names, "q92_normalised": normalised, "q93_literals": literals,
     "q94_bilingual": bilingual, "q95_decoded_texts": decoded_texts, "q96_paged_channels": paged_channels, "q97_written_chunks": written_chunks, "q98_run_log": run_log,
-    "q99_duration_lines": duration_lines, "q100_long_media": long_media, "q101_theme_changes": theme_changes, "q102_project_list": project_list, "q103_combined_chunks": combined_chunks, "q104_retry_rounds": retry_rounds, "q105_due_updates": due_updates, "q106_line_ends": line_ends,
+    "q99_duration_lines": duration_lines, "q100_long_media": long_media, "q101_theme_changes": theme_changes, "q102_project_list": project_list, "q103_combined_chunks": combined_chunks, "q104_retry_rounds": retry_rounds, "q105_due_updates": due_updates, "q106_line_ends": line_ends, "q108_resumed_rounds": resumed_rounds, "q109_replaced_store": replaced_store, "q110_written_changes": written_changes,
 }
 
 _K = "k as (select *, row_number() over (partition by o_custkey order by o_orderkey) as k, count(*) over (partition by o_custkey) as n from orders)"
@@ -637,6 +678,9 @@ ORACLES = {
         union all select 'page ' || doc_id, -1, '', 'it could not be read' from read where not readable""",
     "q104_retry_rounds": "select o_orderkey, case when o_orderkey % 5 > 2 then 'not yet' end as error, least(o_orderkey % 5, 2) as round from orders",
     "q105_due_updates": """select o_orderkey, o_orderkey % 4 = 0 or epoch(timestamp '1997-06-15') - epoch(o_orderdate) >= 86400 as due, floor(least(1.0::double, (o_orderkey % 7 + least(1.0::double, o_orderkey % 3 / 2.0::double)) / 8) * 100)::bigint as done from orders""",
+    "q108_resumed_rounds": "select o_orderkey, case when o_orderkey % 5 > 2 then 'not yet' end as error, least(o_orderkey % 5, 2) + 1 as asked, least(o_orderkey % 5, 2) as round from orders",
+    "q109_replaced_store": "select c_custkey::varchar as video_id, c_name as title, (select count(*) from customer where c_custkey % 3 = 0) as before from customer",
+    "q110_written_changes": "select o_orderkey, 'Order ' || o_orderkey || ' is here.' || chr(10) as text, 1::bigint as edits from orders where o_orderkey % 3 = 0",
     "q106_line_ends": """with o as (select o_orderkey, [chr(10), chr(13) || chr(10), chr(13), chr(133)][o_orderkey % 4 + 1] as e from orders)
         select o_orderkey, hex(encode(case when o_orderkey % 3 = 0 then 'Order ' || o_orderkey || ' went out at last.' else 'Order ' || o_orderkey || ' went out.' end || e || 'All is well.' || e)) as text,
           case when o_orderkey % 3 = 0 then 4 else 0 end::bigint as edits, o_orderkey % 3 = 0 as changed from o""",

@@ -12,18 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumenrow.operators.cuebuilder import CueBuilder
 from lumenrow.operators.stores import last_wins
-from lumenrow.operators.tables import materialised
-
-
-def _files(spark: SparkSession, path: str):
-    """The file system of a path, and the path."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+from lumenrow.operators.tables import file_system, materialised
 
 
 def _versions(spark: SparkSession, store: str, batch_id: int) -> dict[str, int]:
     """Of each bucket of a store the batch that wrote it last, as the index of ``batch_id`` tells."""
-    fs, where = _files(spark, f"{store}/index-{batch_id}.json")
+    fs, where = file_system(spark, f"{store}/index-{batch_id}.json")
     if not fs.exists(where):
         return {}
     return json.loads("".join(r[0] for r in spark.read.text(where.toString()).collect()))
@@ -48,29 +42,24 @@ def upsert_stream(events: DataFrame, store: str, checkpoint: str, keys: list[str
         if touched:
             last_wins(rows, [*keys, "bucket"], seq).write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/version={batch_id}")
         now = known | dict.fromkeys(touched, batch_id)
-        fs, where = _files(spark, f"{store}/index-{batch_id}.json")
+        fs, where = file_system(spark, f"{store}/index-{batch_id}.json")
         out = fs.create(where, True)
         out.write(bytearray(json.dumps(now).encode()))
         out.close()
         for v in set(_versions(spark, store, batch_id - 2).values()) - set(known.values()) - set(now.values()):
-            fs.delete(_files(spark, f"{store}/version={v}")[1], True)
+            fs.delete(file_system(spark, f"{store}/version={v}")[1], True)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_version(spark: SparkSession, store: str) -> DataFrame:
     """The store as its newest index tells."""
-    fs, folder = _files(spark, store)
+    fs, folder = file_system(spark, store)
     newest = max(int(name[6:-5]) for f in fs.listStatus(folder) if (name := f.getPath().getName()).startswith("index-"))
     paths = [f"{store}/version={v}/bucket={b}" for b, v in sorted(_versions(spark, store, newest).items())]
     return spark.read.option("basePath", store).parquet(*paths).drop("version", "bucket")
 
 
-def remaining_rounds(expected: DataFrame, completed: DataFrame, key: str) -> DataFrame:
-    """Keys a further round has to ask for; the anti join makes rounds repeatable."""
-    return expected.join(completed.select(key).distinct(), key, "left_anti")
-
-
 def stream_cues(words: DataFrame, idle_ms: int = 60_000) -> DataFrame:
     """Cues of a stream of words (media_id, seg_no, word_no, word, start_s, end_s), each as soon as it is complete.
 

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenrow.sources import ass, files, paged_api, sinks
-from lumenrow.streaming import caches
-from lumenrow.streaming.upserts import event_rates, latest_version, remaining_rounds, stream_cues, upsert_stream
+from lumenrow.streaming import caches, rounds
+from lumenrow.streaming.upserts import event_rates, latest_version, stream_cues, upsert_stream
 
 ASS = "[Script Info]\r\nTitle: x\r\n[Events]\r\nFormat: Layer, Start, End, Text\r\nDialogue: 0,0:00:08.00,0:00:12.00,{\\i1}Hi, you\r\nComment: 0,0:00:11.00,0:00:13.00,c\r\nDialogue: 0,0:00:30.00,0:00:31.00,late\r\n"
 
@@ -109,10 +109,36 @@ def test_a_cache_refreshes_what_is_too_old_in_any_batches(spark, tmp_path):
     assert len(files) >= sum(not r[3] for r in due) // 10
 
 
-def test_rounds_ask_for_what_is_left(spark):
-    ids = spark.range(5).withColumnRenamed("id", "k")
-    done = spark.createDataFrame([(1,), (1,), (4,)], "k long")
-    assert sorted(r.k for r in remaining_rounds(ids, done, "k").collect()) == [0, 2, 3]
+def test_rounds_ask_for_what_is_left(spark, tmp_path):
+    """A killed run's round is asked again, answered keys never are."""
+    ids, asked, inventory = spark.range(10).withColumnRenamed("id", "k"), [], str(tmp_path / "inventory")
+
+    def ask(rows, turn):
+        asked.append(sorted(r.k for r in rows.collect()))
+        if turn == 1 and len(asked) == 2:
+            return rows.withColumn("error", F.when(F.col("k") == 9, F.raise_error(F.lit("killed"))))
+        return rows.withColumn("error", F.when(F.col("k") % 4 > turn, F.lit("no")))
+
+    with pytest.raises(Exception, match="killed"):
+        rounds.run_rounds(ids, ask, inventory, "k", 3)
+    assert rounds.committed_rounds(spark, inventory) == [0]
+    got = {r.k: (r.error, r.round) for r in rounds.run_rounds(ids, ask, inventory, "k", 3).collect()}
+    left = [k for k in range(10) if k % 4]
+    assert asked == [list(range(10)), left, left, [k for k in range(10) if k % 4 > 1]]
+    assert got == {k: ("no" if k % 4 > 2 else None, min(k % 4, 2)) for k in range(10)}
+    assert rounds.run_rounds(ids.limit(0), ask, str(tmp_path / "none"), "k").count() == 0
+
+
+def test_a_store_that_fails_to_be_written_stays_as_it_was(spark, tmp_path):
+    path, schema = str(tmp_path / "store"), "k long, v string"
+    assert sinks.read_store(spark, path, schema).count() == 0
+    sinks.write_store(spark.range(5).selectExpr("id as k", "'old' as v"), path, ["k"])
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_store(spark.range(5).select(F.col("id").alias("k"), F.when(F.col("id") == 3, F.raise_error(F.lit("broken"))).alias("v")), path, ["k"])
+    assert {r.v for r in sinks.read_store(spark, path, schema).collect()} == {"old"}
+    sinks.write_store(spark.range(2).selectExpr("id as k", "'new' as v"), path, ["k"])
+    assert [tuple(r) for r in sinks.read_store(spark, path, schema).orderBy("k").collect()] == [(0, "new"), (1, "new")]
+    assert len(list((tmp_path / "store").glob("data-*"))) == 1 and not list((tmp_path / "store").glob("store-*"))
 
 
 def test_cue_stream_and_rates(spark, tmp_path):
@@ -141,7 +167,7 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "l")).count() == 1
     records = spark.createDataFrame([("b", 1), ("a", 2)], "id string, n int").coalesce(1)
     sinks.write_store(records, str(tmp_path / "s"), ["id"])
-    assert [json.loads(line)["id"] for f in (tmp_path / "s").glob("*.json") for line in f.read_text().splitlines()] == ["a", "b"]
+    assert [json.loads(line)["id"] for f in (tmp_path / "s").glob("data-*/*.json") for line in f.read_text().splitlines()] == ["a", "b"]
     sinks.write_changed(spark.createDataFrame([(1, "x", True), (2, "y", False)], "doc_id int, text string, changed boolean"), str(tmp_path / "t"))
     assert [r.doc_id for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [1]
     sinks.write_manifest(spark.createDataFrame([("d", 3)], "doc_id string, tokens int"), str(tmp_path / "m"))
