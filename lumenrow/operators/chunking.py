@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenrow.functions.text import ends_sentence, natural_key, sentences, words
-from lumenrow.operators.lines import paragraphs, safe_blocks
+from lumenrow.operators.lines import joined_up_to, let, paragraphs, safe_blocks
 from lumenrow.operators.report import ranked
 from lumenrow.operators.sequences import running, walked
 from lumenrow.operators.tables import materialised
@@ -21,11 +21,6 @@ from lumenrow.operators.tables import materialised
 STRETCH_BUDGETS = 64
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)``, with ``value`` computed once a row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def pack_pieces(pieces: Column, budget: int, joiner: str) -> Column:
     """Pieces joined greedily while the joined text has at most ``budget`` characters.
 
@@ -42,11 +37,7 @@ def pack_pieces(pieces: Column, budget: int, joiner: str) -> Column:
 
         return F.aggregate(sized, state(F.lit(0), F.array().cast("array<int>")), step, lambda s: F.when(F.size(ps) > 0, F.array_append(s["cuts"], F.size(ps))).otherwise(s["cuts"]))
 
-    def texts(ps: Column) -> Column:
-        first = lambda es, k: F.when(k == 0, F.lit(0)).otherwise(F.get(es, k - 1))
-        return _let(ends(ps), lambda es: F.transform(es, lambda e, k: F.array_join(F.slice(ps, first(es, k) + 1, e - first(es, k)), joiner)))
-
-    return _let(pieces, texts)
+    return let(pieces, lambda ps: joined_up_to(ps, ends(ps), joiner))
 
 
 def split_block(block: Column, budget: int) -> Column:

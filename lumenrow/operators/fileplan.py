@@ -105,13 +105,16 @@ def numbered_names(plan: DataFrame, taken: DataFrame) -> DataFrame:
 
     Names already taken count as earlier claims on their base.
     """
+    group = ["dir", "base", "ext"]
     parts = taken.select("dir", F.regexp_extract("name", r"\A(.*?)(?:_(\d+))?(\.[^.]+)\z", 1).alias("base"), F.regexp_extract("name", r"(\.[^.]+)\z", 1).alias("ext"), F.coalesce(F.regexp_extract("name", r"_(\d+)\.[^.]+\z", 1).try_cast("int"), F.lit(1)).alias("n"))
-    used = parts.groupBy("dir", "base", "ext").agg(F.collect_set("n").alias("used"))
-    rows = plan.withColumn("_k", F.row_number().over(Window.partitionBy("dir", "base", "ext").orderBy("seq"))).join(used, ["dir", "base", "ext"], "left")
-    full = F.coalesce("used", F.array().cast("array<int>"))
-    free = F.array_except(F.sequence(F.lit(1), F.col("_k") + F.size(full)), full)
-    number = F.element_at(free, F.col("_k"))
-    return rows.withColumn("name", F.concat("base", F.when(number > 1, F.concat(F.lit("_"), number.cast("string"))).otherwise(F.lit("")), "ext")).drop("_k", "used")
+    used = parts.filter("n > 0").distinct()
+    # So many numbers are free below a used one; the k-th claim goes past all used ones with fewer than k.
+    free_below = F.col("n") - F.row_number().over(Window.partitionBy(*group).orderBy("n"))
+    claims = plan.withColumn("_at", F.row_number().over(Window.partitionBy(*group).orderBy("seq"))).withColumn("_used", F.lit(0))
+    both = claims.unionByName(used.select(*group, free_below.alias("_at"), F.lit(1).alias("_used")), allowMissingColumns=True)
+    passed = F.coalesce(F.sum("_used").over(Window.partitionBy(*group).orderBy("_at", "_used").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = both.withColumn("_number", F.col("_at") + passed).filter("_used = 0")
+    return rows.withColumn("name", F.concat("base", F.when(F.col("_number") > 1, F.concat(F.lit("_"), F.col("_number").cast("string"))).otherwise(F.lit("")), "ext")).drop("_at", "_used", "_number")
 
 
 def sidecars(videos: DataFrame, subtitles: DataFrame) -> DataFrame:

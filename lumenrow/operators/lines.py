@@ -5,6 +5,8 @@ A line table has doc_id, n (from 0) and line.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,20 +85,27 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?U)\n\s*\n"), strip), lambda p: p != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with ``value`` computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def joined_up_to(pieces: Column, ends: Column, joiner: str) -> Column:
+    """Texts of the pieces up to each of ``ends``, counted from 1, from the one before; each piece is read once."""
+    first = lambda es, k: F.when(k == 0, F.lit(0)).otherwise(F.get(es, k - 1))
+    return let(ends, lambda es: F.transform(es, lambda e, k: F.array_join(F.slice(pieces, first(es, k) + 1, e - first(es, k)), joiner)))
+
+
 def safe_blocks(text: Column) -> Column:
     """Paragraphs joined until one ends a sentence; what is left open at the end joins the last block."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(s: Column, p: Column) -> Column:
-        now = F.when(s["open"] == "", p).otherwise(F.concat(s["open"], F.lit("\n\n"), p))
-        return F.when(ends_sentence(p), F.struct(F.array_append(s["done"], now).alias("done"), F.lit("").alias("open"))).otherwise(F.struct(s["done"].alias("done"), now.alias("open")))
 
-    def close(s: Column) -> Column:
-        n = F.size(s["done"])
-        joined = F.array_append(F.slice(s["done"], 1, F.greatest(n - 1, F.lit(0))), F.concat(F.element_at(s["done"], -1), F.lit("\n\n"), s["open"]))
-        return F.when(s["open"] == "", s["done"]).when(n == 0, F.array(s["open"])).otherwise(joined)
+    def blocks(ps: Column) -> Column:
+        closes = F.filter(F.transform(ps, lambda p, i: F.when(ends_sentence(p), i + 1)), lambda i: i.isNotNull())
+        n = F.size(ps)
+        ends = let(closes, lambda c: F.when(n == 0, F.array().cast("array<int>")).otherwise(F.concat(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.array(n))))
+        return joined_up_to(ps, ends, "\n\n")
 
-    return F.aggregate(paragraphs(text), state, step, close)
+    return let(paragraphs(text), blocks)
 
 
 def gap_islands(rows: DataFrame, by: str, order: list[Column], at: Column, end: Column, threshold: Column | float, name: str = "island", block_rows: int | None = None) -> DataFrame:

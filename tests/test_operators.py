@@ -351,3 +351,13 @@ def test_cleaning_keeps_line_ends():
     assert cleaning.clean("One.\r\n### Page 30\r\n30. Some Title\r\nTwo.") == ("One.\r\n\r\nTwo.", 2, 0)
     assert cleaning.clean("We saw the\r\nTOWN HALL opposite The square\r\nold town.\r\n")[0] == "We saw the old town.\r\nTOWN HALL opposite The square\r\n"
     assert cleaning.clean("a ## b\r\nx\r\n## c", literal="b\nx") == ("a ##\r\n## c", 1, 0)
+
+
+def test_free_names_of_very_many_claims(spark):
+    taken = [("d", "a.txt", 0), ("d", "a_3.txt", 0), ("d", "a_3.txt", 0), ("d", "a_4.txt", 0), ("d", "a_0.txt", 0), ("d", "a_90000.txt", 0), ("e", "b_2.txt", 0)]
+    taken = spark.createDataFrame(taken, "dir string, name string, size int")
+    plan = spark.range(100_000).select(F.lit("d").alias("dir"), F.lit("a").alias("base"), F.lit(".txt").alias("ext"), F.col("id").alias("seq"))
+    plan = plan.unionByName(spark.createDataFrame([("e", "b", ".txt", 1), ("e", "b", ".txt", 2), ("f", "b", ".txt", 3)], "dir string, base string, ext string, seq long"))
+    got = {(r.dir, r.seq): r.name for r in fileplan.numbered_names(plan, taken).collect()}
+    free = (n for n in range(1, 200_000) if n not in (1, 3, 4, 90_000))
+    assert got == {("d", k): f"a_{n}.txt" for k, n in zip(range(100_000), free)} | {("e", 1): "b.txt", ("e", 2): "b_3.txt", ("f", 3): "b.txt"}
