@@ -28,7 +28,7 @@ MODEL = "piece_bpe_32k.model"
 MARKER = "▁"
 #: A table is begun anew beyond so many chunks, or characters in them; texts are cut at chunks into stretches of about so many characters,
 #: and a block holds stretches of as many.
-MOST_CHUNKS, MOST_CHARS, STRETCH = 400_000, 1 << 24, 1 << 20
+MOST_CHUNKS, MOST_CHARS, STRETCH = 200_000, 1 << 24, 1 << 19
 
 _CHUNK = re.compile(f"[ {MARKER}]+[^ {MARKER}]*")
 _BORDER = re.compile(f"(?<=[^ {MARKER}])[ {MARKER}]")
@@ -124,44 +124,52 @@ def _chunk_table(path: str) -> ChunkTable:
     return ChunkTable(path)
 
 
-def _by_worker(path: str | None, work: Callable[[ChunkTable, list], list], kind: pa.DataType) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
-    """A function of Arrow arrays that applies ``work`` to few values at a time with the worker's table."""
+def _in_worker(path: str | None, work: Callable[[ChunkTable, list], pa.Array]) -> Callable[[pa.Array], pa.Array]:
+    """A function of an Arrow array that applies ``work`` to few values at a time with the worker's table."""
 
-    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(values: pa.Array) -> pa.Array:
         chunk_table = _chunk_table(path or model_path())
-        for values in arrays:
-            parts = [pa.array(work(chunk_table, part["x"].to_pylist()), kind) for part in in_slices([pa.RecordBatch.from_arrays([values], ["x"])])]
-            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+        parts = in_slices([pa.RecordBatch.from_arrays([values], ["x"])])
+        return pa.concat_arrays([work(chunk_table, part["x"].to_pylist()) for part in parts] or [work(chunk_table, [])])
 
     return run
 
 
-def ids_of(text: Column, path: str | None = None) -> Column:
-    """The ids of ``text`` with begin and end ids, as little-endian unsigned 32-bit numbers; a null text is an empty one."""
+def pieces_of(text: Column, path: str | None = None, decode: bool = False) -> Column:
+    """A struct of the ids of ``text`` with begin and end ids, as little-endian unsigned 32-bit numbers, and of what they decode to if ``decode``.
 
-    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return _by_worker(path, ChunkTable.encode, pa.binary())(arrays)
+    A null text is an empty one. Both come from one worker, which then need not be sent the ids.
+    """
+
+    def work(chunk_table: ChunkTable, texts: list[str]) -> pa.Array:
+        ids = chunk_table.encode(texts)
+        decoded = [chunk_table.decode(x) if decode else None for x in ids]
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["ids", "decoded"])
+
+    def run(texts: pa.Array) -> pa.Array:
+        return _in_worker(path, work)(texts)
 
-    return F.arrow_udf(run, "binary")(F.coalesce(text, F.lit("")))
+    return F.arrow_udf(run, "struct<ids:binary,decoded:string>")(F.coalesce(text, F.lit("")))
 
 
 def text_of(ids: Column, path: str | None = None) -> Column:
     """The text that the library decodes ``ids`` to."""
 
-    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return _by_worker(path, lambda chunk_table, each: [chunk_table.decode(x) for x in each], pa.string())(arrays)
+    def run(values: pa.Array) -> pa.Array:
+        return _in_worker(path, lambda chunk_table, each: pa.array([chunk_table.decode(x) for x in each], pa.string()))(values)
 
     return F.arrow_udf(run, "string")(ids)
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc, ids) of every row of ``docs``: the row as a struct, and the ids of its whole text as :func:`ids_of` gives them.
+def encode(docs: DataFrame, path: str | None = None, decode: bool = False) -> DataFrame:
+    """(doc, ids) of every row of ``docs``, and ``decoded`` if ``decode``: the row as a struct, and what :func:`pieces_of` gives for its whole text.
 
     Null and empty texts are begin and end id alone. Texts of any length are cut into chunks a stretch at a
     time. Repeated rows and ids are encoded like any others; columns of any name stay in ``doc``; an empty
     table gives no rows. ``path`` of the model is looked up on each executor unless given.
     """
-    return docs.select(F.struct("*").alias("doc")).withColumn("ids", ids_of(F.col("doc.text"), path))
+    rows = docs.select(F.struct("*").alias("doc")).withColumn("pieces", pieces_of(F.col("doc.text"), path, decode))
+    return rows.select("doc", "pieces.ids", *(["pieces.decoded"] if decode else []))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -171,7 +179,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract digest of :func:`encode` and :func:`decode` over all documents."""
-    rows = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    rows = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decode=True)
     return rows.select(
         F.col("doc.doc_id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

@@ -72,6 +72,8 @@ def test_sentence_pieces_of_odd_rows(spark, chunk_table):
     rows = [(1, None, "a", {"k": 1}), (1, None, "a", {"k": 1}), (None, "two  words", "b", None), (2, "", None, {}), (3, "word " * 40_000, "c", {})]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, doc map<string,int>")
     got = sentence_pieces.decode(sentence_pieces.encode(docs)).collect()
+    both = sentence_pieces.encode(docs, decode=True).collect()
+    assert sorted((r.ids, r.decoded) for r in both) == sorted((r.ids, r.decoded) for r in got)
     assert sorted((r.doc.ids or "", r.decoded) for r in got) == sorted((i or "", t or "") for _, t, i, _ in rows)
     assert ids([next(r.ids for r in got if r.doc.doc_id == 3)]) == due_ids(chunk_table, ["word " * 40_000])
     assert sentence_pieces.encode(docs.limit(0)).count() == 0
