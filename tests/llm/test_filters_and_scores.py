@@ -5,13 +5,14 @@ import math
 import random
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenrow.llm import automata, quality_fm, quality_rules, secret_scan, toxicity, url_filter
+from lumenrow.llm import automata, quality_fm, quality_rules, registry, secret_scan, toxicity, url_filter
 from lumenrow.llm.common import held_out
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -309,9 +310,7 @@ def auc(rows, known):
 
 @pytest.mark.parametrize(("name", "label", "folds", "fold", "table", "least"), [("op1_toxicity", "toxic", 5, 0, "sf0.1", 0.95), ("op5_quality_classifier", "quality", 3, 1, "sf0.01", 0.98)])
 def test_classifier_query_is_good_on_held_out_labels(spark, name, label, folds, fold, table, least):
-    import zlib
 
-    from lumenrow.llm import registry
 
     sf = f"/root/testdata/{table}"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -324,7 +323,6 @@ def test_classifier_query_is_good_on_held_out_labels(spark, name, label, folds,
 
 
 def test_secret_query_equals_regexes(spark):
-    from lumenrow.llm import registry
 
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
@@ -340,7 +338,6 @@ def test_secret_query_equals_regexes(spark):
 
 def test_rules_query_equals_brute_force(spark, sf):
     """Counts and base test by a plain walk, and verdicts by the learned rules applied to these counts."""
-    from lumenrow.llm import registry
 
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     texts, rules = {r.doc_id: r.text for r in docs.collect()}, quality_rules.fit(docs, labels)
@@ -356,3 +353,62 @@ def test_rules_query_equals_brute_force(spark, sf):
         failed = n < 20 or 100 * repeat > 30 * n
         rejected = any(all(values[f] >= t if at_least else values[f] <= t for f, at_least, t in rule.terms) for rule in rules)
         assert (r.base_failed, r.kept) == (failed, not failed and not rejected)
+
+
+def within_an_edit(a, b):
+    """Plain recursion: whether one insertion, deletion or substitution at most makes ``a`` ``b``."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[i:] == b[i:] or a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
+
+
+def plain_toxicity(model, text, known):
+    """The score of a whole text, with every word held against every entry of the lexicon."""
+    odds_of = model.entries
+
+    def code(word):
+        if word in model.words:
+            return model.words[word]
+        if stems := [s for s in model.stems if word.startswith(s)]:
+            return model.stems[max(stems, key=len)]
+        if word in model.clean_words:
+            return 0.0
+        near = [e for e in model.pure if (within_an_edit(e, word) if not e.endswith("*") else any(within_an_edit(e[:-1], word[:n]) for n in range(len(e) - 2, len(e) + 1) if n <= len(word)))]
+        return -model.loose.get(max(near, key=lambda e: (odds_of[e], e)), toxicity.TRACE) if near else 0.0
+
+    words, times, sums = toxicity.tokens(text), Counter(), [0.0, 0.0, 0.0]
+    for at, word in enumerate(words):
+        found = known[word] if word in known else known.setdefault(word, code(word))
+        if not found:
+            continue
+        times[word] += 1
+        share, weight = toxicity.quotation(words, at), abs(found) / times[word]
+        sums = [sums[0] + (1 - share) * weight, sums[1] + share * weight, sums[2] + (1 - share) * weight * (abs(found) >= toxicity.PURE)]
+    sums.append(100 * sums[0] / (len(words) + 100))
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, model.weights[0] + sum(w * math.log1p(x) for w, x in zip(model.weights[1:], sums, strict=True))))))
+
+
+def test_toxicity_query_equals_a_plain_rescoring_of_whole_texts(spark):
+    folder, known = "/root/testdata/sf0.01", {}
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic").filter(~held_out(F.col("doc_id"), 5, 0)))
+    got = {r.doc_id: r.score for r in registry.QUERIES["op1_toxicity"](spark, folder).collect()}
+    due = {r.doc_id: plain_toxicity(model, r.text, known) for r in docs.select("doc_id", "text").collect()}
+    assert len(model.pure) >= 3 and sum(x < 0 for x in known.values()) >= 1
+    assert got == pytest.approx(due, abs=1e-9)
+
+
+def test_quality_query_equals_a_plain_rescoring_of_whole_texts(spark, sf):
+    """Every pair of features of every text, one by one."""
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    machine = quality_fm.fit(docs, labels.select("doc_id", "quality").filter(~held_out(F.col("doc_id"), 3, 1)))
+    got = {r.doc_id: r.score for r in registry.QUERIES["op5_quality_classifier"](spark, sf).collect()}
+    for r in docs.collect():
+        words = sorted(set((r.text or "").split()))
+        index = [zlib.crc32(w.encode()) % quality_fm.WORD_BUCKETS for w in words] + quality_fm.statistics_of(r.text or "", (r.text or "").split(), len(words), r.n_chars)
+        value = np.array([1 / math.sqrt(len(words))] * len(words) + [1.0] * len(quality_fm.STATISTICS))
+        v = machine.factors[index].astype(float) * value[:, None]
+        pairs = np.triu(v @ v.T, 1).sum()
+        z = machine.bias + float(machine.linear[index].astype(float) @ value) + pairs
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))), abs=1e-4), r.doc_id
