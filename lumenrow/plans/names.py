@@ -66,7 +66,9 @@ def collision_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def move_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's orders as media files: what fits half an hour in name order."""
     o = table(spark, sf_dir, "orders")
-    raw = F.when(F.col("o_orderkey") % 97 == 0, F.lit("n/a")).otherwise((F.col("o_totalprice") / 200).cast("decimal(18,2)").cast("string"))
+    # Hundredths are halves rounded up as the double has them: a cast would round its shortest text, and 33.495 times 100 is below a half.
+    hundredths = F.floor(F.col("o_totalprice") / 200 * 100 + 0.5)
+    raw = F.when(F.col("o_orderkey") % 97 == 0, F.lit("n/a")).otherwise((hundredths.cast("decimal(18,0)") / 100).cast("decimal(18,2)").cast("string"))
     media = o.select(F.col("o_custkey").alias("dir"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("name"), raw.alias("duration_raw"))
     return fileplan.move_batch(media, 1800).select("dir", "name", "seconds", "total")
 

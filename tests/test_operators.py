@@ -278,6 +278,12 @@ def test_file_plans(spark):
     assert spark.range(1).select(name.alias("n")).first().n == "x_part1.en.srt"
 
 
+def test_move_batch_takes_files_of_one_name_together(spark):
+    rows = [("a", "f1", "700"), ("a", "f2", "500"), ("a", "f2", "500"), ("a", "f3", "200"), ("b", "f1", "1000"), ("b", "f2", "500"), ("b", "f2", "500")]
+    got = fileplan.move_batch(spark.createDataFrame(rows, "dir string, name string, duration_raw string"), 1800).collect()
+    assert sorted((r.dir, r.name, r.total) for r in got) == [("a", "f1", 700), ("a", "f2", 1700), ("a", "f2", 1700), ("b", "f1", 1000)]
+
+
 def test_move_batch_stops_at_the_first_overflow(spark):
     rows = [("d", f"f{i}", s) for i, s in enumerate(["100", "200.5", "1600", "1"])] + [("e", "f1", "n/a"), ("e", "f2", "1")]
     got = fileplan.move_batch(spark.createDataFrame(rows, "dir string, name string, duration_raw string"), 1800).collect()

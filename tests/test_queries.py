@@ -39,6 +39,15 @@ def test_query_equals_its_sql(spark, sf, duck, name):
     assert not differ.any(), f"{int(differ.sum())} rows differ, first {got[differ].head(1).to_string()[:300]} and {due[differ].head(1).to_string()[:300]}"
 
 
+def test_move_batches_equal_their_sql_where_a_price_is_half_a_hundredth(spark, tmp_path):
+    """Prices of which a 200th ends in half a hundredth and decides the second, alone and in orders that repeat."""
+    con = duckdb.connect()
+    prices = "select c as o_custkey, c * 97 + 1 as o_orderkey, c / 100.0::double as o_totalprice from (select unnest(generate_series(669900, 30000000, 20000)) c)"
+    con.sql(f"copy (select * from ({prices}), range(2) t(i) where i = 0 or o_custkey % 3 = 0) to '{tmp_path}/orders.parquet'")
+    con.sql(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    assert normal(catalog.QUERIES["q50_move_batches"](spark, str(tmp_path)).toPandas()).equals(normal(con.sql(catalog.ORACLES["q50_move_batches"]).df()))
+
+
 def test_queries_without_sql_are_those_that_are_walked_below():
     assert catalog.QUERIES.keys() - catalog.ORACLES.keys() == {"q27_clean_text", "q28_cue_builder", "q29_fuzzy_titles"}
 
