@@ -1,20 +1,18 @@
 """Pairs of titles that read almost alike and share their first and last words.
 
-Where few titles share their words, those whose lengths fit are compared. Where many do, an inverted index of
-three-letter grams tells which: what two texts match in order is a common subsequence, so a similarity
-says how many letters of each may be missing, and how many grams they must share at least. The rarest grams
-of each, so many that two texts that share enough share one of these, are its entries in the index. All pairs
-that meet are bounded by what letters they have in common, and by the bit-parallel length of their longest
-common subsequence, before the ratio itself is taken.
+Pairs of titles whose lengths fit are bounded, before the ratio itself is taken, by the three-letter grams they
+share, by what letters they have in common, and by the bit-parallel length of their longest common
+subsequence. What two texts match in order is a common subsequence, so a similarity says how many letters of each
+may be missing, and how many grams they must share at least. Titles that share their words with many others are
+dealt to blocks, and the grams of each are counted in a whole block at once.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,28 +21,25 @@ from pyspark.sql import functions as F
 
 from lumenrow.operators.tables import materialised
 
-GRAM, EXACT_LETTERS = 3, 300
-#: Grams are counted by their hash, so that the counts are of one size whatever the titles.
+GRAM = 3
+#: Grams are told apart by their hash in blocks; one that collides only makes a bound less sharp.
 BUCKETS = 1 << 16
+#: Titles of either side in a block.
+BLOCK_TITLES = 2_048
 LEAST_LETTERS, LEAST_WORDS = 8, 2
-#: First and last words with more pairs of titles than this go through the index.
-DIRECT_PAIRS = 200_000
+#: First and last words with more pairs of titles than this are compared in blocks.
+DIRECT_PAIRS = 50
 #: Beyond so many pairs of letters the longest common subsequence takes longer than it saves.
 MOST_LETTER_PAIRS = 10**8
 
 
-@functools.lru_cache(1024)
-def least_shared(n: int, least: float) -> int:
-    """Grams that a text of ``n`` letters shares with any text whose ratio to it is at least ``least``; below 1 there may be none.
+def least_shared(n: int | np.ndarray, m: int | np.ndarray, least: float) -> int | np.ndarray:
+    """Grams that texts of ``n`` and ``m`` letters share if their ratio is at least ``least``; below 1 there may be none.
 
-    A letter that is missing takes GRAM grams of its own text and GRAM - 1 of the other's. Long texts are
-    bounded without the rounding of the letters that match.
+    A letter that is missing takes GRAM grams of its own text and GRAM - 1 of the other's.
     """
-    shortest, longest = math.ceil(n * least / (2 - least) - 1e-9), math.floor(n * (2 - least) / least + 1e-9)
-    grams = lambda matched, m: (2 * GRAM - 1) * matched - (GRAM - 1) * (n + m) - GRAM + 1
-    if n > EXACT_LETTERS:
-        return min(math.ceil(grams(least * (n + m) / 2, m) - 1e-6) for m in (shortest, longest))
-    return min(grams(math.ceil(least * (n + m) / 2 - 1e-9), m) for m in range(shortest, longest + 1))
+    matched = np.ceil(least * (n + m) / 2 - 1e-9)
+    return (2 * GRAM - 1) * matched - (GRAM - 1) * (n + m) - GRAM + 1
 
 
 def _grams(text: str) -> Iterator[bytes]:
@@ -56,36 +51,42 @@ def _grams(text: str) -> Iterator[bytes]:
         yield f"{gram}{k}".encode()
 
 
-def _gram_counts(titles: DataFrame, key: str) -> np.ndarray:
-    """How many of the grams of ``titles`` fall into each of BUCKETS."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for text in batch[0].to_pylist():
-                total[np.fromiter((zlib.crc32(g) % BUCKETS for g in _grams(text)), np.int64)] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
-
-    found = titles.select(key).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return counts
-
-
-def _entries(counts: np.ndarray, least: float, key: Column) -> Column:
-    """The hashes of the index entries of a title: its rarest grams, in one order for all titles."""
-
-    @F.arrow_udf("array<long>")
-    def run(keys: pa.Array) -> pa.Array:
-        out = []
-        for text in keys.to_pylist():
-            places = np.fromiter((zlib.crc32(g) for g in _grams(text)), np.int64)
-            rarest = np.lexsort((places, counts[places % BUCKETS]))
-            out.append(np.unique(places[rarest[: len(places) - least_shared(len(text), least) + 1]]))
-        return pa.array(out, pa.list_(pa.int64()))
-
-    return run(key)
+def _places(texts: list[str]) -> list[np.ndarray]:
+    return [np.fromiter((zlib.crc32(g) % BUCKETS for g in _grams(t)), np.int64) for t in texts]
+
+
+def near_grams(left: list[str], right: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs of two lists, texts of GRAM letters or more, whose lengths fit and that may share enough grams."""
+    right_order = np.argsort(np.array([len(t) for t in right]), kind="stable")
+    m = np.array([len(right[k]) for k in right_order])
+    places = _places([right[k] for k in right_order])
+    starts = np.concatenate([[0], np.cumsum([len(p) for p in places])])
+    places = np.concatenate(places)
+    here = np.zeros(BUCKETS, bool)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for i, own in enumerate(_places(left)):
+        n = len(left[i])
+        fit = np.flatnonzero(2.0 * np.minimum(n, m) >= least * (n + m))
+        if not len(fit):
+            continue
+        low, high = fit[0], fit[-1] + 1  # lengths that fit are neighbours
+        here[own] = True
+        shared = np.add.reduceat(here[places[starts[low] : starts[high]]].astype(np.int32), starts[low:high] - starts[low])
+        here[own] = False
+        near = low + np.flatnonzero(shared >= least_shared(n, m[low:high], least))
+        found.append((np.full(len(near), i), right_order[near]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(side) for side in zip(*found, strict=True))
+
+
+def _near_in_blocks(least: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = left["title_key"].combine_chunks(), right["learned_key"].combine_chunks()
+        i, k = near_grams(a.to_pylist(), b.to_pylist(), least) if len(a) and len(b) else (np.empty(0, np.int64),) * 2
+        return pa.table({"title_key": a.take(pa.array(i)), "learned_key": b.take(pa.array(k))})
+
+    return run
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -109,8 +110,11 @@ def bounded_ratio(a: Column, b: Column, least: float) -> Column:
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
         found = []
         for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True):
+            if p == q:
+                found.append(1.0)
+                continue
             due = least * (len(p) + len(q)) / 2 - 1e-9
-            near = p == q or (Counter(p) & Counter(q)).total() >= due and (len(p) * len(q) > MOST_LETTER_PAIRS or common_subsequence(p, q) >= due)
+            near = (Counter(p) & Counter(q)).total() >= due and (len(p) * len(q) > MOST_LETTER_PAIRS or common_subsequence(p, q) >= due)
             found.append(difflib.SequenceMatcher(None, p, q).ratio() if near else None)
         return pa.array(found, pa.float64())
 
@@ -120,8 +124,8 @@ def bounded_ratio(a: Column, b: Column, least: float) -> Column:
 def fuzzy_titles(candidates: DataFrame, learned: DataFrame, least: float = 0.88, direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
     """Pairs (title_key, learned_key, ratio) that are at least so similar and share their first and last words.
 
-    Both sides need LEAST_LETTERS and LEAST_WORDS; null keys take no part, and each pair is given once. Where
-    ``least`` is so low that short titles may share no gram, all are compared directly.
+    Both sides need LEAST_LETTERS and LEAST_WORDS; null keys take no part, and each pair is given once. First and
+    last words with more than ``direct_pairs`` pairs are compared in blocks of BLOCK_TITLES by BLOCK_TITLES.
     """
     end = lambda c, i: F.element_at(F.split(c, " "), i)
 
@@ -132,18 +136,24 @@ def fuzzy_titles(candidates: DataFrame, learned: DataFrame, least: float = 0.88,
 
     a, b = side(candidates, "title_key"), side(learned, "learned_key")
     crowd = a.groupBy("_words").agg(F.count("*").alias("_n")).join(b.groupBy("_words").agg(F.count("*").alias("_m")), "_words").filter(F.col("_n") * F.col("_m") > direct_pairs)
-    crowd = materialised(a.sparkSession, crowd.select("_words"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_TITLES)
+    crowd = materialised(a.sparkSession, crowd.select("_words", blocks("_n").alias("_of_a"), blocks("_m").alias("_of_b")))
     # Lengths that can reach the ratio are at most one step apart.
     step = lambda c: F.floor(F.log(F.length(c).cast("double")) / math.log((2 - least) / least)).cast("int")
-    indexed = all(least_shared(n, least) >= 1 for n in range(LEAST_LETTERS, 400)) and not crowd.isEmpty()
-    few = [x.join(crowd, "_words", "left_anti") if indexed else x for x in (a, b)]
+    crowded = not crowd.isEmpty()
+    # What pairs cost is not seen in their bytes, by which partitions would be made fewer.
+    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * a.sparkSession.sparkContext.defaultParallelism)
+    few = [x.join(crowd, "_words", "left_anti") if crowded else x for x in (a, b)]
     near = few[0].withColumn("_step", step(F.col("title_key"))).join(few[1].withColumn("_step", F.explode(F.array(*(step(F.col("learned_key")) + d for d in (-1, 0, 1))))), ["_words", "_step"])
     met = near.select("title_key", "learned_key")
+    if crowded:
+        own = lambda name, of: F.pmod(F.xxhash64(name), F.col(of)).alias(f"{of}_no")
+        every = lambda of: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(of) - 1)).alias(f"{of}_no")
+        left = a.join(crowd, "_words").select("title_key", "_words", own("title_key", "_of_a"), every("_of_b"))
+        right = b.join(crowd, "_words").select("learned_key", "_words", own("learned_key", "_of_b"), every("_of_a"))
+        key = ["_words", "_of_a_no", "_of_b_no"]
+        left, right = (x.repartition(tasks, *key) for x in (left, right))
+        met = met.unionByName(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_near_in_blocks(least), "title_key string, learned_key string"))
     n, m = F.length("title_key"), F.length("learned_key")
     fits = 2.0 * F.least(n, m) >= least * (n + m)
-    if indexed:
-        many = [x.join(crowd, "_words", "left_semi") for x in (a, b)]
-        counts = _gram_counts(many[1], "learned_key")
-        left, right = (x.withColumn("_entry", F.explode(_entries(counts, least, F.col(name)))) for x, name in zip(many, ("title_key", "learned_key"), strict=True))
-        met = met.unionByName(left.join(right, ["_words", "_entry"]).filter(fits).select("title_key", "learned_key").distinct())
-    return met.filter(fits).withColumn("ratio", bounded_ratio(F.col("title_key"), F.col("learned_key"), least)).filter(F.col("ratio") >= least)
+    return met.filter(fits).repartition(tasks, "title_key", "learned_key").withColumn("ratio", bounded_ratio(F.col("title_key"), F.col("learned_key"), least)).filter(F.col("ratio") >= least)

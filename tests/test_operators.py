@@ -113,6 +113,22 @@ def test_fuzzy_titles_of_crowded_words_go_through_the_index(spark, least):
         assert len(got) == len(set(got)) and set(got) == due and len(due) > len(titles) + 20
 
 
+def test_grams_in_blocks_leave_only_titles_that_are_near():
+    """Long titles of one crowd share common grams; counting them leaves the near pairs, and none is lost."""
+    import difflib
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlucm", k=rng.randint(2, 6))) for _ in range(300)]
+    texts = ["the " + " ".join(rng.choices(words, k=rng.choice((2, 30, 60)))) + " end" for _ in range(60)]
+    texts += [t.replace("e", "o", 3) for t in texts[:20]] + ["the the the end", "aaaaaaaaa end"]
+    i, k = fuzzy.near_grams(texts, texts, 0.88)
+    got = set(zip(i.tolist(), k.tolist(), strict=True))
+    assert len(got) == len(i)
+    due = {(x, y) for x, a in enumerate(texts) for y, b in enumerate(texts) if difflib.SequenceMatcher(None, a, b).ratio() >= 0.88}
+    assert due <= got and len(got) < 3 * len(due)
+
+
 def test_the_longest_common_subsequence_by_bits():
     import random
 
