@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame
 #: Kinds of events, and the fields of one where no format line says otherwise.
 KINDS = frozenset(("dialogue", "comment", "picture", "sound", "movie", "command"))
 FIELDS = ("Layer", "Start", "End", "Style", "Name", "MarginL", "MarginR", "MarginV", "Effect", "Text")
+#: Lines of a document that are rows at a time.
+LINES = 4_096
 _TIME = re.compile(r"\s*(\d+):(\d{1,2}):(\d{1,2})[.](\d{1,3})\s*")
 EVENTS = "doc_id {}, line_no int, kind string, line string, lead string, fields map<string,string>, field_order array<string>, start_ms long, end_ms long"
 
@@ -63,12 +66,13 @@ def parse_events(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                rows = list(events_in(batch["lines"][at].as_py() or []))
-                for row in rows:
-                    row["fields"] = None if row["fields"] is None else list(row["fields"].items())
-                found = pa.RecordBatch.from_pylist(rows, schema)
-                ids = pa.repeat(batch["doc_id"][at], len(rows))
-                yield pa.RecordBatch.from_arrays([ids, *found.columns], ["doc_id", *schema.names])
+                events = events_in(batch["lines"][at].as_py() or [])
+                while rows := list(itertools.islice(events, LINES)):
+                    for row in rows:
+                        row["fields"] = None if row["fields"] is None else list(row["fields"].items())
+                    found = pa.RecordBatch.from_pylist(rows, schema)
+                    ids = pa.repeat(batch["doc_id"][at], len(rows))
+                    yield pa.RecordBatch.from_arrays([ids, *found.columns], ["doc_id", *schema.names])
 
     return documents.select("doc_id", "lines").mapInArrow(run, EVENTS.format(kind))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,8 @@ ASS_DOCUMENT = T.StructType([
     T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("newline", T.StringType()), T.StructField("trailing_newline", T.BooleanType()),
     T.StructField("encoding", T.StringType()), T.StructField("bom", T.BinaryType()),
 ])
+#: Documents that are Python objects at a time.
+SLICE = 64
 #: Byte order marks and the encodings they announce.
 MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 
@@ -82,13 +85,19 @@ def read_ass(content: bytes) -> dict:
     return {"lines": text.splitlines(), "newline": ends[0] if ends else "\n", "trailing_newline": text.endswith(("\n", "\r")), "encoding": encoding, "bom": bom}
 
 
+def in_slices(run: Callable[..., list], kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """``run`` over SLICE values of each column at a time, put together, so that few documents are Python objects at once."""
+    starts = range(0, max(1, len(columns[0])), SLICE)
+    return pa.concat_arrays([pa.array(run(*(c.slice(at, SLICE).to_pylist() for c in columns)), kind) for at in starts])
+
+
 def ass_documents(content: Column) -> Column:
     """A struct of lines, line end, last line end, encoding and mark, from which the bytes can be made again."""
 
     @F.arrow_udf(ASS_DOCUMENT)
     def run(values: pa.Array) -> pa.Array:
         kind = pa.struct([("lines", pa.list_(pa.string())), ("newline", pa.string()), ("trailing_newline", pa.bool_()), ("encoding", pa.string()), ("bom", pa.binary())])
-        return pa.array([None if v is None else read_ass(v) for v in values.to_pylist()], kind)
+        return in_slices(lambda some: [None if v is None else read_ass(v) for v in some], kind, values)
 
     return run(content)
 
@@ -96,12 +105,11 @@ def ass_documents(content: Column) -> Column:
 def ass_bytes(document: Column, lines: Column | None = None) -> Column:
     """The bytes of a document, with other lines if given."""
 
+    def written(d: dict | None, text: list[str]) -> bytes | None:
+        return None if d is None else d["bom"] + (d["newline"].join(text) + (d["newline"] if d["trailing_newline"] else "")).encode(d["encoding"])
+
     @F.arrow_udf(T.BinaryType())
     def run(documents: pa.Array, shown: pa.Array) -> pa.Array:
-        out = []
-        for d, text in zip(documents.to_pylist(), shown.to_pylist(), strict=True):
-            body = None if d is None else d["newline"].join(text) + (d["newline"] if d["trailing_newline"] else "")
-            out.append(None if body is None else d["bom"] + body.encode(d["encoding"]))
-        return pa.array(out, pa.binary())
+        return in_slices(lambda some, texts: list(map(written, some, texts)), pa.binary(), documents, shown)
 
     return run(document, document["lines"] if lines is None else lines)

@@ -172,3 +172,15 @@ def test_sinks(spark, tmp_path):
     assert [r.doc_id for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [1]
     sinks.write_manifest(spark.createDataFrame([("d", 3)], "doc_id string, tokens int"), str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).first().tokens == 3
+
+
+def test_ass_documents_are_few_python_objects_at_once():
+    import pyarrow as pa
+
+    from lumenrow.sources import files
+
+    sizes = []
+    values = pa.array([f"line {k}" for k in range(3 * files.SLICE + 1)])
+    got = files.in_slices(lambda some: sizes.append(len(some)) or [x + "!" for x in some], pa.string(), values)
+    assert got.to_pylist() == [f"line {k}!" for k in range(3 * files.SLICE + 1)] and max(sizes) == files.SLICE
+    assert files.in_slices(lambda some: some, pa.string(), values.slice(0, 0)).to_pylist() == []
