@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumenrow.functions.patterns import extract, full_match, nullif_empty, strip
+from lumenrow.functions.patterns import extract, full_match, nullif_empty, once, strip
 
 #: Multipliers of count suffixes.
 COUNT_UNITS = {"": 1.0, "k": 1e3, "m": 1e6, "b": 1e9}
@@ -16,15 +16,20 @@ COUNT_UNITS = {"": 1.0, "k": 1e3, "m": 1e6, "b": 1e9}
 
 def parse_count(value: Column) -> Column:
     """``50k``, ``1.2m``, ``1,234 views`` or ``3_000`` as a bigint, truncated; null where it is none."""
-    text = F.regexp_replace(F.lower(strip(value.cast("string"))), "[,_]", "")
-    text = strip(F.regexp_replace(text, r"views\z", ""))
+    bare = F.regexp_replace(F.lower(strip(value.cast("string"))), "[,_]", "")
     body = r"([0-9]+(?:\.[0-9]+)?)\s*([kmb]?)"
-    unit = extract(text, rf"\A{body}\z", 2)
-    scale = F.lit(None).cast("double")
-    for name, factor in COUNT_UNITS.items():
-        scale = F.when(unit == name, F.lit(factor)).otherwise(scale)
-    number = nullif_empty(extract(text, rf"\A{body}\z", 1)).try_cast("double")
-    return F.when(full_match(text, body), (number * scale).cast("bigint"))
+
+    def scale(unit: Column) -> Column:
+        found = F.lit(None).cast("double")
+        for name, factor in COUNT_UNITS.items():
+            found = F.when(unit == name, F.lit(factor)).otherwise(found)
+        return found
+
+    def counted(text: Column) -> Column:
+        number = nullif_empty(extract(text, rf"\A{body}\z", 1)).try_cast("double")
+        return F.when(full_match(text, body), (number * once(extract(text, rf"\A{body}\z", 2), scale)).cast("bigint"))
+
+    return once(strip(F.regexp_replace(bare, r"views\z", "")), counted)
 
 
 def format_count(value: Column) -> Column:
@@ -101,10 +106,14 @@ def parse_cut_point(value: Column) -> Column:
 def iso_duration(value: Column) -> Column:
     """The clock of an ISO-8601 duration of days to seconds; empty where it is none."""
     body = r"\AP(?:(\d+)D)?T?(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?\z"
-    total = F.lit(0).cast("bigint")
-    for group, scale in ((1, 86400), (2, 3600), (3, 60), (4, 1)):
-        total = total + F.coalesce(nullif_empty(F.regexp_extract(value, body, group)).try_cast("bigint"), F.lit(0).cast("bigint")) * scale
-    return F.when(value.rlike(body), clock(total)).otherwise(F.lit(""))
+
+    def shown(text: Column) -> Column:
+        total = F.lit(0).cast("bigint")
+        for group, scale in ((1, 86400), (2, 3600), (3, 60), (4, 1)):
+            total = total + F.coalesce(once(F.regexp_extract(text, body, group), nullif_empty).try_cast("bigint"), F.lit(0).cast("bigint")) * scale
+        return F.when(text.rlike(body), once(total, clock)).otherwise(F.lit(""))
+
+    return once(value, shown)
 
 
 def srt_to_ms(stamp: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,3 +60,11 @@ def physical_lines(text: Column) -> Column:
     pieces = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1)
     kept = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
     return F.when(text == "", F.array().cast("array<string>")).otherwise(kept)
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once a row, however often ``then`` names it.
+
+    Expressions that are written out again in each branch of a CASE are computed again in each.
+    """
+    return F.get(F.transform(F.array(value), then), F.lit(0))

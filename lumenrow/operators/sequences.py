@@ -7,6 +7,8 @@ row knows only the next are walked by pointer doubling, in as many rounds as the
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,14 +82,17 @@ def walked(links: DataFrame, starts: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     jump = materialised(spark, links.filter("next is not null").select("id", "next"))
-    here = materialised(spark, starts.select("id", F.col("id").alias("root"), F.lit(0).cast("bigint").alias("step")))
-    reach, total = 1, jump.count() + 1
+    here = starts.select("id", F.col("id").alias("root"), F.lit(0).cast("bigint").alias("step"))
+    reach, total, found = 1, jump.count() + 1, [here]
     while reach <= total:
-        on = materialised(spark, here.join(jump, "id").select(F.col("next").alias("id"), "root", (F.col("step") + reach).alias("step")))
-        if on.isEmpty():
+        # Where a walk has ended, nothing is ahead at any longer reach either: such ids are done and joined no more.
+        moved = materialised(spark, here.join(jump, "id").select("id", "root", "step", "next"))
+        if moved.isEmpty():
             break
-        here = materialised(spark, here.unionByName(on))
+        on = moved.select(F.col("next").alias("id"), "root", (F.col("step") + reach).alias("step"))
+        found.append(on)
+        here = moved.drop("next").unionByName(on)
         far = jump.select(F.col("id").alias("next"), F.col("next").alias("_far"))
         jump = materialised(spark, jump.join(far, "next").select("id", F.col("_far").alias("next")))
         reach *= 2
-    return here.groupBy("id", "root").agg(F.min("step").alias("step"))
+    return functools.reduce(DataFrame.unionByName, found).groupBy("id", "root").agg(F.min("step").alias("step"))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from lumenrow.functions import numbers as nm
 from lumenrow.functions import text as tx
 from lumenrow.functions import urls as ur
-from lumenrow.operators import chunking, cleaning, cues, fileplan, layout, reconcile, report, stores
+from lumenrow.operators import chunking, cleaning, cues, fileplan, layout, reconcile, report, sequences, stores
 from lumenrow.operators import lines as ln
 from lumenrow.operators.tables import file_system, shared_path
 from lumenrow.plans import documents
@@ -422,23 +422,27 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     Tokens tell nothing of a page's place. Every fifth order has no details; a stray page leads nowhere.
     """
     o = table(spark, sf_dir, "orders")
-    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    own = o.select("o_orderkey", F.concat(F.lit("U"), F.col("o_custkey").cast("string")).alias("playlist_id"), F.floor(k / 3).alias("page"))
+    customer = Window.partitionBy("o_custkey")
+    page, last = F.floor((F.row_number().over(customer.orderBy("o_orderkey")) - 1) / 3), F.floor((F.count("*").over(customer) - 1) / 3)
+    own = o.select("o_orderkey", F.concat(F.lit("U"), F.col("o_custkey").cast("string")).alias("playlist_id"), page.alias("page"), last.alias("last"))
+    own = own.withColumn("previous", F.when(F.col("page") > 0, F.col("page") - 1)).withColumn("following", F.when(F.col("page") < F.col("last"), F.col("page") + 1)).drop("last")
     every = o.select("o_orderkey", F.lit("UA").alias("playlist_id"), F.floor(F.col("o_orderkey") / 50).alias("page"))
+    # One channel has pages as many as there are orders: what stands beside each is found in blocks.
+    beside = sequences.handed_on(sequences.in_blocks(every.select("playlist_id", "page").distinct(), "page"), "playlist_id", lasts={"previous": F.col("page")}, firsts={"following": F.col("page")}, number="page")
     video = lambda: F.concat(F.lit("v"), F.col("o_orderkey").cast("string"))
     item = F.struct(F.struct(video().alias("videoId")).alias("contentDetails"))
-    pages = own.unionByName(every).groupBy("playlist_id", "page").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("item")))).alias("items"))
+    items = F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("item")))).alias("items")
+    pages = own.groupBy("playlist_id", "page", "previous", "following").agg(items).unionByName(every.groupBy("playlist_id", "page").agg(items).join(beside.drop("_block"), ["playlist_id", "page"]))
     token = lambda page: F.md5(F.concat_ws("/", "playlist_id", page.cast("string")).cast("binary"))
-    following = F.lead("page").over(Window.partitionBy("playlist_id").orderBy("page"))
-    answer = F.to_json(F.struct(F.transform("items", lambda x: x["item"]).alias("items"), F.when(following.isNotNull(), token(following)).alias("nextPageToken")))
-    uploads = pages.select("playlist_id", F.when(F.lag("page").over(Window.partitionBy("playlist_id").orderBy("page")).isNotNull(), token(F.col("page"))).alias("page_token"), answer.alias("answer"))
-    stray = uploads.filter("page_token is null").select("playlist_id", F.lit("stray").alias("page_token"), "answer")
+    answer = F.to_json(F.struct(F.transform("items", lambda x: x["item"]).alias("items"), F.when(F.col("following").isNotNull(), token(F.col("following"))).alias("nextPageToken")))
+    tokens = F.when(F.col("previous").isNotNull(), F.array(token(F.col("page")))).otherwise(F.array(F.lit(None), F.lit("stray")))
+    uploads = pages.select("playlist_id", tokens.alias("tokens"), answer.alias("answer")).select("playlist_id", F.explode("tokens").alias("page_token"), "answer")
     channel = F.struct(F.array(F.struct(F.concat(F.lit("C"), "playlist_id").alias("id"), F.struct(F.concat(F.lit("Channel "), "playlist_id").alias("title")).alias("snippet"), F.struct(F.struct(F.col("playlist_id").alias("uploads")).alias("relatedPlaylists")).alias("contentDetails"))).alias("items"))
-    channels = pages.select("playlist_id").distinct().select(F.concat(F.lit("https://y.com/@"), "playlist_id").alias("channel_url"), F.to_json(channel).alias("answer"))
+    channels = own.select("playlist_id").unionByName(every.select("playlist_id")).distinct().select(F.concat(F.lit("https://y.com/@"), "playlist_id").alias("channel_url"), F.to_json(channel).alias("answer"))
     count = F.col("o_orderkey").cast("string")
     detail = F.struct(video().alias("id"), F.struct(F.concat(F.lit("Video "), count).alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt")).alias("snippet"), F.struct(count.alias("viewCount")).alias("statistics"), F.struct(F.concat(F.lit("PT"), (F.col("o_orderkey") % 3000).cast("string"), F.lit("S")).alias("duration")).alias("contentDetails"))
     batches = o.filter("o_orderkey % 5 <> 0").groupBy(F.floor(F.col("o_orderkey") / 50)).agg(F.collect_list(detail).alias("items"))
-    return channels, uploads.unionByName(stray).repartition("page_token"), batches.select(F.to_json(F.struct("items")).alias("answer"))
+    return channels, uploads.repartition("playlist_id", "page_token"), batches.select(F.to_json(F.struct("items")).alias("answer"))
 
 
 def paged_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
