@@ -121,12 +121,12 @@ def ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenrow.streaming.caches import cache_stream, served
 
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"), F.col("ts").cast("timestamp").alias("at"))
-    landed, store = shared_path(spark, "requests"), shared_path(spark, "cache")
+    landed, store, checkpoint = (shared_path(spark, name) for name in ("requests", "cache", "cache-checkpoint"))
     decade = F.floor(F.unix_seconds("at") / 864_000)
     for r in e.select(decade.alias("d")).distinct().orderBy("d").collect():  # as many as the stream has batches
-        e.filter(decade == r["d"]).coalesce(1).write.mode("append").parquet(landed)
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    cache_stream(stream, "at", CACHE_SECONDS, store, shared_path(spark, "cache-checkpoint")).awaitTermination()
+        e.filter(decade == r["d"]).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(e.schema).parquet(landed)
+        cache_stream(stream, "at", CACHE_SECONDS, store, checkpoint).awaitTermination()  # goes on where it ended
     return served(spark, store).select(F.col("key").alias("user_id"), F.col("seq").alias("event_id"), "hit", "value", "fetched")
 
 
