@@ -42,6 +42,8 @@ IDF_FULL = 1024.0
 #: Sketches that agree in fewer samples are not compared: at the threshold that has a chance below 1e-5.
 LEAST_AGREED = 17
 CACHE_WORDS = 300_000
+#: The least of a document is above so many times what it is on average with a chance of exp(-LIKELY).
+LIKELY = 7.0
 #: Up to so many ids, or pairs of nodes, are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 #: Pairs of buckets up to so large are rows; those of larger ones are made in blocks of about so many rows and bytes of text.
@@ -153,7 +155,9 @@ class WeightedSampler:
     """SAMPLES improved consistent weighted samples of many documents at a time.
 
     A shingle's draws for sample k come from one 64-bit hash of both: 16 bits pick r, 16 are beta, 32
-    pick c.
+    pick c. The least of a document is about 1 in its sum of weights, and a value is at least what the first
+    bits of r and c say; only shingles of which these don't say that they are above are computed, and all
+    of a document whose least then is not below. So the samples are those of all shingles.
     """
 
     def __init__(self, samples: int = SAMPLES, seed: int = 11) -> None:
@@ -164,27 +168,52 @@ class WeightedSampler:
         self.r, self.per_r = r.astype(np.float32), (1 / r).astype(np.float32)
         log_c = np.log(r)
         self.log_c, self.log_c_step = log_c.astype(np.float32), np.append(np.diff(log_c), 0).astype(np.float32)
+        # By the first 8 bits of r and of c, the least that a value of weight 1 can be.
+        self.least = self._level(log_c[None, ::256] - r[255::256, None]).ravel()
+
+    @staticmethod
+    def _level(x: np.ndarray) -> np.ndarray:
+        """Values from -12 to 3.9 in sixteenths, rounded down."""
+        return np.clip(np.floor((x + 12) * 16), 0, 255).astype(np.uint8)
+
+    def _values(self, x: np.ndarray, log_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The logarithms that are to be least, and the quantised weights, of hashes and weights."""
+        low, scale = np.uint64(0xFFFF), np.float32(1 / 65536)
+        i = (x & low).astype(np.int32)
+        beta = ((x >> np.uint64(16)) & low).astype(np.float32) * scale
+        c = (x >> np.uint64(48)).astype(np.int32)
+        part = ((x >> np.uint64(32)) & low).astype(np.float32) * scale
+        r = self.r[i]
+        t = np.floor(log_w * self.per_r[i] + beta)
+        return self.log_c[c] + self.log_c_step[c] * part - r * (t - beta) - r, t
 
     def sample(self, found: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """An array (documents, samples) of 64-bit sample ids; each document has at least one shingle."""
-        lengths = np.diff(np.append(starts, len(found)))
+        ends = np.append(starts[1:], len(found))
         log_w = np.log(weights).astype(np.float32)
+        likely = np.log(LIKELY / np.add.reduceat(weights, starts, dtype=float))
+        limit = self._level(np.repeat(likely, ends - starts) + log_w)
         out = np.empty((len(starts), len(self.salts)), np.uint64)
-        low, scale = np.uint64(0xFFFF), np.float32(1 / 65536)
+        high = np.uint64(0xFF00)
         for k, (salt, odd) in enumerate(zip(self.salts, self.odds, strict=True)):
             x = (found ^ salt) * odd
             x ^= x >> np.uint64(32)
-            i = (x & low).astype(np.int32)
-            beta = ((x >> np.uint64(16)) & low).astype(np.float32) * scale
-            c = (x >> np.uint64(48)).astype(np.int32)
-            part = ((x >> np.uint64(32)) & low).astype(np.float32) * scale
-            r = self.r[i]
-            t = np.floor(log_w * self.per_r[i] + beta)
-            log_a = self.log_c[c] + self.log_c_step[c] * part - r * (t - beta) - r
-            best = np.minimum.reduceat(log_a, starts)
-            at = np.flatnonzero(log_a == np.repeat(best, lengths))
-            at = at[np.searchsorted(at, starts)]
-            out[:, k] = _mix(found[at] + t[at].astype(np.int64).astype(np.uint64) * _P + salt)
+            near = np.flatnonzero(self.least[((x & high) | (x >> np.uint64(56))).view(np.int64)] <= limit)
+            value, t = self._values(x[near], log_w[near])
+            first = np.searchsorted(near, starts)
+            sizes = np.diff(np.append(first, len(near)))
+            some = sizes > 0
+            best = np.full(len(starts), np.inf, np.float32)
+            best[some] = np.minimum.reduceat(value, first[some])
+            at = np.flatnonzero(value == np.repeat(best, sizes))
+            at = at[np.searchsorted(at, first[some])]
+            out[some, k] = _mix(found[near[at]] + t[at].astype(np.int64).astype(np.uint64) * _P + salt)
+            # What was left out is above ``likely``, but for rounding.
+            for d in np.flatnonzero(best > likely - 0.01):
+                mine = slice(starts[d], ends[d])
+                value, t = self._values(x[mine], log_w[mine])
+                one = np.argmin(value)
+                out[d, k] = _mix(found[mine][one : one + 1] + t[one : one + 1].astype(np.int64).astype(np.uint64) * _P + salt)[0]
         return out
 
 

@@ -510,3 +510,22 @@ def test_packing_query_equals_plain_steps(spark):
         ends[r.sequence_id] += r.length
     lengths = np.bincount([r.length for r in rows], minlength=4097)
     assert max(ends.values()) <= 4096 and len(ends) <= sum(n for n, _ in packing.best_fit_decreasing(lengths, 4096)) and len(ends) == -(-sum(r.length for r in rows) // 4096)
+
+
+def test_samples_of_few_values_are_those_of_all():
+    """op3: most shingles' values are not computed, and each sample is still the least of all values."""
+    rng, sampler = np.random.default_rng(3), near_dedup.WeightedSampler()
+    lengths = [1, 2, 30, 300, 5_000, 40, 1]
+    starts = np.cumsum([0, *lengths[:-1]])
+    found = np.concatenate([np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in lengths])
+    weights = ((1 + np.log(rng.integers(1, 9, len(found)))) * rng.uniform(1, 1.25, len(found))).astype(np.float32)
+    computed, values = [], sampler._values
+    sampler._values = lambda x, log_w: computed.append(len(x)) or values(x, log_w)
+    got = sampler.sample(found, weights, starts)
+    assert sum(computed) < 0.3 * len(found) * near_dedup.SAMPLES
+    log_w = np.log(weights).astype(np.float32)
+    for k, (salt, odd) in enumerate(zip(sampler.salts, sampler.odds, strict=True)):
+        x = (found ^ salt) * odd
+        value, t = values(x ^ (x >> np.uint64(32)), log_w)
+        at = [a + int(np.argmin(value[a : a + n])) for a, n in zip(starts, lengths, strict=True)]
+        assert (got[:, k] == near_dedup._mix(found[at] + t[at].astype(np.int64).astype(np.uint64) * near_dedup._P + salt)).all()
