@@ -26,6 +26,19 @@ def cut(frame: DataFrame) -> DataFrame:
     return materialised(frame.sparkSession, frame)
 
 
+#: Tables in hand are in so few parts that each has about so many rows, but in LEAST_PARTS at least.
+PART_ROWS, LEAST_PARTS = 4_000, 16
+
+
+def fewer(frame: DataFrame, rows: int) -> DataFrame:
+    """``frame``, of at most ``rows`` rows, in no more parts than these fill, by joining parts without a shuffle.
+
+    Each part of a small table costs files in every shuffle of it and every table made of it, many times its rows.
+    Large tables stay in the parts they have.
+    """
+    return frame.coalesce(max(LEAST_PARTS, math.ceil(rows / PART_ROWS)))
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` as a table in the shared folder, read again; its size is known to the planner then."""
     path = fresh_path(frame.sparkSession, name)

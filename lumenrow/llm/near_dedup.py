@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenrow.llm.common import cut, drop_path, fresh_path, hot_keys, in_slices, join_hot, table, values_of
+from lumenrow.llm.common import cut, drop_path, fewer, fresh_path, hot_keys, in_slices, join_hot, table, values_of
 from lumenrow.llm.components import connected_components
 
 SHINGLE = 5
@@ -306,18 +306,19 @@ def verified(pairs: DataFrame, reps: DataFrame, features: DataFrame, threshold:
     Up to BROADCAST_IDS pairs go to the rows of b, which then move once, to those of a; more are joined by shuffle.
     """
 
-    def joined(found: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    def joined(found: DataFrame, n: int, rows: DataFrame, columns: list[str]) -> DataFrame:
         side = lambda name: rows.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
-        if found.count() > BROADCAST_IDS:
+        if n > BROADCAST_IDS:
             return join_hot(join_hot(found, side("b"), "b"), side("a"), "a", salt_by="b", counted=found)
-        firsts = cut(found.select("a").distinct())
+        firsts = cut(fewer(found.select("a").distinct(), n))
         return join_hot(side("b").join(F.broadcast(found), "b"), side("a").join(F.broadcast(firsts), "a", "left_semi"), "a", salt_by="b", counted=found)
 
-    if not pairs.limit(1).count():
+    if not (n := pairs.count()):
         return pairs
-    near = cut(joined(pairs, reps, ["samples"]).filter(_agreed("samples_a", "samples_b") >= LEAST_AGREED).select("a", "b"))
-    whole = joined(near, features, ["found", "weights"])
-    return cut(whole.filter(_similar("found_a", "weights_a", "found_b", "weights_b") >= threshold).select("a", "b").distinct())
+    near = cut(fewer(joined(pairs, n, reps, ["samples"]).filter(_agreed("samples_a", "samples_b") >= LEAST_AGREED).select("a", "b"), n))
+    n = near.count()
+    whole = fewer(joined(near, n, features, ["found", "weights"]), n)
+    return cut(fewer(whole.filter(_similar("found_a", "weights_a", "found_b", "weights_b") >= threshold).select("a", "b").distinct(), n))
 
 
 def _bounds(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -416,9 +417,10 @@ def rest_links(slots: DataFrame, roots: DataFrame, reps: DataFrame, features: Da
     first are dealt to blocks, and each block is compared with each of them and of the others.
     """
     spark = features.sparkSession
-    rooted = cut(slots.select("node", "key", "band").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    n = slots.count()
+    rooted = cut(fewer(slots.select("node", "key", "band").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), n))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min(F.struct("node", "root")).getField("root").alias("first_root"), F.count("*").alias("n")).filter("least <> most")
-    rooted = cut(join_hot(rooted, mixed.select("key", "first_root", "n"), "key"))
+    rooted = cut(fewer(join_hot(rooted, mixed.select("key", "first_root", "n"), "key"), n))
     if not rooted.limit(1).count():
         return tried.limit(0)
     small = rooted.filter(F.col("n") <= PAIRED_ROWS)
@@ -475,35 +477,38 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     """
     idf = idf_table(*document_frequencies(docs))
     sketched = cut(sketches(docs, idf))
+    rows = sketched.count()
+    sketched = fewer(sketched, rows)
     grouped = sketched.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("samples").alias("samples"), F.first("bands").alias("bands"))
     order = F.unhex(F.lpad(F.hex(F.coalesce("least", F.lit((1 << 63) - 1)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
-    reps = cut(grouped.select(F.concat(order, "digest").alias("node"), "digest", "least", "samples", "bands"))
+    reps = cut(fewer(grouped.select(F.concat(order, "digest").alias("node"), "digest", "least", "samples", "bands"), rows))
     keyed = reps.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = cut(keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1"))
-    slots = cut(join_hot(keyed, buckets, "key", hot=hot_keys(buckets, "key", "n")))
+    buckets = cut(fewer(keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1"), BANDS * rows))
+    slots = cut(fewer(join_hot(keyed, buckets, "key", hot=hot_keys(buckets, "key", "n")), BANDS * rows))
     members = join_hot(sketched.select("doc_id", "digest"), reps.select("digest", "node"), "digest", "left").select("doc_id", "node")
-    if not slots.limit(1).count():
+    if not (n := slots.count()):
         return members, slots.select(F.col("node").alias("a"), F.col("node").alias("b"))
     path = fresh_path(docs.sparkSession, "near-features")
-    wanted = reps.join(slots.select("node").distinct(), "node", "left_semi")
+    slots = fewer(slots, n)
+    wanted = cut(fewer(reps.join(slots.select("node").distinct(), "node", "left_semi"), n).select("digest", "node", "least"))
     known = features_of(_texts_of(docs, sketched, wanted), idf)
     known.join(_small(wanted.select("digest", "node")), "digest").drop("digest").write.parquet(path)
     features = docs.sparkSession.read.parquet(path)
 
-    tried = cut(slots.filter("node <> first").groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
+    tried = cut(fewer(slots.filter("node <> first").groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).select("a", "b"), n))
     links = verified(tried, reps, features, threshold)
     roots = cut(connected_components(links))
     crowded = cut(slots.filter(F.col("n") > PAIRED_ROWS))
     if crowded.limit(1).count():
         others = crowded.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).getField("node").alias("other"))
-        large = join_hot(crowded, others, "key").select("node", F.explode(F.array("first", "other")).alias("lead")).filter("node <> lead").distinct()
+        large = fewer(join_hot(crowded, others, "key"), n).select("node", F.explode(F.array("first", "other")).alias("lead")).filter("node <> lead").distinct()
         root = lambda rows, side: join_hot(rows, roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
-        apart = root(cut(root(cut(large), "node")), "lead").filter("node_root <> lead_root")
-        more = cut(apart.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        apart = fewer(root(cut(fewer(root(cut(fewer(large, 2 * n)), "node"), 2 * n)), "lead"), 2 * n).filter("node_root <> lead_root")
+        more = cut(fewer(apart.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), 2 * n))
         links, tried = links.unionByName(verified(more, reps, features, threshold)), tried.unionByName(more)
         roots = cut(connected_components(links))
     rest = rest_links(slots, roots, reps, features, threshold, tried)
-    links = cut(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest))
+    links = cut(fewer(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest), 2 * n))
     drop_path(docs.sparkSession, path)
     return members, links
 
@@ -512,7 +517,8 @@ def _classed(docs: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, node, root, class_id) of every row; ``root`` is the node that stands for a class, null without words."""
     members, links = near_links(docs, threshold)
     roots = cut(connected_components(links))
-    rooted = cut(join_hot(cut(members), roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    members = cut(members)
+    rooted = cut(fewer(join_hot(members, roots, "node", "left").withColumn("root", F.coalesce("root", "node")), members.count()))
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return join_hot(rooted, least, "root", "left").select("doc_id", "node", "root", F.coalesce("class_id", "doc_id").alias("class_id"))
 

@@ -529,3 +529,18 @@ def test_samples_of_few_values_are_those_of_all():
         value, t = values(x ^ (x >> np.uint64(32)), log_w)
         at = [a + int(np.argmin(value[a : a + n])) for a, n in zip(starts, lengths, strict=True)]
         assert (got[:, k] == near_dedup._mix(found[at] + t[at].astype(np.int64).astype(np.uint64) * near_dedup._P + salt)).all()
+
+
+def test_small_tables_are_in_few_parts(spark):
+    """op3 and the pipeline: a hundred edges in 64 parts do not make 64 parts, and their files, in every round."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long").repartition(64)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, ("64", "false"), strict=True):
+            spark.conf.set(k, v)
+        found = connected_components(edges)
+        assert {r.root for r in found.collect()} == {0} and found.count() == 101
+        assert found.rdd.getNumPartitions() <= 16
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
