@@ -14,6 +14,7 @@ from lumenrow.functions.numbers import middle, span
 from lumenrow.functions.patterns import strip
 from lumenrow.functions.text import clean_line, join_fragments, numbered_header, useful_text
 from lumenrow.operators.lines import gap_islands
+from lumenrow.operators.tables import materialised
 
 #: Fixed values, in widths or heights of a page: how far left of the main edge margins are; what a column is narrower, a full line wider than, and
 #: between what edges a full line begins and ends; how far columns begin apart; the least gap between blocks, in points and heights.
@@ -96,6 +97,7 @@ def two_column_text(lines: DataFrame, least_lines: int = 3) -> DataFrame:
     """
     rows = lines.filter(strip(F.col("text")) != "").withColumn("column", column_of(F.col("page_width"))).withColumn("cy", middle(F.col("y0"), F.col("y1"))).withColumn("cx", middle(F.col("x0"), F.col("x1")))
     rows = rows.withColumn("tolerance", F.greatest(F.lit(4.0), 0.90 * F.median(span(F.col("y0"), F.col("y1"))).over(_page())))
+    rows = materialised(lines.sparkSession, rows)
     sides = rows.groupBy("page_id").agg(F.count_if(F.col("column") == "left").alias("l"), F.count_if(F.col("column") == "right").alias("r"), F.median(F.when(F.col("column") == "left", F.col("cx"))).alias("lx"), F.median(F.when(F.col("column") == "right", F.col("cx"))).alias("rx"), F.max("page_width").alias("w"))
     pages = sides.filter((F.col("l") >= least_lines) & (F.col("r") >= least_lines) & (F.col("rx") - F.col("lx") >= COLUMNS_APART * F.col("w"))).select("page_id")
     placed = rows.join(pages, "page_id").join(body_top(rows), "page_id")
@@ -115,9 +117,13 @@ def two_column_text(lines: DataFrame, least_lines: int = 3) -> DataFrame:
 
 
 def page_layout(lines: DataFrame) -> DataFrame:
-    """(page_id, text): two columns where there are, else main lines in order with captions of the left margin last."""
-    kept = lines.filter((strip(F.col("text")) != "") & ~F.coalesce(is_top_header(lines), F.lit(False)))
-    columns = two_column_text(kept)
+    """(page_id, text): two columns where there are, else main lines in order with captions of the left margin last.
+
+    The lines, and the pages in columns, are computed once, as each is read for several sides of joins.
+    """
+    spark = lines.sparkSession
+    kept = materialised(spark, lines.filter((strip(F.col("text")) != "") & ~F.coalesce(is_top_header(lines), F.lit(False))))
+    columns = materialised(spark, two_column_text(kept))
     rows = kept.join(columns.select("page_id"), "page_id", "left_anti").join(pdf_main_left(kept), "page_id")
     cutoff = F.col("main_left") - MARGIN * F.col("page_width")
     side = (F.col("x0") < cutoff) & (span(F.col("x0"), F.col("x1")) < 0.45 * F.col("page_width"))
