@@ -16,6 +16,7 @@ from lumenrow.functions.patterns import physical_lines, strip
 from lumenrow.functions.text import ends_sentence, header_key, is_page_marker, numbered_header
 from lumenrow.operators.report import ranked
 from lumenrow.operators.sequences import BLOCK_ROWS, handed_on, in_blocks
+from lumenrow.operators.tables import materialised
 
 
 def _by_line():
@@ -35,7 +36,8 @@ def nonblank(lines: DataFrame) -> DataFrame:
 def neighbours_nonblank(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """With the text of the next and the last line that is not blank; a document may be any number of blocks of lines."""
     shown = F.when(strip(F.col("line")) != "", strip(F.col("line")))
-    rows = handed_on(in_blocks(lines, "n", block_rows), "doc_id", lasts={"last_text": shown}, firsts={"next_text": shown})
+    held = materialised(lines.sparkSession, in_blocks(lines, "n", block_rows).withColumn("_shown", shown))
+    rows = handed_on(held, "doc_id", lasts={"last_text": F.col("_shown")}, firsts={"next_text": F.col("_shown")})
     return rows.select(*lines.columns, F.coalesce("next_text", F.lit("")).alias("next_text"), F.coalesce("last_text", F.lit("")).alias("last_text"))
 
 
@@ -69,14 +71,17 @@ def sentence_islands(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFram
     """(doc_id, group_no, text): lines joined by spaces up to each that ends a sentence, or to a blank line.
 
     A line that is shown begins a group where the line before it ends one. What ended before a block of lines
-    and how many groups began there is handed on from block to block.
+    and how many groups began there is handed on from block to block. Lines and what is said of each are computed
+    once, as every block is read for both and for what it hands on.
     """
-    shown = strip(F.col("line")) != ""
-    ended = handed_on(in_blocks(lines, "n", block_rows), "doc_id", lasts={"_ended": ends_sentence(F.col("line")) | ~shown})
+    seen = in_blocks(lines, "n", block_rows).select("doc_id", "n", "_block", strip(F.col("line")).alias("line"), ends_sentence(F.col("line")).alias("_ends"))
+    held = materialised(lines.sparkSession, seen)
+    shown = F.col("line") != ""
+    ended = handed_on(held, "doc_id", lasts={"_ended": F.col("_ends") | ~shown})
     begins = (shown & F.coalesce("_ended", F.lit(True))).cast("int")
     rows = handed_on(ended.withColumn("_begins", begins), "doc_id", sums={"_before": F.col("_begins")})
     rows = rows.filter(shown).withColumn("group_no", F.col("_before") + F.col("_begins") - 1)
-    listed = rows.groupBy("doc_id", "group_no").agg(F.array_sort(F.collect_list(F.struct("n", strip(F.col("line")).alias("line")))).alias("parts"))
+    listed = rows.groupBy("doc_id", "group_no").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("parts"))
     return listed.select("doc_id", "group_no", F.array_join(F.transform("parts", lambda p: p["line"]), " ").alias("text"))
 
 
