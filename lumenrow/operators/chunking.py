@@ -129,19 +129,22 @@ def combined_chunks(documents: DataFrame, budget: int, kind: str = "image") -> D
     """:func:`chunk_by_length` of all texts (name, text) as one under headers, by natural name order, named ``all``.
 
     The combined text is never made: paragraphs are numbered over all texts, blocks are those between sentence
-    ends, and pieces of blocks are packed by :func:`packed`. Texts of one name go by their text.
+    ends, and pieces of blocks are packed by :func:`packed`. Texts of one name go by their text. Paragraphs and
+    pieces are computed once: a range partition reads what it deals out twice, once to sample it.
     """
+    spark = documents.sparkSession
     parts = ranked(documents.select("name", headed(kind).alias("part")), [natural_key(F.col("name")), F.asc("name"), F.asc("part")], "_doc")
     rows = parts.select("_doc", F.posexplode(paragraphs(F.col("part"))).alias("_para", "text"))
-    rows = running(rows, [F.col("_doc"), F.col("_para")], {"block": ends_sentence(F.col("text")).cast("int"), "n": F.lit(1)})
-    closed = rows.agg(F.coalesce(F.sum(ends_sentence(F.col("text")).cast("int")), F.lit(0))).first()[0]
+    held = materialised(spark, rows.withColumn("_ends", ends_sentence(F.col("text")).cast("int")))
+    closed = held.agg(F.coalesce(F.sum("_ends"), F.lit(0))).first()[0]
+    rows = running(held, [F.col("_doc"), F.col("_para")], {"block": F.col("_ends"), "n": F.lit(1)})
     # What is left open at the end joins the last block, where there is one.
     block = F.when((F.col("block") == closed) & (F.col("block") > 0), F.col("block") - 1).otherwise(F.col("block"))
     blocks = rows.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("parts"))
     blocks = blocks.select("block", F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("text"))
     pieces = blocks.select("block", F.posexplode(split_block(F.col("text"), budget)).alias("piece", "text"))
     fits = F.when(F.length("text") > budget, F.raise_error(F.lit("a word is longer than the budget"))).otherwise(F.col("text"))
-    chunks = packed(pieces.select("block", "piece", fits.alias("text")), [F.col("block"), F.col("piece")], budget, "\n\n")
+    chunks = packed(materialised(spark, pieces.select("block", "piece", fits.alias("text"))), [F.col("block"), F.col("piece")], budget, "\n\n")
     return chunks.select(F.lit("all").alias("doc_id"), "chunk_no", "text", F.length("text").cast("bigint").alias("tokens"))
 
 
