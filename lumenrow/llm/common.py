@@ -34,7 +34,8 @@ def fewer(frame: DataFrame, rows: int) -> DataFrame:
     """``frame``, of at most ``rows`` rows, in no more parts than these fill, by joining parts without a shuffle.
 
     Each part of a small table costs files in every shuffle of it and every table made of it, many times its rows.
-    Large tables stay in the parts they have.
+    Large tables stay in the parts they have. What an Arrow function computes is to be cut or shuffled before: joined in
+    one task, each part keeps a page of memory for such a function's input until all are done.
     """
     return frame.coalesce(max(LEAST_PARTS, math.ceil(rows / PART_ROWS)))
 

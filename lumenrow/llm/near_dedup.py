@@ -315,9 +315,9 @@ def verified(pairs: DataFrame, reps: DataFrame, features: DataFrame, threshold:
 
     if not (n := pairs.count()):
         return pairs
-    near = cut(fewer(joined(pairs, n, reps, ["samples"]).filter(_agreed("samples_a", "samples_b") >= LEAST_AGREED).select("a", "b"), n))
+    near = fewer(cut(joined(pairs, n, reps, ["samples"]).filter(_agreed("samples_a", "samples_b") >= LEAST_AGREED).select("a", "b")), n)
     n = near.count()
-    whole = fewer(joined(near, n, features, ["found", "weights"]), n)
+    whole = joined(near, n, features, ["found", "weights"])
     return cut(fewer(whole.filter(_similar("found_a", "weights_a", "found_b", "weights_b") >= threshold).select("a", "b").distinct(), n))
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenrow.llm import chat_format, mixing, near_dedup, neighbours, packing, registry
-from lumenrow.llm.common import join_hot
+from lumenrow.llm.common import cut, join_hot
 from lumenrow.llm.components import connected_components
 from tests.llm.test_filters_and_scores import WORD, odd_documents
 
@@ -544,3 +544,21 @@ def test_small_tables_are_in_few_parts(spark):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def test_pairs_in_many_parts_are_verified(spark):
+    """op3 and the pipeline: pairs that are joined in 400 parts, each for an Arrow function, fit into a task's memory."""
+    n, held = 4_000, {}
+    of = lambda i: F.encode(F.lpad(i.cast("string"), 24, "0"), "utf-8")
+    nodes = spark.range(2 * n).select(of(F.col("id")).alias("node"), F.unhex(F.repeat(F.lit("00000000"), near_dedup.SAMPLES)).alias("samples"), F.unhex(F.lit("01" * 8)).alias("found"), F.unhex(F.lit("0000803f")).alias("weights"))
+    pairs = cut(spark.range(n).select(of(F.col("id")).alias("a"), of(F.col("id") + n).alias("b")))
+    try:
+        for k, v in (("spark.sql.shuffle.partitions", "400"), ("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+            held[k] = spark.conf.get(k)
+            spark.conf.set(k, v)
+        found = near_dedup.verified(pairs, cut(nodes.select("node", "samples")), cut(nodes.select("node", "found", "weights")), 0.8)
+        assert Counter(map(tuple, found.collect())) == Counter(map(tuple, pairs.collect()))
+        assert found.rdd.getNumPartitions() <= 16
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
