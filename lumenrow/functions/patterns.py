@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from collections.abc import Callable
 
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: d: only \n ends a line; U: Unicode \d \s \w \b.
 UNICODE = "(?dU)"
+#: Line ends but ``\n``; texts without them are cut without a regular expression.
+OTHER_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def pattern(body: str, ignore_case: bool = False) -> str:
@@ -57,8 +61,9 @@ def literal(text: str) -> str:
 
 def physical_lines(text: Column) -> Column:
     """Lines as by Python's splitlines: all Unicode line ends, no last empty piece."""
-    pieces = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1)
-    kept = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
+    other = functools.reduce(operator.or_, (F.contains(text, F.lit(end)) for end in OTHER_LINE_ENDS))
+    pieces = F.when(other, F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1)).otherwise(F.split(text, "\n", -1))
+    kept = once(pieces, lambda ps: F.when(F.element_at(ps, -1) == "", F.slice(ps, 1, F.size(ps) - 1)).otherwise(ps))
     return F.when(text == "", F.array().cast("array<string>")).otherwise(kept)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lumenrow.functions.patterns import physical_lines, strip
+from lumenrow.functions.patterns import matches, physical_lines, strip
 from lumenrow.functions.text import ends_sentence, header_key, is_page_marker, numbered_header
 from lumenrow.operators.report import ranked
 from lumenrow.operators.sequences import BLOCK_ROWS, handed_on, in_blocks
@@ -30,7 +30,7 @@ def explode_lines(documents: DataFrame) -> DataFrame:
 
 
 def nonblank(lines: DataFrame) -> DataFrame:
-    return lines.filter(strip(F.col("line")) != "")
+    return lines.filter(matches(F.col("line"), r"\S"))
 
 
 def neighbours_nonblank(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

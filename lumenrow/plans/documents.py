@@ -12,7 +12,6 @@ from lumenrow.operators import fuzzy
 from lumenrow.operators import lines as ln
 from lumenrow.operators.chunking import chunk_by_length
 from lumenrow.operators.cleaning import clean_documents
-from lumenrow.operators.tables import materialised
 from lumenrow.plans.base import table
 
 BUDGET = 4000
@@ -96,8 +95,7 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole lines of documents, all of them, against those that repeat."""
     keys = ln.nonblank(ln.explode_lines(_texts(spark, sf_dir))).select(tx.header_key(F.col("line")).alias("title_key"))
-    counted = materialised(spark, keys.groupBy("title_key").agg(F.count("*").alias("n")))
-    return fuzzy.fuzzy_titles(counted.filter("n >= 1"), counted.filter("n >= 2"))
+    return fuzzy.near_titles(keys.groupBy("title_key").agg(F.lit(True).alias("candidate"), (F.count("*") >= 2).alias("learned")))
 
 
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
