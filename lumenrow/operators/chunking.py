@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 
 from lumenrow.functions.text import ends_sentence, natural_key, sentences, words
 from lumenrow.operators.lines import joined_up_to, let, paragraphs, safe_blocks
-from lumenrow.operators.report import ranked
 from lumenrow.operators.sequences import running, walked
 from lumenrow.operators.tables import materialised
 
@@ -125,53 +124,148 @@ def headed(kind: str) -> Column:
     return F.concat(F.lit(f"### Source {kind}: "), F.col("name"), F.lit("\n\n"), F.col("text"))
 
 
+#: Where pieces stand in a part of the corpus: the block that may go on what was open before, blocks, the last closed one, what is open.
+HEAD, WHOLE, LAST, TAIL = range(4)
+
+
 def combined_chunks(documents: DataFrame, budget: int, kind: str = "image") -> DataFrame:
     """:func:`chunk_by_length` of all texts (name, text) as one under headers, by natural name order, named ``all``.
 
-    The combined text is never made: paragraphs are numbered over all texts, blocks are those between sentence
-    ends, and pieces of blocks are packed by :func:`packed`. Texts of one name go by their text. Paragraphs and
-    pieces are computed once: a range partition reads what it deals out twice, once to sample it.
+    The combined text is never made. Texts are range-partitioned by name, those of one name by their text, and stay in
+    their parts from there on: the blocks of a part are cut and split in it, once, but for those at its ends, which may
+    be joined with those of other parts. All pieces are numbered by their lengths alone (:func:`chunk_numbers`), and each part joins the
+    chunks that are whole in it. So texts are written twice, once to be sorted and once in pieces; what
+    parts hand on is a few blocks and the beginnings of two chunks each.
     """
     spark = documents.sparkSession
-    parts = ranked(documents.select("name", headed(kind).alias("part")), [natural_key(F.col("name")), F.asc("name"), F.asc("part")], "_doc")
-    rows = parts.select("_doc", F.posexplode(paragraphs(F.col("part"))).alias("_para", "text"))
-    held = materialised(spark, rows.withColumn("_ends", ends_sentence(F.col("text")).cast("int")))
-    closed = held.agg(F.coalesce(F.sum("_ends"), F.lit(0))).first()[0]
-    rows = running(held, [F.col("_doc"), F.col("_para")], {"block": F.col("_ends"), "n": F.lit(1)})
+    parts = documents.select("name", headed(kind).alias("part"))
+    order = [natural_key(F.col("name")), F.asc("name"), F.asc("part")]
+    rows = parts.repartitionByRange(*order).sortWithinPartitions(*order).select(F.explode(paragraphs(F.col("part"))).alias("text"))
+    rows = rows.select(F.spark_partition_id().cast("bigint").alias("part"), "text", ends_sentence(F.col("text")).alias("ends"))
+    blocks = rows.mapInArrow(_blocks, "part long, no long, text string, head string, last string, tail string")
+    fits = F.when(F.length("text") > budget, F.raise_error(F.lit("a word is longer than the budget"))).otherwise(F.col("text")).alias("text")
+    pieces = blocks.select("part", "no", "head", "last", "tail", F.posexplode(split_block(F.col("text"), budget)).alias("piece", "text"))
+    ends = (F.when(F.col("piece") == 0, F.col(c)).alias(c) for c in ("head", "last", "tail"))
+    held = materialised(spark, pieces.select("part", "no", "piece", fits, *ends))
+
+    places = {"head": HEAD, "last": LAST, "tail": TAIL}
+    listed = F.explode(F.array(*(F.struct(F.lit(place).alias("place"), F.col(c).alias("text")) for c, place in places.items()))).alias("end")
+    ends = held.filter("head is not null or last is not null or tail is not null").select("part", listed).select("part", "end.place", "end.text").filter("text is not null")
+    ends = materialised(spark, ends.withColumn("closes", (F.col("place") != TAIL).cast("int")))
+    closed = ends.agg(F.coalesce(F.sum("closes"), F.lit(0))).first()[0]
+    runs = running(ends.drop("text"), [F.col("part"), F.col("place")], {"run": F.col("closes")})
     # What is left open at the end joins the last block, where there is one.
-    block = F.when((F.col("block") == closed) & (F.col("block") > 0), F.col("block") - 1).otherwise(F.col("block"))
-    blocks = rows.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("parts"))
-    blocks = blocks.select("block", F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("text"))
-    pieces = blocks.select("block", F.posexplode(split_block(F.col("text"), budget)).alias("piece", "text"))
-    fits = F.when(F.length("text") > budget, F.raise_error(F.lit("a word is longer than the budget"))).otherwise(F.col("text"))
-    chunks = packed(materialised(spark, pieces.select("block", "piece", fits.alias("text"))), [F.col("block"), F.col("piece")], budget, "\n\n")
+    run = F.when((F.col("run") == closed) & (F.col("run") > 0), F.col("run") - 1).otherwise(F.col("run"))
+    joined = ends.join(runs.select("part", "place", run.alias("run")), ["part", "place"]).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("part", "place", "text"))).alias("rows"))
+    joined = joined.select(F.col("rows")[0]["part"].alias("part"), F.col("rows")[0]["place"].alias("place"), F.array_join(F.transform("rows", lambda r: r["text"]), "\n\n").alias("text"))
+    edges = materialised(spark, joined.select("part", "place", F.posexplode(split_block(F.col("text"), budget)).alias("piece", "text")).select("part", "place", "piece", fits))
+
+    inner = held.filter("text is not null").select("part", F.lit(WHOLE).alias("place"), "no", "piece", F.length("text").cast("bigint").alias("n"))
+    sizes = inner.unionByName(edges.select("part", "place", F.lit(0).cast("bigint").alias("no"), "piece", F.length("text").cast("bigint").alias("n")))
+    numbers = materialised(spark, chunk_numbers(sizes, [F.col(c) for c in ("part", "place", "no", "piece")], budget, 2).select("part", "place", "no", "piece", "begins", "chunk_no"))
+    entries = numbers.filter(F.col("place") == WHOLE).groupBy("part").agg(F.min("chunk_no").alias("chunk"), F.min(F.when(F.col("begins"), F.struct("no", "piece"))).alias("entry"))
+    entries = entries.select("part", "chunk", F.col("entry.no").alias("entry_no"), F.col("entry.piece").alias("entry_piece"))
+    entered = held.filter("text is not null").select("part", "no", "piece", "text").join(F.broadcast(entries), "part")
+    whole, cut = (entered.mapInArrow(_joined(budget, "\n\n", of), "chunk_no long, part long, place int, no long, piece int, text string") for of in (True, False))
+    rest = cut.unionByName(edges.join(numbers.filter(F.col("place") != WHOLE), ["part", "place", "piece"]).select(*cut.columns))
+    rest = rest.groupBy("chunk_no").agg(F.array_sort(F.collect_list(F.struct("part", "place", "no", "piece", "text"))).alias("rows"))
+    chunks = whole.select("chunk_no", "text").unionByName(rest.select("chunk_no", F.array_join(F.transform("rows", lambda r: r["text"]), "\n\n").alias("text")))
     return chunks.select(F.lit("all").alias("doc_id"), "chunk_no", "text", F.length("text").cast("bigint").alias("tokens"))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paragraphs of a part joined until one ends a sentence.
+
+    The first block, if it is not of the first part, the last closed one and what is left open are not rows of their own, as they may belong
+    to blocks of other parts; the part's last row has them beside its text.
+    """
+    part, no, closed, head, last, held, ready = 0, 0, False, None, None, [], []
+
+    def rows(texts: list[str | None], *ends: str | None) -> pa.RecordBatch:
+        ends = [[None] * (len(texts) - 1) + [end] for end in ends or (None,) * 3]
+        columns = [pa.array([part] * len(texts), pa.int64()), pa.array(range(no, no + len(texts)), pa.int64()), *(pa.array(c, pa.string()) for c in (texts, *ends))]
+        return pa.RecordBatch.from_arrays(columns, ["part", "no", "text", "head", "last", "tail"])
+
+    for batch in batches:
+        for part, text, ends in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            held.append(text)
+            if not ends:
+                continue
+            block, held = "\n\n".join(held), []
+            if part and not closed:
+                head = block
+            else:
+                ready += [] if last is None else [last]
+                last = block
+            closed = True
+        if len(ready) > 1:
+            yield rows(ready[:-1])
+            no, ready = no + len(ready) - 1, ready[-1:]
+    if closed or held:
+        yield rows(ready or [None], head, last, "\n\n".join(held) if held else None)
+
+
+def _joined(budget: int, joiner: str, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunks of a part's pieces, which come in order: those that begin and end in it, or the others, of which there are two at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, chunk, begun, size, held = None, None, False, 0, []
+
+        def table(found: list[tuple[int, str]]) -> pa.RecordBatch:
+            # The one that goes on from another part comes before the one that goes on in another.
+            values = [[c for c, _ in found], [part] * len(found), [WHOLE] * len(found), [c for c, _ in found], [0] * len(found), [t for _, t in found]]
+            kinds = {"chunk_no": pa.int64(), "part": pa.int64(), "place": pa.int32(), "no": pa.int64(), "piece": pa.int32(), "text": pa.string()}
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds.values(), strict=True)], list(kinds))
+
+        for batch in batches:
+            found = []
+            columns = (batch.column(c).to_pylist() for c in ("part", "no", "piece", "text", "chunk", "entry_no", "entry_piece"))
+            for part, no, piece, text, first, entry_no, entry_piece in zip(*columns, strict=True):
+                chunk = first if chunk is None else chunk
+                if size + len(joiner) + len(text) > budget if begun else (no, piece) == (entry_no, entry_piece):
+                    if held:
+                        found += [(chunk, joiner.join(held))] if begun == whole else []
+                        chunk += 1
+                    begun, size, held = True, len(text), [text]
+                else:
+                    size += len(joiner) + len(text)
+                    held.append(text)
+            yield table(found)
+        if held and not whole:
+            yield table([(chunk, joiner.join(held))])
+
+    return run
+
+
 def packed(pieces: DataFrame, order: list[Column], budget: int, joiner: str) -> DataFrame:
-    """(chunk_no, text): pieces (text) of one order joined greedily while a chunk has at most ``budget`` characters.
+    """(chunk_no, text): pieces (text) of one order joined greedily while a chunk has at most ``budget`` characters."""
+    numbered = chunk_numbers(pieces.withColumn("n", F.length("text").cast("bigint")), order, budget, len(joiner))
+    listed = numbered.groupBy("chunk_no").agg(F.array_sort(F.collect_list(F.struct("_no", "text"))).alias("parts"))
+    return listed.select("chunk_no", F.array_join(F.transform("parts", lambda p: p["text"]), joiner).alias("text"))
+
 
-    Where each piece begins is a running sum, so that the piece that begins the chunk behind one begun here is
+def chunk_numbers(pieces: DataFrame, order: list[Column], budget: int, gap: int) -> DataFrame:
+    """``pieces`` of lengths ``n`` with their numbers (_no), which chunk each is of (chunk_no) and whether it ``begins`` it.
+
+    Pieces are packed greedily, ``gap`` characters apart, while a chunk has at most ``budget``. Where each piece
+    begins is a running sum, so that the piece that begins the chunk behind one begun here is
     the first that ends more than a budget further on. Stretches of STRETCH_BUDGETS find, for each piece that
     may be the first to begin a chunk in them, the last one that then does; these links from stretch to
     stretch are walked by pointer doubling from the first piece, which tells each stretch where it begins.
     """
     spark = pieces.sparkSession
-    placed = running(pieces, order, {"at": F.length("text") + len(joiner), "no": F.lit(1)})
-    stretch = F.floor(F.col("at") / (STRETCH_BUDGETS * budget)).cast("bigint")
-    placed = materialised(spark, placed.select(stretch.alias("stretch"), "no", "at", F.length("text").cast("bigint").alias("n"), "text"))
-    sizes = placed.select("stretch", "no", "at", "n")
-    ways = materialised(spark, sizes.groupBy("stretch").applyInArrow(_ways(budget, len(joiner)), "stretch long, no long, ends long, until long"))
+    placed = running(pieces, order, {"_at": F.col("n") + gap, "_no": F.lit(1)})
+    placed = materialised(spark, placed.withColumn("_stretch", F.floor(F.col("_at") / (STRETCH_BUDGETS * budget)).cast("bigint")))
+    sizes = placed.select(F.col("_stretch").alias("stretch"), F.col("_no").alias("no"), F.col("_at").alias("at"), "n")
+    ways = materialised(spark, sizes.groupBy("stretch").applyInArrow(_ways(budget, gap), "stretch long, no long, ends long, until long"))
     heads = ways.groupBy("stretch").agg(F.array_sort(F.collect_list(F.struct("ends", "no"))).alias("heads"))
     over = ways.select((F.col("stretch") + 1).alias("stretch"), F.col("no").alias("id"), "until").join(heads, "stretch", "left")
     entered = F.get(F.filter("heads", lambda h: h["ends"] > F.col("until")), F.lit(0))["no"]
     begun = walked(over.select("id", entered.alias("next")), ways.filter("no = 0").select(F.col("no").alias("id"))).select(F.col("id").alias("entry"))
     entries = ways.join(begun, F.col("no") == F.col("entry")).select("stretch", "entry")
-    chosen = sizes.groupBy("stretch").cogroup(entries.groupBy("stretch")).applyInArrow(_chosen(budget), "stretch long, no long, begins boolean")
-    numbered = running(placed.join(chosen, ["stretch", "no"]), [F.col("no")], {"before": F.col("begins").cast("int")})
-    chunk = F.col("before") + F.col("begins").cast("bigint") - 1
-    listed = numbered.groupBy(chunk.alias("chunk_no")).agg(F.array_sort(F.collect_list(F.struct("no", "text"))).alias("parts"))
-    return listed.select("chunk_no", F.array_join(F.transform("parts", lambda p: p["text"]), joiner).alias("text"))
+    chosen = sizes.groupBy("stretch").cogroup(entries.groupBy("stretch")).applyInArrow(_chosen(budget), "_stretch long, _no long, begins boolean")
+    numbered = running(placed.join(chosen, ["_stretch", "_no"]), [F.col("_no")], {"_before": F.col("begins").cast("int")})
+    return numbered.withColumn("chunk_no", F.col("_before") + F.col("begins").cast("bigint") - 1)
 
 
 def _next_begun(pieces: pa.Table, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +302,7 @@ def _chosen(budget: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         while at < len(no):
             begins[at] = True
             at = following[at]
-        return pa.table({"stretch": np.full(len(no), pieces["stretch"][0].as_py()), "no": no, "begins": begins})
+        return pa.table({"_stretch": np.full(len(no), pieces["stretch"][0].as_py()), "_no": no, "begins": begins})
 
     return run
 
