@@ -124,6 +124,8 @@ def headed(kind: str) -> Column:
     return F.concat(F.lit(f"### Source {kind}: "), F.col("name"), F.lit("\n\n"), F.col("text"))
 
 
+#: Texts of one name are dealt to parts by so many letters of theirs.
+TIE_LETTERS = 32
 #: Where pieces stand in a part of the corpus: the block that may go on what was open before, blocks, the last closed one, what is open.
 HEAD, WHOLE, LAST, TAIL = range(4)
 
@@ -138,9 +140,10 @@ def combined_chunks(documents: DataFrame, budget: int, kind: str = "image") -> D
     parts hand on is a few blocks and the beginnings of two chunks each.
     """
     spark = documents.sparkSession
-    parts = documents.select("name", headed(kind).alias("part"))
-    order = [natural_key(F.col("name")), F.asc("name"), F.asc("part")]
-    rows = parts.repartitionByRange(*order).sortWithinPartitions(*order).select(F.explode(paragraphs(F.col("part"))).alias("text"))
+    parts = documents.select("name", headed(kind).alias("part"), F.substring("text", 1, TIE_LETTERS).alias("first"))
+    order = [natural_key(F.col("name")), F.asc("name")]
+    # A range partition gathers what it samples of its keys: whole texts would be too much.
+    rows = parts.repartitionByRange(*order, F.asc("first")).sortWithinPartitions(*order, F.asc("part")).select(F.explode(paragraphs(F.col("part"))).alias("text"))
     rows = rows.select(F.spark_partition_id().cast("bigint").alias("part"), "text", ends_sentence(F.col("text")).alias("ends"))
     blocks = rows.mapInArrow(_blocks, "part long, no long, text string, head string, last string, tail string")
     fits = F.when(F.length("text") > budget, F.raise_error(F.lit("a word is longer than the budget"))).otherwise(F.col("text")).alias("text")
