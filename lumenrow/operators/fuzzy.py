@@ -190,6 +190,8 @@ def near_titles(titles: DataFrame, least: float = 0.88, direct_pairs: int = DIRE
     crowded = not crowd.isEmpty()
     # What pairs cost is not seen in their bytes, by which partitions would be made fewer.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    # Crowds are few, as each has many titles; joined by a shuffle, all titles would be written again for either side.
+    crowd = F.broadcast(crowd)
     few = [x.join(crowd, "_words", "left_anti") if crowded else x for x in (a, b)]
     near = few[0].withColumn("_step", step(F.col("title_key"))).join(few[1].withColumn("_step", F.explode(F.array(*(step(F.col("learned_key")) + d for d in (-1, 0, 1))))), ["_words", "_step"])
     met = near.select("title_key", "learned_key")
